@@ -11,6 +11,7 @@ median (C6, one distributed job for all of them).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,107 +24,165 @@ from .stats import exact_medians
 FEATURE_TYPES = ("ratio", "trend", "density", "interaction", "aggregation")
 
 
-def _c(name: str) -> Column:
-    return F.col(name).cast("double")
+@dataclass(frozen=True)
+class Spec:
+    """One derived column: ``op`` over input column names ``args``.
 
+    ops: ``div`` a / (b + k); ``trend`` (a - b) / (b + 1); ``mul_log1p``
+    a * log1p(b); ``log1p_mul_log1p`` log1p(a) * log1p(b); ``row_sum``;
+    ``row_mean``. Rendered to Spark columns here and to SQL for the oracle."""
 
-def ratio_features(cols: set[str]) -> dict[str, Column]:
+    name: str
+    op: str
+    args: tuple[str, ...]
+    k: float = 0.0
+
+
+def _ratio_specs(cols: set[str]) -> list[Spec]:
     """16 ratios per period (+1e-6 in the denominator)."""
-    out: dict[str, Column] = {}
+    out = []
     for p in PERIODS:
         efect, total = f"AVG_GestEfect_CallOut_{p}", f"AVG_GestTotales_CallOut_{p}"
         directo, sin = f"AVG_GestDirecto_CallOut_{p}", f"AVG_GestSinContacto_CallOut_{p}"
         if efect in cols and total in cols:
-            out[f"Ratio_Efectividad_{p}"] = safe_div(_c(efect), _c(total) + F.lit(EPS_RATIO))
+            out.append(Spec(f"Ratio_Efectividad_{p}", "div", (efect, total), EPS_RATIO))
         if directo in cols and efect in cols:
-            out[f"Ratio_Directo_de_Efectivas_{p}"] = safe_div(_c(directo), _c(efect) + F.lit(EPS_RATIO))
+            out.append(Spec(f"Ratio_Directo_de_Efectivas_{p}", "div", (directo, efect), EPS_RATIO))
         if sin in cols and total in cols:
-            out[f"Ratio_SinContacto_{p}"] = safe_div(_c(sin), _c(total) + F.lit(EPS_RATIO))
+            out.append(Spec(f"Ratio_SinContacto_{p}", "div", (sin, total), EPS_RATIO))
     for p in PERIODS:
         wpp, total = f"AVG_GEST_WPP_OUT_{p}", f"AVG_GestTotales_CallOut_{p}"
         if wpp in cols and total in cols:
-            out[f"Ratio_WhatsApp_Total_{p}"] = safe_div(_c(wpp), _c(total) + F.lit(EPS_RATIO))
+            out.append(Spec(f"Ratio_WhatsApp_Total_{p}", "div", (wpp, total), EPS_RATIO))
     return out
 
 
-def trend_features(cols: set[str]) -> dict[str, Column]:
+def _trend_specs(cols: set[str]) -> list[Spec]:
     """(recent - old) / (old + 1), 3UM vs 12UM."""
-    out: dict[str, Column] = {}
+    out = []
     for g in ("GestTotales", "GestEfect", "GestDirecto", "GestSinContacto"):
         recent, old = f"AVG_{g}_CallOut_3UM", f"AVG_{g}_CallOut_12UM"
         if recent in cols and old in cols:
-            out[f"Tendencia_{g}_3vs12"] = safe_div(_c(recent) - _c(old), _c(old) + F.lit(1.0))
+            out.append(Spec(f"Tendencia_{g}_3vs12", "trend", (recent, old)))
     recent, old = "AVG_GEST_WPP_OUT_3UM", "AVG_GEST_WPP_OUT_12UM"
     if recent in cols and old in cols:
-        out["Tendencia_WhatsApp_3vs12"] = safe_div(_c(recent) - _c(old), _c(old) + F.lit(1.0))
+        out.append(Spec("Tendencia_WhatsApp_3vs12", "trend", (recent, old)))
     return out
 
 
-def density_features(cols: set[str]) -> dict[str, Column]:
+def _density_specs(cols: set[str]) -> list[Spec]:
     """Calls per day overdue, capital per day overdue, calls per month employed."""
-    out: dict[str, Column] = {}
+    out = []
     mora = "dias_mora_cartera"
     if mora in cols:
         for p in PERIODS:
             g = f"AVG_GestTotales_CallOut_{p}"
             if g in cols:
-                out[f"Densidad_Gestiones_por_DiaMora_{p}"] = safe_div(_c(g), _c(mora) + F.lit(1.0))
+                out.append(Spec(f"Densidad_Gestiones_por_DiaMora_{p}", "div", (g, mora), 1.0))
     if "capitalactualsol" in cols and mora in cols:
-        out["Capital_por_DiaMora"] = safe_div(_c("capitalactualsol"), _c(mora) + F.lit(1.0))
+        out.append(Spec("Capital_por_DiaMora", "div", ("capitalactualsol", mora), 1.0))
     if "meses_empresa" in cols:
         for p in ("3UM", "6UM"):
             g = f"AVG_GestTotales_CallOut_{p}"
             if g in cols:
-                out[f"Densidad_Gestiones_por_MesEmpresa_{p}"] = safe_div(_c(g), _c("meses_empresa") + F.lit(1.0))
+                out.append(Spec(f"Densidad_Gestiones_por_MesEmpresa_{p}", "div", (g, "meses_empresa"), 1.0))
     return out
 
 
-def interaction_features(cols: set[str]) -> dict[str, Column]:
+def _interaction_specs(cols: set[str]) -> list[Spec]:
     """C4: products with log1p (log1p(x <= -1) is NULL, S2)."""
-    out: dict[str, Column] = {}
+    out = []
     mora, cap, age = "dias_mora_cartera", "capitalactualsol", "Edad"
     if age in cols and mora in cols:
-        out["Interaccion_Edad_DiaMora"] = finite_or_null(_c(age) * F.log1p(_c(mora)))
+        out.append(Spec("Interaccion_Edad_DiaMora", "mul_log1p", (age, mora)))
     if cap in cols and mora in cols:
-        out["Interaccion_Capital_DiaMora"] = finite_or_null(F.log1p(_c(cap)) * F.log1p(_c(mora)))
+        out.append(Spec("Interaccion_Capital_DiaMora", "log1p_mul_log1p", (cap, mora)))
     if age in cols and cap in cols:
-        out["Interaccion_Edad_Capital"] = finite_or_null(_c(age) * F.log1p(_c(cap)))
+        out.append(Spec("Interaccion_Edad_Capital", "mul_log1p", (age, cap)))
     return out
 
 
-def aggregation_features(cols: set[str]) -> dict[str, Column]:
+def _aggregation_specs(cols: set[str]) -> list[Spec]:
     """Row-wise sums (NULL skipped, all-NULL -> 0) and mean (all-NULL -> NULL)."""
-    out: dict[str, Column] = {}
-    efect = [c for c in (f"AVG_GestEfect_CallOut_{p}" for p in PERIODS) if c in cols]
-    directo = [c for c in (f"AVG_GestDirecto_CallOut_{p}" for p in PERIODS) if c in cols]
-    wpp = [c for c in (f"AVG_GEST_WPP_OUT_{p}" for p in PERIODS) if c in cols]
+    out = []
+    efect = tuple(c for c in (f"AVG_GestEfect_CallOut_{p}" for p in PERIODS) if c in cols)
+    directo = tuple(c for c in (f"AVG_GestDirecto_CallOut_{p}" for p in PERIODS) if c in cols)
+    wpp = tuple(c for c in (f"AVG_GEST_WPP_OUT_{p}" for p in PERIODS) if c in cols)
     if efect:
-        out["Total_GestEfect_AllPeriods"] = row_sum(efect)
+        out.append(Spec("Total_GestEfect_AllPeriods", "row_sum", efect))
     if directo:
-        out["Total_GestDirecto_AllPeriods"] = row_sum(directo)
+        out.append(Spec("Total_GestDirecto_AllPeriods", "row_sum", directo))
     if wpp:
-        out["Promedio_WhatsApp_AllPeriods"] = row_mean(wpp)
+        out.append(Spec("Promedio_WhatsApp_AllPeriods", "row_mean", wpp))
     return out
 
 
 _GENERATORS = {
-    "ratio": ratio_features,
-    "trend": trend_features,
-    "density": density_features,
-    "interaction": interaction_features,
-    "aggregation": aggregation_features,
+    "ratio": _ratio_specs,
+    "trend": _trend_specs,
+    "density": _density_specs,
+    "interaction": _interaction_specs,
+    "aggregation": _aggregation_specs,
 }
 
 
-def feature_exprs(columns: Sequence[str], feature_types: Sequence[str] = FEATURE_TYPES) -> dict[str, Column]:
+def feature_specs(columns: Sequence[str], feature_types: Sequence[str] = FEATURE_TYPES) -> list[Spec]:
     cols = set(columns)
-    out: dict[str, Column] = {}
+    out: list[Spec] = []
     for t in FEATURE_TYPES:
         if t in feature_types:
-            out.update(_GENERATORS[t](cols))
+            out += _GENERATORS[t](cols)
     return out
 
 
+def to_column(spec: Spec) -> Column:
+    a = [F.col(x).cast("double") for x in spec.args]
+    if spec.op == "div":
+        return safe_div(a[0], a[1] + F.lit(spec.k))
+    if spec.op == "trend":
+        return safe_div(a[0] - a[1], a[1] + F.lit(1.0))
+    if spec.op == "mul_log1p":
+        return finite_or_null(a[0] * F.log1p(a[1]))
+    if spec.op == "log1p_mul_log1p":
+        return finite_or_null(F.log1p(a[0]) * F.log1p(a[1]))
+    if spec.op == "row_sum":
+        return row_sum(spec.args)
+    if spec.op == "row_mean":
+        return row_mean(spec.args)
+    raise KeyError(spec.op)
+
+
+def to_sql(spec: Spec) -> str:
+    """DuckDB text of the same column (oracle only)."""
+    a = list(spec.args)
+
+    def fin(e: str) -> str:
+        return f"(CASE WHEN isfinite({e}) THEN {e} END)"
+
+    def log1p(e: str) -> str:
+        return f"(CASE WHEN {e} > -1.0::DOUBLE THEN ln(1.0::DOUBLE + {e}) END)"
+
+    if spec.op == "div":
+        return fin(f"CAST({a[0]} AS DOUBLE) / NULLIF(CAST({a[1]} AS DOUBLE) + {spec.k!r}::DOUBLE, 0)")
+    if spec.op == "trend":
+        return fin(f"(CAST({a[0]} AS DOUBLE) - CAST({a[1]} AS DOUBLE)) / NULLIF(CAST({a[1]} AS DOUBLE) + 1.0::DOUBLE, 0)")
+    if spec.op == "mul_log1p":
+        return fin(f"CAST({a[0]} AS DOUBLE) * {log1p(a[1])}")
+    if spec.op == "log1p_mul_log1p":
+        return fin(f"{log1p(a[0])} * {log1p(a[1])}")
+    if spec.op == "row_sum":
+        return "(" + " + ".join(f"coalesce(CAST({x} AS DOUBLE), 0.0::DOUBLE)" for x in a) + ")"
+    if spec.op == "row_mean":
+        s = "(" + " + ".join(f"coalesce(CAST({x} AS DOUBLE), 0.0::DOUBLE)" for x in a) + ")"
+        n = "(" + " + ".join(f"(CASE WHEN {x} IS NOT NULL THEN 1 ELSE 0 END)" for x in a) + ")"
+        return f"({s} / NULLIF(CAST({n} AS DOUBLE), 0))"
+    raise KeyError(spec.op)
+
+
+def feature_exprs(columns: Sequence[str], feature_types: Sequence[str] = FEATURE_TYPES) -> dict[str, Column]:
+    return {s.name: to_column(s) for s in feature_specs(columns, feature_types)}
+
+
 def add_features(df: DataFrame, feature_types: Sequence[str] = FEATURE_TYPES) -> tuple[DataFrame, list[str]]:
     """All requested generators in one projection; returns (df, created names)."""
     exprs = feature_exprs(df.columns, feature_types)

@@ -10,13 +10,15 @@ spread over ``n`` slices:
    cut into many slices by the key.
 2. Inside each (slice, group): ``row_number`` and running sums with a window
    partitioned by the slice id.
-3. Per (slice, group) totals: one small aggregate with at most ``n + groups``
+3. The slice-local result is checkpointed (reliable checkpoint in
+   ``spark.checkpoint.dir``). Range bounds come from a random sample, so two
+   evaluations of step 1 may cut differently; reading one materialised copy
+   keeps the slice ids consistent between steps 4 and 5, and a lost executor
+   re-reads the checkpoint instead of re-sampling.
+4. Per (slice, group) totals: one small aggregate with at most ``n + groups``
    rows; its exclusive prefix sums over slices are the offsets.
-4. Offsets are joined back on (slice, group). AQE broadcasts them at run time
-   when they are small (they are bounded by ``n + groups`` rows).
-
-Steps 2 and 3 read the same range exchange; Spark plans it once and reuses
-it (``ReusedExchange``), so both see identical slice ids.
+5. Offsets are joined back on (slice, group). AQE broadcasts them at run time
+   (they are bounded by ``n + groups`` rows).
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import shuffle_partitions
+from ..session import ensure_checkpoint_dir, shuffle_partitions
 
 
 def running_totals(
@@ -56,8 +58,10 @@ def running_totals(
     local = ranged.withColumn("_lrank", F.row_number().over(w))
     for name, expr in sums.items():
         local = local.withColumn(f"_lsum_{name}", F.sum(expr).over(wc))
+    ensure_checkpoint_dir(df.sparkSession)
+    local = local.checkpoint(eager=True)
 
-    totals = ranged.groupBy(*keys).agg(
+    totals = local.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), *[F.sum(expr).alias(f"_tsum_{name}") for name, expr in sums.items()]
     )
     before = (Window.partitionBy(*groups) if groups else Window).orderBy("_slice").rowsBetween(

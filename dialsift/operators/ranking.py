@@ -73,20 +73,21 @@ def random_score(df: DataFrame, key: str, seed: int, out_col: str = "score") ->
 
 
 def scores_table(df: DataFrame, key: str, label: str, strategies: Mapping[str, Column]) -> DataFrame:
-    """Union of one ``(estrategia, key, score, y)`` block per strategy."""
-    blocks = [
-        df.select(
-            F.lit(name).alias("estrategia"),
-            F.col(key).cast("bigint").alias("key"),
-            nan_to_null(expr.cast("double")).alias("score"),
-            F.col(label).cast("int").alias("y"),
+    """``(estrategia, key, score, y)`` for every strategy, in one pass over
+    ``df``: each input row emits one row per strategy (an inline array of
+    structs exploded), so the input plan is scanned once, not once per
+    strategy."""
+    rows = F.inline(
+        F.array(
+            *[
+                F.struct(F.lit(name).alias("estrategia"), nan_to_null(expr.cast("double")).alias("score"))
+                for name, expr in strategies.items()
+            ]
         )
-        for name, expr in strategies.items()
-    ]
-    out = blocks[0]
-    for b in blocks[1:]:
-        out = out.unionByName(b)
-    return out
+    )
+    return df.select(F.col(key).cast("bigint").alias("key"), F.col(label).cast("int").alias("y"), rows).select(
+        "estrategia", "key", "score", "y"
+    )
 
 
 # ---------------------------------------------------------------- curve
@@ -305,10 +306,3 @@ def base_rate(df: DataFrame, label: str = "CD") -> DataFrame:
         "tasa_base", F.try_divide(F.col("total_contactos").cast("double"), F.col("total_intentos").cast("double"))
         * F.lit(100.0)
     )
-
-
-def standard_strategies(df: DataFrame, key: str, seed: int, capital_col="capitalactualsol", age_col="Edad",
-                        dependent_col=None) -> dict[str, Column]:
-    """Business rule and random baseline as score expressions over ``df``
-    (``df`` must already carry ``_biz`` from :func:`business_score`)."""
-    return {BUSINESS_STRATEGY: F.col("_biz"), RANDOM_STRATEGY: uniform(key, seed, "baseline")}

@@ -138,3 +138,234 @@ def q_curve_frames(spark, sf_dir):
 @register("progress_band", oracle.curve_frames_sql(ATT, bands=True))
 def q_progress_band(spark, sf_dir):
     return ranking.progress_band(ranking.curve_frames(attempt_scores(spark, sf_dir)))
+
+
+# ------------------------------------------------------------------ cleaning and features (B, C)
+
+from pyspark.sql import types as T  # noqa: E402
+
+from ..operators import clean, features, sampling, stats  # noqa: E402
+from .prepare import encoded, feature_table  # noqa: E402
+
+
+def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Round every double column (distributed float sums are order-dependent)."""
+    return df.withColumns(
+        {f.name: F.round(F.col(f.name), digits) for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)}
+    )
+
+
+_FEATS, _CREATED = oracle.feature_columns()
+_PLAIN, _DUMMIES = oracle.encoded_columns()
+
+
+def _feature_type_query(ftype: str):
+    from ..operators.features import feature_specs
+
+    names = [s.name for s in feature_specs(_PLAIN, [ftype])]
+    sql = oracle.with_(*oracle.feature_ctes(fill_created=False)) + (
+        f"SELECT CODIGO, {oracle.round_sql(names)} FROM feat"
+    )
+
+    def fn(spark, sf_dir):
+        df, _, _ = encoded(spark, sf_dir)
+        out, created = features.add_features(df, [ftype])
+        return round_doubles(out.select("CODIGO", *created))
+
+    return fn, sql
+
+
+for _name, _ftype in (
+    ("feature_ratios", "ratio"),
+    ("feature_trends", "trend"),
+    ("feature_densities", "density"),
+    ("feature_interactions", "interaction"),
+    ("feature_row_aggregates", "aggregation"),
+):
+    _fn, _sql = _feature_type_query(_ftype)
+    register(_name, _sql)(_fn)
+
+
+@register("drop_columns", oracle.with_(oracle.attempts_sql()) + "SELECT * EXCLUDE (PERIODO, GRUPO_CAPITAL) FROM attempts")
+def q_drop_columns(spark, sf_dir):
+    return clean.drop_columns(attempts(spark, sf_dir), keep=["CODIGO"])
+
+
+@register("fill_category", oracle.with_(oracle.attempts_sql(), oracle.FILLED) + "SELECT CODIGO, GEnero, Estado_civil FROM filled")
+def q_fill_category(spark, sf_dir):
+    return clean.fill_category(attempts(spark, sf_dir)).select("CODIGO", "GEnero", "Estado_civil")
+
+
+@register("fill_median", oracle.with_(oracle.attempts_sql(), oracle.FILLED) + "SELECT CODIGO, Edad, dias_mora_cartera FROM filled")
+def q_fill_median(spark, sf_dir):
+    return clean.fill_median(attempts(spark, sf_dir)).select("CODIGO", "Edad", "dias_mora_cartera")
+
+
+@register("one_hot_drop_first", oracle.with_(*oracle.feature_ctes(False)[:3]) + f"SELECT CODIGO, {', '.join(_DUMMIES)} FROM enc")
+def q_one_hot(spark, sf_dir):
+    df, cats, _ = encoded(spark, sf_dir)
+    return df.select("CODIGO", *clean.dummy_columns(cats))
+
+
+@register("feature_all", oracle.with_(*oracle.feature_ctes()) + f"SELECT CODIGO, {oracle.round_sql(_CREATED)} FROM featf")
+def q_feature_all(spark, sf_dir):
+    df, _, created, _, _, _ = feature_table(spark, sf_dir)
+    return round_doubles(df.select("CODIGO", *created))
+
+
+@register("missing_report", oracle.with_(*oracle.feature_ctes(False)) + "SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, CAST(count(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS n_missing FROM feat"
+    for c in _CREATED) + ") WHERE n_missing > 0")
+def q_missing_report(spark, sf_dir):
+    df, _, _ = encoded(spark, sf_dir)
+    out, created = features.add_features(df)
+    return features.missing_report(out, created)
+
+
+# ------------------------------------------------------------------ statistics
+
+
+def _pairs(spark, sf_dir):
+    df, feats, created, _, _, _ = feature_table(spark, sf_dir)
+    return df, feats, created, stats.correlation_pairs(df, feats)
+
+
+@register("correlation_pairs", oracle.with_(*oracle.feature_ctes(), oracle.pairs_cte()) + (
+    "SELECT col_i, col_j, round(r, 6) AS r FROM pairs"))
+def q_correlation_pairs(spark, sf_dir):
+    return round_doubles(_pairs(spark, sf_dir)[3])
+
+
+@register("correlation_prune", oracle.with_(*oracle.feature_ctes(), oracle.pairs_cte()) + (
+    "SELECT DISTINCT col_j AS columna FROM pairs WHERE r > 0.95::DOUBLE"))
+def q_correlation_prune(spark, sf_dir):
+    pairs = _pairs(spark, sf_dir)[3]
+    return pairs.where(F.col("r") > F.lit(0.95)).select(F.col("col_j").alias("columna")).distinct()
+
+
+def _target_sql(top_only: bool = True) -> str:
+    aggs = ", ".join(f"corr(CAST({c} AS DOUBLE), CAST(CD AS DOUBLE)) AS t{k}" for k, c in enumerate(_FEATS))
+    names = ", ".join(f"'{c}'" for c in _FEATS)
+    vals = ", ".join(f"t{k}" for k in range(len(_FEATS)))
+    tc = f"SELECT unnest([{names}]) AS Feature, unnest([{vals}]) AS rr FROM (SELECT {aggs} FROM featf)"
+    created = ", ".join(f"'{c}'" for c in _CREATED)
+    return oracle.with_(*oracle.feature_ctes(), oracle.pairs_cte(), f"""tc AS ({tc}),
+topn AS (
+  SELECT Feature, CASE WHEN rr IS NULL OR isnan(rr) THEN NULL ELSE abs(rr) END AS ra
+  FROM tc WHERE Feature NOT IN (SELECT col_j FROM pairs WHERE r > 0.95::DOUBLE)
+  ORDER BY ra DESC NULLS LAST, Feature LIMIT 20
+)""") + (
+        f"SELECT Feature, round(ra, 6) AS Correlacion_Abs, Feature IN ({created}) AS Es_Creada FROM topn"
+        if top_only
+        else "SELECT CAST(count(*) FILTER (WHERE Feature IN (" + created + ")) AS BIGINT) AS creadas, "
+        "CAST(count(*) FILTER (WHERE Feature IN (" + created + ")) AS DOUBLE) / 20.0::DOUBLE * 100.0::DOUBLE AS pct_creadas "
+        "FROM topn"
+    )
+
+
+def _topn(spark, sf_dir):
+    df, feats, created, pairs = _pairs(spark, sf_dir)
+    drop = stats.correlation_drop_list(pairs, feats)
+    kept = [c for c in feats if c not in drop]
+    return stats.target_correlation_topn(df, kept, created)
+
+
+@register("target_correlation_topn", _target_sql(True))
+def q_target_topn(spark, sf_dir):
+    return round_doubles(_topn(spark, sf_dir))
+
+
+@register("created_share", _target_sql(False))
+def q_created_share(spark, sf_dir):
+    return stats.created_share(_topn(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ splits and class statistics
+
+
+def _split(spark, sf_dir, stratify=True):
+    return sampling.stratified_split(attempts(spark, sf_dir).select("CODIGO", "CD"), "CODIGO", "CD", 0.2,
+                                     oracle.SPLIT_SEED, stratify=stratify)
+
+
+@register("stratified_split", oracle.with_(oracle.attempts_sql(), *oracle.split_ctes()) + "SELECT * FROM split")
+def q_stratified_split(spark, sf_dir):
+    return _split(spark, sf_dir)
+
+
+@register("random_split", oracle.with_(oracle.attempts_sql(), *oracle.split_ctes(False)) + "SELECT * FROM split")
+def q_random_split(spark, sf_dir):
+    return _split(spark, sf_dir, stratify=False)
+
+
+def _train(spark, sf_dir):
+    return _split(spark, sf_dir).where(F.col("split") == "train").drop("split")
+
+
+@register("undersample", oracle.with_(oracle.attempts_sql(), *oracle.split_ctes(), oracle.undersample_cte()) + "SELECT * FROM us")
+def q_undersample(spark, sf_dir):
+    return sampling.random_undersample(_train(spark, sf_dir), "CODIGO", "CD", 0.5, oracle.SPLIT_SEED)
+
+
+@register("class_counts", oracle.with_(oracle.attempts_sql(), *oracle.split_ctes(), oracle.undersample_cte()) + """
+SELECT split AS dataset, CD, count(*) AS n FROM split GROUP BY split, CD
+UNION ALL SELECT 'Undersampling', CD, count(*) FROM us GROUP BY CD""")
+def q_class_counts(spark, sf_dir):
+    sp = _split(spark, sf_dir)
+    train = sp.where(F.col("split") == "train").drop("split")
+    return stats.class_counts(
+        {
+            "train": train,
+            "test": sp.where(F.col("split") == "test"),
+            "Undersampling": sampling.random_undersample(train, "CODIGO", "CD", 0.5, oracle.SPLIT_SEED),
+        },
+        "CD",
+    )
+
+
+@register("scale_pos_weight", oracle.with_(oracle.attempts_sql(), *oracle.split_ctes()) + (
+    "SELECT CAST(count(*) FILTER (WHERE CD = 0) AS DOUBLE) / NULLIF(CAST(count(*) FILTER (WHERE CD = 1) AS DOUBLE), 0)"
+    " AS scale_pos_weight FROM split WHERE split = 'train'"))
+def q_scale_pos_weight(spark, sf_dir):
+    return stats.scale_pos_weight(_train(spark, sf_dir))
+
+
+@register("balanced_weights", oracle.with_(oracle.attempts_sql(), *oracle.split_ctes()) + """
+SELECT t.CODIGO, t.CD, round(CAST(n.n AS DOUBLE) / (CAST(n.k AS DOUBLE) * CAST(c.nc AS DOUBLE)), 6) AS weight
+FROM (SELECT * FROM split WHERE split = 'train') t
+JOIN (SELECT CD, count(*) AS nc FROM split WHERE split = 'train' GROUP BY CD) c ON t.CD = c.CD,
+     (SELECT count(*) AS n, count(DISTINCT CD) AS k FROM split WHERE split = 'train') n""")
+def q_balanced_weights(spark, sf_dir):
+    return round_doubles(stats.balanced_weights(_train(spark, sf_dir), "CD").select("CODIGO", "CD", "weight"))
+
+
+@register("stratified_folds", oracle.with_(oracle.attempts_sql(), *oracle.split_ctes()) + f"""
+SELECT CODIGO, CD, CAST((row_number() OVER (PARTITION BY CD ORDER BY {oracle.uniform_sql('CODIGO', oracle.SPLIT_SEED, 'fold')}, CODIGO) - 1) % 2 AS INTEGER) AS fold
+FROM split WHERE split = 'train'""")
+def q_stratified_folds(spark, sf_dir):
+    return sampling.stratified_folds(_train(spark, sf_dir), "CODIGO", "CD", 2, oracle.SPLIT_SEED)
+
+
+_SCALE_COLS = ["Edad", "capitalactualsol", "dias_mora_cartera", "meses_empresa",
+               "AVG_GestTotales_CallOut_3UM", "AVG_GestTotales_CallOut_12UM", "capital_dup", "const_col"]
+
+
+def _standardize_sql() -> str:
+    stats_sel = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in _SCALE_COLS)
+    scaled = ", ".join(
+        f"round((f.{c} - st.m_{c}) / (CASE WHEN st.s_{c} IS NULL OR st.s_{c} = 0 THEN 1.0::DOUBLE ELSE st.s_{c} END), 6) AS {c}"
+        for c in _SCALE_COLS
+    )
+    return oracle.with_(oracle.attempts_sql(), oracle.FILLED, *oracle.split_ctes("filled" == "x", 0.2, "filled")[:0],
+                        *oracle.split_ctes(True, 0.2, "filled")) + f"""
+SELECT f.CODIGO, s.split, {scaled}
+FROM filled f JOIN split s ON f.CODIGO = s.CODIGO,
+     (SELECT {stats_sel} FROM filled f2 JOIN split s2 ON f2.CODIGO = s2.CODIGO WHERE s2.split = 'train') st"""
+
+
+@register("standardize", _standardize_sql())
+def q_standardize(spark, sf_dir):
+    df = ranking_input(spark, sf_dir).select("CODIGO", "CD", *_SCALE_COLS)
+    sp = sampling.stratified_split(df, "CODIGO", "CD", 0.2, oracle.SPLIT_SEED)
+    params = stats.fit_standard_scaler(sp.where(F.col("split") == "train"), _SCALE_COLS)
+    return round_doubles(stats.apply_standard_scaler(sp, params).select("CODIGO", "split", *_SCALE_COLS))

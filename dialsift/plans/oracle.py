@@ -214,3 +214,121 @@ def curve_frames_sql(scores_ctes: list[str], fps: int = 20, seconds: int = 20, b
   CASE {band} ELSE 0.0{D} END AS banda_desde,
   CAST(CASE {idx} ELSE 0 END AS INTEGER) AS banda
 FROM fr"""
+
+
+# ------------------------------------------------------------------ prepared features (B, C, D)
+
+# Category lists of the attempts view (its definition fixes them).
+KNOWN_CATEGORIES = {
+    "GEnero": ["Desconocido", "F", "M"],
+    "Estado_civil": ["Casado", "Desconocido", "Soltero", "Viudo"],
+    "FLAG_DEPENDIENTE": ["0", "1"],
+    "producto_cat": ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"],
+    "GRUPO_CANAL": ["F", "O", "P"],
+}
+
+
+def encoded_columns() -> tuple[list[str], list[str]]:
+    """(plain columns after B1 and one-hot, dummy names) in frame order."""
+    from ..config import CATEGORICAL, DROP_COLUMNS
+    from ..sources.attempts import ATTEMPT_COLUMNS
+
+    plain = [c for c in ATTEMPT_COLUMNS if (c not in DROP_COLUMNS or c == "CODIGO") and c not in CATEGORICAL]
+    dummies = [f"{c}_{v}" for c in CATEGORICAL for v in KNOWN_CATEGORIES[c][1:]]
+    return plain, dummies
+
+
+def feature_columns() -> tuple[list[str], list[str]]:
+    """(all feature columns in frame order, created ones)."""
+    from ..operators.features import feature_specs
+
+    plain, dummies = encoded_columns()
+    specs = feature_specs(plain)
+    created = [s.name for s in specs]
+    feats = [c for c in plain if c not in ("CODIGO", "CD")] + dummies + created
+    return feats, created
+
+
+def feature_ctes(fill_created: bool = True) -> list[str]:
+    from ..operators.features import feature_specs, to_sql
+
+    plain, dummies = encoded_columns()
+    dsql = []
+    for c, vals in KNOWN_CATEGORIES.items():
+        for v in vals[1:]:
+            dsql.append(f"coalesce({c} = '{v}', false) AS {c}_{v}")
+    enc = f"""enc AS (
+  SELECT {', '.join(plain)}, {', '.join(dsql)} FROM filled
+)"""
+    specs = feature_specs(plain)
+    feat = "feat AS (\n  SELECT *, " + ",\n    ".join(f"{to_sql(s)} AS {s.name}" for s in specs) + "\n  FROM enc\n)"
+    ctes = [attempts_sql(), FILLED, enc, feat]
+    if fill_created:
+        rep = ", ".join(f"coalesce({s.name}, (SELECT median({s.name}) FROM feat)) AS {s.name}" for s in specs)
+        ctes.append(f"featf AS MATERIALIZED (\n  SELECT * REPLACE ({rep}) FROM feat\n)")
+    return ctes
+
+
+def round_sql(cols: list[str], digits: int = 6) -> str:
+    return ", ".join(f"round(CAST({c} AS DOUBLE), {digits}) AS {c}" for c in cols)
+
+
+def pairs_cte(src: str = "featf", cols: list[str] | None = None) -> str:
+    cols = cols or feature_columns()[0]
+    aggs, mapping = [], []
+    k = 0
+    for i in range(len(cols)):
+        for j in range(i + 1, len(cols)):
+            aggs.append(f"corr(CAST({cols[i]} AS DOUBLE), CAST({cols[j]} AS DOUBLE)) AS p{k}")
+            mapping.append(f"('p{k}', '{cols[i]}', '{cols[j]}', {i}, {j})")
+            k += 1
+    names = ", ".join(f"'p{i}'" for i in range(k))
+    return f"""pw AS (SELECT {', '.join(aggs)} FROM {src}),
+pl AS (SELECT unnest([{names}]) AS pname, unnest([{', '.join(f'p{i}' for i in range(k))}]) AS rv FROM pw),
+pm AS (SELECT * FROM (VALUES {', '.join(mapping)}) t(pname, col_i, col_j, pos_i, pos_j)),
+pairs AS (
+  SELECT pm.col_i, pm.col_j, pm.pos_i, pm.pos_j,
+    CASE WHEN rv IS NULL OR isnan(rv) THEN NULL ELSE least(abs(rv), 1.0::DOUBLE) END AS r
+  FROM pl JOIN pm ON pl.pname = pm.pname
+)"""
+
+
+# ------------------------------------------------------------------ splits and class statistics
+
+SPLIT_SEED = 42
+
+
+def split_ctes(stratify: bool = True, test_size: float = 0.2, src: str = "attempts") -> list[str]:
+    u = uniform_sql("CODIGO", SPLIT_SEED, "split")
+    if not stratify:
+        return [f"""split AS (
+  SELECT CODIGO, CD, CASE WHEN row_number() OVER (ORDER BY {u}, CODIGO)
+      <= CAST(ceil({test_size!r}{D} * CAST(count(*) OVER () AS DOUBLE)) AS BIGINT) THEN 'test' ELSE 'train' END AS split
+  FROM {src}
+)"""]
+    return [f"""cc AS (SELECT CD, count(*) AS nc FROM {src} GROUP BY CD),
+tt AS (SELECT sum(nc) AS n, CAST(ceil({test_size!r}{D} * CAST(sum(nc) AS DOUBLE)) AS BIGINT) AS n_test FROM cc),
+al1 AS (SELECT cc.CD, cc.nc, tt.n, tt.n_test,
+          floor(CAST(cc.nc * (tt.n - tt.n_test) AS DOUBLE) / CAST(tt.n AS DOUBLE)) AS fl,
+          CAST(cc.nc * (tt.n - tt.n_test) AS DOUBLE) / CAST(tt.n AS DOUBLE)
+            - floor(CAST(cc.nc * (tt.n - tt.n_test) AS DOUBLE) / CAST(tt.n AS DOUBLE)) AS rem
+        FROM cc, tt),
+al2 AS (SELECT *, row_number() OVER (ORDER BY rem DESC, CD) AS rk, (n - n_test) - sum(fl) OVER () AS lft FROM al1),
+quota AS (SELECT CD, nc - (CAST(fl AS BIGINT) + CASE WHEN rk <= lft THEN 1 ELSE 0 END) AS test_q FROM al2),
+split AS (
+  SELECT r.CODIGO, r.CD, CASE WHEN r.rn <= q.test_q THEN 'test' ELSE 'train' END AS split
+  FROM (SELECT CODIGO, CD, row_number() OVER (PARTITION BY CD ORDER BY {u}, CODIGO) AS rn FROM {src}) r
+  JOIN quota q ON r.CD = q.CD
+)"""]
+
+
+def undersample_cte(ratio: float = 0.5, seed: int = SPLIT_SEED) -> str:
+    u = uniform_sql("CODIGO", seed, "undersample")
+    return f"""trn AS (SELECT CODIGO, CD FROM split WHERE split = 'train'),
+us AS (
+  SELECT CODIGO, CD FROM trn WHERE CD = 1
+  UNION ALL
+  SELECT CODIGO, CD FROM (
+    SELECT CODIGO, CD, row_number() OVER (ORDER BY {u}, CODIGO) AS rn FROM trn WHERE CD = 0) m
+  WHERE rn <= CAST(trunc(CAST((SELECT count(*) FROM trn WHERE CD = 1) AS DOUBLE) / {ratio!r}{D}) AS BIGINT)
+)"""
