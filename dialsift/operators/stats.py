@@ -21,6 +21,8 @@ from .ordered import running_totals
 
 # ---------------------------------------------------------------- exact median
 
+HIST_LIMIT = 100_000  # (column, value) pairs fetched to the driver on the fast path
+
 
 def exact_medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
     """Exact median (midpoint of the two middle values) of each column, NULLs
@@ -40,6 +42,30 @@ def exact_medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]
     )
     long = df.select(pairs.alias("kv")).select("kv.c", "kv.v").where(F.col("v").isNotNull())
     hist = long.groupBy("c", "v").agg(F.count(F.lit(1)).alias("cnt"))
+    out: dict[str, float | None] = {c: None for c in cols}
+
+    # Few distinct values (codes, ages, days): the histogram itself is small;
+    # fetch at most HIST_LIMIT + 1 rows and finish on the driver.
+    few = hist.limit(HIST_LIMIT + 1).collect()
+    if len(few) <= HIST_LIMIT:
+        by_col: dict[str, list[tuple[float, int]]] = {}
+        for r in few:
+            by_col.setdefault(r["c"], []).append((r["v"], r["cnt"]))
+        for c, vc in by_col.items():
+            vc.sort()
+            n = sum(k for _, k in vc)
+            lo_r, hi_r = (n + 1) // 2, (n + 2) // 2
+            acc, lo_v, hi_v = 0, None, None
+            for v, k in vc:
+                if lo_v is None and acc + k >= lo_r:
+                    lo_v = v
+                if acc + k >= hi_r:
+                    hi_v = v
+                    break
+                acc += k
+            out[c] = lo_v + 0.5 * (hi_v - lo_v)
+        return out
+
     cum = running_totals(
         hist, order_by=[F.col("v").asc()], partition_by=["c"], sums={"cum": F.col("cnt")}, totals_prefix="_t_"
     )
@@ -52,7 +78,6 @@ def exact_medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]
     picked = cum.where(hit_lo | hit_hi).groupBy("c").agg(
         F.max(F.when(hit_lo, F.col("v"))).alias("lo"), F.max(F.when(hit_hi, F.col("v"))).alias("hi")
     )
-    out: dict[str, float | None] = {c: None for c in cols}
     for r in picked.collect():  # at most one row per column
         lo_v, hi_v = r["lo"], r["hi"]
         out[r["c"]] = lo_v + 0.5 * (hi_v - lo_v)  # interpolation form of SQL median
@@ -158,26 +183,14 @@ def correlation_drop_list(pairs: DataFrame, cols: Sequence[str], threshold: floa
 
 
 def target_correlations(df: DataFrame, cols: Sequence[str], target: str = "CD") -> DataFrame:
-    """|r| of each column with the target (D3 input): one aggregate of
-    guarded moments, unpivoted to (Feature, Correlacion_Abs)."""
+    """|r| of each column with the target (D3 input), pairwise-complete, as
+    (Feature, Correlacion_Abs): the same one-pass moment matrices as
+    :func:`correlation_pairs` with the target appended as the last column."""
     cols = [c for c in cols if c != target]
-    y = F.col(target).cast("double")
-    aggs = []
-    for k, c in enumerate(cols):
-        x = finite_or_null(F.col(c).cast("double"))
-        both = x.isNotNull() & y.isNotNull()
-        xx = F.when(both, x)
-        yy = F.when(both, y)
-        aggs += [
-            F.covar_pop(xx, yy).alias(f"cv{k}"),
-            F.var_pop(xx).alias(f"vx{k}"),
-            F.var_pop(yy).alias(f"vy{k}"),
-        ]
-    wide = df.agg(*aggs)
-    stack = ", ".join(f"'{c}', cv{k}, vx{k}, vy{k}" for k, c in enumerate(cols))
-    long = wide.selectExpr(f"stack({len(cols)}, {stack}) AS (Feature, cv, vx, vy)")
-    r = F.when((F.col("vx") > 0) & (F.col("vy") > 0), F.abs(F.col("cv") / F.sqrt(F.col("vx") * F.col("vy"))))
-    return long.select("Feature", r.alias("Correlacion_Abs"))
+    pairs = correlation_pairs(df, [*cols, target])
+    return pairs.where(F.col("col_j") == F.lit(target)).select(
+        F.col("col_i").alias("Feature"), F.col("r").alias("Correlacion_Abs")
+    )
 
 
 def target_correlation_topn(df: DataFrame, cols: Sequence[str], created: Sequence[str], target: str = "CD",

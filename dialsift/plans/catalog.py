@@ -369,3 +369,147 @@ def q_standardize(spark, sf_dir):
     sp = sampling.stratified_split(df, "CODIGO", "CD", 0.2, oracle.SPLIT_SEED)
     params = stats.fit_standard_scaler(sp.where(F.col("split") == "train"), _SCALE_COLS)
     return round_doubles(stats.apply_standard_scaler(sp, params).select("CODIGO", "split", *_SCALE_COLS))
+
+
+# ------------------------------------------------------------------ metrics and selection (G, H)
+
+from ..operators import metrics, selection  # noqa: E402
+
+# Fixed parameters of the rule runs: each strategy predicts "contact" above these cut-offs.
+RULE_CUTS = {
+    BUSINESS_STRATEGY: (0.3, 0.4, 0.5, 0.6),
+    RANDOM_STRATEGY: (0.5, 0.7, 0.8, 0.9),
+    oracle.RECENCY_STRATEGY: (-90.0, -180.0, -365.0, -730.0),
+}
+_STRATS = list(RULE_CUTS)
+
+
+def _cut_rows():
+    return [(s, si * 10 + i, f"{s}@{i}", float(t)) for si, s in enumerate(_STRATS, 1) for i, t in enumerate(RULE_CUTS[s], 1)]
+
+
+def rule_runs(spark, sf_dir):
+    """Scores × cut-offs: (estrategia, run_id, run, key, score, y, pred)."""
+    cuts = spark.createDataFrame(_cut_rows(), "estrategia string, run_id bigint, run string, corte double")
+    sc = attempt_scores(spark, sf_dir)
+    return sc.join(F.broadcast(cuts), "estrategia").withColumn(
+        "pred", (F.col("score") >= F.col("corte")).cast("int")
+    )
+
+
+def _rules_sql() -> str:
+    vals = ", ".join(f"('{s}', {rid}, '{run}', {t!r}::DOUBLE)" for s, rid, run, t in _cut_rows())
+    return f"""cuts AS (SELECT * FROM (VALUES {vals}) t(estrategia, run_id, run, corte)),
+rr AS (SELECT s.estrategia, c.run_id, c.run, s.key, s.score, s.y, CAST(s.score >= c.corte AS INTEGER) AS pred
+       FROM scores s JOIN cuts c ON s.estrategia = c.estrategia),
+cm AS (
+  SELECT estrategia, run_id, run,
+    coalesce(CAST(count(*) FILTER (WHERE y = 1 AND pred = 1) AS DOUBLE)
+      / NULLIF(CAST(count(*) FILTER (WHERE pred = 1) AS DOUBLE), 0), 0.0::DOUBLE) AS precision,
+    coalesce(CAST(count(*) FILTER (WHERE y = 1 AND pred = 1) AS DOUBLE)
+      / NULLIF(CAST(count(*) FILTER (WHERE y = 1) AS DOUBLE), 0), 0.0::DOUBLE) AS recall,
+    coalesce(CAST(2 * count(*) FILTER (WHERE y = 1 AND pred = 1) AS DOUBLE)
+      / NULLIF(CAST(2 * count(*) FILTER (WHERE y = 1 AND pred = 1) + count(*) FILTER (WHERE y = 0 AND pred = 1)
+                    + count(*) FILTER (WHERE y = 1 AND pred = 0) AS DOUBLE), 0), 0.0::DOUBLE) AS f1
+  FROM rr GROUP BY estrategia, run_id, run
+),
+sg AS (SELECT estrategia, score, sum(y) AS pos, count(*) - sum(y) AS neg FROM scores GROUP BY estrategia, score),
+auc AS (
+  SELECT estrategia, CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN
+    sum(CAST(pos AS DOUBLE) * CAST(cneg - neg AS DOUBLE) + 0.5::DOUBLE * CAST(pos AS DOUBLE) * CAST(neg AS DOUBLE))
+      / (CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE)) END AS roc_auc
+  FROM (SELECT *, sum(neg) OVER (PARTITION BY estrategia ORDER BY score ASC ROWS UNBOUNDED PRECEDING) AS cneg FROM sg)
+  GROUP BY estrategia
+),
+ap AS (
+  SELECT estrategia, sum(CAST(pos AS DOUBLE) * (CAST(cpos AS DOUBLE) / CAST(call AS DOUBLE)))
+      / NULLIF(CAST(sum(pos) AS DOUBLE), 0) AS pr_auc
+  FROM (SELECT *, sum(pos) OVER w AS cpos, sum(pos + neg) OVER w AS call FROM sg
+        WINDOW w AS (PARTITION BY estrategia ORDER BY score DESC ROWS UNBOUNDED PRECEDING))
+  GROUP BY estrategia
+),
+lb AS (
+  SELECT 'attempts' AS experiment, cm.run_id, cm.run AS nombre, cm.estrategia AS modelo_base, 'Regla' AS categoria,
+    'Original' AS tipo_dataset, cm.precision, cm.recall, cm.f1, auc.roc_auc, ap.pr_auc, 'ok' AS status
+  FROM cm JOIN auc ON cm.estrategia = auc.estrategia JOIN ap ON cm.estrategia = ap.estrategia
+)"""
+
+
+_RULES = oracle.with_(*ATT, _rules_sql())
+_LB_COLS = ["experiment", "run_id", "nombre", "modelo_base", "categoria", "tipo_dataset",
+            "precision", "recall", "f1", "roc_auc", "pr_auc", "status"]
+
+
+def rule_leaderboard(spark, sf_dir):
+    runs = rule_runs(spark, sf_dir)
+    cm = metrics.classification_metrics(runs, ["estrategia", "run_id", "run"])
+    sc = attempt_scores(spark, sf_dir)
+    auc = metrics.roc_auc(sc, ["estrategia"])
+    ap = metrics.average_precision(sc, ["estrategia"])
+    lb = cm.join(auc, "estrategia").join(ap, "estrategia")
+    return lb.select(
+        F.lit("attempts").alias("experiment"), "run_id", F.col("run").alias("nombre"),
+        F.col("estrategia").alias("modelo_base"), F.lit("Regla").alias("categoria"),
+        F.lit("Original").alias("tipo_dataset"), "precision", "recall", "f1", "roc_auc", "pr_auc",
+        F.lit("ok").alias("status"),
+    )
+
+
+@register("classification_metrics", _RULES + "SELECT run, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM cm")
+def q_classification_metrics(spark, sf_dir):
+    return round_doubles(metrics.classification_metrics(rule_runs(spark, sf_dir), ["run"]))
+
+
+@register("roc_auc", _RULES + "SELECT estrategia, round(roc_auc, 6) AS roc_auc FROM auc")
+def q_roc_auc(spark, sf_dir):
+    return round_doubles(metrics.roc_auc(attempt_scores(spark, sf_dir), ["estrategia"]))
+
+
+@register("average_precision", _RULES + "SELECT estrategia, round(pr_auc, 6) AS pr_auc FROM ap")
+def q_average_precision(spark, sf_dir):
+    return round_doubles(metrics.average_precision(attempt_scores(spark, sf_dir), ["estrategia"]))
+
+
+@register("recall_min_precision", _RULES + """SELECT run, round(CASE WHEN precision >= 0.15::DOUBLE THEN recall
+  ELSE recall - (0.15::DOUBLE - precision) * 2.0::DOUBLE END, 6) AS recall_min_precision FROM cm""")
+def q_recall_min_precision(spark, sf_dir):
+    m = metrics.classification_metrics(rule_runs(spark, sf_dir), ["run"])
+    return round_doubles(metrics.recall_with_min_precision(m, 0.15).select("run", "recall_min_precision"))
+
+
+@register("zoo_leaderboard_rules", _RULES + "SELECT * REPLACE (round(precision, 6) AS precision, round(recall, 6) AS recall, "
+          "round(f1, 6) AS f1, round(roc_auc, 6) AS roc_auc, round(pr_auc, 6) AS pr_auc) FROM lb")
+def q_rule_leaderboard(spark, sf_dir):
+    return round_doubles(rule_leaderboard(spark, sf_dir))
+
+
+_PICKS_SQL = _RULES + """,
+p1 AS (SELECT 'Balanceado' AS tipo, * FROM lb QUALIFY row_number() OVER (PARTITION BY experiment ORDER BY f1 DESC NULLS LAST, run_id) = 1),
+r1 AS (SELECT * FROM lb WHERE (experiment, run_id) NOT IN (SELECT (experiment, run_id) FROM p1)),
+p2 AS (SELECT 'Alto_Recall' AS tipo, * FROM r1 QUALIFY row_number() OVER (PARTITION BY experiment ORDER BY
+         CASE WHEN precision >= 0.1::DOUBLE THEN 1 ELSE 0 END DESC, recall DESC NULLS LAST, run_id) = 1),
+r2 AS (SELECT * FROM r1 WHERE (experiment, run_id) NOT IN (SELECT (experiment, run_id) FROM p2)),
+p3 AS (SELECT 'Conservador' AS tipo, * FROM r2 QUALIFY row_number() OVER (PARTITION BY experiment ORDER BY
+         CASE WHEN recall >= 0.5::DOUBLE THEN 1 ELSE 0 END DESC, roc_auc DESC NULLS LAST, run_id) = 1),
+picks AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3)
+"""
+_PICKS_SQL = _PICKS_SQL.replace(oracle.with_(*ATT, _rules_sql()), oracle.with_(*ATT, _rules_sql()).rstrip("\n"))
+
+
+@register("select_best", _PICKS_SQL + "SELECT * REPLACE (round(precision, 6) AS precision, round(recall, 6) AS recall, "
+          "round(f1, 6) AS f1, round(roc_auc, 6) AS roc_auc, round(pr_auc, 6) AS pr_auc) FROM picks")
+def q_select_best(spark, sf_dir):
+    return round_doubles(selection.select_best(rule_leaderboard(spark, sf_dir)))
+
+
+@register("selection_diversity", _PICKS_SQL + "SELECT experiment, CAST(count(DISTINCT nombre) AS BIGINT) AS n_distintos, "
+          "count(DISTINCT nombre) = 3 AS diversos FROM picks GROUP BY experiment")
+def q_selection_diversity(spark, sf_dir):
+    return selection.selection_diversity(selection.select_best(rule_leaderboard(spark, sf_dir)))
+
+
+@register("best_summary", _PICKS_SQL + """SELECT experiment, tipo AS Tipo, nombre AS Nombre, tipo_dataset AS Dataset,
+  round(precision, 6) AS Precision, round(recall, 6) AS Recall, round(f1, 6) AS "F1-Score", round(roc_auc, 6) AS "ROC-AUC"
+FROM picks""")
+def q_best_summary(spark, sf_dir):
+    return round_doubles(selection.best_summary(selection.select_best(rule_leaderboard(spark, sf_dir))))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import RunConfig
 from ..operators import clean, features, sampling, stats
+from ..session import ensure_checkpoint_dir
 from ..sources.attempts import attempts
 
 
@@ -36,13 +37,16 @@ class Prepared:
 
 def encoded(spark: SparkSession, sf_dir: str, key: str = "CODIGO") -> tuple[DataFrame, dict, dict]:
     """B1-B4 on attempts; the key column is kept (the reference drops it)."""
+    ensure_checkpoint_dir(spark)
     df = attempts(spark, sf_dir)
     df = clean.drop_columns(df, keep=[key])
     df = clean.fill_category(df)
     medians = clean.fit_medians(df)
     df = clean.apply_fill(df, medians)
     cats = clean.fit_categories(df)
-    df = clean.apply_one_hot(df, cats)
+    # several fits (feature medians, correlations, scaler) read this table:
+    # materialise it once in the checkpoint folder instead of recomputing the joins
+    df = clean.apply_one_hot(df, cats).checkpoint(eager=True)
     return df, cats, medians
 
 
