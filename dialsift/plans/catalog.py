@@ -513,3 +513,138 @@ def q_selection_diversity(spark, sf_dir):
 FROM picks""")
 def q_best_summary(spark, sf_dir):
     return round_doubles(selection.best_summary(selection.select_best(rule_leaderboard(spark, sf_dir))))
+
+
+# ------------------------------------------------------------------ neighbours and resampling
+
+from ..operators import knn as knn_op  # noqa: E402
+from ..operators import resample  # noqa: E402
+
+RESAMPLE_SEED = 42
+U = oracle.uniform_sql
+
+
+def embedding_rows(spark, sf_dir):
+    """(key, y, vec): minority class = label 0 (about 10 %)."""
+    e = read_table(spark, sf_dir, "embeddings")
+    return e.select(
+        F.col("vec_id").alias("key"), (F.col("label") == 0).cast("int").alias("y"),
+        F.col("embedding").cast("array<double>").alias("vec"),
+    )
+
+
+def _nn_sql(name: str, q: str, r: str, k: int, extra: str = "") -> str:
+    return f"""{name} AS (SELECT * FROM (
+  SELECT q.key, r.key AS neighbour{extra}, list_distance(q.vec, r.vec) AS distance,
+    row_number() OVER (PARTITION BY q.key ORDER BY list_distance(q.vec, r.vec), r.key) AS rank
+  FROM {q} q JOIN {r} r ON q.key <> r.key) WHERE rank <= {k})"""
+
+
+_E = """e AS (SELECT vec_id AS key, CAST(label = 0 AS INTEGER) AS y, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings),
+cnt AS (SELECT count(*) FILTER (WHERE y = 0) AS nmaj, count(*) FILTER (WHERE y = 1) AS nmin FROM e),
+mn AS (SELECT key, vec, row_number() OVER (ORDER BY key) - 1 AS idx FROM e WHERE y = 1)"""
+
+_SMOTE_CTES = [
+    _E,
+    _nn_sql("nnmin", "mn", "mn", 5),
+    f"""dr AS (SELECT unnest(range(nmaj - nmin)) AS synth_id, nmin FROM cnt),
+d2 AS (SELECT synth_id, CAST(floor({U('synth_id', RESAMPLE_SEED, 'smote_base')} * CAST(nmin AS DOUBLE)) AS BIGINT) AS idx,
+         CAST(1 + floor({U('synth_id', RESAMPLE_SEED, 'smote_nn')} * CAST(least(5, nmin - 1) AS DOUBLE)) AS INTEGER) AS rank,
+         {U('synth_id', RESAMPLE_SEED, 'smote_gap')} AS gap FROM dr),
+sm AS (SELECT d2.synth_id, b.key AS base_key, n.neighbour AS neighbour_key, d2.gap, b.vec AS bv, nb.vec AS nv,
+         list_transform(b.vec, lambda x, i: x + d2.gap * (nb.vec[i] - x)) AS vec
+       FROM d2 JOIN mn b ON b.idx = d2.idx JOIN nnmin n ON n.key = b.key AND n.rank = d2.rank
+       JOIN mn nb ON nb.key = n.neighbour)""",
+]
+
+_SYNTH_SUMMARY_SQL = (
+    "round(gap, 6) AS gap, round(vec[1], 6) AS coord_0, round(list_sum(vec), 6) AS coord_sum"
+)
+
+
+def _synth_summary(df):
+    return df.select(
+        *[c for c in df.columns if c not in ("vec", "gap")],
+        F.round("gap", 6).alias("gap"),
+        F.round(F.element_at("vec", 1), 6).alias("coord_0"),
+        F.round(F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x), 6).alias("coord_sum"),
+    )
+
+
+@register("knn_exact", oracle.with_(_E, _nn_sql("nn", "e", "e", 5)) + (
+    "SELECT key, neighbour, CAST(rank AS INTEGER) AS rank, round(distance, 6) AS distance FROM nn"))
+def q_knn_exact(spark, sf_dir):
+    e = embedding_rows(spark, sf_dir)
+    return round_doubles(knn_op.knn(e, e, 5))
+
+
+@register("smote", oracle.with_(*_SMOTE_CTES) + f"SELECT synth_id, base_key, neighbour_key, {_SYNTH_SUMMARY_SQL} FROM sm")
+def q_smote(spark, sf_dir):
+    return _synth_summary(resample.smote_samples(embedding_rows(spark, sf_dir), 5, RESAMPLE_SEED))
+
+
+@register("tomek_links", oracle.with_(_E, _nn_sql("nn1", "e", "e", 1)) + """
+SELECT a.key AS key_a, a.neighbour AS key_b FROM nn1 a
+JOIN nn1 b ON a.key = b.neighbour AND a.neighbour = b.key
+JOIN e ea ON ea.key = a.key JOIN e eb ON eb.key = a.neighbour
+WHERE a.key < a.neighbour AND ea.y <> eb.y""")
+def q_tomek_links(spark, sf_dir):
+    return resample.tomek_links(embedding_rows(spark, sf_dir))
+
+
+_ADASYN_CTES = [
+    _E,
+    _nn_sql("nnall", "mn", "e", 5, ", r.y AS ny"),
+    _nn_sql("nnmin", "mn", "mn", 5),
+    f"""hard AS (SELECT key, sum(CAST(1 - ny AS DOUBLE)) / 5.0::DOUBLE AS r FROM nnall GROUP BY key),
+gg AS (SELECT key, CAST(round_even(r / (SELECT sum(r) FROM hard) * CAST((SELECT nmaj - nmin FROM cnt) AS DOUBLE), 0) AS INTEGER) AS g
+       FROM hard),
+ds AS (SELECT key AS base_key, unnest(range(1, g + 1)) AS s FROM gg WHERE g > 0),
+ad2 AS (SELECT base_key, s,
+         CAST(1 + floor({U("CAST(base_key AS VARCHAR) || '-' || CAST(s AS VARCHAR)", RESAMPLE_SEED, 'adasyn_nn')}
+                        * CAST(least(5, nmin - 1) AS DOUBLE)) AS INTEGER) AS rank,
+         {U("CAST(base_key AS VARCHAR) || '-' || CAST(s AS VARCHAR)", RESAMPLE_SEED, 'adasyn_gap')} AS gap
+       FROM ds, cnt),
+ad AS (SELECT ad2.base_key, ad2.s, n.neighbour AS neighbour_key, ad2.gap,
+         list_transform(b.vec, lambda x, i: x + ad2.gap * (nb.vec[i] - x)) AS vec
+       FROM ad2 JOIN nnmin n ON n.key = ad2.base_key AND n.rank = ad2.rank
+       JOIN mn b ON b.key = ad2.base_key JOIN mn nb ON nb.key = n.neighbour)""",
+]
+
+
+@register("adasyn", oracle.with_(*_ADASYN_CTES) + f"SELECT base_key, CAST(s AS INTEGER) AS s, neighbour_key, {_SYNTH_SUMMARY_SQL} FROM ad")
+def q_adasyn(spark, sf_dir):
+    return _synth_summary(resample.adasyn_samples(embedding_rows(spark, sf_dir), 5, RESAMPLE_SEED))
+
+
+_SMOTE_TOMEK_CTES = [
+    *_SMOTE_CTES,
+    f"""aug AS (SELECT key, y, vec FROM e UNION ALL SELECT synth_id + {resample.SYNTH_KEY_BASE}, 1, vec FROM sm)""",
+    _nn_sql("nna", "aug", "aug", 1),
+    """links AS (SELECT a.key AS ka, a.neighbour AS kb FROM nna a
+  JOIN nna b ON a.key = b.neighbour AND a.neighbour = b.key
+  JOIN aug x ON x.key = a.key JOIN aug z ON z.key = a.neighbour
+  WHERE a.key < a.neighbour AND x.y <> z.y),
+st AS (SELECT * FROM aug WHERE key NOT IN (SELECT ka FROM links) AND key NOT IN (SELECT kb FROM links))""",
+]
+
+
+@register("smote_tomek", oracle.with_(*_SMOTE_TOMEK_CTES) + "SELECT y, count(*) AS n FROM st GROUP BY y")
+def q_smote_tomek(spark, sf_dir):
+    st = resample.smote_tomek(embedding_rows(spark, sf_dir), 5, RESAMPLE_SEED)
+    return st.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("balanced_datasets", oracle.with_(*_SMOTE_TOMEK_CTES, *_ADASYN_CTES[1:2], *_ADASYN_CTES[3:]) + f"""
+SELECT 'Original' AS dataset, y, count(*) AS n FROM e GROUP BY y
+UNION ALL SELECT 'SMOTE', y, count(*) FROM aug GROUP BY y
+UNION ALL SELECT 'SMOTETomek', y, count(*) FROM st GROUP BY y
+UNION ALL SELECT 'ADASYN', 1, (SELECT count(*) FROM e WHERE y = 1) + (SELECT count(*) FROM ad)
+UNION ALL SELECT 'ADASYN', 0, (SELECT count(*) FROM e WHERE y = 0)
+UNION ALL SELECT 'Undersampling', 1, (SELECT count(*) FROM e WHERE y = 1)
+UNION ALL SELECT 'Undersampling', 0, (SELECT count(*) FROM (
+  SELECT row_number() OVER (ORDER BY {U('key', RESAMPLE_SEED, 'undersample')}, key) AS rn FROM e WHERE y = 0)
+  WHERE rn <= 2 * (SELECT count(*) FROM e WHERE y = 1))""")
+def q_balanced_datasets(spark, sf_dir):
+    sets = resample.balanced_datasets(embedding_rows(spark, sf_dir), 5, RESAMPLE_SEED, 0.5)
+    return stats.class_counts(sets, "y").select("dataset", "y", "n")
