@@ -648,3 +648,38 @@ UNION ALL SELECT 'Undersampling', 0, (SELECT count(*) FROM (
 def q_balanced_datasets(spark, sf_dir):
     sets = resample.balanced_datasets(embedding_rows(spark, sf_dir), 5, RESAMPLE_SEED, 0.5)
     return stats.class_counts(sets, "y").select("dataset", "y", "n")
+
+
+# ------------------------------------------------------------------ model zoo, scoring and tuning (F, H4-H5); rows-only checks
+
+from ..models import registry as zoo_registry  # noqa: E402
+from ..models import runner as zoo_runner  # noqa: E402
+from ..models import tuning as zoo_tuning  # noqa: E402
+
+
+def _zoo(spark, sf_dir, models=None, dataset_names=None):
+    data = zoo_runner.zoo_data(embedding_rows(spark, sf_dir), seed=RESAMPLE_SEED)
+    lb, scores = zoo_runner.run_zoo(data, models, profile="smoke", experiment="embeddings",
+                                    dataset_names=dataset_names)
+    return data, lb, scores
+
+
+@register("zoo_results")
+def q_zoo_results(spark, sf_dir):
+    """Smoke zoo: 6 models × 5 balanced sets on the embeddings table."""
+    return _zoo(spark, sf_dir)[1]
+
+
+@register("score_logistic")
+def q_score_logistic(spark, sf_dir):
+    """Test scores of the balanced logistic regression on the original set."""
+    _, _, scores = _zoo(spark, sf_dir, [zoo_registry.BY_NAME["Linear_LogisticRegression"]], ["Original"])
+    return scores.where(F.col("run_id") == 1)
+
+
+@register("tune_best")
+def q_tune_best(spark, sf_dir):
+    """Three picks of the smoke zoo, each tuned with its own scoring (H1, H4, H5, H6)."""
+    data, lb, _ = _zoo(spark, sf_dir)
+    picks = selection.select_best(lb)
+    return zoo_tuning.tune_best(picks, data.train, data.test, n_iter=2, cv=2, n_features=data.n_features)
