@@ -65,6 +65,7 @@ class ZooData:
     test: DataFrame
     datasets: dict[str, DataFrame]
     n_features: int
+    errors: dict | None = None
 
 
 def zoo_data(rows: DataFrame, seed: int = 42, test_size: float = 0.2, k: int = 5) -> ZooData:
@@ -74,8 +75,9 @@ def zoo_data(rows: DataFrame, seed: int = 42, test_size: float = 0.2, k: int = 5
     test = sp.where(F.col("split") == "test").drop("split")
     params = fit_array_scaler(train)
     train, test = apply_array_scaler(train, params), apply_array_scaler(test, params)
-    sets = balanced_datasets(train, k, seed)
-    return ZooData(train, test, sets, len(params[0]))
+    errors: dict = {}
+    sets = balanced_datasets(train, k, seed, errors=errors)
+    return ZooData(train, test, sets, len(params[0]), errors)
 
 
 def run_zoo(data: ZooData, models: list[ModelSpec] | None = None, profile: str = "smoke", seed: int = 73,
@@ -118,6 +120,11 @@ def run_zoo(data: ZooData, models: list[ModelSpec] | None = None, profile: str =
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         done = list(pool.map(one, jobs))
     rows = [(experiment, rid, f"{m.name}_{ds}", m.name, m.categoria, ds, status) for rid, ds, m, status, _ in done]
+    for ds_name, msg in (data.errors or {}).items():  # a set that could not be built: one error row per model
+        for m in models:
+            run_id += 1
+            rows.append((experiment, run_id, f"{m.name}_{ds_name}", m.name, m.categoria, ds_name,
+                         f"error: {msg[:120]}"))
     info = spark.createDataFrame(
         rows, "experiment string, run_id bigint, nombre string, modelo_base string, categoria string, "
               "tipo_dataset string, status string"

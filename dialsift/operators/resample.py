@@ -156,16 +156,27 @@ def adasyn(df: DataFrame, k: int = 5, seed: int = 42, key: str = "key", y: str =
 
 
 def balanced_datasets(df: DataFrame, k: int = 5, seed: int = 42, ratio: float = 0.5, key: str = "key",
-                      y: str = "y", vec: str = "vec") -> dict[str, DataFrame]:
-    """The five named training sets of the reference (E8), lazily built."""
+                      y: str = "y", vec: str = "vec", errors: dict | None = None) -> dict[str, DataFrame]:
+    """The five named training sets of the reference (E8). A technique that
+    cannot apply (e.g. undersampling a set already above the ratio, ADASYN
+    without hard rows) is left out and its message stored in ``errors``
+    (S19: guarded, not fatal)."""
     from .sampling import random_undersample
 
     orig = df.select(F.col(key).alias("key"), F.col(y).cast("int").alias("y"), F.col(vec).cast("array<double>").alias("vec"),
                      F.lit(False).alias("is_synthetic"))
-    return {
-        "Original": orig,
-        "SMOTE": smote(df, k, seed, key, y, vec),
-        "Undersampling": random_undersample(orig, "key", "y", ratio, seed),
-        "SMOTETomek": smote_tomek(df, k, seed, key, y, vec),
-        "ADASYN": adasyn(df, k, seed, key, y, vec),
+    builders = {
+        "Original": lambda: orig,
+        "SMOTE": lambda: smote(df, k, seed, key, y, vec),
+        "Undersampling": lambda: random_undersample(orig, "key", "y", ratio, seed),
+        "SMOTETomek": lambda: smote_tomek(df, k, seed, key, y, vec),
+        "ADASYN": lambda: adasyn(df, k, seed, key, y, vec),
     }
+    out: dict[str, DataFrame] = {}
+    for name, build in builders.items():
+        try:
+            out[name] = build()
+        except ValueError as e:
+            if errors is not None:
+                errors[name] = str(e)
+    return out
