@@ -39,15 +39,14 @@ def encoded(spark: SparkSession, sf_dir: str, key: str = "CODIGO") -> tuple[Data
     """B1-B4 on attempts; the key column is kept (the reference drops it)."""
     ensure_checkpoint_dir(spark)
     df = attempts(spark, sf_dir)
-    df = clean.drop_columns(df, keep=[key])
-    df = clean.fill_category(df)
+    # the fits below (medians, categories) and every later fit (feature
+    # medians, correlations, scaler) read this table: materialise it once in
+    # the checkpoint folder instead of recomputing the joins for each job
+    df = clean.fill_category(clean.drop_columns(df, keep=[key])).checkpoint(eager=True)
     medians = clean.fit_medians(df)
     df = clean.apply_fill(df, medians)
     cats = clean.fit_categories(df)
-    # several fits (feature medians, correlations, scaler) read this table:
-    # materialise it once in the checkpoint folder instead of recomputing the joins
-    df = clean.apply_one_hot(df, cats).checkpoint(eager=True)
-    return df, cats, medians
+    return clean.apply_one_hot(df, cats), cats, medians
 
 
 def feature_table(spark: SparkSession, sf_dir: str, key: str = "CODIGO", target: str = "CD"):
