@@ -683,3 +683,21 @@ def q_tune_best(spark, sf_dir):
     data, lb, _ = _zoo(spark, sf_dir)
     picks = selection.select_best(lb)
     return zoo_tuning.tune_best(picks, data.train, data.test, n_iter=2, cv=2, n_features=data.n_features)
+
+
+# ------------------------------------------------------------------ sources (A1)
+
+import uuid as _uuid  # noqa: E402
+
+from ..session import ensure_checkpoint_dir as _ensure_ckpt  # noqa: E402
+from ..sources.delimited import read_delimited, write_delimited  # noqa: E402
+
+
+@register("scan_delimited", oracle.with_(oracle.attempts_sql()) + "SELECT * FROM attempts")
+def q_scan_delimited(spark, sf_dir):
+    """Round trip: attempts written as a pipe-delimited file with header into
+    the shared checkpoint folder, read back with the explicit schema."""
+    src = attempts(spark, sf_dir)
+    path = f"{_ensure_ckpt(spark).rstrip('/')}/delimited-{_uuid.uuid4().hex}"
+    write_delimited(src, path)
+    return read_delimited(spark, path, src.schema)
