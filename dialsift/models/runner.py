@@ -81,7 +81,7 @@ def zoo_data(rows: DataFrame, seed: int = 42, test_size: float = 0.2, k: int = 5
 
 
 def run_zoo(data: ZooData, models: list[ModelSpec] | None = None, profile: str = "smoke", seed: int = 73,
-            experiment: str = "zoo", parallelism: int = 2,
+            experiment: str = "zoo", parallelism: int = 4,
             dataset_names: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Returns (leaderboard, scores). scores: run_id, key, score, y, pred."""
     models = models or [BY_NAME[n] for n in SMOKE_MODELS]

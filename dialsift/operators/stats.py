@@ -24,28 +24,37 @@ from .ordered import running_totals
 HIST_LIMIT = 100_000  # (column, value) pairs fetched to the driver on the fast path
 
 
-def exact_medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
-    """Exact median (midpoint of the two middle values) of each column, NULLs
-    skipped, all in one distributed plan.
+def _median_from_counts(vc: list[tuple[float, int]], n: int, offset: int) -> float | None:
+    """Midpoint of ranks (n+1)//2 and (n+2)//2 from sorted (value, count)
+    pairs whose first value has rank ``offset + 1``."""
+    lo_r, hi_r = (n + 1) // 2, (n + 2) // 2
+    if lo_r <= offset or hi_r > offset + sum(k for _, k in vc):
+        return None  # the middle ranks are not inside these counts
+    acc, lo_v, hi_v = offset, None, None
+    for v, k in vc:
+        if lo_v is None and acc + k >= lo_r:
+            lo_v = v
+        if acc + k >= hi_r:
+            hi_v = v
+            break
+        acc += k
+    if lo_v is None or hi_v is None:
+        return None
+    return lo_v + 0.5 * (hi_v - lo_v)  # interpolation form of SQL median
 
-    Spark's ``median``/``percentile`` keeps every distinct value of a column
-    in one task's buffer. Here the values are turned into a (column, value,
-    count) histogram by a partial+final aggregate, cumulative counts come
-    from :func:`running_totals` (range slices, no single-task window), and only
-    the <= 2 rows per column that straddle the middle rank reach the driver.
-    """
-    cols = list(cols)
-    if not cols:
-        return {}
+
+def _long_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     pairs = F.explode(
         F.array(*[F.struct(F.lit(c).alias("c"), finite_or_null(F.col(c).cast("double")).alias("v")) for c in cols])
     )
-    long = df.select(pairs.alias("kv")).select("kv.c", "kv.v").where(F.col("v").isNotNull())
-    hist = long.groupBy("c", "v").agg(F.count(F.lit(1)).alias("cnt"))
-    out: dict[str, float | None] = {c: None for c in cols}
+    return df.select(pairs.alias("kv")).select("kv.c", "kv.v").where(F.col("v").isNotNull())
+
 
-    # Few distinct values (codes, ages, days): the histogram itself is small;
-    # fetch at most HIST_LIMIT + 1 rows and finish on the driver.
+def _medians_from_histogram(hist: DataFrame, cols: Sequence[str], offsets: dict[str, int],
+                            totals: dict[str, int]) -> dict[str, float | None]:
+    """Exact medians from a (c, v, cnt) histogram: fetched when it has at
+    most HIST_LIMIT rows, else cumulative counts with :func:`running_totals`."""
+    out: dict[str, float | None] = {c: None for c in cols}
     few = hist.limit(HIST_LIMIT + 1).collect()
     if len(few) <= HIST_LIMIT:
         by_col: dict[str, list[tuple[float, int]]] = {}
@@ -53,34 +62,94 @@ def exact_medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]
             by_col.setdefault(r["c"], []).append((r["v"], r["cnt"]))
         for c, vc in by_col.items():
             vc.sort()
-            n = sum(k for _, k in vc)
-            lo_r, hi_r = (n + 1) // 2, (n + 2) // 2
-            acc, lo_v, hi_v = 0, None, None
-            for v, k in vc:
-                if lo_v is None and acc + k >= lo_r:
-                    lo_v = v
-                if acc + k >= hi_r:
-                    hi_v = v
-                    break
-                acc += k
-            out[c] = lo_v + 0.5 * (hi_v - lo_v)
+            out[c] = _median_from_counts(vc, totals[c], offsets.get(c, 0))
         return out
-
-    cum = running_totals(
-        hist, order_by=[F.col("v").asc()], partition_by=["c"], sums={"cum": F.col("cnt")}, totals_prefix="_t_"
+    off = hist.sparkSession.createDataFrame(
+        [(c, int(offsets.get(c, 0)), int(totals[c])) for c in cols if c in totals], "c string, _off long, _n long"
     )
-    n = F.col("_t_cum")
-    lo = F.floor((n + F.lit(1)) / F.lit(2))
-    hi = F.ceil((n + F.lit(1)) / F.lit(2))
-    start = F.col("cum") - F.col("cnt")
-    hit_lo = (start < lo) & (lo <= F.col("cum"))
-    hit_hi = (start < hi) & (hi <= F.col("cum"))
+    cum = running_totals(hist, order_by=[F.col("v").asc()], partition_by=["c"], sums={"cum": F.col("cnt")})
+    cum = cum.join(F.broadcast(off), "c")  # one row per column
+    end = F.col("cum") + F.col("_off")
+    start = end - F.col("cnt")
+    lo = F.floor((F.col("_n") + F.lit(1)) / F.lit(2))
+    hi = F.ceil((F.col("_n") + F.lit(1)) / F.lit(2))
+    hit_lo = (start < lo) & (lo <= end)
+    hit_hi = (start < hi) & (hi <= end)
     picked = cum.where(hit_lo | hit_hi).groupBy("c").agg(
         F.max(F.when(hit_lo, F.col("v"))).alias("lo"), F.max(F.when(hit_hi, F.col("v"))).alias("hi")
     )
     for r in picked.collect():  # at most one row per column
-        lo_v, hi_v = r["lo"], r["hi"]
-        out[r["c"]] = lo_v + 0.5 * (hi_v - lo_v)  # interpolation form of SQL median
+        if r["lo"] is not None and r["hi"] is not None:
+            out[r["c"]] = r["lo"] + 0.5 * (r["hi"] - r["lo"])
+    return out
+
+
+def exact_medians(df: DataFrame, cols: Sequence[str], accuracy: int = 10_000) -> dict[str, float | None]:
+    """Exact median (midpoint of the two middle values, NULLs skipped) of
+    each column, as a distributed selection in two passes.
+
+    Spark's ``median``/``percentile`` keeps every distinct value of a column
+    in one buffer. Instead:
+
+    1. one aggregate per column: row count and a bracket
+       ``percentile_approx(v, 0.5 ± 3/accuracy)`` (rank error <= n/accuracy,
+       so the bracket holds the middle ranks);
+    2. one aggregate of (column, value) counts where every value below the
+       bracket collapses to one ``-inf`` row and above to ``+inf``: the
+       histogram of about 6n/accuracy values per column plus two offset rows.
+
+    The middle ranks are then found in that small histogram (fetched when it
+    has at most HIST_LIMIT rows, cumulative counts on the executors otherwise).
+    Should a bracket ever miss the middle ranks, that column is redone on its
+    full histogram, so the result is always exact."""
+    cols = list(cols)
+    if not cols:
+        return {}
+    long = _long_values(df, cols)
+    delta = 3.0 / accuracy
+    br = long.groupBy("c").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.percentile_approx("v", [max(0.0, 0.5 - delta), min(1.0, 0.5 + delta)], accuracy).alias("q"),
+    )
+    brackets = {r["c"]: (r["n"], r["q"][0], r["q"][1]) for r in br.collect()}  # one row per column
+    out: dict[str, float | None] = {c: None for c in cols}
+    if not brackets:
+        return out
+    bt = df.sparkSession.createDataFrame(
+        [(c, float(lo), float(hi)) for c, (_, lo, hi) in brackets.items()], "c string, _lo double, _hi double"
+    )
+    inf = float("inf")
+    tagged = long.join(F.broadcast(bt), "c").select(
+        "c",
+        F.when(F.col("v") < F.col("_lo"), F.lit(-inf)).when(F.col("v") > F.col("_hi"), F.lit(inf))
+        .otherwise(F.col("v")).alias("v"),
+    )
+    hist = tagged.groupBy("c", "v").agg(F.count(F.lit(1)).alias("cnt"))
+    rows = hist.limit(HIST_LIMIT + 1).collect()
+    totals = {c: b[0] for c, b in brackets.items()}
+    if len(rows) <= HIST_LIMIT:
+        by_col: dict[str, list[tuple[float, int]]] = {}
+        below: dict[str, int] = {}
+        for r in rows:
+            if r["v"] == -inf:
+                below[r["c"]] = r["cnt"]
+            elif r["v"] != inf:
+                by_col.setdefault(r["c"], []).append((r["v"], r["cnt"]))
+        redo = []
+        for c in brackets:
+            vc = sorted(by_col.get(c, []))
+            m = _median_from_counts(vc, totals[c], below.get(c, 0))
+            if m is None:
+                redo.append(c)
+            out[c] = m
+    else:
+        inside = hist.where(F.abs(F.col("v")) != F.lit(inf))
+        below = {r["c"]: r["cnt"] for r in hist.where(F.col("v") == F.lit(-inf)).collect()}
+        out.update(_medians_from_histogram(inside, list(brackets), below, totals))
+        redo = [c for c in brackets if out[c] is None]
+    if redo:  # bracket missed the middle ranks: exact on the full histogram
+        full = _long_values(df, redo).groupBy("c", "v").agg(F.count(F.lit(1)).alias("cnt"))
+        out.update(_medians_from_histogram(full, redo, {}, {c: totals[c] for c in redo}))
     return out
 
 

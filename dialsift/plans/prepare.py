@@ -53,6 +53,8 @@ def feature_table(spark: SparkSession, sf_dir: str, key: str = "CODIGO", target:
     """B1-B4 + C6: returns (df, feature column order, created, categories, medians, feature medians)."""
     df, cats, medians = encoded(spark, sf_dir, key)
     df, created, fmed = features.create_all_features(df)
+    # the correlation, pruning and scaler fits all read this table: materialise once
+    df = df.checkpoint(eager=True)
     feats = [c for c in df.columns if c not in (key, target)]
     return df, feats, created, cats, medians, fmed
 

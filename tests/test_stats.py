@@ -52,3 +52,14 @@ def test_scaler_population_std(spark):
     out = stats.apply_standard_scaler(df, p).orderBy("a").collect()
     assert [r["a"] for r in out] == [-1.0, 1.0]  # population std (not ±0.7071)
     assert [r["b"] for r in out] == [0.0, 0.0]  # zero std divides by 1
+
+
+def test_exact_medians_bracket_miss_falls_back(spark, monkeypatch):
+    # accuracy 1 gives a useless bracket (the whole range): the result must still be exact
+    rng = np.random.default_rng(4)
+    vals = rng.normal(size=2001).tolist()
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = stats.exact_medians(df, ["x"], accuracy=1)
+    assert got["x"] == float(np.median(vals))
+    got = stats.exact_medians(df, ["x"], accuracy=100000)
+    assert got["x"] == float(np.median(vals))
