@@ -20,9 +20,12 @@ def col(c: str | Column) -> Column:
 
 
 def finite_or_null(c: str | Column) -> Column:
-    """NaN, +inf and -inf become NULL (the reference maps them to NaN = missing)."""
+    """NaN, +inf and -inf become NULL (the reference maps them to NaN = missing).
+
+    One comparison: Spark orders NaN above +inf, so ``abs(x) < inf`` is false
+    exactly for NaN and ±inf (and NULL stays NULL)."""
     c = col(c)
-    return F.when(F.isnan(c) | (c == F.lit(_INF)) | (c == F.lit(-_INF)), F.lit(None).cast("double")).otherwise(c)
+    return F.when(F.abs(c) < F.lit(_INF), c)
 
 
 def nan_to_null(c: str | Column) -> Column:

@@ -139,29 +139,29 @@ def _platt_svc(ctx: FitContext):
 
 
 def class_moments(train: DataFrame, d: int) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
-    """Per class: n, Σx, Σxxᵀ. Each task reduces its Arrow batches to d+d²
-    numbers per class; a groupBy sums them (bounded by classes × d²)."""
+    """Per class: n, Σx, Σxxᵀ. Each task reduces its Arrow batches to
+    1 + d + d² numbers per class, emitted as (class, slot, value) rows; a
+    groupBy on (class, slot) sums them on the executors (map-side combined),
+    so only classes × (1 + d + d²) numbers reach the driver whatever the
+    number of tasks."""
     arr = train.select(F.col("label").cast("int").alias("c"), vector_to_array("features").alias("x"))
 
     def part(batches):
-        acc: dict[int, list] = {}
+        acc: dict[int, np.ndarray] = {}
         for b in batches:
             for c, grp in b.groupby("c"):
                 X = np.stack(grp["x"].to_numpy()).astype(np.float64)
-                a = acc.setdefault(int(c), [0.0, np.zeros(d), np.zeros((d, d))])
-                a[0] += len(X)
-                a[1] += X.sum(0)
-                a[2] += X.T @ X
-        for c, (n, s, ss) in acc.items():
-            yield pd.DataFrame({"c": [c], "n": [n], "s": [s.tolist()], "ss": [ss.ravel().tolist()]})
-
-    schema = "c int, n double, s array<double>, ss array<double>"
-    parts = arr.mapInPandas(part, schema)
-    out = {}
-    for r in parts.collect():  # one row per (task, class): small, bounded by tasks × classes
-        n, s, ss = out.get(r["c"], (0.0, np.zeros(d), np.zeros(d * d)))
-        out[r["c"]] = (n + r["n"], s + np.array(r["s"]), ss + np.array(r["ss"]))
-    return {c: (n, s, ss.reshape(d, d)) for c, (n, s, ss) in out.items()}
+                v = np.concatenate([[len(X)], X.sum(0), (X.T @ X).ravel()])
+                acc[int(c)] = acc[int(c)] + v if int(c) in acc else v
+        for c, v in acc.items():
+            yield pd.DataFrame({"c": np.full(len(v), c, dtype=np.int32), "slot": np.arange(len(v), dtype=np.int32),
+                                "v": v})
+
+    sums = arr.mapInPandas(part, "c int, slot int, v double").groupBy("c", "slot").agg(F.sum("v").alias("v"))
+    out: dict[int, np.ndarray] = {}
+    for r in sums.collect():  # classes × (1 + d + d²) rows
+        out.setdefault(r["c"], np.zeros(1 + d + d * d))[r["slot"]] = r["v"]
+    return {c: (v[0], v[1:1 + d], v[1 + d:].reshape(d, d)) for c, v in out.items()}
 
 
 def _discriminant(quadratic: bool):
@@ -273,19 +273,18 @@ def _adaboost(ctx: FitContext):
             raise ValueError("AdaBoost: first stump already has error >= 0.5")
 
         def scorer(df):
+            # every stump adds its own prediction column: a chain of projections, no joins
             out = df
             total = F.lit(0.0)
             norm = sum(a for a, _ in stumps)
+            tmp = []
             for i, (a, st) in enumerate(stumps):
-                p = st.transform(out.select(*df.columns)).select("key", F.col("prediction").alias(f"_p{i}"))
-                out = out.join(p, "key")
+                m = st.copy().setPredictionCol(f"_p{i}").setRawPredictionCol(f"_r{i}").setProbabilityCol(f"_q{i}")
+                out = m.transform(out).drop(f"_r{i}", f"_q{i}")
                 total = total + F.lit(a) * (F.col(f"_p{i}") * F.lit(2.0) - F.lit(1.0))
+                tmp.append(f"_p{i}")
             out = out.withColumn("score", (total / F.lit(norm) + F.lit(1.0)) / F.lit(2.0))
-            return out.withColumn("prediction", (F.col("score") > 0.5).cast("int")).drop(
-                *[f"_p{i}" for i in range(len(stumps))]
-            )
-
-        return scorer
+            return out.withColumn("prediction", (F.col("score") > 0.5).cast("int")).drop(*tmp)
 
     return fit
 
@@ -309,10 +308,9 @@ def _balanced_rf(ctx: FitContext):
             out = df
             parts = []
             for i, m in enumerate(models):
-                p = m.transform(df.select("key", "features")).select(
-                    "key", vector_to_array("probability")[1].alias(f"_p{i}")
-                )
-                out = out.join(p, "key")
+                mm = m.copy().setPredictionCol(f"_y{i}").setRawPredictionCol(f"_r{i}").setProbabilityCol(f"_q{i}")
+                out = mm.transform(out).withColumn(f"_p{i}", vector_to_array(f"_q{i}")[1]).drop(
+                    f"_y{i}", f"_r{i}", f"_q{i}")
                 parts.append(F.col(f"_p{i}"))
             s = parts[0]
             for p in parts[1:]:
@@ -322,8 +320,6 @@ def _balanced_rf(ctx: FitContext):
                 *[f"_p{i}" for i in range(len(models))]
             )
 
-        return scorer
-
     return fit
 
 

@@ -74,18 +74,16 @@ def random_score(df: DataFrame, key: str, seed: int, out_col: str = "score") ->
 
 def scores_table(df: DataFrame, key: str, label: str, strategies: Mapping[str, Column]) -> DataFrame:
     """``(estrategia, key, score, y)`` for every strategy, in one pass over
-    ``df``: each input row emits one row per strategy (an inline array of
-    structs exploded), so the input plan is scanned once, not once per
-    strategy."""
-    rows = F.inline(
-        F.array(
-            *[
-                F.struct(F.lit(name).alias("estrategia"), nan_to_null(expr.cast("double")).alias("score"))
-                for name, expr in strategies.items()
-            ]
-        )
+    ``df``: each input row emits one row per strategy (``stack`` unpivot), so
+    the input plan is scanned once, not once per strategy."""
+    names = list(strategies)
+    wide = df.select(
+        F.col(key).cast("bigint").alias("key"),
+        F.col(label).cast("int").alias("y"),
+        *[nan_to_null(strategies[n].cast("double")).alias(f"_s{i}") for i, n in enumerate(names)],
     )
-    return df.select(F.col(key).cast("bigint").alias("key"), F.col(label).cast("int").alias("y"), rows).select(
+    body = ", ".join(f"'{n.replace(chr(39), chr(39) * 2)}', _s{i}" for i, n in enumerate(names))
+    return wide.selectExpr(f"stack({len(names)}, {body}) AS (estrategia, score)", "key", "y").select(
         "estrategia", "key", "score", "y"
     )
 

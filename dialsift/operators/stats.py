@@ -44,10 +44,11 @@ def _median_from_counts(vc: list[tuple[float, int]], n: int, offset: int) -> flo
 
 
 def _long_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    pairs = F.explode(
-        F.array(*[F.struct(F.lit(c).alias("c"), finite_or_null(F.col(c).cast("double")).alias("v")) for c in cols])
-    )
-    return df.select(pairs.alias("kv")).select("kv.c", "kv.v").where(F.col("v").isNotNull())
+    """(c, v) rows of the non-NULL finite values of ``cols`` (``stack`` unpivot)."""
+    tmp = [f"_m{k}" for k in range(len(cols))]
+    wide = df.select(*[finite_or_null(F.col(c).cast("double")).alias(t) for c, t in zip(cols, tmp)])
+    body = ", ".join(f"'{c.replace(chr(39), chr(39) * 2)}', {t}" for c, t in zip(cols, tmp))
+    return wide.selectExpr(f"stack({len(cols)}, {body}) AS (c, v)").where(F.col("v").isNotNull())
 
 
 def _medians_from_histogram(hist: DataFrame, cols: Sequence[str], offsets: dict[str, int],

@@ -15,6 +15,7 @@ from ..config import BUSINESS_STRATEGY, RANDOM_STRATEGY
 from ..functions.exprs import uniform
 from ..operators import ranking
 from ..sources.attempts import attempts
+from ..session import ensure_checkpoint_dir, tune_session
 from ..sources.tables import read_table
 from . import oracle
 from .prepare import ranking_input
@@ -25,8 +26,19 @@ ORACLE: dict[str, str] = {}
 
 
 def register(name: str, sql: str | None = None):
+    """Add a query; the stored callable first makes sure the session has a
+    checkpoint folder (the cluster's ``spark.checkpoint.dir``, or a scratch
+    folder only when none is configured)."""
+
     def deco(fn: QueryFn) -> QueryFn:
-        QUERIES[name] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ensure_checkpoint_dir(spark)
+            tune_session(spark)
+            return fn(spark, sf_dir)
+
+        run.__name__ = getattr(fn, "__name__", name)
+        run.__doc__ = fn.__doc__
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = sql
         return fn
@@ -701,3 +713,66 @@ def q_scan_delimited(spark, sf_dir):
     path = f"{_ensure_ckpt(spark).rstrip('/')}/delimited-{_uuid.uuid4().hex}"
     write_delimited(src, path)
     return read_delimited(spark, path, src.schema)
+
+
+# ------------------------------------------------------------------ prepared train/test view (A2, Q1 end to end)
+
+from .prepare import prepare as _prepare, split_and_scale as _split_and_scale  # noqa: E402
+
+
+def _train_test_sql() -> str:
+    names = ", ".join(f"'{c}'" for c in _FEATS)
+    vals = ", ".join(f"CAST({c} AS DOUBLE)" for c in _FEATS)
+    return oracle.with_(*oracle.feature_ctes(), oracle.pairs_cte(), *oracle.split_ctes(True, 0.2, "featf"), f"""lng AS (
+  SELECT f.CODIGO, s.split, unnest([{names}]) AS feature, unnest([{vals}]) AS val
+  FROM featf f JOIN split s ON f.CODIGO = s.CODIGO
+),
+kept AS (SELECT * FROM lng WHERE feature NOT IN (SELECT col_j FROM pairs WHERE r > 0.95::DOUBLE)),
+st AS (SELECT feature, avg(val) AS m, stddev_pop(val) AS sd FROM kept WHERE split = 'train' GROUP BY feature)""") + """
+SELECT k.CODIGO, k.split, k.feature,
+  round((k.val - st.m) / (CASE WHEN st.sd IS NULL OR st.sd = 0 THEN 1.0::DOUBLE ELSE st.sd END), 6) AS valor
+FROM kept k JOIN st ON k.feature = st.feature"""
+
+
+@register("train_test_view", _train_test_sql())
+def q_train_test_view(spark, sf_dir):
+    """Q1 end to end (B1-B4, C6, D1/D2, E1, D8): the scaled train and test
+    rows, long form (CODIGO, split, feature, valor)."""
+    prep = _prepare(spark, sf_dir)
+    sd = _split_and_scale(prep)
+    both = sd.train.withColumn("split", F.lit("train")).unionByName(sd.test.withColumn("split", F.lit("test")))
+    long = both.select(
+        "CODIGO", "split",
+        F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("valor"))
+                           for c in sd.features])),
+    )
+    return long.withColumn("valor", F.round("valor", 6))
+
+
+# ------------------------------------------------------------------ chart table
+
+
+@register("chart_efficiency", oracle.with_(*ATT, oracle.CURVE, oracle.summary_sql()) + (
+    "SELECT estrategia, llamadas_80, llamadas_99, llamadas_100, tasa_top_10, tasa_top_20, tasa_top_50 FROM summ"))
+def q_chart_efficiency(spark, sf_dir):
+    """Data of the efficiency and success-rate charts: calls for 80/99/100 %
+    and success rates in the first 10/20/50 % per strategy (I13)."""
+    s = ranking.strategy_summary(ranking._curve_with_totals(attempt_scores(spark, sf_dir)))
+    return s.select("estrategia", "llamadas_80", "llamadas_99", "llamadas_100", "tasa_top_10", "tasa_top_20",
+                    "tasa_top_50")
+
+
+# ------------------------------------------------------------------ one tuning run (H4); rows-only
+
+
+@register("tune_model")
+def q_tune_model(spark, sf_dir):
+    """Random search with stratified 2-fold CV of the random forest on the
+    embeddings, scored by recall with precision >= 0.15 (H4, G4)."""
+    data = zoo_runner.zoo_data(embedding_rows(spark, sf_dir), seed=RESAMPLE_SEED)
+    res = zoo_tuning.tune_model("Ensemble_RandomForest", data.train, data.test, "recall", n_iter=3, cv=2,
+                                min_precision=0.15, n_features=data.n_features)
+    row = (res["tuneado"], res["mejores_params"], float(res["mejor_score"] or 0.0), float(res["precision"]),
+           float(res["recall"]), float(res["f1"]), float(res["roc_auc"] or 0.0))
+    return spark.createDataFrame([row], "tuneado boolean, mejores_params map<string,string>, mejor_score double, "
+                                        "precision double, recall double, f1 double, roc_auc double")
