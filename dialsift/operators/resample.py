@@ -33,9 +33,21 @@ def _interpolate(base_vec, nb_vec, gap):
     return F.zip_with(base_vec, nb_vec, lambda a, b: a + gap * (b - a))
 
 
+def neighbour_arrays(nn: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(key, nb_keys, nb_vecs): each row's k neighbours in rank order, with
+    their vectors, as arrays (one bounded ``collect_list`` of k entries per
+    row). Synthetic rows then read their neighbour with ``element_at``
+    instead of joining once per generated row."""
+    j = nn.join(vectors.select(F.col("key").alias("neighbour"), F.col("vec").alias("nvec")), "neighbour")
+    g = j.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("rank", "neighbour", "nvec"))).alias("_nb"))
+    return g.select("key", F.col("_nb.neighbour").alias("nb_keys"), F.col("_nb.nvec").alias("nb_vecs"))
+
+
 def smote_samples(df: DataFrame, k: int = 5, seed: int = 42, key: str = "key", y: str = "y", vec: str = "vec",
                   n_new: int | None = None, broadcast_limit: int = 50_000) -> DataFrame:
-    """Synthetic minority rows: (synth_id, base_key, neighbour_key, gap, vec)."""
+    """Synthetic minority rows: (synth_id, base_key, neighbour_key, gap, vec).
+    Draws come from ``spark.range`` (spread over tasks) and meet their base
+    row, which already carries its neighbour arrays, in one equi-join."""
     n_maj, n_min = _counts(df, y)
     if n_new is None:
         n_new = n_maj - n_min
@@ -45,6 +57,7 @@ def smote_samples(df: DataFrame, k: int = 5, seed: int = 42, key: str = "key", y
         return spark.createDataFrame([], "synth_id long, base_key long, neighbour_key long, gap double, vec array<double>")
     indexed = running_totals(minority, [F.col("key").asc()], [], rank_col="_idx").withColumn("_idx", F.col("_idx") - 1)
     nn = knn(minority, minority, k, broadcast_limit=broadcast_limit)
+    bases = indexed.join(neighbour_arrays(nn, minority), "key")
     kk = min(k, n_min - 1)
     j = F.col("synth_id")
     draws = spark.range(n_new).select(F.col("id").alias("synth_id")).select(
@@ -53,14 +66,13 @@ def smote_samples(df: DataFrame, k: int = 5, seed: int = 42, key: str = "key", y
         (F.lit(1) + F.floor(uniform(j, seed, "smote_nn") * F.lit(kk))).cast("int").alias("rank"),
         uniform(j, seed, "smote_gap").alias("gap"),
     )
-    base = draws.join(indexed.select("_idx", F.col("key").alias("base_key"), F.col("vec").alias("base_vec")), "_idx")
-    with_nb = base.join(
-        nn.select(F.col("key").alias("base_key"), "rank", F.col("neighbour").alias("neighbour_key")),
-        ["base_key", "rank"],
-    ).join(minority.select(F.col("key").alias("neighbour_key"), F.col("vec").alias("nb_vec")), "neighbour_key")
-    return with_nb.select(
-        "synth_id", "base_key", "neighbour_key", "gap",
-        _interpolate(F.col("base_vec"), F.col("nb_vec"), F.col("gap")).alias("vec"),
+    got = draws.join(bases, "_idx")
+    return got.select(
+        "synth_id",
+        F.col("key").alias("base_key"),
+        F.element_at("nb_keys", F.col("rank")).alias("neighbour_key"),
+        "gap",
+        _interpolate(F.col("vec"), F.element_at("nb_vecs", F.col("rank")), F.col("gap")).alias("vec"),
     )
 
 
@@ -106,12 +118,19 @@ def smote_tomek(df: DataFrame, k: int = 5, seed: int = 42, key: str = "key", y:
     return remove_tomek(aug, "key", "y", "vec")
 
 
+ADASYN_CHUNK = 10_000  # synthetic rows generated per task slot for one base row
+
+
 def adasyn_samples(df: DataFrame, k: int = 5, seed: int = 42, key: str = "key", y: str = "y", vec: str = "vec",
-                   broadcast_limit: int = 50_000) -> DataFrame:
-    """Synthetic ADASYN rows: (base_key, s, neighbour_key, gap, vec)."""
+                   broadcast_limit: int = 50_000, chunk: int = ADASYN_CHUNK) -> DataFrame:
+    """Synthetic ADASYN rows: (base_key, s, neighbour_key, gap, vec).
+
+    One hard row may own most of the G new points. Its g points are cut into
+    chunks of ``chunk`` ids that are spread over tasks by a repartition on
+    (key, chunk) before being generated, and each generated row reads its
+    neighbour from the base row's arrays: no join follows the explosion."""
     n_maj, n_min = _counts(df, y)
     G = n_maj - n_min
-    spark = df.sparkSession
     base = df.select(F.col(key).alias("key"), F.col(y).cast("int").alias("y"), F.col(vec).cast("array<double>").alias("vec"))
     minority = base.where(F.col("y") == 1)
     # hardness: majority share among the k nearest rows of any class
@@ -125,23 +144,26 @@ def adasyn_samples(df: DataFrame, k: int = 5, seed: int = 42, key: str = "key",
         raise ValueError("ADASYN: no minority row has majority neighbours (sum of ratios is 0)")
     g = hard.withColumn("g", F.rint(F.col("r") / F.lit(total_r) * F.lit(float(G))).cast("int")).where(F.col("g") > 0)
     nn_min = knn(minority, minority, k, broadcast_limit=broadcast_limit)
+    rows = g.join(minority, "key").join(neighbour_arrays(nn_min, minority), "key")
+    chunks = rows.withColumn(
+        "chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("g") - F.lit(1)) / F.lit(chunk)).cast("int")))
+    ).repartition("key", "chunk")
+    gen = chunks.withColumn(
+        "s",
+        F.explode(F.sequence(F.col("chunk") * F.lit(chunk) + F.lit(1),
+                             F.least((F.col("chunk") + F.lit(1)) * F.lit(chunk), F.col("g")))),
+    )
     kk = min(k, n_min - 1)
     sid = F.concat_ws("-", F.col("key").cast("string"), F.col("s").cast("string"))
-    draws = g.select("key", F.explode(F.sequence(F.lit(1), F.col("g"))).alias("s")).select(
+    gen = gen.withColumn("rank", (F.lit(1) + F.floor(uniform(sid, seed, "adasyn_nn") * F.lit(kk))).cast("int"))
+    gen = gen.withColumn("gap", uniform(sid, seed, "adasyn_gap"))
+    return gen.select(
         F.col("key").alias("base_key"),
         "s",
-        (F.lit(1) + F.floor(uniform(sid, seed, "adasyn_nn") * F.lit(kk))).cast("int").alias("rank"),
-        uniform(sid, seed, "adasyn_gap").alias("gap"),
-    )
-    j = draws.join(
-        nn_min.select(F.col("key").alias("base_key"), "rank", F.col("neighbour").alias("neighbour_key")),
-        ["base_key", "rank"],
-    )
-    j = j.join(minority.select(F.col("key").alias("base_key"), F.col("vec").alias("base_vec")), "base_key").join(
-        minority.select(F.col("key").alias("neighbour_key"), F.col("vec").alias("nb_vec")), "neighbour_key"
+        F.element_at("nb_keys", F.col("rank")).alias("neighbour_key"),
+        "gap",
+        _interpolate(F.col("vec"), F.element_at("nb_vecs", F.col("rank")), F.col("gap")).alias("vec"),
     )
-    return j.select("base_key", "s", "neighbour_key", "gap",
-                    _interpolate(F.col("base_vec"), F.col("nb_vec"), F.col("gap")).alias("vec"))
 
 
 def adasyn(df: DataFrame, k: int = 5, seed: int = 42, key: str = "key", y: str = "y", vec: str = "vec") -> DataFrame:
