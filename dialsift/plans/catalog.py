@@ -776,3 +776,25 @@ def q_tune_model(spark, sf_dir):
            float(res["recall"]), float(res["f1"]), float(res["roc_auc"] or 0.0))
     return spark.createDataFrame([row], "tuneado boolean, mejores_params map<string,string>, mejor_score double, "
                                         "precision double, recall double, f1 double, roc_auc double")
+
+
+# ------------------------------------------------------------------ the three stages end to end (Q1 -> Q2 -> Q3); rows-only
+
+from .evaluate import evaluate as _evaluate  # noqa: E402
+
+
+@register("evaluation_business_metrics")
+def q_evaluation_business_metrics(spark, sf_dir):
+    """Attempts prepared, balanced, the smoke zoo trained, three picks; the
+    test attempts ranked by each pick, the business rule and at random:
+    business metrics per strategy (I7 over Q1-Q2 output)."""
+    ev = _evaluate(spark, sf_dir)
+    return ranking.business_metrics(ev.scores)
+
+
+@register("evaluation_improvement_80")
+def q_evaluation_improvement_80(spark, sf_dir):
+    """Calls saved to reach 80 % of the contacts against the random order,
+    for the three picks and the business rule (the reference's headline)."""
+    ev = _evaluate(spark, sf_dir)
+    return ranking.improvement_80(ev.scores)
