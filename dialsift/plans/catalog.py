@@ -368,8 +368,7 @@ def _standardize_sql() -> str:
         f"round((f.{c} - st.m_{c}) / (CASE WHEN st.s_{c} IS NULL OR st.s_{c} = 0 THEN 1.0::DOUBLE ELSE st.s_{c} END), 6) AS {c}"
         for c in _SCALE_COLS
     )
-    return oracle.with_(oracle.attempts_sql(), oracle.FILLED, *oracle.split_ctes("filled" == "x", 0.2, "filled")[:0],
-                        *oracle.split_ctes(True, 0.2, "filled")) + f"""
+    return oracle.with_(oracle.attempts_sql(), oracle.FILLED, *oracle.split_ctes(True, 0.2, "filled")) + f"""
 SELECT f.CODIGO, s.split, {scaled}
 FROM filled f JOIN split s ON f.CODIGO = s.CODIGO,
      (SELECT {stats_sel} FROM filled f2 JOIN split s2 ON f2.CODIGO = s2.CODIGO WHERE s2.split = 'train') st"""
