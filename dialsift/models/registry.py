@@ -286,6 +286,8 @@ def _adaboost(ctx: FitContext):
             out = out.withColumn("score", (total / F.lit(norm) + F.lit(1.0)) / F.lit(2.0))
             return out.withColumn("prediction", (F.col("score") > 0.5).cast("int")).drop(*tmp)
 
+        return scorer
+
     return fit
 
 
@@ -320,6 +322,8 @@ def _balanced_rf(ctx: FitContext):
                 *[f"_p{i}" for i in range(len(models))]
             )
 
+        return scorer
+
     return fit
 
 

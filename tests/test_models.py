@@ -21,3 +21,19 @@ def test_planted_signal(spark):
     rows = lb.where("tipo_dataset = 'Original'").collect()
     assert all(r["status"] == "ok" for r in rows)
     assert all(r["roc_auc"] > 0.8 for r in rows)
+
+
+def test_every_registry_model_fits(spark):
+    """All 25 zoo entries fit and score (smoke sizes) on a small planted set."""
+    rng = np.random.default_rng(5)
+    n = 600
+    X = rng.normal(size=(n, 4))
+    y = (rng.random(n) < 1 / (1 + np.exp(-(X @ np.array([1.5, -1.0, 0.5, 0.0]) - 1.0)))).astype(int)
+    df = spark.createDataFrame([(i, int(y[i]), X[i].tolist()) for i in range(n)], "key long, y int, vec array<double>")
+    data = runner.zoo_data(df, seed=1)
+    data.datasets, data.errors = {"Original": data.datasets["Original"]}, {}
+    lb, scores = runner.run_zoo(data, registry.REGISTRY, parallelism=4)
+    rows = lb.collect()
+    bad = [(r["nombre"], r["status"]) for r in rows if r["status"] != "ok"]
+    assert len(rows) == 25 and not bad, bad
+    assert scores.where("score IS NULL").count() == 0
