@@ -37,3 +37,22 @@ def test_every_registry_model_fits(spark):
     bad = [(r["nombre"], r["status"]) for r in rows if r["status"] != "ok"]
     assert len(rows) == 25 and not bad, bad
     assert scores.where("score IS NULL").count() == 0
+
+
+def test_full_profile_sizes_are_valid(spark):
+    """The reference-sized settings (depth-30 trees, 200-tree forests, MLP
+    layers, 10 balanced bags) are accepted by Spark and fit on a tiny set.
+    The 200-round boosters are left to the smoke profile here."""
+    rng = np.random.default_rng(8)
+    n = 160
+    X = rng.normal(size=(n, 3))
+    y = (X[:, 0] + rng.normal(scale=0.5, size=n) > 0.8).astype(int)
+    df = spark.createDataFrame([(i, int(y[i]), X[i].tolist()) for i in range(n)], "key long, y int, vec array<double>")
+    data = runner.zoo_data(df, seed=2)
+    data.datasets, data.errors = {"Original": data.datasets["Original"]}, {}
+    slow = {"Ensemble_AdaBoost", "Ensemble_GradientBoosting", "GradBoost_XGBoost", "GradBoost_LightGBM",
+            "GradBoost_CatBoost"}
+    models = [m for m in registry.REGISTRY if m.name not in slow]
+    lb, _ = runner.run_zoo(data, models, profile="full", parallelism=4)
+    bad = [(r["nombre"], r["status"]) for r in lb.collect() if r["status"] != "ok"]
+    assert not bad, bad
