@@ -81,7 +81,7 @@ def _matrix(series: pd.Series) -> np.ndarray:
 
 
 def knn(query: DataFrame, ref: DataFrame, k: int = 5, key: str = "key", vec: str = "vec", exclude_self: bool = True,
-        broadcast_limit: int = 50_000, block_rows: int = 4096) -> DataFrame:
+        broadcast_limit: int = 50_000, block_rows: int = 4096, max_blocks: int = 256) -> DataFrame:
     """(key, neighbour, rank, distance): the k nearest ``ref`` rows of every
     ``query`` row."""
     q = query.select(F.col(key).cast("long").alias("key"), F.col(vec).cast("array<double>").alias("vec"))
@@ -99,8 +99,11 @@ def knn(query: DataFrame, ref: DataFrame, k: int = 5, key: str = "key", vec: str
         return q.mapInPandas(score, KNN_SCHEMA)
 
     n_q = q.count()
-    br = max(1, math.ceil(n_ref / block_rows))
-    bq = max(1, math.ceil(n_q / block_rows))
+    # blocks of at least block_rows rows, at most max_blocks per side: every
+    # row is copied to at most max_blocks block pairs, and a pair task holds
+    # one query block and one reference block (scored in row chunks)
+    br = max(1, min(max_blocks, math.ceil(n_ref / block_rows)))
+    bq = max(1, min(max_blocks, math.ceil(n_q / block_rows)))
     qx = q.withColumn("qb", F.pmod(F.xxhash64("key"), F.lit(bq))).withColumn(
         "rb", F.explode(F.sequence(F.lit(0), F.lit(br - 1)))
     )
