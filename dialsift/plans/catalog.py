@@ -6,19 +6,30 @@ Every query reads whole driver tables (or data Spark derives from them).
 
 from __future__ import annotations
 
+import uuid as _uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import BUSINESS_STRATEGY, RANDOM_STRATEGY
 from ..functions.exprs import uniform
-from ..operators import ranking
-from ..sources.attempts import attempts
+from ..models import registry as zoo_registry
+from ..models import runner as zoo_runner
+from ..models import tuning as zoo_tuning
+from ..operators import clean, features, metrics, ranking, resample, sampling, selection, stats
+from ..operators import knn as knn_op
 from ..session import ensure_checkpoint_dir, tune_session
+from ..session import ensure_checkpoint_dir as _ensure_ckpt
+from ..sources.attempts import attempts
+from ..sources.delimited import read_delimited, write_delimited
 from ..sources.tables import read_table
 from . import oracle
-from .prepare import ranking_input
+from .evaluate import evaluate as _evaluate
+from .prepare import encoded, feature_table, ranking_input
+from .prepare import prepare as _prepare
+from .prepare import split_and_scale as _split_and_scale
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -154,10 +165,7 @@ def q_progress_band(spark, sf_dir):
 
 # ------------------------------------------------------------------ cleaning and features (B, C)
 
-from pyspark.sql import types as T  # noqa: E402
 
-from ..operators import clean, features, sampling, stats  # noqa: E402
-from .prepare import encoded, feature_table  # noqa: E402
 
 
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -384,7 +392,6 @@ def q_standardize(spark, sf_dir):
 
 # ------------------------------------------------------------------ metrics and selection (G, H)
 
-from ..operators import metrics, selection  # noqa: E402
 
 # Fixed parameters of the rule runs: each strategy predicts "contact" above these cut-offs.
 RULE_CUTS = {
@@ -528,8 +535,6 @@ def q_best_summary(spark, sf_dir):
 
 # ------------------------------------------------------------------ neighbours and resampling
 
-from ..operators import knn as knn_op  # noqa: E402
-from ..operators import resample  # noqa: E402
 
 RESAMPLE_SEED = 42
 U = oracle.uniform_sql
@@ -663,9 +668,6 @@ def q_balanced_datasets(spark, sf_dir):
 
 # ------------------------------------------------------------------ model zoo, scoring and tuning (F, H4-H5); rows-only checks
 
-from ..models import registry as zoo_registry  # noqa: E402
-from ..models import runner as zoo_runner  # noqa: E402
-from ..models import tuning as zoo_tuning  # noqa: E402
 
 
 def _zoo(spark, sf_dir, models=None, dataset_names=None):
@@ -698,10 +700,7 @@ def q_tune_best(spark, sf_dir):
 
 # ------------------------------------------------------------------ sources (A1)
 
-import uuid as _uuid  # noqa: E402
 
-from ..session import ensure_checkpoint_dir as _ensure_ckpt  # noqa: E402
-from ..sources.delimited import read_delimited, write_delimited  # noqa: E402
 
 
 @register("scan_delimited", oracle.with_(oracle.attempts_sql()) + "SELECT * FROM attempts")
@@ -716,7 +715,6 @@ def q_scan_delimited(spark, sf_dir):
 
 # ------------------------------------------------------------------ prepared train/test view (A2, Q1 end to end)
 
-from .prepare import prepare as _prepare, split_and_scale as _split_and_scale  # noqa: E402
 
 
 def _train_test_sql() -> str:
@@ -779,7 +777,6 @@ def q_tune_model(spark, sf_dir):
 
 # ------------------------------------------------------------------ the three stages end to end (Q1 -> Q2 -> Q3); rows-only
 
-from .evaluate import evaluate as _evaluate  # noqa: E402
 
 
 @register("evaluation_business_metrics")

@@ -40,3 +40,31 @@ def test_select_best_fallback(spark):
     picks = {r["tipo"]: r["run_id"] for r in selection.select_best(lb).collect()}
     # no run reaches precision 0.10 -> plain max recall among the rest; error rows never picked
     assert picks == {"Balanceado": 1, "Alto_Recall": 2, "Conservador": 3}
+
+
+def test_business_score_rules(spark):
+    """A missing dependent column contributes 0; S16: min-max with +1e-6."""
+    df = spark.createDataFrame([(1, 10.0, 20.0), (2, 30.0, 60.0), (3, 20.0, 40.0)],
+                               "k long, capitalactualsol double, Edad double")
+    got = {r["k"]: r["score"] for r in ranking.business_score(df, dependent_col="FLAG_DEPENDIENTE").collect()}
+    assert got[1] == 0.0
+    assert abs(got[2] - (0.5 * 20 / (20 + 1e-6) + 0.3 * 40 / (40 + 1e-6))) < 1e-12
+    with_dep = df.withColumn("dep", F.lit(1))
+    got2 = {r["k"]: r["score"] for r in ranking.business_score(with_dep, dependent_col="dep").collect()}
+    assert abs(got2[1] - 0.2) < 1e-12
+
+
+def test_frames_when_fewer_rows_than_frames(spark):
+    """idx = min(int(f/F·N), N-1); with N < F frames repeat rows, the last frame is the last row."""
+    sc = _scores(spark, [("s", k, float(-k), int(k % 2 == 0)) for k in range(7)])
+    fr = ranking.curve_frames(sc, fps=2, seconds=5).orderBy("frame").collect()
+    assert len(fr) == 10
+    assert [r["llamadas"] for r in fr] == [min(int(f / 10 * 7), 6) + 1 for f in range(10)]
+    assert fr[-1]["pct_contactos"] == 100.0
+    bands = ranking.progress_band(ranking.curve_frames(sc, fps=2, seconds=5)).orderBy("frame").collect()
+    assert bands[-1]["estado"] == "COMPLETADO" and bands[-1]["banda"] == 12
+
+
+def test_improvement_needs_random_baseline(spark):
+    sc = _scores(spark, [("m", k, float(k), int(k % 3 == 0)) for k in range(30)])
+    assert ranking.improvement_all(sc).count() == 0  # no 'Aleatorio' rows: nothing to compare (I9)
