@@ -63,7 +63,8 @@ def register(name: str, sql: str | None = None):
 def attempt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three strategies over all attempts: the business rule, the seeded
     random order and a recency rule (newest debt first, many ties)."""
-    df = ranking.business_score(ranking_input(spark, sf_dir), out_col="_biz")
+    cols = ["CODIGO", "CD", "capitalactualsol", "Edad", "dias_mora_cartera"]
+    df = ranking.business_score(ranking_input(spark, sf_dir, cols), out_col="_biz")
     return ranking.scores_table(
         df,
         "CODIGO",

@@ -16,10 +16,14 @@ from ..session import ensure_checkpoint_dir
 from ..sources.attempts import attempts
 
 
-def ranking_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ranking_input(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
     """Attempts with categories and medians filled (B2, B3): the table the
-    business rule scores."""
+    business rule scores. With ``columns`` only those are kept, and that
+    narrow table is materialised once before the median fit reads it."""
     df = attempts(spark, sf_dir)
+    if columns is not None:
+        ensure_checkpoint_dir(spark)
+        df = df.select(*columns).checkpoint(eager=True)
     df = clean.fill_category(df)
     return clean.fill_median(df)
 
