@@ -23,7 +23,7 @@ def get_session(master: str | None = None, app: str = "dialsift", shuffle_partit
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("DIALSIFT_DRIVER_MEMORY", "16g"))
         # checkpoint files of slice ranks and fitted tables go away once unused
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", os.environ.get("DIALSIFT_CLEAN_CHECKPOINTS", "true"))
     )
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
