@@ -78,6 +78,6 @@ def ship_package(spark: SparkSession) -> None:
         return
     here = os.path.dirname(os.path.abspath(__file__))
     if os.path.isdir(here):  # a package that already comes out of an archive was shipped as one
-        base = os.path.join(tempfile.mkdtemp(prefix="dialsift-ship-"), "dialsift")
+        base = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="dialsift-ship-")), "dialsift")
         sc.addPyFile(shutil.make_archive(base, "zip", os.path.dirname(here), os.path.basename(here)))
     _SHIPPED.add(sc.applicationId)
