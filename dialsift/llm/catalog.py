@@ -8,24 +8,55 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle
+from .bpe_codec import decode, encode
+from .chat import CHATML, format_conversations, read_back
 from .common import table
 from .line_dedup import line_dedup
+from .token_counts import count_tokens
+
+CONTEXT_TOKENS = 1024
 
 
 def utf8_sha256(column):
     return F.sha2(F.coalesce(F.col(column), F.lit("")).cast("binary"), 256)
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = f"{CHATML.close.strip()}{CHATML.opening}assistant ok"
+    extra = spark.range(1).select(F.explode(F.array(
+        *(F.struct(F.lit(-1).cast("long").alias("conv_id"), F.lit(n).alias("turn"), F.lit(role).alias("role"), F.lit(marks).alias("text"))
+          for n, role in enumerate(("user", "assistant"))))).alias("x")).select("x.*")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return read_back(format_conversations(turns))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = count_tokens(table(spark, sf_dir, "documents"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > CONTEXT_TOKENS)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup(docs, min_docs=10).select(
         "doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", utf8_sha256("text").alias("kept_sha256"))
 
 
+def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "ids"))
+    return decoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        utf8_sha256("decoded").alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_chat_format": op3_chat_format,
+    "op4_token_counts": op4_token_counts,
     "op8_line_dedup": op8_line_dedup,
+    "op9_bpe_codec": op9_bpe_codec,
 }
 
 ORACLE: dict[str, str] = {
+    "op3_chat_format": oracle.CHAT_FORMAT,
     "op8_line_dedup": oracle.LINE_DEDUP,
 }
