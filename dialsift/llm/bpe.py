@@ -19,6 +19,19 @@ DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 
 # Fixed value: the published pattern that splits text before byte-level merges.
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+# Letters and digits of Unicode 17, which the tokenizers library (Unicode 16) takes as neither.
+NEWER = regex.compile(
+    "[\u0558\u058B-\u058C\u088F\u0C5C\u0CDC\u208F\u209D-\u209F\uA7CE-\uA7CF\uA7D2\uA7D4\uA7DD\uA7E2\uA7F1\uAB6C-\uAB6D"
+    "\U000107BB-\U000107BF\U00010940-\U00010959\U00010EC5-\U00010EC7\U00010ED9-\U00010EEE\U00011B0A\U00011DB0-\U00011DDB"
+    "\U00011DE0-\U00011DE9\U00011DF1\U0001246F\U00012475-\U0001247F\U00012550-\U00012686\U00016EA0-\U00016EB8"
+    "\U00016EBB-\U00016ED3\U00016FF2-\U00016FF6\U000187F8-\U000187FF\U00018CD6-\U00018CDA\U00018D09-\U00018D20"
+    "\U00018D80-\U00018DF2\U00018E00-\U00019191\U000191A0-\U000191D2\U0001B123-\U0001B128\U0001B168\U0001D6A6"
+    "\U0001DF1F-\U0001DF24\U0001DF2B-\U0001DF81\U0001DF90-\U0001DF96\U0001DFCD-\U0001DFFF\U0001E6C0-\U0001E6DE"
+    "\U0001E6E0-\U0001E6E2\U0001E6E4-\U0001E6E5\U0001E6E7-\U0001E6ED\U0001E6F0-\U0001E6F4\U0001E6FE-\U0001E6FF"
+    "\U0002B73A-\U0002B73F\U0002B81E\U0002CEA2-\U0002CEAD\U000323B0-\U00033479\U0003D000-\U0003FC3F]")
+PRE_TOKEN_16 = regex.compile(
+    rf"'s|'t|'re|'ve|'m|'ll|'d| ?[\p{{L}}--{NEWER.pattern}]+| ?[\p{{N}}--{NEWER.pattern}]+| ?(?:[^\s\p{{L}}\p{{N}}]|{NEWER.pattern})+|\s+(?!\S)|\s+",
+    regex.V1)
 LONG = 48  # symbols from which merging uses a heap
 
 
@@ -63,17 +76,26 @@ class Bpe:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
 
+    def _split(self, text: str) -> list[str]:
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                if NEWER.search(text):
+                    return PRE_TOKEN_16.findall(text)
+        return PRE_TOKEN.findall(text)
+
     def words(self, text: str) -> list[str | int]:
         """Pre-tokens in order; a special string of the vocabulary is its id."""
         if self.split_special is None or not self.split_special.search(text):
-            return PRE_TOKEN.findall(text)
+            return self._split(text)
         out: list[str | int] = []
         at = 0
         for m in self.split_special.finditer(text):
-            out += PRE_TOKEN.findall(text[at : m.start()])
+            out += self._split(text[at : m.start()])
             out.append(self.special[m.group()])
             at = m.end()
-        return out + PRE_TOKEN.findall(text[at:])
+        return out + self._split(text[at:])
 
     def merge(self, word: str) -> list[int]:
         """Ids of one pre-token: always the lowest-ranked pair first, leftmost among equals."""
