@@ -12,6 +12,7 @@ from .bpe_codec import decode, encode
 from .chat import CHATML, format_conversations, read_back
 from .common import table
 from .line_dedup import line_dedup
+from .simhash import simhash_classes
 from .token_counts import count_tokens
 
 CONTEXT_TOKENS = 1024
@@ -21,6 +22,11 @@ def utf8_sha256(column):
     return F.sha2(F.coalesce(F.col(column), F.lit("")).cast("binary"), 256)
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = simhash_classes(table(spark, sf_dir, "documents"))
+    return classes.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = f"{CHATML.close.strip()}{CHATML.opening}assistant ok"
     extra = spark.range(1).select(F.explode(F.array(
@@ -50,6 +56,7 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_simhash": op2_simhash,
     "op3_chat_format": op3_chat_format,
     "op4_token_counts": op4_token_counts,
     "op8_line_dedup": op8_line_dedup,
