@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import oracle
+from . import oracle, quality, toxicity
 from .bpe_codec import decode, encode
 from .chat import CHATML, format_conversations, read_back
 from .common import table
@@ -16,12 +16,20 @@ from .simhash import simhash_classes
 from .token_counts import count_tokens
 
 CONTEXT_TOKENS = 1024
+KEEP_PROBABILITY = 0.5
+HELD_OUT = "pmod(crc32(cast(cast(doc_id AS string) AS binary)), 5) = 0"
 
 
 def utf8_sha256(column):
     return F.sha2(F.coalesce(F.col(column), F.lit("")).cast("binary"), 256)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", "quality_score.*", (F.col("quality_score.tail_probability") >= KEEP_PROBABILITY).alias("keep"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = simhash_classes(table(spark, sf_dir, "documents"))
     return classes.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -41,6 +49,13 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > CONTEXT_TOKENS)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(f"NOT ({HELD_OUT})"))
+    scored = toxicity.score(docs, model, out_col="score")
+    return scored.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup(docs, min_docs=10).select(
@@ -56,9 +71,11 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_simhash": op2_simhash,
     "op3_chat_format": op3_chat_format,
     "op4_token_counts": op4_token_counts,
+    "op7_toxicity": op7_toxicity,
     "op8_line_dedup": op8_line_dedup,
     "op9_bpe_codec": op9_bpe_codec,
 }
