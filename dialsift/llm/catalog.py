@@ -11,7 +11,9 @@ from . import oracle, quality, toxicity
 from .bpe_codec import decode, encode
 from .chat import CHATML, format_conversations, read_back
 from .common import table
+from .decontaminate import find_leaks
 from .line_dedup import line_dedup
+from .minhash import fingerprint_documents
 from .simhash import simhash_classes
 from .token_counts import count_tokens
 
@@ -49,6 +51,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > CONTEXT_TOKENS)
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(f"NOT ({HELD_OUT})"))
@@ -70,14 +76,23 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
         utf8_sha256("decoded").alias("decoded_sha256"))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and test item that it holds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_leaks(docs, table(spark, sf_dir, "benchmark")).filter(F.size("leaks") > 0)
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*", F.lit(True).alias("contaminated"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_simhash": op2_simhash,
     "op3_chat_format": op3_chat_format,
     "op4_token_counts": op4_token_counts,
+    "op5_minhash": op5_minhash,
     "op7_toxicity": op7_toxicity,
     "op8_line_dedup": op8_line_dedup,
     "op9_bpe_codec": op9_bpe_codec,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLE: dict[str, str] = {
