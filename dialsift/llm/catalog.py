@@ -15,6 +15,7 @@ from .decontaminate import find_leaks
 from .line_dedup import line_dedup
 from .minhash import fingerprint_documents
 from .simhash import simhash_classes
+from .substring_dedup import substring_dedup
 from .token_counts import count_tokens
 
 CONTEXT_TOKENS = 1024
@@ -55,6 +56,11 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), out_col="cut")
+    return cut.select("doc_id", "cut.n_bytes", "cut.n_removed", "cut.n_spans", F.sha2("cut.kept", 256).alias("kept_sha256"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(f"NOT ({HELD_OUT})"))
@@ -89,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_format": op3_chat_format,
     "op4_token_counts": op4_token_counts,
     "op5_minhash": op5_minhash,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_line_dedup": op8_line_dedup,
     "op9_bpe_codec": op9_bpe_codec,
