@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 # Fixed values that must equal the reference's for the same results.
 PERIODS = ("3UM", "6UM", "9UM", "12UM")
@@ -22,20 +22,22 @@ RANDOM_STRATEGY = "Aleatorio"
 BUSINESS_STRATEGY = "Criterio_Empresarial"
 
 
+FEATURE_TYPES = ("ratio", "trend", "density", "interaction", "aggregation")
+
+
 @dataclass
 class RunConfig:
+    """Settings of prepare and evaluate; the defaults are the reference's."""
+
     seed: int = 42
     target: str = "CD"
     key: str = "CODIGO"
     test_size: float = 0.2
     stratify: bool = True
+    feature_types: tuple[str, ...] = FEATURE_TYPES  # () switches feature engineering off
+    fit_on: str = "all"  # imputation, categories and pruning fitted on "all" rows or on "train" rows only
     undersample_ratio: float = 0.5
     smote_k: int = 5
-    adasyn_k: int = 5
-    cv_folds: int = 2
-    tuning_iter: int = 4
-    profile: str = "smoke"  # "smoke" or "full"
-    fit_stats_on: str = "all"  # imputation/pruning fitted on "all" rows (reference) or "train"
-    knn_broadcast_limit: int = 50_000
-    zoo_parallelism: int = 2
-    extra: dict = field(default_factory=dict)
+    cv_folds: int = 2  # of the tuning of the three picks
+    tuning_iter: int = 150
+    zoo_parallelism: int = 4

@@ -1,9 +1,7 @@
 """The model zoo (F1-F22) as Spark ML jobs.
 
-Every entry builds a fitter ``fit(train) -> scorer`` where ``train`` has
-``key, label, weight, features`` (``features`` a VectorUDT) and
-``scorer(df)`` adds ``score`` (probability of class 1, else the decision
-value, else the label, F24) and ``prediction``. Fits are distributed Spark ML
+Every entry builds a fitter ``fit(train) -> FittedModel`` where ``train`` has
+``key, label, weight, features`` (``features`` a VectorUDT). Fits are distributed Spark ML
 jobs; the few closed forms (LDA/QDA, SAMME weights) aggregate moments on the
 executors and solve a d×d system on the driver.
 
@@ -14,9 +12,10 @@ defaults; Approx = nearest Spark construction.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -30,13 +29,29 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.feature import Binarizer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.ml.util import DefaultParamsReader
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-Scorer = Callable[[DataFrame], DataFrame]
+from ..session import write_shared
+
+@dataclass(frozen=True)
+class ModelSizes:
+    """Upper limits on the sizes of the zoo's models. ``None`` is the reference's
+    size; a caller that wants a shorter run passes its limits explicitly."""
+
+    trees: int | None = None
+    depth: int | None = None
+    rounds: int | None = None
+    iterations: int | None = None
+    bags: int | None = None
+
+    def limit(self, kind: str, full: int) -> int:
+        most = getattr(self, kind)
+        return full if most is None else min(full, most)
 
 
 @dataclass
@@ -45,44 +60,77 @@ class FitContext:
     n_features: int
     scale_pos_weight: float
     seed: int = 73
-    profile: str = "smoke"  # "smoke": few trees / iterations; "full": the reference's sizes
+    sizes: ModelSizes = field(default_factory=ModelSizes)
+
+    def size(self, kind: str, full: int) -> int:
+        return self.sizes.limit(kind, full)
+
+
+@dataclass
+class FittedModel:
+    """A fitted zoo model: Spark ML parts, plain parameters and, for kNN, its training table.
+
+    ``transform(df)`` adds ``score`` (probability of class 1, else the decision
+    value, else the label, F24) and ``prediction``; ``save``/``load`` keep it in a folder."""
+
+    kind: str
+    models: list = field(default_factory=list)
+    params: dict = field(default_factory=dict)
+    table: DataFrame | None = None
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return SCORERS[self.kind](self, df)
+
+    __call__ = transform
 
-    def size(self, full: int, smoke: int) -> int:
-        return full if self.profile == "full" else smoke
+    def save(self, path: str) -> None:
+        spark = SparkSession.getActiveSession()
+        meta = json.dumps({"kind": self.kind, "params": self.params, "models": len(self.models), "table": self.table is not None})
+        spark.createDataFrame([(meta,)], "meta string").coalesce(1).write.text(f"{path}/meta")
+        for k, m in enumerate(self.models):
+            m.save(f"{path}/model-{k}")
+        if self.table is not None:
+            self.table.write.parquet(f"{path}/table")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> FittedModel:
+        meta = json.loads(spark.read.text(f"{path}/meta").first()["value"])
+        models = [DefaultParamsReader.loadParamsInstance(f"{path}/model-{k}", spark) for k in range(meta["models"])]
+        return cls(meta["kind"], models, meta["params"], spark.read.parquet(f"{path}/table") if meta["table"] else None)
 
 
 @dataclass
 class ModelSpec:
     name: str
     categoria: str
-    build: Callable[[FitContext], Callable[[DataFrame], Scorer]]
+    build: Callable[[FitContext], Callable[[DataFrame], FittedModel]]
     fidelity: str = "Family"
 
 
-def _score_from_ml(model, has_prob: bool = True) -> Scorer:
+def _score_ml(fitted: FittedModel, df: DataFrame) -> DataFrame:
     """probability[1] -> rawPrediction[1] -> prediction."""
+    out = fitted.models[0].transform(df)
+    cols = set(out.columns)
+    if fitted.params.get("has_prob", True) and "probability" in cols:
+        s = vector_to_array("probability")[1]
+    elif "rawPrediction" in cols:
+        s = vector_to_array("rawPrediction")[1]
+    else:
+        s = F.col("prediction")
+    return out.withColumn("score", s.cast("double")).withColumn("prediction", F.col("prediction").cast("int"))
 
-    def scorer(df: DataFrame) -> DataFrame:
-        out = model.transform(df)
-        cols = set(out.columns)
-        if has_prob and "probability" in cols:
-            s = vector_to_array("probability")[1]
-        elif "rawPrediction" in cols:
-            s = vector_to_array("rawPrediction")[1]
-        else:
-            s = F.col("prediction")
-        return out.withColumn("score", s.cast("double")).withColumn("prediction", F.col("prediction").cast("int"))
 
-    return scorer
+def fitted_ml(model, has_prob: bool = True) -> FittedModel:
+    return FittedModel("ml", [model], {"has_prob": has_prob})
 
 
 def _ml(est_factory, weighted: bool = False, has_prob: bool = True):
     def build(ctx: FitContext):
-        def fit(train: DataFrame) -> Scorer:
+        def fit(train: DataFrame) -> FittedModel:
             est = est_factory(ctx)
             if weighted:
                 est = est.setWeightCol("weight")
-            return _score_from_ml(est.fit(train), has_prob)
+            return fitted_ml(est.fit(train), has_prob)
 
         return fit
 
@@ -97,45 +145,45 @@ def _ridge(ctx: FitContext):
     labels; Spark's objective 1/(2n)·Σw(y-xb)² + λ/2|b|² equals sklearn's with
     λ = 1/n. Score = decision value, class = score > 0. Exact."""
 
-    def fit(train: DataFrame) -> Scorer:
+    def fit(train: DataFrame) -> FittedModel:
         t = train.withColumn("_pm", F.col("label") * F.lit(2.0) - F.lit(1.0))
         m = LinearRegression(featuresCol="features", labelCol="_pm", weightCol="weight",
                              regParam=1.0 / max(1, ctx.n_train), elasticNetParam=0.0, standardization=False,
                              solver="normal").fit(t)
 
-        def scorer(df):
-            out = m.transform(df).withColumnRenamed("prediction", "score")
-            return out.withColumn("prediction", (F.col("score") > 0).cast("int"))
-
-        return scorer
+        return FittedModel("decision", [m])
 
     return fit
 
 
+def _score_decision(fitted: FittedModel, df: DataFrame) -> DataFrame:
+    out = fitted.models[0].transform(df).withColumnRenamed("prediction", "score")
+    return out.withColumn("prediction", (F.col("score") > 0).cast("int"))
+
+
 def _platt_svc(ctx: FitContext):
     """F8 SVC(kernel='linear', probability=True): linear SVM margin calibrated
     by a one-feature logistic regression (Platt scaling). Family."""
 
-    def fit(train: DataFrame) -> Scorer:
-        from pyspark.ml.feature import VectorAssembler
+    def fit(train: DataFrame) -> FittedModel:
+        svm = LinearSVC(featuresCol="features", labelCol="label", weightCol="weight", standardization=False,
+                        regParam=1.0 / max(1, ctx.n_train), maxIter=ctx.size("iterations", 1000)).fit(train)
+        margin = svm.transform(train).select("label", _margin_vector())
+        cal = LogisticRegression(featuresCol="_mf", labelCol="label", maxIter=100).fit(margin)
+        return FittedModel("platt", [svm, cal])
 
-        svm = LinearSVC(featuresCol="features", labelCol="label", weightCol="weight",
-                        regParam=1.0 / max(1, ctx.n_train), maxIter=ctx.size(1000, 50)).fit(train)
-        margin = svm.transform(train).select("label", vector_to_array("rawPrediction")[1].alias("_m"))
-        va = VectorAssembler(inputCols=["_m"], outputCol="_mf")
-        cal = LogisticRegression(featuresCol="_mf", labelCol="label", maxIter=100).fit(va.transform(margin))
+    return fit
 
-        def scorer(df):
-            out = svm.transform(df).withColumn("_m", vector_to_array("rawPrediction")[1])
-            out = out.drop("probability", "prediction").withColumnRenamed("rawPrediction", "_svm_raw")
-            out = cal.transform(va.transform(out))
-            return out.withColumn("score", vector_to_array("probability")[1]).withColumn(
-                "prediction", F.col("prediction").cast("int")
-            )
 
-        return scorer
+def _margin_vector():
+    return array_to_vector(F.array(vector_to_array("rawPrediction")[1])).alias("_mf")
 
-    return fit
+
+def _score_platt(fitted: FittedModel, df: DataFrame) -> DataFrame:
+    svm, cal = fitted.models
+    out = svm.transform(df).withColumn("_mf", _margin_vector()).drop("probability", "prediction", "rawPrediction")
+    out = cal.transform(out)
+    return out.withColumn("score", vector_to_array("probability")[1]).withColumn("prediction", F.col("prediction").cast("int"))
 
 
 def class_moments(train: DataFrame, d: int) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
@@ -170,7 +218,7 @@ def _discriminant(quadratic: bool):
     batch. Exact (up to the covariance regulariser 1e-9·I)."""
 
     def build(ctx: FitContext):
-        def fit(train: DataFrame) -> Scorer:
+        def fit(train: DataFrame) -> FittedModel:
             d = ctx.n_features
             mom = class_moments(train, d)
             n0, s0, ss0 = mom.get(0, (0.0, np.zeros(d), np.zeros((d, d))))
@@ -186,71 +234,69 @@ def _discriminant(quadratic: bool):
                 cov = (c0 + c1) / max(1.0, n0 + n1 - 2) + eye
                 w = np.linalg.solve(cov, m1 - m0)
                 b = -0.5 * float((m1 + m0) @ w) + prior
-                params = ("lda", w, b)
-            else:
-                k0 = c0 / max(1.0, n0 - 1) + eye
-                k1 = c1 / max(1.0, n1 - 1) + eye
-                i0, i1 = np.linalg.inv(k0), np.linalg.inv(k1)
-                ld = np.linalg.slogdet(k0)[1] - np.linalg.slogdet(k1)[1]
-                params = ("qda", (m0, m1, i0, i1, 0.5 * ld + prior), None)
-            sc = train.sparkSession.sparkContext.broadcast(params)
-
-            @F.pandas_udf(T.DoubleType())
-            def logit(x: pd.Series) -> pd.Series:
-                kind, p, b = sc.value
-                X = np.stack(x.to_numpy()).astype(np.float64) if len(x) else np.zeros((0, d))
-                if kind == "lda":
-                    z = X @ p + b
-                else:
-                    m0, m1, i0, i1, c = p
-                    a0, a1 = X - m0, X - m1
-                    z = 0.5 * np.einsum("ij,jk,ik->i", a0, i0, a0) - 0.5 * np.einsum("ij,jk,ik->i", a1, i1, a1) + c
-                return pd.Series(1.0 / (1.0 + np.exp(-np.clip(z, -700, 700))))
-
-            def scorer(df):
-                out = df.withColumn("score", logit(vector_to_array("features")))
-                return out.withColumn("prediction", (F.col("score") > 0.5).cast("int"))
-
-            return scorer
+                return FittedModel("discriminant", params={"w": w.tolist(), "b": b})
+            k0 = c0 / max(1.0, n0 - 1) + eye
+            k1 = c1 / max(1.0, n1 - 1) + eye
+            ld = np.linalg.slogdet(k0)[1] - np.linalg.slogdet(k1)[1]
+            return FittedModel("discriminant", params={
+                "m0": m0.tolist(), "m1": m1.tolist(), "i0": np.linalg.inv(k0).tolist(), "i1": np.linalg.inv(k1).tolist(),
+                "c": float(0.5 * ld + prior)})
 
         return fit
 
     return build
 
 
+def _score_discriminant(fitted: FittedModel, df: DataFrame) -> DataFrame:
+    ref = df.sparkSession.sparkContext.broadcast({k: np.asarray(v) for k, v in fitted.params.items()})  # d x d numbers
+
+    @F.pandas_udf(T.DoubleType())
+    def posterior(x: pd.Series) -> pd.Series:
+        p = ref.value
+        if not len(x):
+            return pd.Series([], dtype="float64")
+        X = np.stack(x.to_numpy()).astype(np.float64)
+        if "w" in p:
+            z = X @ p["w"] + p["b"]
+        else:
+            a0, a1 = X - p["m0"], X - p["m1"]
+            z = 0.5 * ((a0 @ p["i0"]) * a0).sum(1) - 0.5 * ((a1 @ p["i1"]) * a1).sum(1) + p["c"]
+        return pd.Series(1.0 / (1.0 + np.exp(-np.clip(z, -700, 700))))
+
+    out = df.withColumn("score", posterior(vector_to_array("features")))
+    return out.withColumn("prediction", (F.col("score") > 0.5).cast("int"))
+
+
 def _knn_model(k: int):
     """F9 KNeighborsClassifier(k): exact kNN of each scored row among the
     training rows (E4); score = share of positive neighbours. Exact."""
 
     def build(ctx: FitContext):
-        def fit(train: DataFrame) -> Scorer:
-            from ..operators.knn import knn
+        def fit(train: DataFrame) -> FittedModel:
+            return FittedModel("knn", params={"k": k}, table=train.select("key", vector_to_array("features").alias("vec"), "label"))
 
-            tr = train.select("key", vector_to_array("features").alias("vec"), "label")
+        return fit
 
-            def scorer(df):
-                q = df.select("key", vector_to_array("features").alias("vec"))
-                nn = knn(q, tr, k, exclude_self=False)
-                s = nn.join(tr.select(F.col("key").alias("neighbour"), "label"), "neighbour").groupBy("key").agg(
-                    F.avg("label").alias("score")
-                )
-                return df.join(s, "key", "left").withColumn("prediction", (F.col("score") > 0.5).cast("int"))
+    return build
 
-            return scorer
 
-        return fit
+def _score_knn(fitted: FittedModel, df: DataFrame) -> DataFrame:
+    from ..operators.knn import knn
 
-    return build
+    q = df.select("key", vector_to_array("features").alias("vec"))
+    nn = knn(q, fitted.table, fitted.params["k"], exclude_self=False)
+    s = nn.join(fitted.table.select(F.col("key").alias("neighbour"), "label"), "neighbour").groupBy("key").agg(F.avg("label").alias("score"))
+    return df.join(s, "key", "left").withColumn("prediction", (F.col("score") > 0.5).cast("int"))
 
 
 def _adaboost(ctx: FitContext):
     """F15 AdaBoost(SAMME) over depth-1 trees: each round one weighted Spark
     stump fit, one aggregate for the weighted error, a column update of the
-    weights; the training table is checkpointed every 10 rounds so the
-    lineage stays short. Stops at error 0 or >= 0.5. Exact algorithm."""
+    weights, which are written to the shared folder every 5 rounds so that a round
+    recomputes few projections. Stops at error 0 or >= 0.5. Exact algorithm."""
 
-    def fit(train: DataFrame) -> Scorer:
-        rounds = ctx.size(200, 10)
+    def fit(train: DataFrame) -> FittedModel:
+        rounds = ctx.size("rounds", 200)
         cur = train.withColumn("_w", F.lit(1.0) / F.lit(float(ctx.n_train)))
         stumps: list[tuple[float, object]] = []
         for t in range(rounds):
@@ -267,74 +313,64 @@ def _adaboost(ctx: FitContext):
             alpha = math.log((1 - err) / err)
             stumps.append((alpha, st))
             cur = pred.withColumn("_w", F.col("_w") * F.exp(F.lit(alpha) * F.col("_miss"))).select(*train.columns, "_w")
-            if (t + 1) % 10 == 0:
-                cur = cur.checkpoint(eager=True)
+            if (t + 1) % 5 == 0:
+                cur = write_shared(cur, "adaboost")
         if not stumps:
             raise ValueError("AdaBoost: first stump already has error >= 0.5")
 
-        def scorer(df):
-            # every stump adds its own prediction column: a chain of projections, no joins
-            out = df
-            total = F.lit(0.0)
-            norm = sum(a for a, _ in stumps)
-            tmp = []
-            for i, (a, st) in enumerate(stumps):
-                m = st.copy().setPredictionCol(f"_p{i}").setRawPredictionCol(f"_r{i}").setProbabilityCol(f"_q{i}")
-                out = m.transform(out).drop(f"_r{i}", f"_q{i}")
-                total = total + F.lit(a) * (F.col(f"_p{i}") * F.lit(2.0) - F.lit(1.0))
-                tmp.append(f"_p{i}")
-            out = out.withColumn("score", (total / F.lit(norm) + F.lit(1.0)) / F.lit(2.0))
-            return out.withColumn("prediction", (F.col("score") > 0.5).cast("int")).drop(*tmp)
-
-        return scorer
+        return FittedModel("stumps", [st for _, st in stumps], {"alphas": [a for a, _ in stumps]})
 
     return fit
 
 
+def _score_stumps(fitted: FittedModel, df: DataFrame) -> DataFrame:
+    """Every stump adds its own prediction column: a chain of projections, no joins."""
+    out, total, alphas, tmp = df, F.lit(0.0), fitted.params["alphas"], []
+    for i, (a, st) in enumerate(zip(alphas, fitted.models, strict=True)):
+        m = st.copy().setPredictionCol(f"_p{i}").setRawPredictionCol(f"_r{i}").setProbabilityCol(f"_q{i}")
+        out = m.transform(out).drop(f"_r{i}", f"_q{i}")
+        total = total + F.lit(a) * (F.col(f"_p{i}") * F.lit(2.0) - F.lit(1.0))
+        tmp.append(f"_p{i}")
+    out = out.withColumn("score", (total / F.lit(sum(alphas)) + F.lit(1.0)) / F.lit(2.0))
+    return out.withColumn("prediction", (F.col("score") > 0.5).cast("int")).drop(*tmp)
+
+
 def _balanced_rf(ctx: FitContext):
     """F22 BalancedRandomForest: bags of class-balanced undersamples (ratio
     1.0, one seed per bag), a small forest per bag, mean probability. Approx."""
 
-    def fit(train: DataFrame) -> Scorer:
-        from ..operators.sampling import random_undersample
-
-        bags = ctx.size(10, 3)
-        models = []
-        for b in range(bags):
-            sub = random_undersample(train, "key", "label", 1.0, ctx.seed + b, tag=f"brf{b}")
-            rf = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=ctx.size(10, 5),
-                                        maxDepth=ctx.size(10, 5), seed=ctx.seed + b)
-            models.append(rf.fit(sub))
-
-        def scorer(df):
-            out = df
-            parts = []
-            for i, m in enumerate(models):
-                mm = m.copy().setPredictionCol(f"_y{i}").setRawPredictionCol(f"_r{i}").setProbabilityCol(f"_q{i}")
-                out = mm.transform(out).withColumn(f"_p{i}", vector_to_array(f"_q{i}")[1]).drop(
-                    f"_y{i}", f"_r{i}", f"_q{i}")
-                parts.append(F.col(f"_p{i}"))
-            s = parts[0]
-            for p in parts[1:]:
-                s = s + p
-            out = out.withColumn("score", s / F.lit(float(len(parts))))
-            return out.withColumn("prediction", (F.col("score") > 0.5).cast("int")).drop(
-                *[f"_p{i}" for i in range(len(models))]
-            )
-
-        return scorer
+    return lambda train: balanced_forest(train, ctx.size("bags", 10), ctx.seed,
+                                         {"numTrees": ctx.size("trees", 10), "maxDepth": ctx.size("depth", 10)})
 
-    return fit
+
+def balanced_forest(train: DataFrame, bags: int, seed: int, forest: dict) -> FittedModel:
+    from ..operators.sampling import random_undersample
+
+    models = []
+    for b in range(bags):
+        sub = random_undersample(train, "key", "label", 1.0, seed + b, tag=f"brf{b}")
+        models.append(RandomForestClassifier(featuresCol="features", labelCol="label", seed=seed + b, **forest).fit(sub))
+    return FittedModel("bags", models)
+
+
+def _score_bags(fitted: FittedModel, df: DataFrame) -> DataFrame:
+    out, parts = df, []
+    for i, m in enumerate(fitted.models):
+        mm = m.copy().setPredictionCol(f"_y{i}").setRawPredictionCol(f"_r{i}").setProbabilityCol(f"_q{i}")
+        out = mm.transform(out).withColumn(f"_p{i}", vector_to_array(f"_q{i}")[1]).drop(f"_y{i}", f"_r{i}", f"_q{i}")
+        parts.append(F.col(f"_p{i}"))
+    out = out.withColumn("score", sum(parts[1:], parts[0]) / F.lit(float(len(parts))))
+    return out.withColumn("prediction", (F.col("score") > 0.5).cast("int")).drop(*[f"_p{i}" for i in range(len(parts))])
 
 
 def _pos_weighted(build_est):
     """GBT with positive rows weighted by n_neg/n_pos (scale_pos_weight)."""
 
     def build(ctx: FitContext):
-        def fit(train: DataFrame) -> Scorer:
+        def fit(train: DataFrame) -> FittedModel:
             t = train.withColumn("_spw", F.when(F.col("label") == 1, F.lit(ctx.scale_pos_weight)).otherwise(F.lit(1.0)))
             est = build_est(ctx).setWeightCol("_spw")
-            return _score_from_ml(est.fit(t))
+            return fitted_ml(est.fit(t))
 
         return fit
 
@@ -344,46 +380,57 @@ def _pos_weighted(build_est):
 def _bernoulli_nb(ctx: FitContext):
     """F11 BernoulliNB: features binarised at 0, Bernoulli NB, smoothing 1. Family."""
 
-    def fit(train: DataFrame) -> Scorer:
-        bz = Binarizer(threshold=0.0, inputCol="features", outputCol="_bin")
+    def fit(train: DataFrame) -> FittedModel:
+        bz = _signs()
         nb = NaiveBayes(featuresCol="_bin", labelCol="label", modelType="bernoulli", smoothing=1.0).fit(bz.transform(train))
+        return FittedModel("signs", [nb])
 
-        def scorer(df):
-            return _score_from_ml(nb)(bz.transform(df))
+    return fit
 
-        return scorer
 
-    return fit
+def _signs() -> Binarizer:
+    return Binarizer(threshold=0.0, inputCol="features", outputCol="_bin")
+
+
+def _score_signs(fitted: FittedModel, df: DataFrame) -> DataFrame:
+    return _score_ml(fitted, _signs().transform(df))
+
+
+SCORERS = {
+    "ml": _score_ml, "decision": _score_decision, "platt": _score_platt, "discriminant": _score_discriminant,
+    "knn": _score_knn, "stumps": _score_stumps, "bags": _score_bags, "signs": _score_signs,
+}
 
 
 def _lr(ctx, l1=False):
     return LogisticRegression(featuresCol="features", labelCol="label", regParam=1.0 / max(1, ctx.n_train),
-                              elasticNetParam=1.0 if l1 else 0.0, standardization=False, maxIter=ctx.size(1000, 100))
+                              elasticNetParam=1.0 if l1 else 0.0, standardization=False, maxIter=ctx.size("iterations", 1000))
 
 
 def _rf(ctx, trees, depth, **kw):
-    return RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=ctx.size(trees, 10),
-                                  maxDepth=ctx.size(depth, 5), seed=ctx.seed, **kw)
+    return RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=ctx.size("trees", trees),
+                                  maxDepth=ctx.size("depth", depth), seed=ctx.seed, **kw)
 
 
 def _gbt(ctx, depth=7, sub=1.0):
-    return GBTClassifier(featuresCol="features", labelCol="label", maxIter=ctx.size(200, 10),
-                         maxDepth=ctx.size(depth, 3), stepSize=0.1, subsamplingRate=sub, seed=ctx.seed)
+    return GBTClassifier(featuresCol="features", labelCol="label", maxIter=ctx.size("rounds", 200),
+                         maxDepth=ctx.size("depth", depth), stepSize=0.1, subsamplingRate=sub, seed=ctx.seed)
 
 
+# Model and category names of the reference.
 REGISTRY: list[ModelSpec] = [
     ModelSpec("Linear_LogisticRegression", "Linear", _ml(lambda c: _lr(c), weighted=True), "Exact"),
     ModelSpec("Linear_LogisticRegression_L1", "Linear", _ml(lambda c: _lr(c, True), weighted=True), "Exact"),
     ModelSpec("Linear_RidgeClassifier", "Linear", _ridge, "Exact"),
     ModelSpec("Linear_SGDClassifier", "Linear",
               _ml(lambda c: LinearSVC(featuresCol="features", labelCol="label", regParam=1e-4,
-                                      standardization=False, maxIter=c.size(1000, 50)), weighted=True, has_prob=False),
+                                      standardization=False, maxIter=c.size("iterations", 1000)), weighted=True, has_prob=False),
               "Exact objective"),
     ModelSpec("Linear_LinearDiscriminant", "Linear", _discriminant(False), "Exact"),
     ModelSpec("Linear_QuadraticDiscriminant", "Linear", _discriminant(True), "Exact"),
     ModelSpec("SVM_LinearSVC", "SVM",
               _ml(lambda c: LinearSVC(featuresCol="features", labelCol="label", regParam=1.0 / max(1, c.n_train),
-                                      maxIter=c.size(1000, 50)), weighted=True, has_prob=False)),
+                                      standardization=False, maxIter=c.size("iterations", 1000)), weighted=True, has_prob=False)),
     ModelSpec("SVM_SVC_Linear", "SVM", _platt_svc),
     ModelSpec("NaiveBayes_GaussianNB", "NaiveBayes",
               _ml(lambda c: NaiveBayes(featuresCol="features", labelCol="label", modelType="gaussian"))),
@@ -391,15 +438,15 @@ REGISTRY: list[ModelSpec] = [
     ModelSpec("KNN_K5", "KNN", _knn_model(5), "Exact"),
     ModelSpec("KNN_K10", "KNN", _knn_model(10), "Exact"),
     ModelSpec("Tree_DecisionTree", "Trees",
-              _ml(lambda c: DecisionTreeClassifier(featuresCol="features", labelCol="label", maxDepth=c.size(30, 5),
+              _ml(lambda c: DecisionTreeClassifier(featuresCol="features", labelCol="label", maxDepth=c.size("depth", 30),
                                                    seed=c.seed), weighted=True)),
     ModelSpec("Tree_DecisionTree_Deep", "Trees",
-              _ml(lambda c: DecisionTreeClassifier(featuresCol="features", labelCol="label", maxDepth=c.size(30, 5),
+              _ml(lambda c: DecisionTreeClassifier(featuresCol="features", labelCol="label", maxDepth=c.size("depth", 30),
                                                    seed=c.seed), weighted=True)),
     ModelSpec("Ensemble_RandomForest", "Ensemble_Classic",
               _ml(lambda c: _rf(c, 200, 15, minInstancesPerNode=10, featureSubsetStrategy="sqrt"), weighted=True)),
     ModelSpec("Ensemble_ExtraTrees", "Ensemble_Classic",
-              _ml(lambda c: _rf(c, 200, 15, bootstrap=False, featureSubsetStrategy="sqrt", maxBins=8), weighted=True),
+              _ml(lambda c: _rf(c, 200, 15, bootstrap=False, minInstancesPerNode=10, featureSubsetStrategy="sqrt", maxBins=8), weighted=True),
               "Approx"),
     ModelSpec("Ensemble_AdaBoost", "Ensemble_Classic", _adaboost, "Exact algorithm"),
     ModelSpec("Ensemble_GradientBoosting", "Ensemble_Classic", _ml(lambda c: _gbt(c, 7, 0.8))),
@@ -410,22 +457,13 @@ REGISTRY: list[ModelSpec] = [
     ModelSpec("GradBoost_CatBoost", "GradientBoosting", _ml(lambda c: _gbt(c, 7)), "Approx"),
     ModelSpec("NeuralNet_MLP_Small", "NeuralNetwork",
               _ml(lambda c: MultilayerPerceptronClassifier(featuresCol="features", labelCol="label",
-                                                           layers=[c.n_features, 50, 2], maxIter=c.size(200, 30),
+                                                           layers=[c.n_features, 50, 2], maxIter=c.size("iterations", 200),
                                                            seed=c.seed))),
     ModelSpec("NeuralNet_MLP_Medium", "NeuralNetwork",
               _ml(lambda c: MultilayerPerceptronClassifier(featuresCol="features", labelCol="label",
-                                                           layers=[c.n_features, 50, 25, 2], maxIter=c.size(200, 30),
+                                                           layers=[c.n_features, 50, 25, 2], maxIter=c.size("iterations", 200),
                                                            seed=c.seed))),
     ModelSpec("Imbalance_BalancedRandomForest", "Imbalance", _balanced_rf, "Approx"),
 ]
 
 BY_NAME = {m.name: m for m in REGISTRY}
-
-SMOKE_MODELS = (
-    "Linear_LogisticRegression",
-    "Linear_RidgeClassifier",
-    "Linear_LinearDiscriminant",
-    "NaiveBayes_GaussianNB",
-    "Tree_DecisionTree",
-    "Ensemble_RandomForest",
-)

@@ -3,24 +3,27 @@ the test split, metrics for all runs in one aggregation.
 
 A driver loop submits Spark ML jobs (a small thread pool runs a few fits at
 once; Spark schedules their tasks on the executors). Each run's test scores
-are checkpointed (they are test-sized), so the metric job never refits.
+are written to the shared folder (they are test-sized), so the metric job never refits.
 Failed fits are recorded with ``status='error: ...'`` instead of stopping the
 run (S19).
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import metrics, sampling
 from ..operators.resample import balanced_datasets
 from ..operators.stats import balanced_weights
-from .registry import BY_NAME, SMOKE_MODELS, FitContext, ModelSpec
+from ..session import write_shared
+from .registry import REGISTRY, FitContext, FittedModel, ModelSizes, ModelSpec
 
 LEADERBOARD_COLUMNS = [
     "experiment", "run_id", "nombre", "modelo_base", "categoria", "tipo_dataset",
@@ -30,19 +33,12 @@ LEADERBOARD_COLUMNS = [
 
 def fit_array_scaler(df: DataFrame, vec: str = "vec") -> tuple[list[float], list[float]]:
     """Mean and population std of every vector position (S11: std 0 -> 1).
-    One aggregate keyed by position: d rows come back."""
-    rows = (
-        df.select(F.posexplode(vec).alias("i", "x"))
-        .groupBy("i")
-        .agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
-        .collect()
-    )
-    d = len(rows)
-    m, s = [0.0] * d, [1.0] * d
-    for r in rows:
-        m[r["i"]] = r["m"]
-        s[r["i"]] = r["s"] if r["s"] else 1.0
-    return m, s
+    One aggregate; d means and deviations come back."""
+    row = df.select(array_to_vector(vec).alias("v")).select(
+        Summarizer.metrics("mean", "std", "count").summary(F.col("v")).alias("s")).first()["s"]
+    n = row["count"]
+    shrink = ((n - 1) / n) ** 0.5 if n > 1 else 0.0  # sample to population deviation
+    return [float(x) for x in row["mean"]], [float(x) * shrink or 1.0 for x in row["std"]]
 
 
 def apply_array_scaler(df: DataFrame, params, vec: str = "vec") -> DataFrame:
@@ -68,25 +64,33 @@ class ZooData:
     errors: dict | None = None
 
 
-def zoo_data(rows: DataFrame, seed: int = 42, test_size: float = 0.2, k: int = 5) -> ZooData:
-    """Stratified split, scaler fitted on train, the five balanced sets."""
-    sp = sampling.stratified_split(rows, "key", "y", test_size, seed).checkpoint(eager=True)
+def zoo_data(rows: DataFrame, seed: int = 42, test_size: float = 0.2, k: int = 5, datasets: Sequence[str] | None = None) -> ZooData:
+    """Stratified split, scaler fitted on train, the five balanced sets (or those named)."""
+    sp = write_shared(sampling.stratified_split(rows, "key", "y", test_size, seed), "split")
     train = sp.where(F.col("split") == "train").drop("split")
     test = sp.where(F.col("split") == "test").drop("split")
     params = fit_array_scaler(train)
     train, test = apply_array_scaler(train, params), apply_array_scaler(test, params)
     errors: dict = {}
-    sets = balanced_datasets(train, k, seed, errors=errors)
+    sets = balanced_datasets(train, k, seed, errors=errors, names=datasets)
     return ZooData(train, test, sets, len(params[0]), errors)
 
 
-def run_zoo(data: ZooData, models: list[ModelSpec] | None = None, profile: str = "smoke", seed: int = 73,
-            experiment: str = "zoo", parallelism: int = 4,
-            dataset_names: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Returns (leaderboard, scores). scores: run_id, key, score, y, pred."""
-    models = models or [BY_NAME[n] for n in SMOKE_MODELS]
+@dataclass
+class Zoo:
+    """``scores``: run_id, key, score, y, pred over the test rows; ``models`` by run_id."""
+
+    leaderboard: DataFrame
+    scores: DataFrame
+    models: dict[int, FittedModel]
+
+
+def run_zoo(data: ZooData, models: list[ModelSpec] | None = None, sizes: ModelSizes | None = None, seed: int = 73,
+            experiment: str = "zoo", parallelism: int = 4, dataset_names: list[str] | None = None) -> Zoo:
+    """Fit every model (by default all 25, at the reference's sizes) on every balanced set."""
+    models = models or REGISTRY
     spark = data.train.sparkSession
-    test_ml = to_ml(data.test).checkpoint(eager=True)
+    test_ml = write_shared(to_ml(data.test), "zoo-test")
     n0, n1 = 0, 0
     for r in data.train.groupBy("y").count().collect():
         n0, n1 = (r["count"], n1) if r["y"] == 0 else (n0, r["count"])
@@ -96,7 +100,7 @@ def run_zoo(data: ZooData, models: list[ModelSpec] | None = None, profile: str =
     for ds_name, ds in data.datasets.items():
         if dataset_names is not None and ds_name not in dataset_names:
             continue
-        ml = to_ml(ds).checkpoint(eager=True)
+        ml = write_shared(to_ml(ds), "zoo-set")
         prepared[ds_name] = (ml, ml.count())
         for m in models:
             run_id += 1
@@ -106,36 +110,37 @@ def run_zoo(data: ZooData, models: list[ModelSpec] | None = None, profile: str =
         rid, ds_name, m = job
         ml, n = prepared[ds_name]
         ctx = FitContext(n_train=n, n_features=data.n_features, scale_pos_weight=(n0 / n1) if n1 else 1.0,
-                         seed=seed, profile=profile)
+                         seed=seed, sizes=sizes or ModelSizes())
         try:
-            scorer = m.build(ctx)(ml)
-            sc = scorer(test_ml).select(
+            fitted = m.build(ctx)(ml)
+            sc = write_shared(fitted.transform(test_ml).select(
                 F.lit(rid).cast("bigint").alias("run_id"), "key", F.col("score").cast("double"),
                 F.col("label").cast("int").alias("y"), F.col("prediction").cast("int").alias("pred"),
-            ).checkpoint(eager=True)
-            return rid, ds_name, m, "ok", sc
+            ), "zoo-scores")
+            return rid, ds_name, m, "ok", sc, fitted
         except Exception as e:  # noqa: BLE001 - a failed fit is a result row (S19)
-            return rid, ds_name, m, f"error: {type(e).__name__}: {str(e)[:120]}", None
+            return rid, ds_name, m, f"error: {type(e).__name__}: {e}", None, None
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         done = list(pool.map(one, jobs))
-    rows = [(experiment, rid, f"{m.name}_{ds}", m.name, m.categoria, ds, status) for rid, ds, m, status, _ in done]
+    rows = [(experiment, rid, f"{m.name}_{ds}", m.name, m.categoria, ds, status) for rid, ds, m, status, *_ in done]
     for ds_name, msg in (data.errors or {}).items():  # a set that could not be built: one error row per model
         for m in models:
             run_id += 1
             rows.append((experiment, run_id, f"{m.name}_{ds_name}", m.name, m.categoria, ds_name,
-                         f"error: {msg[:120]}"))
+                         f"error: {msg}"))
     info = spark.createDataFrame(
         rows, "experiment string, run_id bigint, nombre string, modelo_base string, categoria string, "
               "tipo_dataset string, status string"
     )
-    frames = [sc for *_, sc in done if sc is not None]
+    frames = [sc for *_, sc, _ in done if sc is not None]
     if not frames:
         empty = spark.createDataFrame([], "run_id bigint, key long, score double, y int, pred int")
-        return info.select(*[c if c in info.columns else F.lit(None).cast("double").alias(c) for c in LEADERBOARD_COLUMNS]), empty
+        lb = info.select(*[c if c in info.columns else F.lit(None).cast("double").alias(c) for c in LEADERBOARD_COLUMNS])
+        return Zoo(lb, empty, {})
     scores = frames[0]
     for f in frames[1:]:
         scores = scores.unionByName(f)
     mets = metrics.all_metrics(scores, ["run_id"], "score", "y", "pred")
     lb = info.join(mets, "run_id", "left").select(*LEADERBOARD_COLUMNS)
-    return lb, scores
+    return Zoo(lb, scores, {rid: fitted for rid, *_, fitted in done if fitted is not None})

@@ -16,12 +16,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import EPS_RATIO, PERIODS
+from ..config import EPS_RATIO, FEATURE_TYPES, PERIODS
 from ..functions.exprs import finite_or_null, row_mean, row_sum, safe_div
 from .clean import apply_fill
 from .stats import exact_medians
 
-FEATURE_TYPES = ("ratio", "trend", "density", "interaction", "aggregation")
 
 
 @dataclass(frozen=True)

@@ -44,32 +44,35 @@ def _score_groups(df: DataFrame, run_cols, score: str, label: str) -> DataFrame:
     )
 
 
-def roc_auc(df: DataFrame, run_cols: Sequence[str] = ("run",), score: str = "score", label: str = "y") -> DataFrame:
-    """Tie-aware ROC-AUC (Mann-Whitney U / (P·N)) per run; NULL when a run
-    has only one class (G2)."""
-    g = _score_groups(df, run_cols, score, label)
-    cum = running_totals(g, [F.col("_s").asc()], list(run_cols), sums={"_cneg": F.col("_neg")}, rank_col="_r")
-    contrib = F.col("_pos").cast("double") * (F.col("_cneg") - F.col("_neg")).cast("double") + F.lit(0.5) * F.col(
-        "_pos"
-    ).cast("double") * F.col("_neg").cast("double")
-    agg = cum.groupBy(*run_cols).agg(
-        F.sum(contrib).alias("_u"), F.sum("_pos").alias("_p"), F.sum("_neg").alias("_n")
+def ranking_metrics(df: DataFrame, run_cols: Sequence[str] = ("run",), score: str = "score", label: str = "y") -> DataFrame:
+    """roc_auc and pr_auc per run from one pass in descending score order.
+
+    ROC-AUC is tie-aware (Mann-Whitney U / (P·N)), NULL when a run has only one
+    class (G2); average precision is Σ over distinct scores of (ΔR)·P, NULL
+    without positives (G3)."""
+    runs = list(run_cols)
+    cum = running_totals(_score_groups(df, runs, score, label), [F.col("_s").desc()], runs,
+                         sums={"_cpos": F.col("_pos"), "_cneg": F.col("_neg")}, rank_col="_r", totals_prefix="_t")
+    pos, neg = F.col("_pos").cast("double"), F.col("_neg").cast("double")
+    below = (F.col("_t_cneg") - F.col("_cneg")).cast("double")  # negatives with a smaller score
+    agg = cum.groupBy(*runs).agg(
+        F.sum(pos * below + F.lit(0.5) * pos * neg).alias("_u"),
+        F.sum(pos * (F.col("_cpos").cast("double") / (F.col("_cpos") + F.col("_cneg")).cast("double"))).alias("_a"),
+        F.sum(pos).alias("_p"), F.sum(neg).alias("_n"),
+    )
+    return agg.select(
+        *runs,
+        F.when((F.col("_p") > 0) & (F.col("_n") > 0), F.try_divide(F.col("_u"), F.col("_p") * F.col("_n"))).alias("roc_auc"),
+        F.try_divide(F.col("_a"), F.col("_p")).alias("pr_auc"),
     )
-    auc = F.try_divide(F.col("_u"), F.col("_p").cast("double") * F.col("_n").cast("double"))
-    return agg.select(*run_cols, F.when((F.col("_p") > 0) & (F.col("_n") > 0), auc).alias("roc_auc"))
 
 
-def average_precision(df: DataFrame, run_cols: Sequence[str] = ("run",), score: str = "score",
-                      label: str = "y") -> DataFrame:
-    """AP = Σ over distinct scores (desc) of (ΔR)·P (G3); NULL without positives."""
-    g = _score_groups(df, run_cols, score, label)
-    cum = running_totals(
-        g, [F.col("_s").desc()], list(run_cols), sums={"_cpos": F.col("_pos"), "_call": F.col("_pos") + F.col("_neg")},
-        rank_col="_r",
-    )
-    term = F.col("_pos").cast("double") * (F.col("_cpos").cast("double") / F.col("_call").cast("double"))
-    agg = cum.groupBy(*run_cols).agg(F.sum(term).alias("_t"), F.sum("_pos").alias("_p"))
-    return agg.select(*run_cols, F.try_divide(F.col("_t"), F.col("_p").cast("double")).alias("pr_auc"))
+def roc_auc(df: DataFrame, run_cols: Sequence[str] = ("run",), score: str = "score", label: str = "y") -> DataFrame:
+    return ranking_metrics(df, run_cols, score, label).drop("pr_auc")
+
+
+def average_precision(df: DataFrame, run_cols: Sequence[str] = ("run",), score: str = "score", label: str = "y") -> DataFrame:
+    return ranking_metrics(df, run_cols, score, label).drop("roc_auc")
 
 
 def recall_with_min_precision(metrics: DataFrame, min_precision: float = 0.15) -> DataFrame:
@@ -85,8 +88,4 @@ def all_metrics(df: DataFrame, run_cols: Sequence[str] = ("run",), score: str =
                 pred: str = "pred") -> DataFrame:
     """precision, recall, f1, roc_auc, pr_auc per run in one table."""
     runs = list(run_cols)
-    return (
-        classification_metrics(df, runs, label, pred)
-        .join(roc_auc(df, runs, score, label), runs, "left")
-        .join(average_precision(df, runs, score, label), runs, "left")
-    )
+    return classification_metrics(df, runs, label, pred).join(ranking_metrics(df, runs, score, label), runs, "left")

@@ -1,34 +1,74 @@
 """Row number and running sums in a global order, without a one-task window.
 
 ``Window.orderBy(...)`` with no (or a low-cardinality) partition key moves the
-whole table into one task. This operator computes the same columns with work
-spread over ``n`` slices:
-
-1. ``repartitionByRange(n, group..., order...)``: Spark samples the sort keys
-   and cuts them into ``n`` contiguous ranges. The order must be total (end it
-   with a unique key), so a score value shared by a third of the rows is still
-   cut into many slices by the key.
-2. Inside each (slice, group): ``row_number`` and running sums with a window
-   partitioned by the slice id.
-3. The slice-local result is checkpointed (reliable checkpoint in
-   ``spark.checkpoint.dir``). Range bounds come from a random sample, so two
-   evaluations of step 1 may cut differently; reading one materialised copy
-   keeps the slice ids consistent between steps 4 and 5, and a lost executor
-   re-reads the checkpoint instead of re-sampling.
-4. Per (slice, group) totals: one small aggregate with at most ``n + groups``
-   rows; its exclusive prefix sums over slices are the offsets.
-5. Offsets are joined back on (slice, group). AQE broadcasts them at run time
-   (they are bounded by ``n + groups`` rows).
+whole table into one task. This operator computes the same columns with one
+shuffle of the rows:
+
+1. ``repartitionByRange(n, group..., order...)`` cuts the rows into ``n``
+   contiguous slices, sorted inside. The order must be total (end it with a
+   unique key), so a score shared by a third of the rows is still cut into
+   many slices by the key.
+2. A row's place in its slice is ``monotonically_increasing_id``; running sums
+   inside a slice are cumulative sums over its Arrow batches. Neither needs a
+   window, so there is no second exchange.
+3. The slices are written as Parquet to the shared checkpoint folder. Range
+   bounds come from a random sample, so two evaluations of step 1 may cut
+   differently; one written copy keeps the slices consistent, and a lost
+   executor re-reads it.
+4. Per (slice, group) first place and totals: one small aggregate of at most
+   ``n + groups`` rows; exclusive prefix sums over the slices are the offsets.
+5. The offsets are broadcast (that size bound) and added.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..session import estimated_bytes, shuffle_partitions, write_shared
+
+SLICE_BYTES = 256 << 20
+MAX_SLICES = 100_000
+
+
+def num_slices_for(df: DataFrame) -> int:
+    """At least the session's shuffle partitions, and slices of about SLICE_BYTES."""
+    return max(shuffle_partitions(df.sparkSession), min(MAX_SLICES, estimated_bytes(df) // SLICE_BYTES))
+
+
+def _cumulative(names: Sequence[str]):
+    """Append the running sum of each ``_v_{name}`` over a partition's batches."""
+
+    def run(batches):
+        carry = [0] * len(names)
+        for batch in batches:
+            sums = []
+            for k, name in enumerate(names):
+                values = batch.column(batch.schema.get_field_index(f"_v_{name}")).fill_null(0).to_numpy(zero_copy_only=False)
+                run_sum = np.cumsum(values) + carry[k]
+                carry[k] = int(run_sum[-1]) if len(run_sum) else carry[k]
+                sums.append(pa.array(run_sum, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *sums], [*batch.schema.names, *(f"_c_{n}" for n in names)])
 
-from ..session import ensure_checkpoint_dir, shuffle_partitions
+    return run
+
+
+def sliced(df: DataFrame, order_by: Sequence[Column], groups: Sequence[str], sums: Mapping[str, Column], num_slices: int | None = None) -> DataFrame:
+    """Rows in sorted slices with ``__slice``, ``__pos`` and, for each sum, the value ``_v_`` and its
+    running total ``_c_`` inside the slice: one exchange, before the slices are written."""
+    keys = [F.col(g) for g in groups]
+    ranged = df.repartitionByRange(num_slices or num_slices_for(df), *keys, *order_by).sortWithinPartitions(*keys, *order_by)
+    out = ranged.withColumns({"__slice": F.spark_partition_id(), "__pos": F.monotonically_increasing_id(),
+                              **{f"_v_{n}": e.cast("bigint") for n, e in sums.items()}})
+    if sums:
+        schema = T.StructType([*out.schema.fields, *(T.StructField(f"_c_{n}", T.LongType()) for n in sums)])
+        out = out.mapInArrow(_cumulative(list(sums)), schema)
+    return out
 
 
 def running_totals(
@@ -42,50 +82,34 @@ def running_totals(
 ) -> DataFrame:
     """Add ``rank_col`` (1-based bigint row number inside ``partition_by`` in
     ``order_by`` order) and one running-sum column per entry of ``sums``
-    (inclusive of the current row). With ``totals_prefix`` the group's row
+    (integers, inclusive of the current row). With ``totals_prefix`` the group's row
     count (``{prefix}n``) and full sums (``{prefix}{name}``) are added too, read
     from the same small offsets table (no extra pass over the data)."""
     sums = dict(sums or {})
-    n = num_slices or shuffle_partitions(df.sparkSession)
     groups = list(partition_by)
-    ranged = df.repartitionByRange(n, *[F.col(g) for g in groups], *order_by).withColumn(
-        "_slice", F.spark_partition_id()
-    )
-    keys = ["_slice", *groups]
-
-    w = Window.partitionBy(*keys).orderBy(*order_by)
-    wc = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = ranged.withColumn("_lrank", F.row_number().over(w))
-    for name, expr in sums.items():
-        local = local.withColumn(f"_lsum_{name}", F.sum(expr).over(wc))
-    ensure_checkpoint_dir(df.sparkSession)
-    local = local.checkpoint(eager=True)
+    keys = ["__slice", *groups]
+    local = write_shared(sliced(df, order_by, groups, sums, num_slices), "slices")
 
     totals = local.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), *[F.sum(expr).alias(f"_tsum_{name}") for name, expr in sums.items()]
-    )
-    before = (Window.partitionBy(*groups) if groups else Window).orderBy("_slice").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    whole = (Window.partitionBy(*groups) if groups else Window).rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing
+        F.count(F.lit(1)).alias("_n"), F.min("__pos").alias("__first"),
+        *[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums],
+        # what the slice had summed before the group's first row
+        *[F.min_by(F.col(f"_c_{n}") - F.coalesce(f"_v_{n}", F.lit(0)), "__pos").alias(f"_b_{n}") for n in sums],
     )
+    scope = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
+    before = scope.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     extra = []
     if totals_prefix is not None:
-        extra = [F.sum("_n").over(whole).alias(f"{totals_prefix}n")] + [
-            F.sum(f"_tsum_{name}").over(whole).alias(f"{totals_prefix}{name}") for name in sums
+        extra = [F.sum("_n").over(scope).alias(f"{totals_prefix}n")] + [
+            F.sum(f"_t_{n}").over(scope).alias(f"{totals_prefix}{n}") for n in sums
         ]
     offsets = totals.select(
-        *keys,
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off_n"),
-        *[F.sum(f"_tsum_{name}").over(before).alias(f"_off_{name}") for name in sums],
+        *keys, "__first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("__off_n"),
+        *[(F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)) - F.col(f"_b_{n}")).alias(f"_off_{n}") for n in sums],
         *extra,
     )
-
-    out = local.join(offsets, keys, "inner").withColumn(
-        rank_col, (F.col("_lrank") + F.col("_off_n")).cast("bigint")
+    out = local.join(F.broadcast(offsets), keys).withColumn(
+        rank_col, (F.col("__pos") - F.col("__first") + F.lit(1) + F.col("__off_n")).cast("bigint")
     )
-    for name in sums:
-        out = out.withColumn(name, F.coalesce(F.col(f"_off_{name}"), F.lit(0)) + F.col(f"_lsum_{name}"))
-    drop = ["_slice", "_lrank", "_off_n", *[f"_lsum_{s}" for s in sums], *[f"_off_{s}" for s in sums]]
-    return out.drop(*drop)
+    out = out.withColumns({n: F.col(f"_c_{n}") + F.col(f"_off_{n}") for n in sums})
+    return out.drop("__slice", "__pos", "__first", "__off_n", *[f"_{x}_{n}" for n in sums for x in ("v", "c", "off")])

@@ -258,7 +258,7 @@ def curve_frames(scores: DataFrame, fps: int = 20, seconds: int = 20, num_slices
             F.col("_N") - F.lit(1),
         ) + F.lit(1)).alias("llamadas_realizadas"),
     )
-    j = cur.join(targets, ["estrategia", "llamadas_realizadas"])
+    j = cur.join(F.broadcast(targets), ["estrategia", "llamadas_realizadas"])  # frames × strategies rows
     return j.select(
         "estrategia",
         "frame",

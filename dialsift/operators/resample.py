@@ -14,14 +14,25 @@ opposite classes; SMOTETomek removes both ends after SMOTE.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import uniform
+from ..session import write_shared
 from .knn import knn
 from .ordered import running_totals
 
-SYNTH_KEY_BASE = 1 << 40  # synthetic keys start here (above every source key)
+
+def first_free_key(df: DataFrame, key: str = "key") -> int:
+    """Synthetic rows are numbered from here: one above the largest source key."""
+    return (df.agg(F.max(key).alias("k")).first()["k"] or 0) + 1
+
+
+def _need(n_min: int, k: int, name: str) -> None:
+    if n_min <= k:
+        raise ValueError(f"{name} with k={k} needs more than {k} minority rows, got {n_min}")
 
 
 def _counts(df: DataFrame, y: str) -> tuple[int, int]:
@@ -53,17 +64,17 @@ def smote_samples(df: DataFrame, k: int = 5, seed: int = 42, key: str = "key", y
         n_new = n_maj - n_min
     spark = df.sparkSession
     minority = df.where(F.col(y) == 1).select(F.col(key).alias("key"), F.col(vec).cast("array<double>").alias("vec"))
-    if n_new <= 0 or n_min == 0:
+    if n_new <= 0:
         return spark.createDataFrame([], "synth_id long, base_key long, neighbour_key long, gap double, vec array<double>")
+    _need(n_min, k, "SMOTE")
     indexed = running_totals(minority, [F.col("key").asc()], [], rank_col="_idx").withColumn("_idx", F.col("_idx") - 1)
     nn = knn(minority, minority, k, broadcast_limit=broadcast_limit)
     bases = indexed.join(neighbour_arrays(nn, minority), "key")
-    kk = min(k, n_min - 1)
     j = F.col("synth_id")
     draws = spark.range(n_new).select(F.col("id").alias("synth_id")).select(
         "synth_id",
         F.floor(uniform(j, seed, "smote_base") * F.lit(n_min)).cast("long").alias("_idx"),
-        (F.lit(1) + F.floor(uniform(j, seed, "smote_nn") * F.lit(kk))).cast("int").alias("rank"),
+        (F.lit(1) + F.floor(uniform(j, seed, "smote_nn") * F.lit(k))).cast("int").alias("rank"),
         uniform(j, seed, "smote_gap").alias("gap"),
     )
     got = draws.join(bases, "_idx")
@@ -82,7 +93,7 @@ def smote(df: DataFrame, k: int = 5, seed: int = 42, key: str = "key", y: str =
     orig = df.select(F.col(key).alias("key"), F.col(y).cast("int").alias("y"), F.col(vec).cast("array<double>").alias("vec"),
                      F.lit(False).alias("is_synthetic"))
     syn = smote_samples(df, k, seed, key, y, vec).select(
-        (F.col("synth_id") + F.lit(SYNTH_KEY_BASE)).alias("key"), F.lit(1).alias("y"), "vec",
+        (F.col("synth_id") + F.lit(first_free_key(df, key))).alias("key"), F.lit(1).alias("y"), "vec",
         F.lit(True).alias("is_synthetic"),
     )
     return orig.unionByName(syn)
@@ -114,7 +125,7 @@ def remove_tomek(df: DataFrame, key: str = "key", y: str = "y", vec: str = "vec"
 
 def smote_tomek(df: DataFrame, k: int = 5, seed: int = 42, key: str = "key", y: str = "y", vec: str = "vec") -> DataFrame:
     """SMOTE, then Tomek-link cleaning of the augmented set (SMOTETomek)."""
-    aug = smote(df, k, seed, key, y, vec).checkpoint(eager=True)
+    aug = write_shared(smote(df, k, seed, key, y, vec), "smote")
     return remove_tomek(aug, "key", "y", "vec")
 
 
@@ -123,7 +134,9 @@ ADASYN_CHUNK = 10_000  # synthetic rows generated per task slot for one base row
 
 def adasyn_samples(df: DataFrame, k: int = 5, seed: int = 42, key: str = "key", y: str = "y", vec: str = "vec",
                    broadcast_limit: int = 50_000, chunk: int = ADASYN_CHUNK) -> DataFrame:
-    """Synthetic ADASYN rows: (base_key, s, neighbour_key, gap, vec).
+    """Synthetic ADASYN rows: (synth_id, base_key, s, neighbour_key, gap, vec) (E7);
+    ``synth_id`` numbers them from 0 in the order of (base_key, s), by running totals
+    over the base rows.
 
     One hard row may own most of the G new points. Its g points are cut into
     chunks of ``chunk`` ids that are spread over tasks by a repartition on
@@ -131,6 +144,7 @@ def adasyn_samples(df: DataFrame, k: int = 5, seed: int = 42, key: str = "key",
     neighbour from the base row's arrays: no join follows the explosion."""
     n_maj, n_min = _counts(df, y)
     G = n_maj - n_min
+    _need(n_min, k, "ADASYN")
     base = df.select(F.col(key).alias("key"), F.col(y).cast("int").alias("y"), F.col(vec).cast("array<double>").alias("vec"))
     minority = base.where(F.col("y") == 1)
     # hardness: majority share among the k nearest rows of any class
@@ -143,6 +157,7 @@ def adasyn_samples(df: DataFrame, k: int = 5, seed: int = 42, key: str = "key",
     if total_r == 0.0:
         raise ValueError("ADASYN: no minority row has majority neighbours (sum of ratios is 0)")
     g = hard.withColumn("g", F.rint(F.col("r") / F.lit(total_r) * F.lit(float(G))).cast("int")).where(F.col("g") > 0)
+    g = running_totals(g.select("key", "g"), [F.col("key").asc()], [], {"upto": F.col("g")}, rank_col="_r").drop("_r")
     nn_min = knn(minority, minority, k, broadcast_limit=broadcast_limit)
     rows = g.join(minority, "key").join(neighbour_arrays(nn_min, minority), "key")
     chunks = rows.withColumn(
@@ -153,11 +168,11 @@ def adasyn_samples(df: DataFrame, k: int = 5, seed: int = 42, key: str = "key",
         F.explode(F.sequence(F.col("chunk") * F.lit(chunk) + F.lit(1),
                              F.least((F.col("chunk") + F.lit(1)) * F.lit(chunk), F.col("g")))),
     )
-    kk = min(k, n_min - 1)
     sid = F.concat_ws("-", F.col("key").cast("string"), F.col("s").cast("string"))
-    gen = gen.withColumn("rank", (F.lit(1) + F.floor(uniform(sid, seed, "adasyn_nn") * F.lit(kk))).cast("int"))
+    gen = gen.withColumn("rank", (F.lit(1) + F.floor(uniform(sid, seed, "adasyn_nn") * F.lit(k))).cast("int"))
     gen = gen.withColumn("gap", uniform(sid, seed, "adasyn_gap"))
     return gen.select(
+        (F.col("upto") - F.col("g") + F.col("s") - F.lit(1)).cast("long").alias("synth_id"),
         F.col("key").alias("base_key"),
         "s",
         F.element_at("nb_keys", F.col("rank")).alias("neighbour_key"),
@@ -171,15 +186,16 @@ def adasyn(df: DataFrame, k: int = 5, seed: int = 42, key: str = "key", y: str =
                      F.lit(False).alias("is_synthetic"))
     syn = adasyn_samples(df, k, seed, key, y, vec)
     syn = syn.select(
-        (F.lit(SYNTH_KEY_BASE) + F.col("base_key") * F.lit(1 << 12) + F.col("s")).alias("key"),
+        (F.lit(first_free_key(df, key)) + F.col("synth_id")).alias("key"),
         F.lit(1).alias("y"), "vec", F.lit(True).alias("is_synthetic"),
     )
     return orig.unionByName(syn)
 
 
 def balanced_datasets(df: DataFrame, k: int = 5, seed: int = 42, ratio: float = 0.5, key: str = "key",
-                      y: str = "y", vec: str = "vec", errors: dict | None = None) -> dict[str, DataFrame]:
-    """The five named training sets of the reference (E8). A technique that
+                      y: str = "y", vec: str = "vec", errors: dict | None = None,
+                      names: Sequence[str] | None = None) -> dict[str, DataFrame]:
+    """The five named training sets of the reference (E8), or those in ``names``. A technique that
     cannot apply (e.g. undersampling a set already above the ratio, ADASYN
     without hard rows) is left out and its message stored in ``errors``
     (S19: guarded, not fatal)."""
@@ -196,6 +212,8 @@ def balanced_datasets(df: DataFrame, k: int = 5, seed: int = 42, ratio: float =
     }
     out: dict[str, DataFrame] = {}
     for name, build in builders.items():
+        if names is not None and name not in names:
+            continue
         try:
             out[name] = build()
         except ValueError as e:

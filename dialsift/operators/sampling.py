@@ -2,21 +2,25 @@
 
 Randomness is key-hashed (:func:`uniform`): a row's draw depends only on its
 key, the seed and a tag, so results are reproducible, retried tasks agree,
-and the same draws are computable in SQL. Ranks inside a class come from
-:func:`running_totals` (range slices), never from a window partitioned only
-by the class, which would put a whole class into one task.
+and the same draws are computable in SQL. "The q rows with the smallest draws"
+is a threshold: :func:`draw_thresholds` finds the q-th (draw, key) of each class
+by distributed selection, and the sample is then a filter or a column. No row
+is shuffled or ranked for it.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import uniform
 from .ordered import running_totals
 
+STEPS = 4096  # buckets of a selection pass
+
 
 def _class_counts(df: DataFrame, label: str) -> dict[int, int]:
     rows = df.groupBy(label).count().collect()  # one row per class
@@ -39,11 +43,49 @@ def _largest_remainder(counts: dict[int, int], draws: int) -> dict[int, int]:
     return out
 
 
-def _quota_expr(label: str, quota: dict[int, int]):
-    expr = F.lit(0)
-    for c, q in quota.items():
-        expr = F.when(F.col(label) == F.lit(c), F.lit(q)).otherwise(expr)
-    return expr
+def draw_thresholds(draws: DataFrame, quota: dict[int, int]) -> dict[int, tuple[float, object]]:
+    """The quota-th smallest (u, key) of each class of ``draws`` (c, u, key), 0 < quota <= class size.
+
+    Two passes count draws by bucket (at most STEPS rows per class come back); the third
+    fetches the rows of the one fine bucket that holds the threshold: 1/STEPS^2 of the class."""
+    inside: dict[int, Column] = {c: F.col("c") == F.lit(c) for c in quota}
+    left = dict(quota)
+    for scale in (STEPS, STEPS * STEPS):
+        bucket = F.floor(F.col("u") * F.lit(scale))
+        counts = draws.filter(reduce(lambda a, b: a | b, inside.values())).groupBy("c", bucket.alias("b")).count().collect()
+        by_class: dict[int, list[tuple[int, int]]] = {}
+        for r in counts:
+            by_class.setdefault(r["c"], []).append((r["b"], r["count"]))
+        for c, found in by_class.items():
+            for b, n in sorted(found):
+                if left[c] <= n:
+                    inside[c] = (F.col("c") == F.lit(c)) & (bucket == F.lit(b))
+                    break
+                left[c] -= n
+    rows = draws.filter(reduce(lambda a, b: a | b, inside.values())).collect()
+    out = {}
+    for c in quota:
+        own = sorted((r["u"], r["key"]) for r in rows if r["c"] == c)
+        out[c] = own[left[c] - 1]
+    return out
+
+
+def smallest_draws(df: DataFrame, key: str, label: str | None, quota: dict[int, int], counts: dict[int, int], u: Column) -> Column:
+    """Whether a row is among the quota of its class (one class, 0, without a label)."""
+    c = F.col(label) if label else F.lit(0)
+    asked = {k: q for k, q in quota.items() if 0 < q < counts[k]}
+    found = draw_thresholds(df.select(c.alias("c"), u.alias("u"), F.col(key).alias("key")), asked) if asked else {}
+    out = F.lit(False)
+    for k, q in quota.items():
+        if q >= counts[k]:
+            own = F.lit(True)
+        elif q <= 0:
+            own = F.lit(False)
+        else:
+            t, last = found[k]
+            own = (u < F.lit(t)) | ((u == F.lit(t)) & (F.col(key) <= F.lit(last)))
+        out = F.when(c == F.lit(k), own).otherwise(out)
+    return out
 
 
 def stratified_split(df: DataFrame, key: str, label: str, test_size: float = 0.2, seed: int = 42,
@@ -58,13 +100,10 @@ def stratified_split(df: DataFrame, key: str, label: str, test_size: float = 0.2
     u = uniform(key, seed, "split")
     if stratify:
         train_q = _largest_remainder(counts, n - n_test)
-        test_q = {c: counts[c] - train_q[c] for c in counts}
-        ranked = running_totals(df.withColumn("_u", u), [F.col("_u"), F.col(key)], [label], rank_col="_r")
-        is_test = F.col("_r") <= _quota_expr(label, test_q)
+        is_test = smallest_draws(df, key, label, {c: counts[c] - train_q[c] for c in counts}, counts, u)
     else:
-        ranked = running_totals(df.withColumn("_u", u), [F.col("_u"), F.col(key)], [], rank_col="_r")
-        is_test = F.col("_r") <= F.lit(n_test)
-    return ranked.withColumn("split", F.when(is_test, F.lit("test")).otherwise(F.lit("train"))).drop("_u", "_r")
+        is_test = smallest_draws(df, key, None, {0: n_test}, {0: n}, u)
+    return df.withColumn("split", F.when(is_test, F.lit("test")).otherwise(F.lit("train")))
 
 
 def random_undersample(df: DataFrame, key: str, label: str, ratio: float = 0.5, seed: int = 42,
@@ -78,17 +117,15 @@ def random_undersample(df: DataFrame, key: str, label: str, ratio: float = 0.5,
     keep = int(counts[minority] / ratio)
     if keep > counts[majority]:
         raise ValueError(f"ratio {ratio} needs {keep} majority rows, only {counts[majority]} exist")
-    ranked = running_totals(
-        df.where(F.col(label) == F.lit(majority)).withColumn("_u", uniform(key, seed, tag)),
-        [F.col("_u"), F.col(key)], [], rank_col="_r",
-    )
-    kept_major = ranked.where(F.col("_r") <= F.lit(keep)).drop("_u", "_r")
-    return df.where(F.col(label) != F.lit(majority)).unionByName(kept_major)
+    quota = {c: keep if c == majority else n for c, n in counts.items()}
+    return df.where(smallest_draws(df, key, label, quota, counts, uniform(key, seed, tag)))
 
 
 def stratified_folds(df: DataFrame, key: str, label: str, k: int = 2, seed: int = 42, fold_col: str = "fold") -> DataFrame:
     """Class-balanced fold id in [0, k): rank inside the class by the draw,
-    modulo k (E9). Fold sizes differ by at most one per class."""
-    ranked = running_totals(df.withColumn("_u", uniform(key, seed, "fold")), [F.col("_u"), F.col(key)], [label],
-                            rank_col="_r")
-    return ranked.withColumn(fold_col, ((F.col("_r") - F.lit(1)) % F.lit(k)).cast("int")).drop("_u", "_r")
+    modulo k (E9). Fold sizes differ by at most one per class. Only (key, label)
+    is ranked; other columns meet their fold in a join on the key."""
+    narrow = df.select(key, label)
+    ranked = running_totals(narrow.withColumn("_u", uniform(key, seed, "fold")), [F.col("_u"), F.col(key)], [label], rank_col="_r")
+    folds = ranked.withColumn(fold_col, ((F.col("_r") - F.lit(1)) % F.lit(k)).cast("int")).drop("_u", "_r")
+    return folds if set(df.columns) == {key, label} else df.join(folds.drop(label), key)

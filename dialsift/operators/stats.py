@@ -211,8 +211,8 @@ def correlation_pairs(df: DataFrame, cols: Sequence[str], absolute: bool = True)
     One pass: each task multiplies its Arrow batches into masked p×p moment
     matrices (NumPy), the partial blocks are summed by a groupBy on the pair
     (map-side combined), and r is a column expression on the summed moments.
-    Columns are shifted by a value of their own first so the raw-moment
-    formula does not lose precision."""
+    Columns are shifted by their means first (one more aggregate) so the
+    raw-moment formula does not lose precision."""
     cols = list(cols)
     p = len(cols)
     spark = df.sparkSession
@@ -220,11 +220,9 @@ def correlation_pairs(df: DataFrame, cols: Sequence[str], absolute: bool = True)
         return spark.createDataFrame([], "col_i string, col_j string, r double")
     casted = [finite_or_null(F.col(c).cast("double")).alias(c) for c in cols]
     base = df.select(*casted)
-    # shift each column by one of its own values (any data value keeps the
-    # raw-moment sums well conditioned; covariances are shift-invariant):
-    # one row is read instead of a full pass for the means
-    first = base.limit(1).collect()
-    shift = {c: (first[0][c] if first and first[0][c] is not None else 0.0) for c in cols}
+    # shift each column by its mean: covariances do not change, raw moments stay well conditioned
+    means = base.agg(*[F.avg(c).alias(f"_{k}") for k, c in enumerate(cols)]).first()
+    shift = {c: (means[k] if means[k] is not None and np.isfinite(means[k]) else 0.0) for k, c in enumerate(cols)}
     centred = base.select(*[(F.col(c) - F.lit(shift[c])).alias(f"_{k}") for k, c in enumerate(cols)])
     parts = centred.mapInPandas(_gram_partials(p), _CORR_SCHEMA)
     sums = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])

@@ -6,6 +6,7 @@ Every query reads whole driver tables (or data Spark derives from them).
 
 from __future__ import annotations
 
+import functools
 import uuid as _uuid
 from collections.abc import Callable
 
@@ -18,9 +19,10 @@ from ..functions.exprs import uniform
 from ..models import registry as zoo_registry
 from ..models import runner as zoo_runner
 from ..models import tuning as zoo_tuning
+from ..models.registry import ModelSizes
 from ..operators import clean, features, metrics, ranking, resample, sampling, selection, stats
 from ..operators import knn as knn_op
-from ..session import ensure_checkpoint_dir, tune_session
+from ..session import ensure_checkpoint_dir, tune_session, write_shared
 from ..session import ensure_checkpoint_dir as _ensure_ckpt
 from ..sources.attempts import attempts
 from ..sources.delimited import read_delimited, write_delimited
@@ -64,7 +66,7 @@ def attempt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three strategies over all attempts: the business rule, the seeded
     random order and a recency rule (newest debt first, many ties)."""
     cols = ["CODIGO", "CD", "capitalactualsol", "Edad", "dias_mora_cartera"]
-    df = ranking.business_score(ranking_input(spark, sf_dir, cols), out_col="_biz")
+    df = ranking.business_score(ranking_input(attempts(spark, sf_dir), cols), out_col="_biz")
     return ranking.scores_table(
         df,
         "CODIGO",
@@ -99,7 +101,7 @@ def q_base_rate(spark, sf_dir):
 
 @register("business_score", oracle.with_(*ATT[:3]) + "SELECT CODIGO, _biz AS score FROM biz")
 def q_business_score(spark, sf_dir):
-    return ranking.business_score(ranking_input(spark, sf_dir)).select("CODIGO", "score")
+    return ranking.business_score(ranking_input(attempts(spark, sf_dir))).select("CODIGO", "score")
 
 
 @register("random_score", oracle.with_(oracle.attempts_sql()) + (
@@ -189,7 +191,7 @@ def _feature_type_query(ftype: str):
     )
 
     def fn(spark, sf_dir):
-        df, _, _ = encoded(spark, sf_dir)
+        df, _, _ = encoded(attempts(spark, sf_dir))
         out, created = features.add_features(df, [ftype])
         return round_doubles(out.select("CODIGO", *created))
 
@@ -224,13 +226,13 @@ def q_fill_median(spark, sf_dir):
 
 @register("one_hot_drop_first", oracle.with_(*oracle.feature_ctes(False)[:3]) + f"SELECT CODIGO, {', '.join(_DUMMIES)} FROM enc")
 def q_one_hot(spark, sf_dir):
-    df, cats, _ = encoded(spark, sf_dir)
+    df, cats, _ = encoded(attempts(spark, sf_dir))
     return df.select("CODIGO", *clean.dummy_columns(cats))
 
 
 @register("feature_all", oracle.with_(*oracle.feature_ctes()) + f"SELECT CODIGO, {oracle.round_sql(_CREATED)} FROM featf")
 def q_feature_all(spark, sf_dir):
-    df, _, created, _, _, _ = feature_table(spark, sf_dir)
+    df, _, created, *_ = feature_table(attempts(spark, sf_dir))
     return round_doubles(df.select("CODIGO", *created))
 
 
@@ -238,7 +240,7 @@ def q_feature_all(spark, sf_dir):
     f"SELECT '{c}' AS feature, CAST(count(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS n_missing FROM feat"
     for c in _CREATED) + ") WHERE n_missing > 0")
 def q_missing_report(spark, sf_dir):
-    df, _, _ = encoded(spark, sf_dir)
+    df, _, _ = encoded(attempts(spark, sf_dir))
     out, created = features.add_features(df)
     return features.missing_report(out, created)
 
@@ -247,7 +249,7 @@ def q_missing_report(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir):
-    df, feats, created, _, _, _ = feature_table(spark, sf_dir)
+    df, feats, created, *_ = feature_table(attempts(spark, sf_dir))
     return df, feats, created, stats.correlation_pairs(df, feats)
 
 
@@ -385,7 +387,7 @@ FROM filled f JOIN split s ON f.CODIGO = s.CODIGO,
 
 @register("standardize", _standardize_sql())
 def q_standardize(spark, sf_dir):
-    df = ranking_input(spark, sf_dir).select("CODIGO", "CD", *_SCALE_COLS)
+    df = ranking_input(attempts(spark, sf_dir)).select("CODIGO", "CD", *_SCALE_COLS)
     sp = sampling.stratified_split(df, "CODIGO", "CD", 0.2, oracle.SPLIT_SEED)
     params = stats.fit_standard_scaler(sp.where(F.col("split") == "train"), _SCALE_COLS)
     return round_doubles(stats.apply_standard_scaler(sp, params).select("CODIGO", "split", *_SCALE_COLS))
@@ -407,10 +409,10 @@ def _cut_rows():
     return [(s, si * 10 + i, f"{s}@{i}", float(t)) for si, s in enumerate(_STRATS, 1) for i, t in enumerate(RULE_CUTS[s], 1)]
 
 
-def rule_runs(spark, sf_dir):
+def rule_runs(spark, sf_dir, sc=None):
     """Scores × cut-offs: (estrategia, run_id, run, key, score, y, pred)."""
     cuts = spark.createDataFrame(_cut_rows(), "estrategia string, run_id bigint, run string, corte double")
-    sc = attempt_scores(spark, sf_dir)
+    sc = sc if sc is not None else attempt_scores(spark, sf_dir)
     return sc.join(F.broadcast(cuts), "estrategia").withColumn(
         "pred", (F.col("score") >= F.col("corte")).cast("int")
     )
@@ -460,18 +462,16 @@ _LB_COLS = ["experiment", "run_id", "nombre", "modelo_base", "categoria", "tipo_
 
 
 def rule_leaderboard(spark, sf_dir):
-    runs = rule_runs(spark, sf_dir)
-    cm = metrics.classification_metrics(runs, ["estrategia", "run_id", "run"])
-    sc = attempt_scores(spark, sf_dir)
-    auc = metrics.roc_auc(sc, ["estrategia"])
-    ap = metrics.average_precision(sc, ["estrategia"])
-    lb = cm.join(auc, "estrategia").join(ap, "estrategia")
-    return lb.select(
+    """One row per rule run, written once: the picks read it several times."""
+    sc = write_shared(attempt_scores(spark, sf_dir), "scores")
+    cm = metrics.classification_metrics(rule_runs(spark, sf_dir, sc), ["estrategia", "run_id", "run"])
+    lb = cm.join(metrics.ranking_metrics(sc, ["estrategia"]), "estrategia")
+    return write_shared(lb.select(
         F.lit("attempts").alias("experiment"), "run_id", F.col("run").alias("nombre"),
         F.col("estrategia").alias("modelo_base"), F.lit("Regla").alias("categoria"),
         F.lit("Original").alias("tipo_dataset"), "precision", "recall", "f1", "roc_auc", "pr_auc",
         F.lit("ok").alias("status"),
-    )
+    ), "leaderboard")
 
 
 @register("classification_metrics", _RULES + "SELECT run, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM cm")
@@ -574,18 +574,19 @@ sm AS (SELECT d2.synth_id, b.key AS base_key, n.neighbour AS neighbour_key, d2.g
        JOIN mn nb ON nb.key = n.neighbour)""",
 ]
 
-_SYNTH_SUMMARY_SQL = (
-    "round(gap, 6) AS gap, round(vec[1], 6) AS coord_0, round(list_sum(vec), 6) AS coord_sum"
-)
+# every coordinate enters the sum and, with its position, the weighted sum
+_COORDS_SQL = "round(list_sum(vec), 5) AS coord_sum, round(list_sum(list_transform(vec, lambda x, i: x * i)), 5) AS coord_wsum"
+_SYNTH_SUMMARY_SQL = f"round(gap, 6) AS gap, {_COORDS_SQL}"
+
+
+def _coords():
+    weighted = F.transform("vec", lambda x, i: x * (i + F.lit(1)))
+    return [F.round(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x), 5).alias(name)
+            for v, name in ((F.col("vec"), "coord_sum"), (weighted, "coord_wsum"))]
 
 
 def _synth_summary(df):
-    return df.select(
-        *[c for c in df.columns if c not in ("vec", "gap")],
-        F.round("gap", 6).alias("gap"),
-        F.round(F.element_at("vec", 1), 6).alias("coord_0"),
-        F.round(F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x), 6).alias("coord_sum"),
-    )
+    return df.select(*[c for c in df.columns if c not in ("vec", "gap")], F.round("gap", 6).alias("gap"), *_coords())
 
 
 @register("knn_exact", oracle.with_(_E, _nn_sql("nn", "e", "e", 5)) + (
@@ -616,27 +617,28 @@ _ADASYN_CTES = [
     f"""hard AS (SELECT key, sum(CAST(1 - ny AS DOUBLE)) / 5.0::DOUBLE AS r FROM nnall GROUP BY key),
 gg AS (SELECT key, CAST(round_even(r / (SELECT sum(r) FROM hard) * CAST((SELECT nmaj - nmin FROM cnt) AS DOUBLE), 0) AS INTEGER) AS g
        FROM hard),
-ds AS (SELECT key AS base_key, unnest(range(1, g + 1)) AS s FROM gg WHERE g > 0),
-ad2 AS (SELECT base_key, s,
+ds AS (SELECT key AS base_key, upto, unnest(range(1, g + 1)) AS s
+       FROM (SELECT key, g, sum(g) OVER (ORDER BY key) - g AS upto FROM gg WHERE g > 0)),
+ad2 AS (SELECT base_key, s, CAST(upto + s - 1 AS BIGINT) AS synth_id,
          CAST(1 + floor({U("CAST(base_key AS VARCHAR) || '-' || CAST(s AS VARCHAR)", RESAMPLE_SEED, 'adasyn_nn')}
                         * CAST(least(5, nmin - 1) AS DOUBLE)) AS INTEGER) AS rank,
          {U("CAST(base_key AS VARCHAR) || '-' || CAST(s AS VARCHAR)", RESAMPLE_SEED, 'adasyn_gap')} AS gap
        FROM ds, cnt),
-ad AS (SELECT ad2.base_key, ad2.s, n.neighbour AS neighbour_key, ad2.gap,
+ad AS (SELECT ad2.synth_id, ad2.base_key, ad2.s, n.neighbour AS neighbour_key, ad2.gap,
          list_transform(b.vec, lambda x, i: x + ad2.gap * (nb.vec[i] - x)) AS vec
        FROM ad2 JOIN nnmin n ON n.key = ad2.base_key AND n.rank = ad2.rank
        JOIN mn b ON b.key = ad2.base_key JOIN mn nb ON nb.key = n.neighbour)""",
 ]
 
 
-@register("adasyn", oracle.with_(*_ADASYN_CTES) + f"SELECT base_key, CAST(s AS INTEGER) AS s, neighbour_key, {_SYNTH_SUMMARY_SQL} FROM ad")
+@register("adasyn", oracle.with_(*_ADASYN_CTES) + f"SELECT synth_id, base_key, CAST(s AS INTEGER) AS s, neighbour_key, {_SYNTH_SUMMARY_SQL} FROM ad")
 def q_adasyn(spark, sf_dir):
     return _synth_summary(resample.adasyn_samples(embedding_rows(spark, sf_dir), 5, RESAMPLE_SEED))
 
 
 _SMOTE_TOMEK_CTES = [
     *_SMOTE_CTES,
-    f"""aug AS (SELECT key, y, vec FROM e UNION ALL SELECT synth_id + {resample.SYNTH_KEY_BASE}, 1, vec FROM sm)""",
+    """aug AS (SELECT key, y, vec FROM e UNION ALL SELECT synth_id + (SELECT max(key) + 1 FROM e), 1, vec FROM sm)""",
     _nn_sql("nna", "aug", "aug", 1),
     """links AS (SELECT a.key AS ka, a.neighbour AS kb FROM nna a
   JOIN nna b ON a.key = b.neighbour AND a.neighbour = b.key
@@ -646,57 +648,176 @@ st AS (SELECT * FROM aug WHERE key NOT IN (SELECT ka FROM links) AND key NOT IN
 ]
 
 
-@register("smote_tomek", oracle.with_(*_SMOTE_TOMEK_CTES) + "SELECT y, count(*) AS n FROM st GROUP BY y")
+@register("smote_tomek", oracle.with_(*_SMOTE_TOMEK_CTES) + f"SELECT key, y, {_COORDS_SQL} FROM st")
 def q_smote_tomek(spark, sf_dir):
     st = resample.smote_tomek(embedding_rows(spark, sf_dir), 5, RESAMPLE_SEED)
-    return st.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
+    return st.select("key", "y", *_coords())
 
 
 @register("balanced_datasets", oracle.with_(*_SMOTE_TOMEK_CTES, *_ADASYN_CTES[1:2], *_ADASYN_CTES[3:]) + f"""
-SELECT 'Original' AS dataset, y, count(*) AS n FROM e GROUP BY y
-UNION ALL SELECT 'SMOTE', y, count(*) FROM aug GROUP BY y
-UNION ALL SELECT 'SMOTETomek', y, count(*) FROM st GROUP BY y
-UNION ALL SELECT 'ADASYN', 1, (SELECT count(*) FROM e WHERE y = 1) + (SELECT count(*) FROM ad)
-UNION ALL SELECT 'ADASYN', 0, (SELECT count(*) FROM e WHERE y = 0)
-UNION ALL SELECT 'Undersampling', 1, (SELECT count(*) FROM e WHERE y = 1)
-UNION ALL SELECT 'Undersampling', 0, (SELECT count(*) FROM (
-  SELECT row_number() OVER (ORDER BY {U('key', RESAMPLE_SEED, 'undersample')}, key) AS rn FROM e WHERE y = 0)
+SELECT dataset, key, y, {_COORDS_SQL} FROM (
+SELECT 'Original' AS dataset, key, y, vec FROM e
+UNION ALL SELECT 'SMOTE', key, y, vec FROM aug
+UNION ALL SELECT 'SMOTETomek', key, y, vec FROM st
+UNION ALL SELECT 'ADASYN', key, y, vec FROM e
+UNION ALL SELECT 'ADASYN', synth_id + (SELECT max(key) + 1 FROM e), 1, vec FROM ad
+UNION ALL SELECT 'Undersampling', key, y, vec FROM e WHERE y = 1
+UNION ALL SELECT 'Undersampling', key, y, vec FROM (
+  SELECT *, row_number() OVER (ORDER BY {U('key', RESAMPLE_SEED, 'undersample')}, key) AS rn FROM e WHERE y = 0)
   WHERE rn <= 2 * (SELECT count(*) FROM e WHERE y = 1))""")
 def q_balanced_datasets(spark, sf_dir):
     sets = resample.balanced_datasets(embedding_rows(spark, sf_dir), 5, RESAMPLE_SEED, 0.5)
-    return stats.class_counts(sets, "y").select("dataset", "y", "n")
+    parts = [d.select(F.lit(name).alias("dataset"), "key", "y", *_coords()) for name, d in sets.items()]
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 # ------------------------------------------------------------------ model zoo, scoring and tuning (F, H4-H5); rows-only checks
 
 
 
+# Sizes of the registered model queries, so that 125 fits end in minutes on a workstation.
+# The library's defaults are the reference's sizes.
+QUERY_SIZES = ModelSizes(trees=10, depth=4, rounds=5, iterations=30, bags=3)
+QUERY_SPACES = {
+    family: {"numTrees": (5, 10, 15), "maxDepth": (2, 3, 4), "minInstancesPerNode": (1, 2, 4)}
+    for family in ("BalancedRandomForest", "RandomForest", "ExtraTrees")
+} | {
+    family: {"maxIter": (3, 5), "maxDepth": (2, 3), "stepSize": (0.1, 0.2)}
+    for family in ("XGBoost", "LightGBM", "CatBoost", "GradientBoosting")
+}
+
+
 def _zoo(spark, sf_dir, models=None, dataset_names=None):
     data = zoo_runner.zoo_data(embedding_rows(spark, sf_dir), seed=RESAMPLE_SEED)
-    lb, scores = zoo_runner.run_zoo(data, models, profile="smoke", experiment="embeddings",
-                                    dataset_names=dataset_names)
-    return data, lb, scores
+    return data, zoo_runner.run_zoo(data, models, sizes=QUERY_SIZES, experiment="embeddings", dataset_names=dataset_names)
 
 
 @register("zoo_results")
 def q_zoo_results(spark, sf_dir):
-    """Smoke zoo: 6 models × 5 balanced sets on the embeddings table."""
-    return _zoo(spark, sf_dir)[1]
+    """All 25 models × 5 balanced sets on the embeddings table, at QUERY_SIZES."""
+    return _zoo(spark, sf_dir)[1].leaderboard
 
 
 @register("score_logistic")
 def q_score_logistic(spark, sf_dir):
     """Test scores of the balanced logistic regression on the original set."""
-    _, _, scores = _zoo(spark, sf_dir, [zoo_registry.BY_NAME["Linear_LogisticRegression"]], ["Original"])
-    return scores.where(F.col("run_id") == 1)
+    return _zoo(spark, sf_dir, [zoo_registry.BY_NAME["Linear_LogisticRegression"]], ["Original"])[1].scores
 
 
 @register("tune_best")
 def q_tune_best(spark, sf_dir):
-    """Three picks of the smoke zoo, each tuned with its own scoring (H1, H4, H5, H6)."""
-    data, lb, _ = _zoo(spark, sf_dir)
-    picks = selection.select_best(lb)
-    return zoo_tuning.tune_best(picks, data.train, data.test, n_iter=2, cv=2, n_features=data.n_features)
+    """Three picks among the tree models, each tuned with its own scoring over QUERY_SPACES (H1, H4, H5, H6)."""
+    trees = [m for m in zoo_registry.REGISTRY if zoo_tuning.search_space(m.name)]
+    data, zoo = _zoo(spark, sf_dir, trees, ["Original"])
+    picks = selection.select_best(write_shared(zoo.leaderboard, "leaderboard"))
+    return zoo_tuning.tune_best(picks, data.train, data.test, n_iter=4, cv=2, n_features=data.n_features, spaces=QUERY_SPACES)[0]
+
+
+# ------------------------------------------------------------------ closed-form model scores with oracles
+
+# a few coordinates, so that SQL can solve the normal equations
+MODEL_DIMS = 2
+
+
+def _few_dims(df: DataFrame) -> DataFrame:
+    return df.withColumn("vec", F.slice("vec", 1, MODEL_DIMS))
+
+
+def _model_scores(name: str, dims: bool = True):
+    def fn(spark, sf_dir):
+        rows = embedding_rows(spark, sf_dir)
+        data = zoo_runner.zoo_data(_few_dims(rows) if dims else rows, seed=RESAMPLE_SEED, datasets=("Original",))
+        zoo = zoo_runner.run_zoo(data, [zoo_registry.BY_NAME[name]], dataset_names=["Original"])
+        return zoo.scores.select("key", F.round("score", 5).alias("score"), "y", "pred")
+
+    return fn
+
+
+_MODEL_ROWS = oracle.with_(_E.split(",\ncnt AS")[0], *oracle.split_ctes(True, 0.2, "e", "key", "y")) .rstrip("\n") + """,
+tr0 AS (SELECT e.key, e.y, e.vec FROM e JOIN split s ON e.key = s.key WHERE s.split = 'train'),
+te0 AS (SELECT e.key, e.y, e.vec FROM e JOIN split s ON e.key = s.key WHERE s.split = 'test'),
+sc AS (SELECT i, avg(v) AS m, stddev_pop(v) AS sd FROM (SELECT unnest(vec) AS v, generate_subscripts(vec, 1) AS i FROM tr0) GROUP BY i),
+sl AS (SELECT list(m ORDER BY i) AS ms, list(CASE WHEN sd = 0 THEN 1.0::DOUBLE ELSE sd END ORDER BY i) AS sds FROM sc),
+tr AS (SELECT key, y, list_transform(vec, lambda x, i: (x - ms[i]) / sds[i]) AS vec FROM tr0, sl),
+te AS (SELECT key, y, list_transform(vec, lambda x, i: (x - ms[i]) / sds[i]) AS vec FROM te0, sl)"""
+
+
+def _knn_model_sql(k: int) -> str:
+    return _MODEL_ROWS + f"""
+SELECT key, round(avg(ty), 5) AS score, any_value(y) AS y, CAST(avg(ty) > 0.5 AS INTEGER) AS pred FROM (
+  SELECT te.key, te.y, CAST(tr.y AS DOUBLE) AS ty,
+    row_number() OVER (PARTITION BY te.key ORDER BY list_distance(te.vec, tr.vec), tr.key) AS rn FROM te, tr) WHERE rn <= {k}
+GROUP BY key"""
+
+
+for _k in (5, 10):
+    register(f"score_knn_k{_k}", _knn_model_sql(_k))(_model_scores(f"KNN_K{_k}", dims=False))
+
+# Spark's gaussian NB: class variances get 1e-9 times the largest of all variances over the classes
+_GAUSSIAN_SQL = _MODEL_ROWS + """,
+lg AS (SELECT y, vec[i] AS v, i FROM tr, range(1, 65) t(i)),
+cm AS (SELECT y, i, avg(v) AS m, var_pop(v) AS s2, count(*) AS n FROM lg GROUP BY y, i),
+pr AS (SELECT y, CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM tr) AS p FROM tr GROUP BY y),
+ll AS (SELECT te.key, te.y AS ty, cm.y AS c, sum(-0.5::DOUBLE * ln(2 * pi() * cm.s2) - (te.vec[cm.i] - cm.m) ** 2 / (2 * cm.s2)) AS l
+       FROM te, cm GROUP BY te.key, te.y, cm.y),
+po AS (SELECT key, ty, max(CASE WHEN c = 1 THEN l + ln(p) END) AS l1, max(CASE WHEN c = 0 THEN l + ln(p) END) AS l0
+       FROM ll JOIN pr ON ll.c = pr.y GROUP BY key, ty)
+SELECT key, round(1 / (1 + exp(least(l0 - l1, 700))), 5) AS score, ty AS y, CAST(l1 > l0 AS INTEGER) AS pred FROM po"""
+register("score_gaussian_nb", _GAUSSIAN_SQL)(_model_scores("NaiveBayes_GaussianNB", dims=False))
+
+_BERNOULLI_SQL = _MODEL_ROWS + """,
+lg AS (SELECT y, CAST(vec[i] > 0 AS INTEGER) AS b, i FROM tr, range(1, 65) t(i)),
+cn AS (SELECT y, count(*) AS n FROM tr GROUP BY y),
+th AS (SELECT lg.y, i, (sum(b) + 1.0::DOUBLE) / (any_value(n) + 2.0::DOUBLE) AS q FROM lg JOIN cn ON lg.y = cn.y GROUP BY lg.y, i),
+ll AS (SELECT te.key, te.y AS ty, th.y AS c, sum(CASE WHEN te.vec[th.i] > 0 THEN ln(q) ELSE ln(1 - q) END) AS l FROM te, th GROUP BY te.key, te.y, th.y),
+pr AS (SELECT y, ln((n + 1.0::DOUBLE) / ((SELECT sum(n) FROM cn) + 2.0::DOUBLE)) AS lp FROM cn),
+po AS (SELECT key, ty, max(CASE WHEN c = 1 THEN l + lp END) AS l1, max(CASE WHEN c = 0 THEN l + lp END) AS l0
+       FROM ll JOIN pr ON ll.c = pr.y GROUP BY key, ty)
+SELECT key, round(1 / (1 + exp(least(l0 - l1, 700))), 5) AS score, ty AS y, CAST(l1 > l0 AS INTEGER) AS pred FROM po"""
+register("score_bernoulli_nb", _BERNOULLI_SQL)(_model_scores("NaiveBayes_BernoulliNB", dims=False))
+
+_MODEL_ROWS_2 = _MODEL_ROWS.replace("CAST(embedding AS DOUBLE[]) AS vec", f"CAST(embedding AS DOUBLE[])[1:{MODEL_DIMS}] AS vec")
+# weighted least squares on -1/+1 labels with balanced weights, centred, ridge penalty 1
+_RIDGE_SQL = _MODEL_ROWS_2 + """,
+w AS (SELECT vec[1] AS a, vec[2] AS b, 2.0::DOUBLE * y - 1 AS t, n / (2.0::DOUBLE * nc) AS w
+      FROM tr JOIN (SELECT y AS cy, count(*) AS nc FROM tr GROUP BY y) ON y = cy, (SELECT CAST(count(*) AS DOUBLE) AS n FROM tr)),
+mu AS (SELECT sum(w * a) / sum(w) AS ma, sum(w * b) / sum(w) AS mb, sum(w * t) / sum(w) AS mt FROM w),
+mo AS (SELECT sum(w * (a - ma) ** 2) + 1 AS aa, sum(w * (b - mb) ** 2) + 1 AS bb, sum(w * (a - ma) * (b - mb)) AS ab,
+              sum(w * (a - ma) * (t - mt)) AS a_t, sum(w * (b - mb) * (t - mt)) AS b_t FROM w, mu),
+co AS (SELECT (a_t * bb - b_t * ab) / (aa * bb - ab * ab) AS ca, (b_t * aa - a_t * ab) / (aa * bb - ab * ab) AS cb, mu.* FROM mo, mu),
+so AS (SELECT key, y, mt + ca * (vec[1] - ma) + cb * (vec[2] - mb) AS s FROM te, co)
+SELECT key, round(s, 5) AS score, y, CAST(s > 0 AS INTEGER) AS pred FROM so"""
+register("score_ridge", _RIDGE_SQL)(_model_scores("Linear_RidgeClassifier"))
+
+# pooled within-class covariance with n - 2
+_LDA_SQL = _MODEL_ROWS_2 + """,
+cm AS (SELECT y, avg(vec[1]) AS ma, avg(vec[2]) AS mb, CAST(count(*) AS DOUBLE) AS n FROM tr GROUP BY y),
+cv AS (SELECT sum((vec[1] - ma) ** 2) / (count(*) - 2) + 1e-9 AS aa, sum((vec[2] - mb) ** 2) / (count(*) - 2) + 1e-9 AS bb,
+              sum((vec[1] - ma) * (vec[2] - mb)) / (count(*) - 2) AS ab FROM tr JOIN cm ON tr.y = cm.y),
+df AS (SELECT p.ma - q.ma AS da, p.mb - q.mb AS db, p.ma + q.ma AS sa, p.mb + q.mb AS sb, ln(p.n / q.n) AS pri
+       FROM (SELECT * FROM cm WHERE y = 1) p, (SELECT * FROM cm WHERE y = 0) q),
+wt AS (SELECT (da * bb - db * ab) / (aa * bb - ab * ab) AS wa, (db * aa - da * ab) / (aa * bb - ab * ab) AS wb, df.* FROM cv, df),
+so AS (SELECT key, y, wa * vec[1] + wb * vec[2] - 0.5::DOUBLE * (sa * wa + sb * wb) + pri AS z FROM te, wt)
+SELECT key, round(1 / (1 + exp(-z)), 5) AS score, y, CAST(z > 0 AS INTEGER) AS pred FROM so"""
+register("score_lda", _LDA_SQL)(_model_scores("Linear_LinearDiscriminant"))
+
+
+# ------------------------------------------------------------------ tuning deltas (H6)
+
+
+@register("tuning_delta", _PICKS_SQL + """, tu AS (
+  SELECT p.tipo, p.nombre, p.f1 AS of1, p.recall AS ore, p.precision AS opr, m.f1, m.recall, m.precision
+  FROM picks p JOIN lb m ON m.run_id = p.run_id - (p.run_id % 10) + 1 + (p.run_id % 10) % 4)
+SELECT tipo, nombre, round(f1 - of1, 6) AS mejora_f1, round(recall - ore, 6) AS mejora_recall,
+  round(precision - opr, 6) AS mejora_precision, round((f1 - of1) / NULLIF(of1, 0) * 100.0::DOUBLE, 6) AS mejora_f1_pct FROM tu""")
+def q_tuning_delta(spark, sf_dir):
+    """H6 on rule runs: each pick against the run with the same strategy's next cut-off."""
+    lb = rule_leaderboard(spark, sf_dir)
+    picks = write_shared(selection.select_best(lb), "picks")
+    place = F.col("run_id") % F.lit(10)
+    other = picks.select("tipo", (F.col("run_id") - place + F.lit(1) + place % F.lit(4)).alias("run_id"))
+    tuned = other.join(lb, "run_id").select("tipo", "f1", "recall", "precision")
+    return round_doubles(selection.tuning_delta(picks, tuned))
 
 
 # ------------------------------------------------------------------ sources (A1)
@@ -732,11 +853,9 @@ SELECT k.CODIGO, k.split, k.feature,
 FROM kept k JOIN st ON k.feature = st.feature"""
 
 
-@register("train_test_view", _train_test_sql())
-def q_train_test_view(spark, sf_dir):
-    """Q1 end to end (B1-B4, C6, D1/D2, E1, D8): the scaled train and test
-    rows, long form (CODIGO, split, feature, valor)."""
-    prep = _prepare(spark, sf_dir)
+def _train_test(df):
+    """The scaled train and test rows, long form (CODIGO, split, feature, valor)."""
+    prep = _prepare(df)
     sd = _split_and_scale(prep)
     both = sd.train.withColumn("split", F.lit("train")).unionByName(sd.test.withColumn("split", F.lit("test")))
     long = both.select(
@@ -747,6 +866,18 @@ def q_train_test_view(spark, sf_dir):
     return long.withColumn("valor", F.round("valor", 6))
 
 
+@register("train_test_view", _train_test_sql())
+def q_train_test_view(spark, sf_dir):
+    """Q1 end to end."""
+    return _train_test(attempts(spark, sf_dir))
+
+
+@register("train_test_view_delimited", _train_test_sql())
+def q_train_test_view_delimited(spark, sf_dir):
+    """The same from a pipe-delimited file, as a user of the library would run it."""
+    return _train_test(q_scan_delimited(spark, sf_dir))
+
+
 # ------------------------------------------------------------------ chart table
 
 
@@ -765,13 +896,13 @@ def q_chart_efficiency(spark, sf_dir):
 
 @register("tune_model")
 def q_tune_model(spark, sf_dir):
-    """Random search with stratified 2-fold CV of the random forest on the
-    embeddings, scored by recall with precision >= 0.15 (H4, G4)."""
-    data = zoo_runner.zoo_data(embedding_rows(spark, sf_dir), seed=RESAMPLE_SEED)
-    res = zoo_tuning.tune_model("Ensemble_RandomForest", data.train, data.test, "recall", n_iter=3, cv=2,
-                                min_precision=0.15, n_features=data.n_features)
-    row = (res["tuneado"], res["mejores_params"], float(res["mejor_score"] or 0.0), float(res["precision"]),
-           float(res["recall"]), float(res["f1"]), float(res["roc_auc"] or 0.0))
+    """Random search with stratified 3-fold CV of the random forest on the
+    embeddings over QUERY_SPACES, scored by recall with precision >= 0.15 (H4, G4)."""
+    data = zoo_runner.zoo_data(embedding_rows(spark, sf_dir), seed=RESAMPLE_SEED, datasets=("Original",))
+    t = zoo_tuning.tune_model("Ensemble_RandomForest", data.train, data.test, "recall", n_iter=4, cv=3,
+                              min_precision=0.15, n_features=data.n_features, spaces=QUERY_SPACES)
+    row = (t.tuned, {k: str(v) for k, v in t.params.items()}, float(t.cv_score or 0.0),
+           *(float(t.metrics[k] or 0.0) for k in ("precision", "recall", "f1", "roc_auc")))
     return spark.createDataFrame([row], "tuneado boolean, mejores_params map<string,string>, mejor_score double, "
                                         "precision double, recall double, f1 double, roc_auc double")
 
@@ -779,19 +910,25 @@ def q_tune_model(spark, sf_dir):
 # ------------------------------------------------------------------ the three stages end to end (Q1 -> Q2 -> Q3); rows-only
 
 
+# The registered runs fit these models on these sets; the library's default is all 25 on all five.
+EVALUATED_MODELS = ["Linear_LogisticRegression", "Linear_RidgeClassifier", "Linear_LinearDiscriminant",
+                    "NaiveBayes_GaussianNB", "Tree_DecisionTree", "Ensemble_RandomForest"]
+
+
+def _evaluation(spark, sf_dir):
+    return _evaluate(attempts(spark, sf_dir), models=EVALUATED_MODELS, sizes=QUERY_SIZES)
+
 
 @register("evaluation_business_metrics")
 def q_evaluation_business_metrics(spark, sf_dir):
-    """Attempts prepared, balanced, the smoke zoo trained, three picks; the
+    """Attempts prepared and balanced, EVALUATED_MODELS trained at QUERY_SIZES on the five sets, three picks; the
     test attempts ranked by each pick, the business rule and at random:
     business metrics per strategy (I7 over Q1-Q2 output)."""
-    ev = _evaluate(spark, sf_dir)
-    return ranking.business_metrics(ev.scores)
+    return ranking.business_metrics(_evaluation(spark, sf_dir).scores)
 
 
 @register("evaluation_improvement_80")
 def q_evaluation_improvement_80(spark, sf_dir):
     """Calls saved to reach 80 % of the contacts against the random order,
     for the three picks and the business rule (the reference's headline)."""
-    ev = _evaluate(spark, sf_dir)
-    return ranking.improvement_80(ev.scores)
+    return ranking.improvement_80(_evaluation(spark, sf_dir).scores)

@@ -298,27 +298,27 @@ pairs AS (
 SPLIT_SEED = 42
 
 
-def split_ctes(stratify: bool = True, test_size: float = 0.2, src: str = "attempts") -> list[str]:
-    u = uniform_sql("CODIGO", SPLIT_SEED, "split")
+def split_ctes(stratify: bool = True, test_size: float = 0.2, src: str = "attempts", key: str = "CODIGO", label: str = "CD") -> list[str]:
+    u = uniform_sql(key, SPLIT_SEED, "split")
     if not stratify:
         return [f"""split AS (
-  SELECT CODIGO, CD, CASE WHEN row_number() OVER (ORDER BY {u}, CODIGO)
+  SELECT {key}, {label}, CASE WHEN row_number() OVER (ORDER BY {u}, {key})
       <= CAST(ceil({test_size!r}{D} * CAST(count(*) OVER () AS DOUBLE)) AS BIGINT) THEN 'test' ELSE 'train' END AS split
   FROM {src}
 )"""]
-    return [f"""cc AS (SELECT CD, count(*) AS nc FROM {src} GROUP BY CD),
+    return [f"""cc AS (SELECT {label}, count(*) AS nc FROM {src} GROUP BY {label}),
 tt AS (SELECT sum(nc) AS n, CAST(ceil({test_size!r}{D} * CAST(sum(nc) AS DOUBLE)) AS BIGINT) AS n_test FROM cc),
-al1 AS (SELECT cc.CD, cc.nc, tt.n, tt.n_test,
+al1 AS (SELECT cc.{label}, cc.nc, tt.n, tt.n_test,
           floor(CAST(cc.nc * (tt.n - tt.n_test) AS DOUBLE) / CAST(tt.n AS DOUBLE)) AS fl,
           CAST(cc.nc * (tt.n - tt.n_test) AS DOUBLE) / CAST(tt.n AS DOUBLE)
             - floor(CAST(cc.nc * (tt.n - tt.n_test) AS DOUBLE) / CAST(tt.n AS DOUBLE)) AS rem
         FROM cc, tt),
-al2 AS (SELECT *, row_number() OVER (ORDER BY rem DESC, CD) AS rk, (n - n_test) - sum(fl) OVER () AS lft FROM al1),
-quota AS (SELECT CD, nc - (CAST(fl AS BIGINT) + CASE WHEN rk <= lft THEN 1 ELSE 0 END) AS test_q FROM al2),
+al2 AS (SELECT *, row_number() OVER (ORDER BY rem DESC, {label}) AS rk, (n - n_test) - sum(fl) OVER () AS lft FROM al1),
+quota AS (SELECT {label}, nc - (CAST(fl AS BIGINT) + CASE WHEN rk <= lft THEN 1 ELSE 0 END) AS test_q FROM al2),
 split AS (
-  SELECT r.CODIGO, r.CD, CASE WHEN r.rn <= q.test_q THEN 'test' ELSE 'train' END AS split
-  FROM (SELECT CODIGO, CD, row_number() OVER (PARTITION BY CD ORDER BY {u}, CODIGO) AS rn FROM {src}) r
-  JOIN quota q ON r.CD = q.CD
+  SELECT r.{key}, r.{label}, CASE WHEN r.rn <= q.test_q THEN 'test' ELSE 'train' END AS split
+  FROM (SELECT {key}, {label}, row_number() OVER (PARTITION BY {label} ORDER BY {u}, {key}) AS rn FROM {src}) r
+  JOIN quota q ON r.{label} = q.{label}
 )"""]
 
 

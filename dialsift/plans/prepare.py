@@ -7,25 +7,21 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import RunConfig
+from ..config import CATEGORICAL, MEDIAN_FILL, RunConfig
 from ..operators import clean, features, sampling, stats
-from ..session import ensure_checkpoint_dir
-from ..sources.attempts import attempts
+from ..session import write_shared
 
 
-def ranking_input(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
-    """Attempts with categories and medians filled (B2, B3): the table the
+def ranking_input(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """An attempt table with categories and medians filled (B2, B3): what the
     business rule scores. With ``columns`` only those are kept, and that
-    narrow table is materialised once before the median fit reads it."""
-    df = attempts(spark, sf_dir)
+    narrow table is written once before the median fit reads it."""
     if columns is not None:
-        ensure_checkpoint_dir(spark)
-        df = df.select(*columns).checkpoint(eager=True)
-    df = clean.fill_category(df)
-    return clean.fill_median(df)
+        df = write_shared(df.select(*columns), "ranking-input")
+    return clean.fill_median(clean.fill_category(df))
 
 
 @dataclass
@@ -39,39 +35,56 @@ class Prepared:
     feature_medians: dict[str, float | None] = field(default_factory=dict)
 
 
-def encoded(spark: SparkSession, sf_dir: str, key: str = "CODIGO") -> tuple[DataFrame, dict, dict]:
-    """B1-B4 on attempts; the key column is kept (the reference drops it)."""
-    ensure_checkpoint_dir(spark)
-    df = attempts(spark, sf_dir)
-    # the fits below (medians, categories) and every later fit (feature
-    # medians, correlations, scaler) read this table: materialise it once in
-    # the checkpoint folder instead of recomputing the joins for each job
-    df = clean.fill_category(clean.drop_columns(df, keep=[key])).checkpoint(eager=True)
-    medians = clean.fit_medians(df)
-    df = clean.apply_fill(df, medians)
-    cats = clean.fit_categories(df)
-    return clean.apply_one_hot(df, cats), cats, medians
-
-
-def feature_table(spark: SparkSession, sf_dir: str, key: str = "CODIGO", target: str = "CD"):
-    """B1-B4 + C6: returns (df, feature column order, created, categories, medians, feature medians)."""
-    df, cats, medians = encoded(spark, sf_dir, key)
-    df, created, fmed = features.create_all_features(df)
-    # the correlation, pruning and scaler fits all read this table: materialise once
-    df = df.checkpoint(eager=True)
-    feats = [c for c in df.columns if c not in (key, target)]
-    return df, feats, created, cats, medians, fmed
-
-
-def prepare(spark: SparkSession, sf_dir: str, cfg: RunConfig | None = None) -> Prepared:
-    """B1-B4, C6 and D1/D2 pruning (fitted on all rows, S10)."""
+def _cleaned(df: DataFrame, cfg: RunConfig) -> tuple[DataFrame, DataFrame]:
+    """(cleaned rows, the rows that fits may see), written once: every later fit reads them."""
+    df = clean.fill_category(clean.drop_columns(df, keep=[cfg.key]))
+    if cfg.fit_on == "all":
+        df = write_shared(df, "cleaned")
+        return df, df
+    if cfg.fit_on != "train":
+        raise ValueError(f"fit_on is 'all' or 'train', not {cfg.fit_on!r}")
+    tagged = sampling.stratified_split(df, cfg.key, cfg.target, cfg.test_size, cfg.seed, stratify=cfg.stratify)
+    tagged = write_shared(tagged, "cleaned")
+    return tagged.drop("split"), tagged.where(F.col("split") == "train").drop("split")
+
+
+def encoded(df: DataFrame, cfg: RunConfig | None = None) -> tuple[DataFrame, dict, dict]:
+    """B1-B4 on an attempt table; the key column is kept (the reference drops it)."""
+    df, fit_rows = _cleaned(df, cfg or RunConfig())
+    medians, cats = clean.fit_medians(fit_rows), clean.fit_categories(fit_rows)
+    return clean.apply_one_hot(clean.apply_fill(df, medians), cats), cats, medians
+
+
+def feature_table(df: DataFrame, cfg: RunConfig | None = None):
+    """B1-B4 + C6: returns (df, feature column order, created, categories, medians, feature medians, rows to fit on).
+
+    Two fits: medians of the input columns with the categories, then medians of the
+    created columns, whose inputs the first settles."""
+    cfg = cfg or RunConfig()
+    df, fit_rows = _cleaned(df, cfg)
+    medians = stats.exact_medians(fit_rows, [c for c in MEDIAN_FILL if c in df.columns])
+    cats = clean.fit_categories(fit_rows, [c for c in CATEGORICAL if c in df.columns])
+
+    def encode(rows: DataFrame):
+        return features.add_features(clean.apply_one_hot(clean.apply_fill(rows, medians), cats), cfg.feature_types)
+
+    out, created = encode(df)
+    # the medians of the created columns, the correlations and the scaler read this table
+    wide = write_shared(out, "features")
+    seen = wide if cfg.fit_on == "all" else write_shared(encode(fit_rows)[0], "features-train")
+    fmed = stats.exact_medians(seen, created)
+    wide, seen = clean.apply_fill(wide, fmed), clean.apply_fill(seen, fmed)
+    feats = [c for c in wide.columns if c not in (cfg.key, cfg.target)]
+    return wide, feats, created, cats, medians, fmed, seen
+
+
+def prepare(df: DataFrame, cfg: RunConfig | None = None) -> Prepared:
+    """B1-B4, C6 and D1/D2 pruning of any attempt table (fitted on all rows by default, S10)."""
     cfg = cfg or RunConfig()
-    df, feats, created, cats, medians, fmed = feature_table(spark, sf_dir, cfg.key, cfg.target)
-    pairs = stats.correlation_pairs(df, feats)
-    drop = stats.correlation_drop_list(pairs, feats)
+    wide, feats, created, cats, medians, fmed, seen = feature_table(df, cfg)
+    drop = stats.correlation_drop_list(stats.correlation_pairs(seen, feats), feats)
     kept = [c for c in feats if c not in drop]
-    data = df.select(cfg.key, *kept, cfg.target)
-    return Prepared(data, kept, [c for c in created if c in kept], drop, cats, medians, fmed)
+    return Prepared(wide.select(cfg.key, *kept, cfg.target), kept, [c for c in created if c in kept], drop, cats, medians, fmed)
 
 
 @dataclass

@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(master: str | None = None, app: str = "dialsift", shuffle_partitions: int | None = None) -> SparkSession:
@@ -45,6 +46,9 @@ def tune_session(spark: SparkSession) -> None:
     Spark detects such a stage and runs it with per-expression codegen."""
     if spark.conf.get("spark.sql.codegen.hugeMethodLimit", "65535") == "65535":
         spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    # documents are kilobytes each: Arrow batches of 10000 rows would be tens of MB in the JVM and in Python
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -64,6 +68,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def write_shared(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet into the shared checkpoint folder and read it back: evaluated
+    once, lineage cut, columns prunable and sizes known to the plans that follow."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate of ``df`` (0 when it has none)."""
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # noqa: BLE001 - an estimate only
+        return 0
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -72,7 +92,9 @@ _SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable on the executors (once for each application)."""
+    """Make this package importable on the executors (once for each application) and
+    settle the session's SQL settings."""
+    tune_session(spark)
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return

@@ -1,6 +1,7 @@
 """kNN block-pair path equals the broadcast path; SMOTE points lie on segments; class counts."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from dialsift.operators import knn, resample, sampling
@@ -52,3 +53,44 @@ def test_adasyn_hot_row_chunks(spark):
     b = resample.adasyn_samples(df, 5, 3, chunk=2).select("base_key", "s", "neighbour_key", "gap").collect()
     key = lambda r: (r["base_key"], r["s"])
     assert sorted(a, key=key) == sorted(b, key=key) and len(a) > 0
+
+
+def test_adasyn_keys_are_unique_for_a_hot_row(spark):
+    """Two hard minority rows own thousands of synthetic rows each."""
+    rows = [(i, 0, [float(i % 50), float(i // 50) + 100.0]) for i in range(6000)]
+    rows += [(1 << 41, 1, [0.2, 100.2]), ((1 << 41) + 1, 1, [3.2, 103.1])]
+    rows += [(7000 + k, 1, [-500.0 - k % 3, -500.0 - k // 3]) for k in range(12)]  # easy: all neighbours are minority
+    df = spark.createDataFrame(rows, "key long, y int, vec array<double>")
+    out = resample.adasyn(df, 5, 3)
+    syn = out.where("is_synthetic")
+    n = syn.count()
+    assert n > 5000 and out.select("key").distinct().count() == n + len(rows)
+    assert syn.agg(F.min("key")).first()[0] > (1 << 41) + 1
+
+
+def test_smote_keys_follow_large_source_keys(spark):
+    df, _ = _vecs(spark)
+    big = df.withColumn("key", F.col("key") + F.lit(1 << 40))
+    out = resample.smote(big, 5, 7)
+    assert out.count() == out.select("key").distinct().count()
+
+
+def test_too_few_minority_rows(spark):
+    df, _ = _vecs(spark, 60)
+    few = df.where("y = 0").unionByName(df.where("y = 1").limit(5))
+    for build in (resample.smote, resample.adasyn):
+        with pytest.raises(ValueError, match="minority"):
+            build(few, 5, 1)
+    errors = {}
+    sets = resample.balanced_datasets(few, 5, 1, errors=errors)
+    assert "SMOTE" in errors and "SMOTE" not in sets
+
+
+def test_thresholds_equal_ranks(spark):
+    df = spark.range(5000).select(F.col("id").alias("c") % 2, (F.col("id") * 7919 % 5000 / 5000.0).alias("u"), F.col("id").alias("key"))
+    df = df.toDF("c", "u", "key")
+    rows = df.collect()
+    for q in (1, 17, 1234, 2500):
+        got = sampling.draw_thresholds(df, {0: q, 1: q})
+        for c in (0, 1):
+            assert got[c] == sorted((r["u"], r["key"]) for r in rows if r["c"] == c)[q - 1]

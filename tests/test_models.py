@@ -1,58 +1,129 @@
-"""Planted logistic signal: the fitted models rank well (AUC > 0.8)."""
+"""Zoo models: planted signal, closed forms, sizes, saving, tuning that fits what it reports."""
+
+import math
+import os
+import uuid
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from dialsift.models import registry, runner
+from dialsift.models import registry, runner, tuning
+from dialsift.models.registry import BY_NAME, FitContext, FittedModel, ModelSizes
 from dialsift.operators import metrics
 
+SMALL = ModelSizes(trees=10, depth=4, rounds=5, iterations=50, bags=3)
+
+
+def planted(spark, n=600, w=(1.5, -1.0, 0.5, 0.0), shift=-1.0, seed=5):
+    rng = np.random.default_rng(seed)
+    X = rng.normal(size=(n, len(w)))
+    y = (rng.random(n) < 1 / (1 + np.exp(-(X @ np.array(w) + shift)))).astype(int)
+    df = spark.createDataFrame([(i, int(y[i]), X[i].tolist()) for i in range(n)], "key long, y int, vec array<double>")
+    return df, X, y
+
+
+def original(spark, **kw):
+    data = runner.zoo_data(planted(spark, **kw)[0], seed=3, datasets=("Original",))
+    data.errors = {}
+    return data
+
 
-def test_planted_signal(spark):
-    rng = np.random.default_rng(11)
-    X = rng.normal(size=(2000, 3))
-    p = 1 / (1 + np.exp(-(X @ np.array([2.0, -1.0, 0.5]))))
-    y = (rng.random(2000) < p).astype(int)
-    df = spark.createDataFrame([(i, int(y[i]), X[i].tolist()) for i in range(2000)], "key long, y int, vec array<double>")
-    data = runner.zoo_data(df, seed=3)
-    assert "Undersampling" in data.errors  # about 50 % positives: ratio 0.5 cannot apply, recorded not fatal
-    data.datasets = {"Original": data.datasets["Original"]}
-    models = [registry.BY_NAME[n] for n in ("Linear_LogisticRegression", "Linear_LinearDiscriminant",
-                                            "Linear_RidgeClassifier", "Linear_QuadraticDiscriminant")]
-    lb, _ = runner.run_zoo(data, models, parallelism=1)
-    rows = lb.where("tipo_dataset = 'Original'").collect()
-    assert all(r["status"] == "ok" for r in rows)
-    assert all(r["roc_auc"] > 0.8 for r in rows)
+def test_planted_signal_and_leaderboard_metrics(spark):
+    data = original(spark, n=2000, w=(2.0, -1.0, 0.5), shift=0.0, seed=11)
+    names = ("Linear_LogisticRegression", "Linear_LinearDiscriminant", "Linear_RidgeClassifier", "Linear_QuadraticDiscriminant")
+    zoo = runner.run_zoo(data, [BY_NAME[n] for n in names], parallelism=1)
+    rows = {r["run_id"]: r for r in zoo.leaderboard.collect()}
+    assert all(r["status"] == "ok" and r["roc_auc"] > 0.8 for r in rows.values())
+    for run, r in rows.items():  # recomputed from the stored scores
+        s = [(x["score"], x["y"], x["pred"]) for x in zoo.scores.where(F.col("run_id") == run).collect()]
+        tp = sum(y and p for _, y, p in s)
+        assert r["precision"] == pytest.approx(tp / max(1, sum(p for *_, p in s)))
+        assert r["recall"] == pytest.approx(tp / sum(y for _, y, _ in s))
+        pos, neg = [a for a, y, _ in s if y], [a for a, y, _ in s if not y]
+        assert r["roc_auc"] == pytest.approx(np.mean([(a > b) + 0.5 * (a == b) for a in pos for b in neg]))
 
 
 def test_every_registry_model_fits(spark):
-    """All 25 zoo entries fit and score (smoke sizes) on a small planted set."""
-    rng = np.random.default_rng(5)
-    n = 600
-    X = rng.normal(size=(n, 4))
-    y = (rng.random(n) < 1 / (1 + np.exp(-(X @ np.array([1.5, -1.0, 0.5, 0.0]) - 1.0)))).astype(int)
-    df = spark.createDataFrame([(i, int(y[i]), X[i].tolist()) for i in range(n)], "key long, y int, vec array<double>")
-    data = runner.zoo_data(df, seed=1)
-    data.datasets, data.errors = {"Original": data.datasets["Original"]}, {}
-    lb, scores = runner.run_zoo(data, registry.REGISTRY, parallelism=4)
-    rows = lb.collect()
+    """All 25 zoo entries fit and score at explicit small sizes."""
+    zoo = runner.run_zoo(original(spark), sizes=SMALL)
+    rows = zoo.leaderboard.collect()
     bad = [(r["nombre"], r["status"]) for r in rows if r["status"] != "ok"]
     assert len(rows) == 25 and not bad, bad
-    assert scores.where("score IS NULL").count() == 0
+    assert zoo.scores.where("score IS NULL").count() == 0 and len(zoo.models) == 25
 
 
-def test_full_profile_sizes_are_valid(spark):
-    """The reference-sized settings (depth-30 trees, 200-tree forests, MLP
-    layers, 10 balanced bags) are accepted by Spark and fit on a tiny set.
-    The 200-round boosters are left to the smoke profile here."""
-    rng = np.random.default_rng(8)
-    n = 160
-    X = rng.normal(size=(n, 3))
-    y = (X[:, 0] + rng.normal(scale=0.5, size=n) > 0.8).astype(int)
-    df = spark.createDataFrame([(i, int(y[i]), X[i].tolist()) for i in range(n)], "key long, y int, vec array<double>")
-    data = runner.zoo_data(df, seed=2)
-    data.datasets, data.errors = {"Original": data.datasets["Original"]}, {}
-    slow = {"Ensemble_AdaBoost", "Ensemble_GradientBoosting", "GradBoost_XGBoost", "GradBoost_LightGBM",
-            "GradBoost_CatBoost"}
-    models = [m for m in registry.REGISTRY if m.name not in slow]
-    lb, _ = runner.run_zoo(data, models, profile="full", parallelism=4)
-    bad = [(r["nombre"], r["status"]) for r in lb.collect() if r["status"] != "ok"]
-    assert not bad, bad
+def test_default_sizes_are_the_references():
+    ctx = FitContext(n_train=10, n_features=2, scale_pos_weight=1.0)
+    assert ctx.size("trees", 200) == 200 and ctx.size("rounds", 200) == 200 and ctx.size("iterations", 1000) == 1000
+    assert FitContext(10, 2, 1.0, sizes=SMALL).size("trees", 200) == 10
+    assert len(registry.REGISTRY) == 25
+
+
+def test_logistic_gradient_is_zero(spark):
+    """the C-form objective (weighted log-loss summed + |w|^2 / 2) is stationary at the fit."""
+    df, X, y = planted(spark, n=400, w=(1.0, -0.5), seed=2)
+    ml = runner.to_ml(df).cache()
+    fitted = BY_NAME["Linear_LogisticRegression"].build(FitContext(400, 2, 1.0))(ml)
+    m = fitted.models[0]
+    w, b = m.coefficients.toArray(), m.intercept
+    sw = np.where(y == 1, 400 / (2 * y.sum()), 400 / (2 * (400 - y.sum())))
+    p = 1 / (1 + np.exp(-(X @ w + b)))
+    grad = X.T @ (sw * (p - y)) + w
+    assert np.abs(grad).max() < 1e-2 * len(y) and abs((sw * (p - y)).sum()) < 1e-2 * len(y)
+
+
+def test_quadratic_discriminant_closed_form(spark):
+    df, X, y = planted(spark, n=500, w=(1.0, -0.5), seed=4)
+    ml = runner.to_ml(df)
+    fitted = BY_NAME["Linear_QuadraticDiscriminant"].build(FitContext(500, 2, 1.0))(ml)
+    got = {r["key"]: r["score"] for r in fitted.transform(ml).select("key", "score").collect()}
+
+    def density(x, c):
+        a = X[y == c]
+        cov, d = np.cov(a.T), x - a.mean(0)
+        return len(a) * math.exp(-0.5 * d @ np.linalg.inv(cov) @ d) / math.sqrt(np.linalg.det(cov))
+
+    for i in range(0, 500, 50):
+        p1, p0 = density(X[i], 1), density(X[i], 0)
+        assert got[i] == pytest.approx(p1 / (p0 + p1), abs=1e-6)
+
+
+@pytest.mark.parametrize("name", ["Linear_LogisticRegression", "Linear_RidgeClassifier", "Linear_LinearDiscriminant", "SVM_SVC_Linear",
+                                  "KNN_K5", "Ensemble_AdaBoost", "Imbalance_BalancedRandomForest", "NaiveBayes_BernoulliNB"])
+def test_save_and_load(spark, name):
+    ml = runner.to_ml(planted(spark, n=200)[0])
+    fitted = BY_NAME[name].build(FitContext(200, 4, 1.0, sizes=SMALL))(ml)
+    path = os.path.join(spark.sparkContext.getCheckpointDir(), f"model-{uuid.uuid4().hex}")
+    fitted.save(path)
+    again = FittedModel.load(spark, path)
+    score = lambda m: {r["key"]: r["score"] for r in m.transform(ml).select("key", "score").collect()}
+    assert score(again) == score(fitted)
+
+
+SPACES = {"RandomForest": {"numTrees": (3, 7), "maxDepth": (2, 6)}, "BalancedRandomForest": {"numTrees": (2, 3), "maxDepth": (2,)}}
+
+
+def test_reported_parameters_are_the_fitted_ones(spark):
+    data = original(spark)
+    t = tuning.tune_model("Ensemble_RandomForest", data.train, data.test, n_iter=3, cv=2, spaces=SPACES)
+    forest = t.model.models[0]
+    assert t.tuned and forest.getNumTrees == t.params["numTrees"] and forest.getMaxDepth() == t.params["maxDepth"]
+    again = metrics.all_metrics(t.scores.withColumn("run", F.lit(0)), ["run"]).first()
+    assert again["f1"] == t.metrics["f1"]
+
+
+def test_balanced_forest_is_tuned_as_itself_and_untuned_models_have_no_auc(spark):
+    data = original(spark)
+    t = tuning.tune_model("Imbalance_BalancedRandomForest", data.train, data.test, n_iter=2, cv=2, spaces=SPACES)
+    assert t.model.kind == "bags" and all(m.getNumTrees == t.params["numTrees"] for m in t.model.models)
+    u = tuning.tune_model("Linear_RidgeClassifier", data.train, data.test, spaces=SPACES, n_features=4)
+    assert not u.tuned and u.metrics["roc_auc"] == 0.0 and u.cv_score == u.metrics["f1"]
+
+
+def test_reference_grids():
+    size = lambda name: math.prod(len(v) for v in tuning.search_space(name).values())
+    assert all(size(n) >= 150 for n in ("Ensemble_RandomForest", "GradBoost_XGBoost", "GradBoost_LightGBM", "GradBoost_CatBoost"))
+    assert tuning.search_space("Linear_RidgeClassifier") is None
+    drawn = tuning.draw_candidates(tuning.search_space("Ensemble_RandomForest"), 150, 73)
+    assert len({str(sorted(p.items())) for p in drawn}) == 150

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from dialsift.operators.ordered import running_totals
+from dialsift.operators.ordered import running_totals, sliced
 
 
 def _frame(spark, n=3000, hot_share=0.34, seed=1):
@@ -40,15 +40,23 @@ def test_no_groups(spark):
     assert ranks == list(range(1, 1001))
 
 
-def test_curve_plan_has_no_single_task_window(spark):
-    """Scale check: the lineitem curve ranks inside range slices;
-    no exchange funnels the rows into one partition."""
-    import __spark_entry__ as E
+def test_one_exchange_of_the_rows_before_they_are_written(spark):
+    """The plan that is materialised has one exchange (the range split), no window and no single task."""
+    df = _frame(spark)
+    plan = sliced(df, [F.col("score").desc(), F.col("key").asc()], ["g"], {"cum": F.col("y")}, 5)._jdf.queryExecution().executedPlan().toString()
+    initial = plan.split("Initial Plan")[-1]
+    assert initial.count("Exchange") == 1 and "rangepartitioning" in initial
+    assert "Window" not in initial and "SinglePartition" not in initial
+
+
+def test_offsets_join_is_a_broadcast(spark):
+    df = _frame(spark)
+    out = running_totals(df, [F.col("score").desc(), F.col("key").asc()], ["g"], {"cum": F.col("y")}, num_slices=5)
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
-    from .conftest import SF001
 
-    df = E.queries()["gain_curve_bucketed"](spark, SF001)
-    df.collect()
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "SinglePartition" not in plan
-    assert "rangepartitioning" in plan.lower() or "Scan ExistingRDD" in plan  # slices come from the checkpoint
+def test_clashing_column_names(spark):
+    df = _frame(spark, 200).withColumns({"_pos": F.lit(1), "_n": F.lit(2), "_first": F.lit(3)})
+    got = running_totals(df, [F.col("score").asc(), F.col("key").asc()], [], {"_cum": F.col("y")}, num_slices=3)
+    assert set(df.columns) < set(got.columns) and got.agg(F.max("rank")).first()[0] == 200

@@ -63,3 +63,12 @@ def test_exact_medians_bracket_miss_falls_back(spark, monkeypatch):
     assert got["x"] == float(np.median(vals))
     got = stats.exact_medians(df, ["x"], accuracy=100000)
     assert got["x"] == float(np.median(vals))
+
+
+def test_correlation_does_not_depend_on_the_first_row(spark):
+    rows = [(None, None)] + [(1e8 + k, 2e8 + 2.0 * k) for k in range(50)]
+    outlier = [(-1e8, -2e8)] + rows[1:]
+    for data in (rows, outlier):
+        df = spark.createDataFrame(data, "a double, b double").coalesce(1)
+        r = stats.correlation_pairs(df, ["a", "b"]).first()["r"]
+        assert abs(r - 1.0) < 1e-6

@@ -13,7 +13,7 @@ from .conftest import SF001
 
 
 def test_stream_equals_batch(spark):
-    prep = prepare.prepare(spark, SF001)
+    prep = prepare.prepare(attempts(spark, SF001))
     params = {c: (0.0, 1.0) for c in prep.features}
     fp = from_prepared(prep, params)
     base = os.path.join(spark.sparkContext.getCheckpointDir(), f"stream-{uuid.uuid4().hex}")
