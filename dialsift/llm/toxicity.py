@@ -151,6 +151,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = texts.join(F.broadcast(sample), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("label").alias("label"), F.first("spread").alias("spread"))
     rows = rows.select("text", (F.col("label") > 0).alias("label"), F.pmod(F.shiftright("spread", 8), F.lit(4)).alias("part"))
     model = rows.coalesce(1).mapInArrow(_fit, MODEL).first()
+    if model is None:  # no labelled document
+        return b"", b"", [0.0, 0.0, 0.0, -30.0]
     return bytes(model["base"]), bytes(model["toxic"]), list(model["weights"])
 
 
