@@ -40,15 +40,20 @@ def fill_median(df: DataFrame, cols: Sequence[str] = MEDIAN_FILL) -> DataFrame:
     return apply_fill(df, fit_medians(df, cols))
 
 
-def fit_categories(df: DataFrame, cols: Sequence[str] = CATEGORICAL) -> dict[str, list[str]]:
-    """Sorted distinct values per categorical column: one job, a
-    partial+final aggregate per column (``collect_set`` keeps only distinct
-    values, so the state is bounded by the column's cardinality)."""
+MAX_CATEGORIES = 10_000
+
+
+def fit_categories(df: DataFrame, cols: Sequence[str] = CATEGORICAL, most: int = MAX_CATEGORIES) -> dict[str, list[str]]:
+    """Sorted distinct values per categorical column: one distributed distinct of (column, value).
+    More than ``most`` values together raise an error: such a column is not categorical."""
     present = [c for c in cols if c in df.columns]
     if not present:
         return {}
-    row = df.agg(*[F.array_sort(F.collect_set(F.col(c).cast("string"))).alias(c) for c in present]).first()
-    return {c: list(row[c]) for c in present}
+    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in present])
+    found = df.select(F.explode(pairs).alias("p")).select("p.c", "p.v").where("v IS NOT NULL").distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} categories in {present}")
+    return {c: sorted(r["v"] for r in found if r["c"] == c) for c in present}
 
 
 def dummy_columns(categories: Mapping[str, list[str]]) -> list[str]:

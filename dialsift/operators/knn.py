@@ -2,7 +2,7 @@
 
 Two physical forms, chosen by a size check of the reference side:
 
-* reference rows <= ``broadcast_limit``: the reference matrix is shipped once
+* reference rows and bytes below a limit: the reference matrix is shipped once
   to every executor (broadcast variable of a checked size) and each query
   partition is scored with NumPy in ``mapInPandas``;
 * larger: block-pair join. Query rows are split into ``bq`` hash blocks and
@@ -29,49 +29,50 @@ from pyspark.sql import functions as F
 KNN_SCHEMA = "key long, neighbour long, rank int, distance double"
 
 
+SPARE = 8  # candidates kept beyond k before exact distances decide
+
+
 def _topk(qk: np.ndarray, Q: np.ndarray, rk: np.ndarray, R: np.ndarray, k: int, exclude_self: bool) -> pd.DataFrame:
-    if len(qk) == 0 or len(rk) == 0:
-        return pd.DataFrame({"key": [], "neighbour": [], "rank": [], "distance": []})
-    out_k, out_n, out_r, out_d = [], [], [], []
-    rn = (R * R).sum(1)
-    step = max(1, int(2_000_000 // max(1, len(rk))))
-    for s in range(0, len(qk), step):
-        q, keys = Q[s:s + step], qk[s:s + step]
-        d2 = (q * q).sum(1)[:, None] + rn[None, :] - 2.0 * (q @ R.T)
-        if exclude_self:
-            d2[keys[:, None] == rk[None, :]] = np.inf
-        kk = min(k, d2.shape[1])
-        for i in range(len(keys)):
-            row = d2[i]
-            if kk < len(row):
-                part = np.argpartition(row, kk - 1)[:kk]
-                cut = row[part].max()
-            else:
-                cut = row.max()
-            if not np.isfinite(cut):
-                finite = np.isfinite(row)
-                if not finite.any():
-                    continue
-                cut = row[finite].max()
-            tol = 1e-9 * max(1.0, abs(cut))
-            cand = np.nonzero(row <= cut + tol)[0]
-            cand = cand[np.isfinite(row[cand])]
-            exact = np.sqrt(((R[cand] - q[i]) ** 2).sum(1))
-            order = np.lexsort((rk[cand], exact))[:kk]
-            out_k.append(np.full(len(order), keys[i]))
-            out_n.append(rk[cand][order])
-            out_r.append(np.arange(1, len(order) + 1, dtype=np.int32))
-            out_d.append(exact[order])
-    if not out_k:
-        return pd.DataFrame({"key": [], "neighbour": [], "rank": [], "distance": []})
-    return pd.DataFrame(
-        {
-            "key": np.concatenate(out_k).astype(np.int64),
-            "neighbour": np.concatenate(out_n).astype(np.int64),
-            "rank": np.concatenate(out_r).astype(np.int32),
-            "distance": np.concatenate(out_d).astype(np.float64),
-        }
-    )
+    """The k nearest rows of R for each row of Q, by strips of bounded size."""
+    parts = []
+    if len(qk) and len(rk):
+        rn = (R * R).sum(1)
+        step = max(1, int(2_000_000 // len(rk)))
+        for s in range(0, len(qk), step):
+            parts.append(_strip(qk[s:s + step], Q[s:s + step], rk, R, rn, k, exclude_self))
+    columns = [np.concatenate(c) for c in zip(*parts)] if parts else [np.empty(0)] * 4
+    return pd.DataFrame({"key": columns[0].astype(np.int64), "neighbour": columns[1].astype(np.int64),
+                         "rank": columns[2].astype(np.int32), "distance": columns[3].astype(np.float64)})
+
+
+def _strip(keys, q, rk, R, rn, k, exclude_self):
+    d2 = (q * q).sum(1)[:, None] + rn[None, :] - 2.0 * (q @ R.T)
+    if exclude_self:
+        d2[keys[:, None] == rk[None, :]] = np.inf
+    n, m = d2.shape
+    take = min(k + SPARE, m)
+    cand = np.argpartition(d2, take - 1, axis=1)[:, :take] if take < m else np.tile(np.arange(m), (n, 1))
+    near = np.take_along_axis(d2, cand, axis=1)
+    # the k-th distance and its rounding tolerance; a row with more ties than spare candidates takes all of them
+    cut = np.partition(near, min(k, take) - 1, axis=1)[:, min(k, take) - 1]
+    edge = near.max(axis=1)
+    tied = (take < m) & np.isfinite(edge) & (edge <= cut + 1e-9 * np.maximum(1.0, np.abs(cut)))
+    row = np.repeat(np.arange(n), take)
+    flat = cand.ravel()
+    keep = np.isfinite(near).ravel() & ~tied[row]
+    row, flat = row[keep], flat[keep]
+    for i in np.flatnonzero(tied):
+        own = np.flatnonzero(d2[i] <= cut[i] + 1e-9 * max(1.0, abs(cut[i])))
+        row, flat = np.concatenate([row, np.full(len(own), i)]), np.concatenate([flat, own])
+    exact = np.empty(len(row))
+    for a in range(0, len(row), 1 << 16):
+        b = a + (1 << 16)
+        exact[a:b] = np.sqrt(((R[flat[a:b]] - q[row[a:b]]) ** 2).sum(1))
+    order = np.lexsort((rk[flat], exact, row))
+    row, flat, exact = row[order], flat[order], exact[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row, side="left") + 1
+    best = rank <= k
+    return keys[row[best]], rk[flat[best]], rank[best], exact[best]
 
 
 def _matrix(series: pd.Series) -> np.ndarray:
@@ -81,14 +82,16 @@ def _matrix(series: pd.Series) -> np.ndarray:
 
 
 def knn(query: DataFrame, ref: DataFrame, k: int = 5, key: str = "key", vec: str = "vec", exclude_self: bool = True,
-        broadcast_limit: int = 50_000, block_rows: int = 4096, max_blocks: int = 256) -> DataFrame:
+        broadcast_limit: int = 50_000, block_rows: int = 4096, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """(key, neighbour, rank, distance): the k nearest ``ref`` rows of every
-    ``query`` row."""
+    ``query`` row. The reference side is broadcast if it has at most ``broadcast_limit`` rows and
+    ``broadcast_bytes`` of numbers; otherwise blocks of ``block_rows`` rows meet in pairs."""
     q = query.select(F.col(key).cast("long").alias("key"), F.col(vec).cast("array<double>").alias("vec"))
     r = ref.select(F.col(key).cast("long").alias("key"), F.col(vec).cast("array<double>").alias("vec"))
-    n_ref = r.count()
-    if n_ref <= broadcast_limit:
-        pdf = r.toPandas()  # bounded by broadcast_limit rows
+    size = r.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("vec") + 1), F.lit(0)).alias("numbers")).first()
+    n_ref = size["n"]
+    if n_ref <= broadcast_limit and 8 * size["numbers"] <= broadcast_bytes:
+        pdf = r.toPandas()  # bounded by both checks
         bc = query.sparkSession.sparkContext.broadcast((pdf["key"].to_numpy(np.int64), _matrix(pdf["vec"])))
 
         def score(batches):
@@ -99,11 +102,8 @@ def knn(query: DataFrame, ref: DataFrame, k: int = 5, key: str = "key", vec: str
         return q.mapInPandas(score, KNN_SCHEMA)
 
     n_q = q.count()
-    # blocks of at least block_rows rows, at most max_blocks per side: every
-    # row is copied to at most max_blocks block pairs, and a pair task holds
-    # one query block and one reference block (scored in row chunks)
-    br = max(1, min(max_blocks, math.ceil(n_ref / block_rows)))
-    bq = max(1, min(max_blocks, math.ceil(n_q / block_rows)))
+    # blocks of about block_rows rows: a pair task holds one query block and one reference block
+    br, bq = max(1, math.ceil(n_ref / block_rows)), max(1, math.ceil(n_q / block_rows))
     qx = q.withColumn("qb", F.pmod(F.xxhash64("key"), F.lit(bq))).withColumn(
         "rb", F.explode(F.sequence(F.lit(0), F.lit(br - 1)))
     )

@@ -7,151 +7,95 @@ pair, never per row); transforms are column expressions.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import CORRELATION_THRESHOLD
 from ..functions.exprs import finite_or_null, safe_div
-from .ordered import running_totals
 
 # ---------------------------------------------------------------- exact median
 
-HIST_LIMIT = 100_000  # (column, value) pairs fetched to the driver on the fast path
-
-
-def _median_from_counts(vc: list[tuple[float, int]], n: int, offset: int) -> float | None:
-    """Midpoint of ranks (n+1)//2 and (n+2)//2 from sorted (value, count)
-    pairs whose first value has rank ``offset + 1``."""
-    lo_r, hi_r = (n + 1) // 2, (n + 2) // 2
-    if lo_r <= offset or hi_r > offset + sum(k for _, k in vc):
-        return None  # the middle ranks are not inside these counts
-    acc, lo_v, hi_v = offset, None, None
-    for v, k in vc:
-        if lo_v is None and acc + k >= lo_r:
-            lo_v = v
-        if acc + k >= hi_r:
-            hi_v = v
-            break
-        acc += k
-    if lo_v is None or hi_v is None:
-        return None
-    return lo_v + 0.5 * (hi_v - lo_v)  # interpolation form of SQL median
+INSIDE_LIMIT = 1_000_000  # rows a bracket may hold before it is narrowed again
+
 
+def exact_medians(df: DataFrame, cols: Sequence[str], accuracy: int = 10_000, inside_limit: int = INSIDE_LIMIT) -> dict[str, float | None]:
+    """Exact median (midpoint of the two middle values, NULLs skipped) of
+    each column, as a distributed selection over the wide rows.
 
-def _long_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(c, v) rows of the non-NULL finite values of ``cols`` (``stack`` unpivot)."""
-    tmp = [f"_m{k}" for k in range(len(cols))]
-    wide = df.select(*[finite_or_null(F.col(c).cast("double")).alias(t) for c, t in zip(cols, tmp)])
-    body = ", ".join(f"'{c.replace(chr(39), chr(39) * 2)}', {t}" for c, t in zip(cols, tmp))
-    return wide.selectExpr(f"stack({len(cols)}, {body}) AS (c, v)").where(F.col("v").isNotNull())
+    Spark's ``median``/``percentile`` keeps every distinct value of a column
+    in one buffer. Instead:
 
+    1. one aggregate for all columns: counts and a bracket around the middle from
+       ``percentile_approx`` (rank error <= n/accuracy, so ± 3/accuracy holds it);
+    2. one aggregate: how many values lie below and inside each bracket. Brackets
+       with more than ``inside_limit`` rows are narrowed by repeating 1 and 2 inside them;
+    3. the values inside the brackets, counted by value; a window over these few rows
+       per column finds the two middle ranks, of which at most 2 rows per column are fetched.
 
-def _medians_from_histogram(hist: DataFrame, cols: Sequence[str], offsets: dict[str, int],
-                            totals: dict[str, int]) -> dict[str, float | None]:
-    """Exact medians from a (c, v, cnt) histogram: fetched when it has at
-    most HIST_LIMIT rows, else cumulative counts with :func:`running_totals`."""
+    A bracket that misses the middle ranks is opened to the whole column, so the result is always exact."""
+    names = {f"_m{k}": c for k, c in enumerate(cols)}
+    wide = df.select(*[finite_or_null(F.col(c).cast("double")).alias(m) for m, c in names.items()])
     out: dict[str, float | None] = {c: None for c in cols}
-    few = hist.limit(HIST_LIMIT + 1).collect()
-    if len(few) <= HIST_LIMIT:
-        by_col: dict[str, list[tuple[float, int]]] = {}
-        for r in few:
-            by_col.setdefault(r["c"], []).append((r["v"], r["cnt"]))
-        for c, vc in by_col.items():
-            vc.sort()
-            out[c] = _median_from_counts(vc, totals[c], offsets.get(c, 0))
+    if not names:
         return out
-    off = hist.sparkSession.createDataFrame(
-        [(c, int(offsets.get(c, 0)), int(totals[c])) for c in cols if c in totals], "c string, _off long, _n long"
-    )
-    cum = running_totals(hist, order_by=[F.col("v").asc()], partition_by=["c"], sums={"cum": F.col("cnt")})
-    cum = cum.join(F.broadcast(off), "c")  # one row per column
-    end = F.col("cum") + F.col("_off")
-    start = end - F.col("cnt")
-    lo = F.floor((F.col("_n") + F.lit(1)) / F.lit(2))
-    hi = F.ceil((F.col("_n") + F.lit(1)) / F.lit(2))
-    hit_lo = (start < lo) & (lo <= end)
-    hit_hi = (start < hi) & (hi <= end)
-    picked = cum.where(hit_lo | hit_hi).groupBy("c").agg(
-        F.max(F.when(hit_lo, F.col("v"))).alias("lo"), F.max(F.when(hit_hi, F.col("v"))).alias("hi")
-    )
-    for r in picked.collect():  # at most one row per column
-        if r["lo"] is not None and r["hi"] is not None:
-            out[r["c"]] = r["lo"] + 0.5 * (r["hi"] - r["lo"])
+    counted = wide.agg(*[F.count(m).alias(m) for m in names], *_brackets({m: (None, 0.5) for m in names}, accuracy)).first()
+    total = {m: counted[m] for m in names if counted[m]}
+    bracket = {m: tuple(counted[f"q{m}"]) for m in total}
+    if not bracket:
+        return out
+    ranks = {m: ((n + 1) // 2, (n + 2) // 2) for m, n in total.items()}
+    below: dict[str, int] = {}
+    missed: dict[str, int] = dict.fromkeys(bracket, 0)
+    pending = set(bracket)
+    while pending:
+        row = wide.agg(*[F.count_if(F.col(m) < F.lit(bracket[m][0])).alias(f"b{m}") for m in pending],
+                       *[F.count_if(_inside(m, bracket[m])).alias(f"i{m}") for m in pending]).first()
+        narrow = {}
+        for m in sorted(pending):
+            below[m], inside = row[f"b{m}"], row[f"i{m}"]
+            if ranks[m][0] <= below[m] or ranks[m][1] > below[m] + inside:
+                bracket[m] = (-math.inf, math.inf)  # the whole column
+                missed[m] += 1
+            elif inside > inside_limit and bracket[m][0] < bracket[m][1] and missed[m] < 2:
+                narrow[m] = (bracket[m], (ranks[m][0] - below[m] - 0.5) / inside)
+            else:
+                pending.discard(m)
+        if narrow:
+            found = wide.agg(*_brackets(narrow, accuracy)).first()
+            for m in narrow:
+                if (again := tuple(found[f"q{m}"])) == bracket[m]:
+                    pending.discard(m)  # as narrow as values allow
+                bracket[m] = again
+    rows = F.array_compact(F.array(*[F.when(_inside(m, q), F.struct(F.lit(m).alias("c"), F.col(m).alias("v"))) for m, q in bracket.items()]))
+    hist = wide.select(F.explode(rows).alias("r")).select("r.c", "r.v").groupBy("c", "v").agg(F.count(F.lit(1)).alias("cnt"))
+    start = F.create_map(*[F.lit(x) for m in bracket for x in (m, below[m])])[F.col("c")]
+    low, high = (F.create_map(*[F.lit(x) for m in bracket for x in (m, ranks[m][k])])[F.col("c")] for k in (0, 1))
+    upto = start + F.sum("cnt").over(Window.partitionBy("c").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = hist.withColumn("upto", upto).withColumn("first", F.col("upto") - F.col("cnt"))
+    ends = ranked.select("c", "v", ((F.col("first") < low) & (low <= F.col("upto"))).alias("lo"),
+                         ((F.col("first") < high) & (high <= F.col("upto"))).alias("hi")).filter("lo OR hi").collect()
+    for m in bracket:
+        lo = next(r["v"] for r in ends if r["c"] == m and r["lo"])
+        hi = next(r["v"] for r in ends if r["c"] == m and r["hi"])
+        out[names[m]] = lo + 0.5 * (hi - lo)  # interpolation form of SQL median
     return out
 
 
-def exact_medians(df: DataFrame, cols: Sequence[str], accuracy: int = 10_000) -> dict[str, float | None]:
-    """Exact median (midpoint of the two middle values, NULLs skipped) of
-    each column, as a distributed selection in two passes.
+def _inside(m: str, bracket):
+    return F.col(m).between(F.lit(bracket[0]), F.lit(bracket[1]))
 
-    Spark's ``median``/``percentile`` keeps every distinct value of a column
-    in one buffer. Instead:
 
-    1. one aggregate per column: row count and a bracket
-       ``percentile_approx(v, 0.5 ± 3/accuracy)`` (rank error <= n/accuracy,
-       so the bracket holds the middle ranks);
-    2. one aggregate of (column, value) counts where every value below the
-       bracket collapses to one ``-inf`` row and above to ``+inf``: the
-       histogram of about 6n/accuracy values per column plus two offset rows.
-
-    The middle ranks are then found in that small histogram (fetched when it
-    has at most HIST_LIMIT rows, cumulative counts on the executors otherwise).
-    Should a bracket ever miss the middle ranks, that column is redone on its
-    full histogram, so the result is always exact."""
-    cols = list(cols)
-    if not cols:
-        return {}
-    long = _long_values(df, cols)
-    delta = 3.0 / accuracy
-    br = long.groupBy("c").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx("v", [max(0.0, 0.5 - delta), min(1.0, 0.5 + delta)], accuracy).alias("q"),
-    )
-    brackets = {r["c"]: (r["n"], r["q"][0], r["q"][1]) for r in br.collect()}  # one row per column
-    out: dict[str, float | None] = {c: None for c in cols}
-    if not brackets:
-        return out
-    bt = df.sparkSession.createDataFrame(
-        [(c, float(lo), float(hi)) for c, (_, lo, hi) in brackets.items()], "c string, _lo double, _hi double"
-    )
-    inf = float("inf")
-    tagged = long.join(F.broadcast(bt), "c").select(
-        "c",
-        F.when(F.col("v") < F.col("_lo"), F.lit(-inf)).when(F.col("v") > F.col("_hi"), F.lit(inf))
-        .otherwise(F.col("v")).alias("v"),
-    )
-    hist = tagged.groupBy("c", "v").agg(F.count(F.lit(1)).alias("cnt"))
-    rows = hist.limit(HIST_LIMIT + 1).collect()
-    totals = {c: b[0] for c, b in brackets.items()}
-    if len(rows) <= HIST_LIMIT:
-        by_col: dict[str, list[tuple[float, int]]] = {}
-        below: dict[str, int] = {}
-        for r in rows:
-            if r["v"] == -inf:
-                below[r["c"]] = r["cnt"]
-            elif r["v"] != inf:
-                by_col.setdefault(r["c"], []).append((r["v"], r["cnt"]))
-        redo = []
-        for c in brackets:
-            vc = sorted(by_col.get(c, []))
-            m = _median_from_counts(vc, totals[c], below.get(c, 0))
-            if m is None:
-                redo.append(c)
-            out[c] = m
-    else:
-        inside = hist.where(F.abs(F.col("v")) != F.lit(inf))
-        below = {r["c"]: r["cnt"] for r in hist.where(F.col("v") == F.lit(-inf)).collect()}
-        out.update(_medians_from_histogram(inside, list(brackets), below, totals))
-        redo = [c for c in brackets if out[c] is None]
-    if redo:  # bracket missed the middle ranks: exact on the full histogram
-        full = _long_values(df, redo).groupBy("c", "v").agg(F.count(F.lit(1)).alias("cnt"))
-        out.update(_medians_from_histogram(full, redo, {}, {c: totals[c] for c in redo}))
-    return out
+def _brackets(of: Mapping[str, tuple], accuracy: int) -> list:
+    """Values around the share ``p`` of a column's values inside a bracket (None: all)."""
+    d = 3.0 / accuracy
+    return [F.percentile_approx(F.col(m) if q is None else F.when(_inside(m, q), F.col(m)), [max(0.0, p - d), min(1.0, p + d)], accuracy).alias(f"q{m}")
+            for m, (q, p) in of.items()]
 
 
 # ---------------------------------------------------------------- correlations

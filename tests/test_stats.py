@@ -33,14 +33,13 @@ def test_chain_prune_and_zero_variance(spark):
     assert stats.correlation_drop_list(pairs, cols) == ["b", "c"]
 
 
-def test_exact_medians_both_paths(spark, monkeypatch):
+def test_exact_medians_with_narrowed_brackets(spark):
     vals = [float(v) for v in np.random.default_rng(0).integers(0, 50, 301)] + [None] * 5
     df = spark.createDataFrame([(v, (v or 0) * 0.5 + 0.1) for v in vals], "x double, y double")
     expect_x = float(np.median([v for v in vals if v is not None]))
     expect_y = float(np.median([(v or 0) * 0.5 + 0.1 for v in vals]))
     fast = stats.exact_medians(df, ["x", "y"])
-    monkeypatch.setattr(stats, "HIST_LIMIT", 1)  # force the distributed path
-    slow = stats.exact_medians(df, ["x", "y"])
+    slow = stats.exact_medians(df, ["x", "y"], accuracy=20, inside_limit=1)  # brackets are narrowed again and again
     for got in (fast, slow):
         assert got["x"] == expect_x
         assert abs(got["y"] - expect_y) < 1e-12
