@@ -369,8 +369,7 @@ def q_stratified_folds(spark, sf_dir):
     return sampling.stratified_folds(_train(spark, sf_dir), "CODIGO", "CD", 2, oracle.SPLIT_SEED)
 
 
-_SCALE_COLS = ["Edad", "capitalactualsol", "dias_mora_cartera", "meses_empresa",
-               "AVG_GestTotales_CallOut_3UM", "AVG_GestTotales_CallOut_12UM", "capital_dup", "const_col"]
+_SCALE_COLS = [c for c in _PLAIN if c not in ("CODIGO", "CD")]  # every numeric input column
 
 
 def _standardize_sql() -> str:
