@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import ensure_checkpoint_dir
 
 WHITE = b" \t\n\x0b\x0c\r"  # fixed value: [\x20\x09-\x0D]
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_bytes
+from .common import in_chunks, materialise, text_bytes
 from .components import components
 
 SEED = 42  # fixed value
@@ -87,7 +87,9 @@ def fingerprints(texts: list[bytes], words_each: int = 3) -> np.ndarray:
 def with_fingerprint(docs: DataFrame, out_col: str, text_col: str = "text", words_each: int = 3) -> DataFrame:
     @F.arrow_udf("long")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array(fingerprints(text_bytes(texts), words_each), pa.int64())
+        own = text_bytes(texts)
+        parts = [fingerprints(own[a:b], words_each) for a, b in in_chunks(own)]
+        return pa.array(np.concatenate(parts) if parts else [], pa.int64())
 
     return docs.withColumn(out_col, run(F.col(f"`{text_col}`")))
 
