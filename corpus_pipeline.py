@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dialsift.llm import quality
-from dialsift.llm.bpe_codec import decode, encode
+from dialsift.llm.bpe_codec import encode
 from dialsift.llm.common import materialise, table
 from dialsift.llm.decontaminate import find_leaks
 from dialsift.llm.line_dedup import line_dedup
@@ -63,7 +63,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_tokens, ids, round_trip): token ids and whether they decode to the text."""
     ship_package(spark)
-    coded = decode(encode(docs.select("doc_id", "lang", "source", "text")))
+    coded = encode(docs.select("doc_id", "lang", "source", "text"), decoded_col="decoded")
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
                         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 

@@ -32,6 +32,8 @@ NEWER = regex.compile(
 PRE_TOKEN_16 = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?[\p{{L}}--{NEWER.pattern}]+| ?[\p{{N}}--{NEWER.pattern}]+| ?(?:[^\s\p{{L}}\p{{N}}]|{NEWER.pattern})+|\s+(?!\S)|\s+",
     regex.V1)
+ID_BITS = 20
+ID_MASK, NO_MERGE = (1 << ID_BITS) - 1, 1 << 60
 LONG = 48  # symbols from which merging uses a heap
 
 
@@ -71,10 +73,11 @@ class Bpe:
         self.byte_id = [0] * 256
         for c, b in alphabet.items():
             self.byte_id[b] = vocab[c]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        # pair of ids -> (rank, new id), both packed into one integer
+        self.merges: dict[int, int] = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
+            self.merges[vocab[a] << ID_BITS | vocab[b]] = rank << ID_BITS | vocab[a + b]
 
     def _split(self, text: str) -> list[str]:
         if not text.isascii():
@@ -87,7 +90,7 @@ class Bpe:
 
     def words(self, text: str) -> list[str | int]:
         """Pre-tokens in order; a special string of the vocabulary is its id."""
-        if self.split_special is None or not self.split_special.search(text):
+        if self.split_special is None or not any(t in text for t in self.special):
             return self._split(text)
         out: list[str | int] = []
         at = 0
@@ -97,38 +100,51 @@ class Bpe:
             at = m.end()
         return out + self._split(text[at:])
 
+    def pieces(self, text: str) -> list[str | int]:
+        """Strings whose pre-tokens, one after another, are those of the text.
+
+        Where white space is single spaces and line ends between words, a word with its
+        space is a piece: pre-tokens never cross such borders, and pieces repeat,
+        so that the pattern runs once for each distinct piece. Other texts come as ``words``."""
+        if "\0" in text or " ".join(text.split()) != text.replace("\n", " ") or any(t in text for t in self.special):
+            return self.words(text)
+        return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if text else []
+
+    def piece_words(self, piece: str | int) -> list[str | int]:
+        return [piece] if isinstance(piece, int) else self._split(piece)
+
     def merge(self, word: str) -> list[int]:
         """Ids of one pre-token: always the lowest-ranked pair first, leftmost among equals."""
         ids = [self.byte_id[b] for b in word.encode()]
         if len(ids) > LONG:
             return self._merge_long(ids)
-        merges = self.merges
-        none = (1 << 30, 0)
-        pairs = [merges.get(p, none) for p in zip(ids, ids[1:], strict=False)]
+        get = self.merges.get
+        pairs = [get(a << ID_BITS | b, NO_MERGE) for a, b in zip(ids, ids[1:], strict=False)]
         while pairs:
             best = min(pairs)
-            if best is none or best[0] == none[0]:
+            if best == NO_MERGE:
                 break
             k = pairs.index(best)
-            ids[k : k + 2] = [best[1]]
-            del pairs[k]
+            ids[k] = best & ID_MASK
+            del ids[k + 1], pairs[k]
             if k:
-                pairs[k - 1] = merges.get((ids[k - 1], ids[k]), none)
+                pairs[k - 1] = get(ids[k - 1] << ID_BITS | ids[k], NO_MERGE)
             if k < len(pairs):
-                pairs[k] = merges.get((ids[k], ids[k + 1]), none)
+                pairs[k] = get(ids[k] << ID_BITS | ids[k + 1], NO_MERGE)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same with a heap over a linked list: n log n for a pre-token of n bytes."""
         n = len(ids)
         after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        heap = [(m[0], k, a, b, m[1]) for k, (a, b) in enumerate(zip(ids, ids[1:], strict=False)) if (m := self.merges.get((a, b)))]
+        heap = [(m >> ID_BITS, k, a, b, m & ID_MASK) for k, (a, b) in enumerate(zip(ids, ids[1:], strict=False))
+                if (m := self.merges.get(a << ID_BITS | b)) is not None]
         heapq.heapify(heap)
 
         def push(k: int) -> None:
             j = after[k]
-            if k >= 0 and j < n and (m := self.merges.get((ids[k], ids[j]))):
-                heapq.heappush(heap, (m[0], k, ids[k], ids[j], m[1]))
+            if j < n and (m := self.merges.get(ids[k] << ID_BITS | ids[j])) is not None:
+                heapq.heappush(heap, (m >> ID_BITS, k, ids[k], ids[j], m & ID_MASK))
 
         while heap:
             _, k, a, b, new = heapq.heappop(heap)

@@ -18,9 +18,11 @@ from __future__ import annotations
 import hashlib
 import os
 import tempfile
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,51 +31,70 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import text_list
+from .common import materialise, text_list
 from .transducer import Transducer, compile_words
 
-CHUNK_CHARS = 4 << 20
-FLUSH_WORDS = 400_000
-CACHE_WORDS = 200_000
+CHUNK_CHARS = 1 << 20
+FLUSH_WORDS = 150_000
+INDEX_WORDS = 500_000
+COUNT_STEPS = 16  # count classes for each doubling
 
 
 def count_words(docs: DataFrame, vocabulary: Broadcast, text_col: str = "text") -> DataFrame:
     """(word, n): pre-tokens of all texts, pre-aggregated in each task."""
 
     def run(batches):
-        split = bpe.load(vocabulary).words
+        model = bpe.load(vocabulary)
         counts: Counter = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if text:
-                    counts.update(split(text))
+                    counts.update(model.pieces(text))
                 if len(counts) > FLUSH_WORDS:
-                    yield _counted(counts)
+                    yield _counted(model, counts)
                     counts = Counter()
-        yield _counted(counts)
+        yield _counted(model, counts)
 
     counted = docs.select(F.col(f"`{text_col}`")).mapInArrow(run, "word string, n long")
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _counted(counts: Counter) -> pa.RecordBatch:
-    items = [(w, n) for w, n in counts.items() if isinstance(w, str)]
-    return pa.RecordBatch.from_arrays([pa.array([w for w, _ in items], pa.string()), pa.array([n for _, n in items], pa.int64())], ["word", "n"])
+def _counted(model: bpe.Bpe, pieces: Counter) -> pa.RecordBatch:
+    counts: Counter = Counter()
+    for piece, n in pieces.items():
+        for word in model.piece_words(piece):
+            if isinstance(word, str):
+                counts[word] += n
+    return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+
+
+def most_frequent(counted: DataFrame, most: int) -> DataFrame:
+    """The rows (word, n, ...) of the highest count classes that hold ``most`` words at most
+    together: a filter, so no task and not the driver sorts candidates. Words of over
+    64 bytes are left out, which bounds the bytes as well."""
+    short = counted.filter(F.octet_length("word") <= 64).withColumn("class", F.floor(F.log2("n") * COUNT_STEPS))
+    sizes = short.groupBy("class").count().orderBy(F.desc("class")).collect()  # 64 * COUNT_STEPS rows at most
+    total, least = 0, None
+    for r in sizes:
+        total += r["count"]
+        if total > most:
+            break
+        least = r["class"]
+    return short.filter(F.lit(False) if least is None else F.col("class") >= least).drop("class")
 
 
 def build_lexicon(docs: DataFrame, vocabulary: Broadcast, lexicon_words: int, text_col: str = "text") -> str:
-    """Compile the most frequent pre-tokens (ties by word) and ship the file; its name."""
+    """Compile the most frequent pre-tokens and ship the file; its name."""
     spark = docs.sparkSession
-    # a word longer than 64 bytes is not worth an entry: the lexicon stays within 64 bytes a word
-    frequent = (count_words(docs, vocabulary, text_col).filter(F.octet_length("word") <= 64)
-                .orderBy(F.desc("n"), "word").limit(lexicon_words).select("word").collect())
-    model = bpe.Bpe(vocabulary.value)
-    image = compile_words([(r["word"].encode(), model.merge(r["word"])) for r in frequent])
+    words = most_frequent(materialise(count_words(docs, vocabulary, text_col), "word-counts"), lexicon_words).select("word").toArrow()
+    merge = bpe.load(vocabulary).merge
+    image = compile_words((w.encode(), array("i", merge(w))) for w in words.column(0).to_pylist())
     name = f"lexicon-{hashlib.sha256(image).hexdigest()[:24]}.bin"
-    path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="dialsift-lexicon-")), name)
-    with open(path, "wb") as f:
-        f.write(image)
-    spark.sparkContext.addFile(path)  # from the driver to every executor
+    if not any(f.endswith(f"/{name}") for f in spark.sparkContext.listFiles):  # named by content
+        path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="dialsift-lexicon-")), name)
+        with open(path, "wb") as f:
+            f.write(image)
+        spark.sparkContext.addFile(path)  # from the driver to every executor
     return name
 
 
@@ -82,62 +103,82 @@ def _mapped(path: str) -> Transducer:
     return Transducer(path)
 
 
+class _Store:
+    """Integer lists, numbered as they come."""
+
+    def __init__(self) -> None:
+        self.start, self.values, self.used = np.zeros(1, np.int64), np.empty(1 << 12, np.int32), 0
+
+    def add(self, lens: np.ndarray, values: np.ndarray) -> None:
+        total = self.used + len(values)
+        if total > len(self.values):
+            self.values = np.concatenate([self.values[: self.used], np.empty(2 * total - self.used, np.int32)])
+        self.values[self.used : total] = values
+        self.start, self.used = np.concatenate([self.start, self.used + np.cumsum(lens)]), total
+
+    def get(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(lengths, values) of the lists with these numbers, one after another."""
+        begin = self.start[numbers]
+        lens = self.start[numbers + 1] - begin
+        return lens, self.values[np.repeat(begin, lens) + _within(lens)]
+
+
 class Encoder:
-    """Transducer first, exact merging for the rest, remembering recent rare words."""
+    """Transducer first, exact merging for the rest; the pieces and words of a task are looked
+    up once while they fit in the index, which is bounded."""
 
     def __init__(self, model: bpe.Bpe, lexicon: Transducer) -> None:
         self.model, self.lexicon = model, lexicon
-        self.rare: dict[str, list[int]] = {}
+        self._reset()
+
+    def _reset(self) -> None:
+        self.pieces: dict[str | int, int] = {}  # to the numbers of their words
+        self.piece_words = _Store()
+        self.words: dict[str | int, int] = {}  # to their ids
+        self.word_ids = _Store()
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids) of the texts."""
-        index: dict[str | int, int] = {}
+        if len(self.pieces) > INDEX_WORDS:
+            self._reset()
+        index, known = self.pieces, len(self.pieces)
         codes, counts = [], []
         for text in texts:
-            words = self.model.words(text) if text else []
-            codes += [index.setdefault(w, len(index)) for w in words]
-            counts.append(len(words))
-        start, ids = self._outputs(list(index))
-        codes = np.asarray(codes, np.int64)
-        lens = (start[1:] - start[:-1])[codes]
-        ends = np.cumsum(lens)
-        total = int(ends[-1]) if len(ends) else 0
-        flat = ids[np.repeat(start[codes] - (ends - lens), lens) + np.arange(total)]
-        offsets = np.concatenate(([0], ends))[np.cumsum([0, *counts])]
-        return offsets, flat
-
-    def _outputs(self, words: list[str | int]) -> tuple[np.ndarray, np.ndarray]:
-        known = self.lexicon.ranks([w.encode() if isinstance(w, str) else b"\xff" for w in words])
-        parts, lens = [], np.empty(len(words), np.int64)
-        for k, (word, rank) in enumerate(zip(words, known.tolist(), strict=True)):
-            if rank >= 0:
-                lens[k] = -1
-            else:
-                found = [word] if isinstance(word, int) else self._merged(word)
-                parts.append(found)
-                lens[k] = len(found)
-        at = known[known >= 0]
-        id_start = self.lexicon.id_start
-        lens[known >= 0] = id_start[at + 1] - id_start[at]
-        start = np.concatenate(([0], np.cumsum(lens)))
-        ids = np.empty(int(start[-1]), np.int32)
-        seen = known >= 0
-        n = lens[seen]
-        source = np.repeat(id_start[at].astype(np.int64), n) + _within(n)
-        ids[np.repeat(start[:-1][seen], n) + _within(n)] = self.lexicon.ids[source]
+            found = self.model.pieces(text) if text else []
+            codes += [index.setdefault(w, len(index)) for w in found]
+            counts.append(len(found))
+        self._learn(list(islice(index, known, None)))
+        n_words, words = self.piece_words.get(np.asarray(codes, np.int64))
+        n_ids, ids = self.word_ids.get(words)
+        ends = np.concatenate(([0], np.cumsum(n_ids)))
+        return ends[np.concatenate(([0], np.cumsum(n_words)))[np.cumsum([0, *counts])]], ids
+
+    def _learn(self, pieces: list[str | int]) -> None:
+        """Append the words of new pieces and the ids of new words."""
+        index, known = self.words, len(self.words)
+        lens, numbers = [], []
+        for piece in pieces:
+            found = self.model.piece_words(piece)
+            if len(found) == 1:
+                found[0] = piece  # one string for both indexes
+            lens.append(len(found))
+            numbers += [index.setdefault(w, len(index)) for w in found]
+        self.piece_words.add(np.asarray(lens, np.int64), np.asarray(numbers, np.int32))
+        new = list(islice(index, known, None))
+        ranks = self.lexicon.ranks([w.encode() if isinstance(w, str) else b"\xff" for w in new])
+        seen = ranks >= 0
+        merged = [[w] if isinstance(w, int) else self.model.merge(w) for w, s in zip(new, seen.tolist(), strict=True) if not s]
+        first = self.lexicon.id_start[ranks[seen]].astype(np.int64)
+        lens = np.empty(len(new), np.int64)
+        lens[seen] = self.lexicon.id_start[ranks[seen] + 1] - first
+        lens[~seen] = [len(m) for m in merged]
+        ids = np.empty(int(lens.sum()), np.int32)
+        begin = np.cumsum(lens) - lens
+        within = _within(lens[seen])
+        ids[np.repeat(begin[seen], lens[seen]) + within] = self.lexicon.ids[np.repeat(first, lens[seen]) + within]
         rest = lens[~seen]
-        ids[np.repeat(start[:-1][~seen], rest) + _within(rest)] = np.fromiter((i for p in parts for i in p), np.int32, int(rest.sum()))
-        return start, ids
-
-    def _merged(self, word: str) -> list[int]:
-        found = self.rare.get(word)
-        if found is None:
-            found = self.model.merge(word)
-            if len(self.rare) >= CACHE_WORDS:
-                self.rare.clear()
-            if len(word) <= 64:
-                self.rare[word] = found
-        return found
+        ids[np.repeat(begin[~seen], rest) + _within(rest)] = np.fromiter((i for m in merged for i in m), np.int32, int(rest.sum()))
+        self.word_ids.add(lens, ids)
 
 
 def _within(lens: np.ndarray) -> np.ndarray:
@@ -159,25 +200,43 @@ def _text_chunks(texts: list[str]) -> Iterator[list[str]]:
 
 
 def encode(docs: DataFrame, path: str | None = None, lexicon_words: int = 200_000, text_col: str = "text",
-           ids_col: str = "ids") -> DataFrame:
-    """``docs`` with ``ids_col`` array<int>: the ids of ``text_col`` under the vocabulary file at ``path``."""
+           ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
+    """``docs`` with ``ids_col`` array<int>: the ids of ``text_col`` under the vocabulary file at ``path``. With
+    ``decoded_col`` the text that the ids decode to is added by the same pass."""
     vocabulary = bpe.read_vocabulary(docs.sparkSession, path)
     name = build_lexicon(docs, vocabulary, lexicon_words, text_col)
 
-    @F.arrow_udf("array<int>")
-    def ids(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = Encoder(bpe.load(vocabulary), _mapped(SparkFiles.get(name)))
+    @F.arrow_udf("struct<ids: array<int>, decoded: string>")
+    def code(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = bpe.load(vocabulary)
+        encoder, decoder = Encoder(model, _mapped(SparkFiles.get(name))), Decoder(model)
         for column in columns:
-            offsets, flat, base = [np.zeros(1, np.int64)], [], 0
+            offsets, flat, decoded, base = [np.zeros(1, np.int64)], [], [], 0
             for chunk in _text_chunks(text_list(column)):
                 off, found = encoder.encode(chunk)
                 offsets.append(off[1:] + base)
                 flat.append(found)
                 base += len(found)
-            yield pa.ListArray.from_arrays(pa.array(np.concatenate(offsets), pa.int32()),
+                if decoded_col:
+                    decoded += [decoder.text(found[a:b]) for a, b in zip(off.tolist(), off[1:].tolist(), strict=False)]
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate(offsets), pa.int32()),
                                            pa.array(np.concatenate(flat) if flat else np.empty(0, np.int32), pa.int32()))
+            yield pa.StructArray.from_arrays([ids, pa.array(decoded, pa.string()) if decoded_col else pa.nulls(len(ids), pa.string())], ["ids", "decoded"])
+
+    coded = "__dialsift_coded"
+    out = docs.withColumn(coded, code(F.col(f"`{text_col}`"))).withColumn(ids_col, F.col(f"{coded}.ids"))
+    if decoded_col:
+        out = out.withColumn(decoded_col, F.col(f"{coded}.decoded"))
+    return out.drop(coded)
+
+
+class Decoder:
+    def __init__(self, model: bpe.Bpe) -> None:
+        self.size = len(model.token_bytes)
+        self.table = np.array([*model.token_bytes, b""], object)
 
-    return docs.withColumn(ids_col, ids(F.col(f"`{text_col}`")))
+    def text(self, ids: np.ndarray) -> str:
+        return b"".join(self.table[ids].tolist()).decode("utf-8", "replace")
 
 
 def decode(docs: DataFrame, path: str | None = None, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -186,9 +245,7 @@ def decode(docs: DataFrame, path: str | None = None, ids_col: str = "ids", out_c
 
     @F.arrow_udf("string")
     def texts(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        token_bytes = bpe.load(vocabulary).token_bytes
-        size = len(token_bytes)
-        table = np.array([*token_bytes, b""], object)
+        decoder = Decoder(bpe.load(vocabulary))
         for column in columns:
             out = []
             for k in range(len(column)):
@@ -196,9 +253,8 @@ def decode(docs: DataFrame, path: str | None = None, ids_col: str = "ids", out_c
                 if value is None or not len(value):
                     out.append("")
                     continue
-                ids = value.fill_null(size).to_numpy(zero_copy_only=False)
-                ids = np.where((ids < 0) | (ids > size), size, ids)
-                out.append(b"".join(table[ids].tolist()).decode("utf-8", "replace"))
+                ids = value.fill_null(decoder.size).to_numpy(zero_copy_only=False)
+                out.append(decoder.text(np.where((ids < 0) | (ids > decoder.size), decoder.size, ids)))
             yield pa.array(out, pa.string())
 
     return docs.withColumn(out_col, texts(F.col(f"`{ids_col}`")))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle, quality, toxicity
-from .bpe_codec import decode, encode
+from .bpe_codec import encode
 from .chat import CHATML, format_conversations, read_back
 from .common import table
 from .decontaminate import find_leaks
@@ -75,8 +75,8 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decoded = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "ids"))
-    return decoded.select(
+    coded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), decoded_col="decoded")
+    return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         utf8_sha256("decoded").alias("decoded_sha256"))

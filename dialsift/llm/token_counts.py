@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .bpe_codec import count_words
+from .bpe_codec import count_words, most_frequent
 from .common import materialise, text_list
 
 
@@ -41,18 +41,22 @@ def _frequencies(vocabulary, frequent_ref):
     """Per document: bytes, tokens of frequent pre-tokens, and the other pre-tokens with their frequencies."""
 
     def run(batches):
-        split, frequent = bpe.load(vocabulary).words, frequent_ref.value
+        model, frequent = bpe.load(vocabulary), frequent_ref.value
         for batch in batches:
             n_bytes, tokens, words, freqs = [], [], [], []
             for text in text_list(batch.column(2)):
                 n_bytes.append(len(text.encode()))
                 total, rest = 0, {}
-                for word, f in Counter(split(text) if text else ()).items():
-                    pieces = 1 if isinstance(word, int) else frequent.get(word)
-                    if pieces is None:
-                        rest[word] = f
-                    else:
+                for piece, f in Counter(model.pieces(text) if text else ()).items():
+                    if (pieces := frequent.get(piece)) is not None:  # the piece is one frequent pre-token
                         total += f * pieces
+                        continue
+                    for word in model.piece_words(piece):
+                        pieces = 1 if isinstance(word, int) else frequent.get(word)
+                        if pieces is None:
+                            rest[word] = rest.get(word, 0) + f
+                        else:
+                            total += f * pieces
                 tokens.append(total)
                 words.append(list(rest))
                 freqs.append(list(rest.values()))
@@ -72,8 +76,9 @@ def count_tokens(docs: DataFrame, path: str | None = None, frequent_words: int =
     spark = docs.sparkSession
     vocabulary = bpe.read_vocabulary(spark, path)
     pieces = count_pieces(docs, vocabulary, text_col)
-    top = pieces.filter(F.octet_length("word") <= 64).orderBy(F.desc("n"), "word").limit(frequent_words)
-    frequent = spark.sparkContext.broadcast({r["word"]: r["pieces"] for r in top.select("word", "pieces").collect()})
+    top = most_frequent(pieces, frequent_words)
+    words = top.select("word", "pieces").toArrow()
+    frequent = spark.sparkContext.broadcast(dict(zip(words.column(0).to_pylist(), words.column(1).to_pylist(), strict=True)))
     id_type = docs.select(F.col(f"`{id_col}`")).dtypes[0][1]
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     per_doc = materialise(rows.mapInArrow(
