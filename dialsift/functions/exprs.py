@@ -79,8 +79,3 @@ def uniform_sql(key_sql: str, seed: int, tag: str) -> str:
         f"(('0x' || substr(md5(concat_ws('|', CAST({key_sql} AS VARCHAR), '{seed}', '{tag}')), 1, 8))::BIGINT"
         f" / 4294967296.0)"
     )
-
-
-def r6(c: str | Column, digits: int = 6) -> Column:
-    """Round for order-insensitive comparison of distributed float sums."""
-    return F.round(col(c).cast("double"), digits)

@@ -17,9 +17,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import BUSINESS_STRATEGY, BUSINESS_WEIGHTS, MILESTONES, RANDOM_STRATEGY, TOPK_SHARES
-from ..functions.exprs import nan_to_null, safe_div, uniform
+from ..config import BUSINESS_WEIGHTS, MILESTONES, RANDOM_STRATEGY, TOPK_SHARES
+from ..functions.exprs import nan_to_null, uniform
 from .ordered import running_totals
+from .stats import minmax
 
 CURVE_COLUMNS = [
     "estrategia", "key", "contacto_real", "proba", "contactos_acum",
@@ -43,28 +44,18 @@ def business_score(
     absent (or ``None``) contributes 0, as in the reference where the
     dependent flag no longer exists after one-hot encoding (S15). The min/max
     row is one global aggregate (one row, broadcast)."""
-    present = set(df.columns)
-    parts = {"capital": capital_col, "age": age_col}
-    stats = [
-        agg
-        for name, c in parts.items()
-        if c and c in present
-        for agg in (F.min(c).alias(f"_min_{name}"), F.max(c).alias(f"_max_{name}"))
-    ]
-    out = df
-    if stats:
-        out = df.crossJoin(F.broadcast(df.agg(*stats)))
+    scaled = {f"_scaled_{name}": c for name, c in (("capital", capital_col), ("age", age_col)) if c and c in df.columns}
+    out = df.withColumns({tmp: F.col(c) for tmp, c in scaled.items()}) if scaled else df
+    if scaled:
+        out = minmax(out, list(scaled))
 
-    def norm(name: str, c: str | None) -> Column:
-        if not c or c not in present:
-            return F.lit(0.0)
-        lo, hi = F.col(f"_min_{name}"), F.col(f"_max_{name}")
-        return safe_div(F.col(c) - lo, hi - lo + F.lit(1e-6))
+    def part(name: str) -> Column:
+        return F.col(f"_scaled_{name}") if f"_scaled_{name}" in scaled else F.lit(0.0)
 
-    dep = F.col(dependent_col).cast("double") if dependent_col and dependent_col in present else F.lit(0.0)
+    dep = F.col(dependent_col).cast("double") if dependent_col and dependent_col in df.columns else F.lit(0.0)
     w_cap, w_age, w_dep = weights
-    score = norm("capital", capital_col) * F.lit(w_cap) + norm("age", age_col) * F.lit(w_age) + dep * F.lit(w_dep)
-    return out.withColumn(out_col, score).drop(*[c for c in out.columns if c.startswith(("_min_", "_max_"))])
+    score = part("capital") * F.lit(w_cap) + part("age") * F.lit(w_age) + dep * F.lit(w_dep)
+    return out.withColumn(out_col, score).drop(*scaled)
 
 
 def random_score(df: DataFrame, key: str, seed: int, out_col: str = "score") -> DataFrame:

@@ -71,3 +71,9 @@ def test_correlation_does_not_depend_on_the_first_row(spark):
         df = spark.createDataFrame(data, "a double, b double").coalesce(1)
         r = stats.correlation_pairs(df, ["a", "b"]).first()["r"]
         assert abs(r - 1.0) < 1e-6
+
+
+def test_minmax(spark):
+    df = spark.createDataFrame([(1.0, None), (3.0, 2.0), (5.0, 2.0)], "a double, b double")
+    got = [(r["a"], r["b"]) for r in stats.minmax(df, ["a", "b"]).orderBy("a").collect()]
+    assert got[0] == (0.0, None) and got[1][1] == 0.0 and abs(got[2][0] - 4 / (4 + 1e-6)) < 1e-12
