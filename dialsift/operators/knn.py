@@ -5,11 +5,10 @@ Two physical forms, chosen by a size check of the reference side:
 * reference rows and bytes below a limit: the reference matrix is shipped once
   to every executor (broadcast variable of a checked size) and each query
   partition is scored with NumPy in ``mapInPandas``;
-* larger: block-pair join. Query rows are split into ``bq`` hash blocks and
-  reference rows into ``br`` blocks; every (query block, reference block) pair
-  meets in one ``cogroup`` task that keeps only the k best per query row, and
-  a final ``row_number`` per query key (at most k·br candidates per key)
-  merges them. No distance row is ever materialised, only top-k lists.
+* larger: reference rows are grouped around pivots; each query row meets, in
+  ``cogroup`` tasks of bounded size, only the groups that the triangle inequality does not
+  exclude. A task keeps the k best per query row, and a final ``row_number`` per
+  query key merges them. No distance row is ever materialised, only top-k lists.
 
 Candidates are pre-selected with the BLAS form |q|²+|r|²-2q·r and re-scored
 with the direct difference form, keeping every candidate within a small
@@ -26,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import write_shared
+
 KNN_SCHEMA = "key long, neighbour long, rank int, distance double"
 
 
@@ -101,21 +102,75 @@ def knn(query: DataFrame, ref: DataFrame, k: int = 5, key: str = "key", vec: str
 
         return q.mapInPandas(score, KNN_SCHEMA)
 
-    n_q = q.count()
-    # blocks of about block_rows rows: a pair task holds one query block and one reference block
-    br, bq = max(1, math.ceil(n_ref / block_rows)), max(1, math.ceil(n_q / block_rows))
-    qx = q.withColumn("qb", F.pmod(F.xxhash64("key"), F.lit(bq))).withColumn(
-        "rb", F.explode(F.sequence(F.lit(0), F.lit(br - 1)))
-    )
-    rx = r.withColumn("rb", F.pmod(F.xxhash64("key"), F.lit(br))).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1)))
-    )
+    return _knn_by_blocks(q, r, n_ref, k, exclude_self, block_rows)
+
+
+MAX_PIVOTS = 256
+
+
+def _nearest_pivot(pivots):
+    """Rows with the index of and the distance to their nearest pivot."""
+
+    def run(batches):
+        P = pivots.value
+        for b in batches:
+            d = _distances(_matrix(b["vec"]), P)
+            near = d.argmin(axis=1) if len(b) else np.empty(0, int)
+            yield b.assign(pivot=near.astype(np.int32), dist=d[np.arange(len(b)), near] if len(b) else np.empty(0))
+
+    return run
+
+
+def _distances(Q: np.ndarray, P: np.ndarray) -> np.ndarray:
+    if not len(Q):
+        return np.zeros((0, len(P)))
+    return np.stack([np.sqrt(((Q - p) ** 2).sum(1)) for p in P], axis=1)
+
+
+def _needed_blocks(pivots, radius: np.ndarray, count: np.ndarray, k: int):
+    """Rows repeated for each pivot whose block can hold one of their k nearest rows."""
+
+    def run(batches):
+        P = pivots.value
+        for b in batches:
+            d = _distances(_matrix(b["vec"]), P)
+            # any block of more than k rows bounds the k-th distance from above
+            bound = np.where(count > k, d + radius, np.inf).min(axis=1) if len(b) else np.empty(0)
+            row, pivot = np.nonzero((count > 0) & (d - radius <= (bound * (1 + 1e-9) + 1e-9)[:, None]))
+            yield b.iloc[row].assign(pivot=pivot.astype(np.int32))
+
+    return run
+
+
+def _knn_by_blocks(q: DataFrame, r: DataFrame, n_ref: int, k: int, exclude_self: bool, block_rows: int) -> DataFrame:
+    """Exact kNN where both sides are large. Reference rows belong to the nearest of at most
+    MAX_PIVOTS of them; the triangle inequality tells which pivots' rows a query row can need.
+    Blocks and the query rows that need them are cut to about ``block_rows`` rows, so a
+    pivot that holds a third of the rows is spread over many pair tasks."""
+    sc = q.sparkSession.sparkContext
+    n_pivots = max(1, min(MAX_PIVOTS, math.ceil(n_ref / block_rows)))
+    pivots = sc.broadcast(_matrix(r.orderBy(F.xxhash64("key"), "key").limit(n_pivots).toPandas()["vec"]))
+    ref = write_shared(r.mapInPandas(_nearest_pivot(pivots), "key long, vec array<double>, pivot int, dist double"), "knn-blocks")
+    radius, count = np.zeros(n_pivots), np.zeros(n_pivots, np.int64)
+    for x in ref.groupBy("pivot").agg(F.max("dist").alias("r"), F.count(F.lit(1)).alias("n")).collect():  # MAX_PIVOTS rows
+        radius[x["pivot"]], count[x["pivot"]] = x["r"], x["n"]
+    asked = write_shared(q.mapInPandas(_needed_blocks(pivots, radius, count, k), "key long, vec array<double>, pivot int"), "knn-queries")
+    wanted = {x["pivot"]: x["n"] for x in asked.groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    def cut(n: dict, side: str):
+        parts = F.create_map(*[F.lit(x) for p in range(n_pivots) for x in (p, max(1, math.ceil(n.get(p, 0) / block_rows)))])
+        return parts[F.col("pivot")].alias(side)
+
+    sizes = dict(enumerate(count.tolist()))
+    part, every = (lambda n: F.pmod(F.xxhash64("key"), n)), (lambda n: F.explode(F.sequence(F.lit(0), (n - F.lit(1)).cast("int"))))
+    qx = asked.select("key", "vec", "pivot", part(cut(wanted, "n")).cast("int").alias("qb"), every(cut(sizes, "n")).alias("rb"))
+    rx = ref.select("key", "vec", "pivot", part(cut(sizes, "n")).cast("int").alias("rb"), every(cut(wanted, "n")).alias("qb"))
 
     def pair(qpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
         return _topk(qpdf["key"].to_numpy(np.int64), _matrix(qpdf["vec"]), rpdf["key"].to_numpy(np.int64),
                      _matrix(rpdf["vec"]), k, exclude_self)
 
-    partial = qx.groupBy("qb", "rb").cogroup(rx.groupBy("qb", "rb")).applyInPandas(pair, KNN_SCHEMA)
+    partial = qx.groupBy("pivot", "qb", "rb").cogroup(rx.groupBy("pivot", "qb", "rb")).applyInPandas(pair, KNN_SCHEMA)
     w = Window.partitionBy("key").orderBy(F.col("distance").asc(), F.col("neighbour").asc())
     return (
         partial.withColumn("rank", F.row_number().over(w))

@@ -1,6 +1,7 @@
 """kNN block-pair path equals the broadcast path; SMOTE points lie on segments; class counts."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,6 +22,38 @@ def test_block_equals_broadcast(spark):
     assert [(r["key"], r["neighbour"]) for r in a] == [(r["key"], r["neighbour"]) for r in b]
 
 
+def test_blocks_over_attempt_features(spark):
+    """The pair form over the prepared attempt features, with blocks that pruning leaves out."""
+    from dialsift.plans.prepare import prepare, split_and_scale
+    from dialsift.sources.attempts import attempts
+
+    from .conftest import SF001
+
+    sd = split_and_scale(prepare(attempts(spark, SF001)))
+    df = sd.train.select(F.col("CODIGO").alias("key"), F.array(*[F.coalesce(F.col(c), F.lit(0.0)) for c in sd.features]).alias("vec"))
+    a = knn.knn(df, df, 3).orderBy("key", "rank").collect()
+    b = knn.knn(df, df, 3, broadcast_limit=0, block_rows=100).orderBy("key", "rank").collect()
+    assert [(r["key"], r["neighbour"]) for r in a] == [(r["key"], r["neighbour"]) for r in b]
+    assert knn.knn(df, df, 3, broadcast_bytes=1000, block_rows=500).count() == len(a)
+
+
+def test_pruned_blocks_of_clusters(spark):
+    """Well separated clusters: a row needs few groups, also beside a group with a third of the rows."""
+    rng = np.random.default_rng(1)
+    rows = [(k, (rng.normal(size=4) + 50.0 * (k % 12 if k % 3 else 0)).tolist()) for k in range(1200)]
+    df = spark.createDataFrame(rows, "key long, vec array<double>")
+    a = knn.knn(df, df, 4).orderBy("key", "rank").collect()
+    b = knn.knn(df, df, 4, broadcast_limit=0, block_rows=60).orderBy("key", "rank").collect()
+    assert [(r["key"], r["neighbour"]) for r in a] == [(r["key"], r["neighbour"]) for r in b]
+    P = spark.sparkContext.broadcast(np.array([v for _, v in rows[:12]]))
+    pdf = pd.DataFrame({"key": [k for k, _ in rows], "vec": [v for _, v in rows]})
+    near = next(knn._nearest_pivot(P)([pdf]))
+    radius = np.array([near["dist"][near["pivot"] == p].max() if (near["pivot"] == p).any() else 0.0 for p in range(12)])
+    count = np.bincount(near["pivot"], minlength=12)
+    asked = next(knn._needed_blocks(P, radius, count, 4)([pdf]))
+    assert len(asked) < 0.5 * 12 * len(rows)
+
+
 def test_smote_on_segments_and_counts(spark):
     df, X = _vecs(spark)
     syn = resample.smote_samples(df, 5, 7).collect()
