@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -68,14 +70,38 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_WRITTEN: list[str] = []
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the cluster's shared checkpoint directory; removed at the end of the driver."""
+    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
 def write_shared(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared checkpoint folder and read it back: evaluated
-    once, lineage cut, columns prunable and sizes known to the plans that follow."""
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    once, lineage cut (a lost executor re-reads files), columns prunable and sizes known to
+    the plans that follow."""
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@atexit.register
+def release_shared() -> None:
+    """Delete the intermediate tables of this driver. DataFrames that read them end with it; a long
+    session may call this between jobs."""
+    sc = SparkContext._active_spark_context
+    while sc is not None and _WRITTEN:
+        try:
+            path = sc._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # noqa: BLE001 - the JVM may be gone already
+            return
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate of ``df`` (0 when it has none)."""
     try:
