@@ -1,40 +1,26 @@
-"""Helpers shared by the text operators: table access, shared intermediate
-tables, Arrow text buffers and vectorised byte hashing."""
+"""Helpers shared by the text operators: table access, intermediate tables in the
+shared folder, Arrow text buffers and vectorised byte hashing."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import ensure_checkpoint_dir
+from ..session import write_shared as materialise
 
 WHITE = b" \t\n\x0b\x0c\r"  # fixed value: [\x20\x09-\x0D]
 CHUNK_BYTES = 1 << 20
 
+__all__ = ["CHUNK_BYTES", "WHITE", "Joined", "grams", "in_chunks", "materialise", "mix", "table", "text_bytes", "text_list"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the cluster's shared checkpoint directory."""
-    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back.
-
-    Cuts lineage (a lost executor re-reads files), keeps columns and sizes
-    visible to later plans, and evaluates ``df`` exactly once."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_bytes(column) -> list[bytes]:
     """UTF-8 bytes of an Arrow string column; null is empty."""
     return [b if b is not None else b"" for b in column.cast(pa.large_binary()).to_pylist()]
