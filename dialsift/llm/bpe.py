@@ -111,7 +111,9 @@ class Bpe:
         return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if text else []
 
     def piece_words(self, piece: str | int) -> list[str | int]:
-        return [piece] if isinstance(piece, int) else self._split(piece)
+        if isinstance(piece, int) or piece.isalpha() or (piece[:1] == " " and piece[1:].isalpha()):
+            return [piece]  # letters, with a space before them at most
+        return self._split(piece)
 
     def merge(self, word: str) -> list[int]:
         """Ids of one pre-token: always the lowest-ranked pair first, leftmost among equals."""
