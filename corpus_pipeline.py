@@ -48,8 +48,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     rows = docs.withColumn(ROW, F.monotonically_increasing_id())
     classes = simhash_classes(rows, id_col=ROW)
     ranked = rows.select(ROW, "doc_id").join(classes, ROW)
+    # rows meet their decision by row number, not by class: a class may hold a third of them
     first = ranked.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("first"))
-    dropped = ranked.select(ROW, "component_id").join(first, "component_id").filter(F.col(ROW) != F.col(f"first.{ROW}")).select(ROW)
+    dropped = ranked.select(ROW).join(first.select(f"first.{ROW}"), ROW, "left_anti")
     return rows.join(materialise(dropped, "dropped"), ROW, "left_anti").select(*_names(docs))
 
 
