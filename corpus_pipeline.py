@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from dialsift.llm import quality
 from dialsift.llm.bpe_codec import encode
-from dialsift.llm.common import materialise, table
+from dialsift.llm.common import materialise, numbered, table
 from dialsift.llm.decontaminate import find_leaks
 from dialsift.llm.line_dedup import line_dedup
 from dialsift.llm.simhash import simhash_classes
@@ -43,9 +43,10 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash class: the smallest doc_id, null ids last. Rows are told apart
-    by their place in the stage's input files, so repeated and null ids are dropped like others."""
+    by their place in the stage's input files, the same in each of the three reads, so repeated and
+    null ids are dropped like others."""
     ship_package(spark)
-    rows = docs.withColumn(ROW, F.monotonically_increasing_id())
+    rows = numbered(docs, ROW)
     classes = simhash_classes(rows, id_col=ROW)
     ranked = rows.select(ROW, "doc_id").join(classes, ROW)
     # rows meet their decision by row number, not by class: a class may hold a third of them

@@ -7,20 +7,56 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import write_shared as materialise
 
 WHITE = b" \t\n\x0b\x0c\r"  # fixed value: [\x20\x09-\x0D]
 CHUNK_BYTES = 1 << 20
 
-__all__ = ["CHUNK_BYTES", "WHITE", "Joined", "grams", "in_chunks", "materialise", "mix", "table", "text_bytes", "text_list"]
+__all__ = ["CHUNK_BYTES", "WHITE", "Joined", "grams", "in_chunks", "materialise", "mix", "numbered", "table", "text_bytes", "text_list"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbered(docs: DataFrame, out_col: str) -> DataFrame:
+    """``docs`` with a long column that tells its rows apart, the same in every execution:
+    unlike ``monotonically_increasing_id`` it does not change with the cores that are
+    registered when the files are split and packed into partitions.
+
+    Rows of a Parquet table (columns of it only) have the place of their file among the sorted
+    paths and their index in it; any other DataFrame is numbered in a copy in the shared folder."""
+    files = _files(docs)
+    if files is None:
+        return materialise(docs.withColumn(out_col, F.monotonically_increasing_id()), "numbered")
+    path, place = f"{out_col}_path", f"{out_col}_file"
+    places = docs.sparkSession.createDataFrame(list(zip(files, range(len(files)), strict=True)), f"`{path}` string, `{place}` long")
+    rows = docs.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(out_col))
+    rows = rows.join(F.broadcast(places), path)  # one row for each file
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns), (F.shiftleft(place, 40) + F.col(out_col)).alias(out_col))
+
+
+def _files(docs: DataFrame) -> list[str] | None:
+    """The sorted paths of a Parquet table's files; None where path and row index are not known to be unique."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() == "Project":
+        plan = plan.child()
+    if not plan.nodeName().startswith(("LogicalRelation", "Relation")):
+        return None
+    try:
+        places = docs.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("at"))
+    except AnalysisException:  # another format, or a column of that name
+        return None
+    found = places.groupBy("path").agg(F.count("*").alias("n"), F.max("at").alias("last")).collect()
+    if any(r["n"] != r["last"] + 1 for r in found):  # a file that is listed twice
+        return None
+    return sorted(r["path"] for r in found)
+
+
 def text_bytes(column) -> list[bytes]:
     """UTF-8 bytes of an Arrow string column; null is empty."""
     return [b if b is not None else b"" for b in column.cast(pa.large_binary()).to_pylist()]

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from dialsift.llm import bpe, quality
-from dialsift.llm.common import materialise
+from dialsift.llm import bpe, quality, simhash
+from dialsift.llm.common import materialise, numbered
 
 from .conftest import AWKWARD
 from .test_line_dedup import brute as dropped_lines
@@ -108,3 +108,37 @@ def test_awkward_and_empty_stages(spark, folder, rows):
             assert out.count() == docs.count()
         elif not rows:
             assert out.count() == 0
+
+
+def near_copies(n=400):
+    """Rows (doc_id, text, lang, source, n_chars) of which every second repeats the text of a lower id."""
+    texts = [" ".join(f"t{k}x{j}" for j in range(30)) for k in range(n // 2)]
+    return [(k, texts[k % (n // 2)], "en", "s", len(texts[k % (n // 2)])) for k in range(n)]
+
+
+def test_near_copies_when_the_files_are_packed_anew(spark, written, repacked):
+    rows = near_copies()
+    docs = written(rows, DOCS, parts=5)
+    repacked(simhash)
+    repacked(corpus_pipeline)
+    out = materialise(corpus_pipeline.drop_near_copies(spark, docs, ""), "t")
+    assert sorted(rows_of(out)) == [r[:2] for r in rows[: len(rows) // 2]]
+
+
+def test_row_numbers(spark, written):
+    docs = written(near_copies(), DOCS, parts=5)
+    frames = {
+        "table": docs, "projection": docs.select("doc_id", "text"), "filter": docs.filter("doc_id % 3 = 0"), "twice": docs.union(docs),
+        "same path twice": spark.read.parquet(*2 * docs.select("_metadata.file_path").distinct().toPandas()["file_path"].tolist()),
+        "exploded": docs.select("doc_id", F.explode(F.array("text", "lang")).alias("text")), "own metadata": docs.withColumn("_metadata", F.lit(1)),
+        "no file": spark.range(50), "empty": written([], DOCS, parts=1)}
+    for name, df in frames.items():
+        rows = numbered(df, "no")
+        assert rows.columns == [*df.columns, "no"], name
+        seen = rows.select("no", df.columns[0]).collect()
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        again = rows.select("no", df.columns[0]).collect()
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert len({r["no"] for r in seen}) == len(seen) == df.count() and sorted(seen) == sorted(again), name
