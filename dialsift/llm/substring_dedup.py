@@ -22,8 +22,8 @@ id, or same row, earlier start), judged on the input.
 Defined cases: null text is empty; texts under LENGTH bytes lose nothing; rows of
 one id are ordered by their place in the input files; null ids come last; invalid UTF-8
 may be left over, so the remaining text is binary; an empty table gives an empty table.
-Rows are told apart by their place in the files of ``docs``, which must be a table or
-written before.
+Rows are told apart by their file and their index in it, the same in every read; a ``docs``
+that is not a Parquet table is numbered in a written copy (``common.numbered``).
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Joined, materialise, mix, text_bytes
+from .common import Joined, materialise, mix, numbered, text_bytes
 from .suffix_ranks import suffix_ranks
 
 LENGTH, SEED = 100, 50
@@ -334,8 +334,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are dealt to several tasks; texts are scanned in pieces of ``piece_bytes`` windows."""
     spark = docs.sparkSession
     row_id = "__substring_row"
-    numbered = docs.withColumn(row_id, F.monotonically_increasing_id())
-    rows = numbered.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(row_id).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    whole = numbered(docs, row_id)  # the same numbers in each of the three reads
+    rows = whole.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(row_id).alias("row"), F.col(f"`{text_col}`").alias("text"))
 
     places = rows.mapInArrow(_emit_places(piece_bytes), "key long, done boolean, seed long, context long, doc long, row long, place long")
     sorted_places = places.repartition("key").sortWithinPartitions("done", "seed", "context", "doc", "row", "place").drop("key")
@@ -364,5 +364,5 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             [pa.array([f[0] for f in found], pa.binary()), pa.array([len(t) for t in own], pa.int64()),
              pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int64())], ["kept", "n_bytes", "n_removed", "n_spans"])
 
-    joined = numbered.join(per_row, row_id, "left")
+    joined = whole.join(per_row, row_id, "left")
     return joined.withColumn(out_col, cut(F.col(f"`{text_col}`"), F.col("__begin"), F.col("__end"))).drop(row_id, "__begin", "__end")

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from dialsift.llm import substring_dedup as module
 from dialsift.llm.substring_dedup import LENGTH, substring_dedup
 from dialsift.llm.suffix_ranks import suffix_ranks
 
@@ -84,3 +85,10 @@ def test_empty_table_and_clashing_columns(written):
     df = written([(1, "q" * 150, 1, 2)], "doc_id long, text string, row int, begin int")
     row = substring_dedup(df, out_col="c").first()
     assert (row["row"], row["begin"], row["c"]["n_removed"]) == (1, 2, 149)
+
+
+def test_files_packed_anew_between_the_reads(written, repacked):
+    rows = corpus()
+    docs = written(rows, parts=5)
+    repacked(module)
+    assert run(docs) == brute(rows)
