@@ -12,8 +12,10 @@ from .bpe_codec import encode
 from .chat import CHATML, format_conversations, read_back
 from .common import table
 from .decontaminate import find_leaks
+from .fill_in_middle import fill_in_middle, restore
 from .line_dedup import line_dedup
 from .minhash import fingerprint_documents
+from .quality_rules import quality_rules
 from .simhash import simhash_classes
 from .substring_dedup import substring_dedup
 from .token_counts import count_tokens
@@ -89,6 +91,18 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*", F.lit(True).alias("contaminated"))
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "fim.n", "fim.form", "fim.prefix_chars", "fim.middle_chars", utf8_sha256("fim.text").alias("output_sha256"),
+                      F.sha2(restore(F.col("fim.text"), F.col("fim.form")).cast("binary"), 256).alias("restored_sha256"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ruled = quality_rules(table(spark, sf_dir, "documents"))
+    return ruled.select("doc_id", *(f"rules.{c}" for c in (
+        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_simhash": op2_simhash,
@@ -100,9 +114,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_bpe_codec": op9_bpe_codec,
     "op10_decontaminate": op10_decontaminate,
+    "op11_fim": op11_fim,
+    "op12_quality_rules": op12_quality_rules,
 }
 
 ORACLE: dict[str, str] = {
     "op3_chat_format": oracle.CHAT_FORMAT,
     "op8_line_dedup": oracle.LINE_DEDUP,
+    "op11_fim": oracle.FIM,
+    "op12_quality_rules": oracle.QUALITY_RULES,
 }

@@ -38,3 +38,47 @@ SELECT conv_id, count(*) AS n_turns,
   bool_and((before, role) IN (('start', 'system'), ('start', 'user'), ('system', 'user'), ('user', 'assistant'), ('assistant', 'user'))
            AND (NOT last OR role = 'assistant')) AS legal_order
 FROM f GROUP BY conv_id"""
+
+
+FIM = """
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS digest,
+         regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u FROM documents),
+h AS (
+  SELECT *, len(u) AS n, ('0x' || substr(digest, 1, 8))::UBIGINT % (len(u) + 1) AS x, ('0x' || substr(digest, 9, 8))::UBIGINT % (len(u) + 1) AS y,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                   OR ('0x' || substr(digest, 17, 8))::UBIGINT % 100 >= 90 THEN 'plain'
+              WHEN ('0x' || substr(digest, 25, 8))::UBIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM t),
+p AS (
+  SELECT *, array_to_string(u[1:least(x, y)::BIGINT], '') AS pre, array_to_string(u[least(x, y)::BIGINT + 1:greatest(x, y)::BIGINT], '') AS mid,
+         array_to_string(u[greatest(x, y)::BIGINT + 1:], '') AS suf FROM h)
+SELECT doc_id, n::BIGINT AS n, form,
+  CASE WHEN form <> 'plain' THEN length(pre) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid
+              ELSE '<P>' || pre || '<S>' || suf || '<M>' || mid END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p"""
+
+QUALITY_RULES = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || source, '') AS host, coalesce(text, '') AS text FROM documents),
+w AS (SELECT rid, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w, generate_subscripts(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), 1) AS i FROM d),
+g AS (SELECT rid, w, i, CASE WHEN lead(i, 4) OVER o IS NOT NULL THEN
+             w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' ' || lead(w, 4) OVER o END AS g
+      FROM w WINDOW o AS (PARTITION BY rid ORDER BY i)),
+r AS (SELECT *, g IS NOT NULL AND count(*) OVER (PARTITION BY rid, g) > 1 AS again FROM g),
+c AS (SELECT rid, w, bool_or(again) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS covered FROM r),
+words AS (SELECT rid, count(*) AS n_words, sum(length(w)) AS word_chars, count(*) FILTER (covered) AS n_repeat_words FROM c GROUP BY rid),
+l AS (SELECT rid, host, text, line, {ASCII_LOWER.format("trim(regexp_replace(line, '[' || " + WHITE + " || ']+', ' ', 'g'), ' ')")} AS k
+      FROM (SELECT rid, host, text, unnest(string_split(text, chr(10))) AS line FROM d) WHERE trim(line, {WHITE}) <> ''),
+k AS (SELECT host, k, count(DISTINCT text) AS n FROM l GROUP BY host, k),
+hosts AS (SELECT host, count(DISTINCT text) AS host_docs FROM d GROUP BY host),
+hot AS (SELECT host, k FROM k JOIN hosts USING (host) WHERE n >= 10 AND n >= host_docs * 0.001),
+lines AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines, sum(length(l.k)) AS chars,
+                 coalesce(sum(length(l.k)) FILTER (hot.k IS NOT NULL), 0) AS lost FROM l LEFT JOIN hot USING (host, k) GROUP BY rid),
+x AS (SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
+             length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+             coalesce(n_repeat_words, 0) AS n_repeat_words, CASE WHEN chars > 0 THEN 1 - lost / chars ELSE 1 END AS left_share
+      FROM d LEFT JOIN words USING (rid) LEFT JOIN lines USING (rid)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM x)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+       n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND left_share >= 0.2 AS kept FROM b"""
