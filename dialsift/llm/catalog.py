@@ -17,6 +17,7 @@ from .line_dedup import line_dedup
 from .minhash import fingerprint_documents
 from .quality_rules import quality_rules
 from .simhash import simhash_classes
+from .spelling import count_words, group_variants
 from .substring_dedup import substring_dedup
 from .token_counts import count_tokens
 
@@ -103,6 +104,10 @@ def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_variants(count_words(table(spark, sf_dir, "documents").select("doc_id", "text"), drop_one_in=97))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_simhash": op2_simhash,
@@ -116,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": op10_decontaminate,
     "op11_fim": op11_fim,
     "op12_quality_rules": op12_quality_rules,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLE: dict[str, str] = {
