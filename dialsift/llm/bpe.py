@@ -70,6 +70,8 @@ class Bpe:
             self.token_bytes[i] = token.encode() if token in self.special else to_bytes(token)
         for token, i in self.special.items():
             self.token_bytes[i] = token.encode()
+        if len(self.token_bytes) > ID_MASK:
+            raise ValueError(f"the vocabulary has over {ID_MASK} ids")
         self.byte_id = [0] * 256
         for c, b in alphabet.items():
             self.byte_id[b] = vocab[c]
