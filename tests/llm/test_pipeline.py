@@ -142,3 +142,10 @@ def test_row_numbers(spark, written):
         spark.conf.unset("spark.sql.files.minPartitionNum")
         spark.conf.unset("spark.sql.files.openCostInBytes")
         assert len({r["no"] for r in seen}) == len(seen) == df.count() and sorted(seen) == sorted(again), name
+
+
+def test_short_items_reach_the_pipeline(spark, written):
+    base = os.path.join(spark.sparkContext.getCheckpointDir(), f"short-{uuid.uuid4().hex}")
+    spark.createDataFrame([(1, "alpha beta"), (2, "zeta eta theta iota")], "item_id long, text string").write.parquet(f"{base}/benchmark.parquet")
+    docs = written([(k, t, "en", "s", len(t)) for k, t in enumerate(["beta alpha", "an Alpha, beta b", "zeta eta theta", "zeta eta theta iota"])], DOCS)
+    assert sorted(rows_of(corpus_pipeline.drop_leaks(spark, docs, base))) == [(0, "beta alpha"), (2, "zeta eta theta")]
