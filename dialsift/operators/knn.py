@@ -5,10 +5,8 @@ Two physical forms, chosen by a size check of the reference side:
 * reference rows and bytes below a limit: the reference matrix is shipped once
   to every executor (broadcast variable of a checked size) and each query
   partition is scored with NumPy in ``mapInPandas``;
-* larger: reference rows are grouped around pivots; each query row meets, in
-  ``cogroup`` tasks of bounded size, only the groups that the triangle inequality does not
-  exclude. A task keeps the k best per query row, and a final ``row_number`` per
-  query key merges them. No distance row is ever materialised, only top-k lists.
+* larger: a pivot tree searched in rounds (``knn_tree``). No distance row is ever
+  materialised, only top-k lists.
 
 Candidates are pre-selected with the BLAS form |q|²+|r|²-2q·r and re-scored
 with the direct difference form, keeping every candidate within a small
@@ -18,14 +16,12 @@ neighbour.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import write_shared
+from .knn_tree import knn_by_tree
 
 KNN_SCHEMA = "key long, neighbour long, rank int, distance double"
 
@@ -34,21 +30,28 @@ SPARE = 8  # candidates kept beyond k before exact distances decide
 
 
 def _topk(qk: np.ndarray, Q: np.ndarray, rk: np.ndarray, R: np.ndarray, k: int, exclude_self: bool) -> pd.DataFrame:
-    """The k nearest rows of R for each row of Q, by strips of bounded size."""
-    parts = []
-    if len(qk) and len(rk):
+    """The k nearest rows of R for each row of Q."""
+    row, at, distance = topk_rows(Q, rk, R, k, qk if exclude_self else None)
+    return pd.DataFrame({"key": qk[row].astype(np.int64), "neighbour": rk[at].astype(np.int64),
+                         "rank": (np.arange(len(row)) - np.searchsorted(row, row) + 1).astype(np.int32), "distance": distance})
+
+
+def topk_rows(Q: np.ndarray, rk: np.ndarray, R: np.ndarray, k: int, qk: np.ndarray | None = None):
+    """(row of Q, row of R, distance) of the k nearest rows of R, nearest first, ties by their keys ``rk``;
+    rows of equal key are left out where ``qk`` is given. In strips of bounded size."""
+    parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    if len(Q) and len(rk):
         rn = (R * R).sum(1)
         step = max(1, int(2_000_000 // len(rk)))
-        for s in range(0, len(qk), step):
-            parts.append(_strip(qk[s:s + step], Q[s:s + step], rk, R, rn, k, exclude_self))
-    columns = [np.concatenate(c) for c in zip(*parts)] if parts else [np.empty(0)] * 4
-    return pd.DataFrame({"key": columns[0].astype(np.int64), "neighbour": columns[1].astype(np.int64),
-                         "rank": columns[2].astype(np.int32), "distance": columns[3].astype(np.float64)})
+        for s in range(0, len(Q), step):
+            row, at, distance = _strip(None if qk is None else qk[s:s + step], Q[s:s + step], rk, R, rn, k)
+            parts.append((row + s, at, distance))
+    return tuple(np.concatenate(c) for c in zip(*parts))
 
 
-def _strip(keys, q, rk, R, rn, k, exclude_self):
+def _strip(keys, q, rk, R, rn, k):
     d2 = (q * q).sum(1)[:, None] + rn[None, :] - 2.0 * (q @ R.T)
-    if exclude_self:
+    if keys is not None:
         d2[keys[:, None] == rk[None, :]] = np.inf
     n, m = d2.shape
     take = min(k + SPARE, m)
@@ -73,7 +76,7 @@ def _strip(keys, q, rk, R, rn, k, exclude_self):
     row, flat, exact = row[order], flat[order], exact[order]
     rank = np.arange(len(row)) - np.searchsorted(row, row, side="left") + 1
     best = rank <= k
-    return keys[row[best]], rk[flat[best]], rank[best], exact[best]
+    return row[best], flat[best], exact[best]
 
 
 def _matrix(series: pd.Series) -> np.ndarray:
@@ -86,7 +89,7 @@ def knn(query: DataFrame, ref: DataFrame, k: int = 5, key: str = "key", vec: str
         broadcast_limit: int = 50_000, block_rows: int = 4096, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """(key, neighbour, rank, distance): the k nearest ``ref`` rows of every
     ``query`` row. The reference side is broadcast if it has at most ``broadcast_limit`` rows and
-    ``broadcast_bytes`` of numbers; otherwise blocks of ``block_rows`` rows meet in pairs."""
+    ``broadcast_bytes`` of numbers; otherwise a pivot tree with leaves of about ``block_rows`` rows is searched."""
     q = query.select(F.col(key).cast("long").alias("key"), F.col(vec).cast("array<double>").alias("vec"))
     r = ref.select(F.col(key).cast("long").alias("key"), F.col(vec).cast("array<double>").alias("vec"))
     size = r.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("vec") + 1), F.lit(0)).alias("numbers")).first()
@@ -102,78 +105,4 @@ def knn(query: DataFrame, ref: DataFrame, k: int = 5, key: str = "key", vec: str
 
         return q.mapInPandas(score, KNN_SCHEMA)
 
-    return _knn_by_blocks(q, r, n_ref, k, exclude_self, block_rows)
-
-
-MAX_PIVOTS = 256
-
-
-def _nearest_pivot(pivots):
-    """Rows with the index of and the distance to their nearest pivot."""
-
-    def run(batches):
-        P = pivots.value
-        for b in batches:
-            d = _distances(_matrix(b["vec"]), P)
-            near = d.argmin(axis=1) if len(b) else np.empty(0, int)
-            yield b.assign(pivot=near.astype(np.int32), dist=d[np.arange(len(b)), near] if len(b) else np.empty(0))
-
-    return run
-
-
-def _distances(Q: np.ndarray, P: np.ndarray) -> np.ndarray:
-    if not len(Q):
-        return np.zeros((0, len(P)))
-    return np.stack([np.sqrt(((Q - p) ** 2).sum(1)) for p in P], axis=1)
-
-
-def _needed_blocks(pivots, radius: np.ndarray, count: np.ndarray, k: int):
-    """Rows repeated for each pivot whose block can hold one of their k nearest rows."""
-
-    def run(batches):
-        P = pivots.value
-        for b in batches:
-            d = _distances(_matrix(b["vec"]), P)
-            # any block of more than k rows bounds the k-th distance from above
-            bound = np.where(count > k, d + radius, np.inf).min(axis=1) if len(b) else np.empty(0)
-            row, pivot = np.nonzero((count > 0) & (d - radius <= (bound * (1 + 1e-9) + 1e-9)[:, None]))
-            yield b.iloc[row].assign(pivot=pivot.astype(np.int32))
-
-    return run
-
-
-def _knn_by_blocks(q: DataFrame, r: DataFrame, n_ref: int, k: int, exclude_self: bool, block_rows: int) -> DataFrame:
-    """Exact kNN where both sides are large. Reference rows belong to the nearest of at most
-    MAX_PIVOTS of them; the triangle inequality tells which pivots' rows a query row can need.
-    Blocks and the query rows that need them are cut to about ``block_rows`` rows, so a
-    pivot that holds a third of the rows is spread over many pair tasks."""
-    sc = q.sparkSession.sparkContext
-    n_pivots = max(1, min(MAX_PIVOTS, math.ceil(n_ref / block_rows)))
-    pivots = sc.broadcast(_matrix(r.orderBy(F.xxhash64("key"), "key").limit(n_pivots).toPandas()["vec"]))
-    ref = write_shared(r.mapInPandas(_nearest_pivot(pivots), "key long, vec array<double>, pivot int, dist double"), "knn-blocks")
-    radius, count = np.zeros(n_pivots), np.zeros(n_pivots, np.int64)
-    for x in ref.groupBy("pivot").agg(F.max("dist").alias("r"), F.count(F.lit(1)).alias("n")).collect():  # MAX_PIVOTS rows
-        radius[x["pivot"]], count[x["pivot"]] = x["r"], x["n"]
-    asked = write_shared(q.mapInPandas(_needed_blocks(pivots, radius, count, k), "key long, vec array<double>, pivot int"), "knn-queries")
-    wanted = {x["pivot"]: x["n"] for x in asked.groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).collect()}
-
-    def cut(n: dict, side: str):
-        parts = F.create_map(*[F.lit(x) for p in range(n_pivots) for x in (p, max(1, math.ceil(n.get(p, 0) / block_rows)))])
-        return parts[F.col("pivot")].alias(side)
-
-    sizes = dict(enumerate(count.tolist()))
-    part, every = (lambda n: F.pmod(F.xxhash64("key"), n)), (lambda n: F.explode(F.sequence(F.lit(0), (n - F.lit(1)).cast("int"))))
-    qx = asked.select("key", "vec", "pivot", part(cut(wanted, "n")).cast("int").alias("qb"), every(cut(sizes, "n")).alias("rb"))
-    rx = ref.select("key", "vec", "pivot", part(cut(sizes, "n")).cast("int").alias("rb"), every(cut(wanted, "n")).alias("qb"))
-
-    def pair(qpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
-        return _topk(qpdf["key"].to_numpy(np.int64), _matrix(qpdf["vec"]), rpdf["key"].to_numpy(np.int64),
-                     _matrix(rpdf["vec"]), k, exclude_self)
-
-    partial = qx.groupBy("pivot", "qb", "rb").cogroup(rx.groupBy("pivot", "qb", "rb")).applyInPandas(pair, KNN_SCHEMA)
-    w = Window.partitionBy("key").orderBy(F.col("distance").asc(), F.col("neighbour").asc())
-    return (
-        partial.withColumn("rank", F.row_number().over(w))
-        .where(F.col("rank") <= k)
-        .select("key", "neighbour", F.col("rank").cast("int"), "distance")
-    )
+    return knn_by_tree(q, r, k, exclude_self, block_rows)

@@ -595,6 +595,13 @@ def q_knn_exact(spark, sf_dir):
     return round_doubles(knn_op.knn(e, e, 5))
 
 
+@register("knn_tree", ORACLE["knn_exact"])
+def q_knn_tree(spark, sf_dir):
+    """The same neighbours by the form for large reference sides: a pivot tree searched in rounds."""
+    e = embedding_rows(spark, sf_dir)
+    return round_doubles(knn_op.knn(e, e, 5, broadcast_limit=0, block_rows=256))
+
+
 @register("smote", oracle.with_(*_SMOTE_CTES) + f"SELECT synth_id, base_key, neighbour_key, {_SYNTH_SUMMARY_SQL} FROM sm")
 def q_smote(spark, sf_dir):
     return _synth_summary(resample.smote_samples(embedding_rows(spark, sf_dir), 5, RESAMPLE_SEED))

@@ -5,7 +5,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from dialsift.operators import knn, resample, sampling
+from dialsift.operators import knn, knn_tree, resample, sampling
+from dialsift.session import write_shared
 
 
 def _vecs(spark, n=300, d=8, seed=0):
@@ -37,21 +38,68 @@ def test_blocks_over_attempt_features(spark):
     assert knn.knn(df, df, 3, broadcast_bytes=1000, block_rows=500).count() == len(a)
 
 
-def test_pruned_blocks_of_clusters(spark):
-    """Well separated clusters: a row needs few groups, also beside a group with a third of the rows."""
+def _same(a, b):
+    key = lambda r: (r["key"], r["rank"], r["neighbour"], round(r["distance"], 9))
+    assert sorted(map(key, a.collect())) == sorted(map(key, b.collect()))
+
+
+def test_tree_of_clusters(spark):
+    """Well separated clusters, one with a third of the rows; k beyond the rows of a leaf."""
     rng = np.random.default_rng(1)
     rows = [(k, (rng.normal(size=4) + 50.0 * (k % 12 if k % 3 else 0)).tolist()) for k in range(1200)]
     df = spark.createDataFrame(rows, "key long, vec array<double>")
-    a = knn.knn(df, df, 4).orderBy("key", "rank").collect()
-    b = knn.knn(df, df, 4, broadcast_limit=0, block_rows=60).orderBy("key", "rank").collect()
-    assert [(r["key"], r["neighbour"]) for r in a] == [(r["key"], r["neighbour"]) for r in b]
-    P = spark.sparkContext.broadcast(np.array([v for _, v in rows[:12]]))
-    pdf = pd.DataFrame({"key": [k for k, _ in rows], "vec": [v for _, v in rows]})
-    near = next(knn._nearest_pivot(P)([pdf]))
-    radius = np.array([near["dist"][near["pivot"] == p].max() if (near["pivot"] == p).any() else 0.0 for p in range(12)])
-    count = np.bincount(near["pivot"], minlength=12)
-    asked = next(knn._needed_blocks(P, radius, count, 4)([pdf]))
-    assert len(asked) < 0.5 * 12 * len(rows)
+    for k in (1, 4, 70):
+        _same(knn.knn(df, df, k), knn.knn(df, df, k, broadcast_limit=0, block_rows=60))
+    other = spark.createDataFrame([(k, (rng.normal(size=4) * 300).tolist()) for k in range(90)], "key long, vec array<double>")
+    _same(knn.knn(other, df, 5, exclude_self=False), knn.knn(other, df, 5, exclude_self=False, broadcast_limit=0, block_rows=60))
+
+
+def test_tree_with_copies_and_ties(spark):
+    """A vector that holds a third of the rows is one reference row; equal distances go by key."""
+    rng = np.random.default_rng(2)
+    rows = [(k, [0.0, 1.0, -0.0] if k % 3 == 0 else rng.integers(0, 4, 3).astype(float).tolist()) for k in range(900)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(int(k), v) for k, v in rows], "key long, vec array<double>")
+    for k in (1, 3, 20):
+        _same(knn.knn(df, df, k), knn.knn(df, df, k, broadcast_limit=0, block_rows=10))
+    assert knn_tree.distinct_vectors(df, 6).count() == 64
+
+
+def test_tree_of_few_rows(spark):
+    empty = spark.createDataFrame([], "key long, vec array<double>")
+    one = spark.createDataFrame([(7, [1.0, 2.0])], "key long, vec array<double>")
+    assert knn.knn(one, empty, 3, broadcast_limit=-1).count() == 0 and knn.knn(empty, one, 3, broadcast_limit=-1).count() == 0
+    assert knn.knn(one, one, 3, broadcast_limit=-1).count() == 0  # only itself
+    assert [tuple(r) for r in knn.knn(one, one, 3, exclude_self=False, broadcast_limit=-1).collect()] == [(7, 7, 1, 0.0)]
+
+
+def test_pairs_stay_few_among_a_million_rows(spark):
+    """10^6 clustered rows: under 5 % of all query and reference pairs are compared, and every neighbour is right."""
+    n, m, k = 1_000_000, 4000, 5
+    rng = np.random.default_rng(5)
+    centres = spark.sparkContext.broadcast(rng.uniform(0, 1000, (300, 6)))
+
+    def draw(batches):
+        for b in batches:
+            own = np.random.default_rng(int(b["id"].iloc[0]) if len(b) else 0)
+            X = centres.value[own.integers(0, 300, len(b))] + own.normal(size=(len(b), 6))
+            yield pd.DataFrame({"key": b["id"], "vec": list(X)})
+
+    ref = write_shared(spark.range(0, n, 1, 64).mapInPandas(draw, "key long, vec array<double>"), "million")
+    query = write_shared(ref.filter(F.col("key") % (n // m) == 0), "queries")
+    pairs = spark.sparkContext.accumulator(0)
+    got = knn_tree.knn_by_tree(query, ref, k, True, 4096, pairs).toPandas()
+    compared = pairs.value  # read before another action runs the tasks again
+    assert len(got) == m * k and compared < 0.05 * n * m
+    held = ref.toArrow()
+    R, rk = knn_tree.matrix(held["vec"]), held["key"].to_numpy()
+    for key in got["key"].unique()[::200]:
+        own = R[rk == key][0]
+        d = np.sqrt(((R - own) ** 2).sum(1))
+        d[rk == key] = np.inf
+        at = np.lexsort((rk, d))[:k]
+        mine = got[got["key"] == key].sort_values("rank")
+        assert mine["neighbour"].tolist() == rk[at].tolist() and np.allclose(mine["distance"], d[at])
 
 
 def test_smote_on_segments_and_counts(spark):
