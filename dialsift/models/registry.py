@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import write_shared
+from .linear import fit_squared_hinge
+
 
 @dataclass(frozen=True)
 class ModelSizes:
@@ -175,6 +177,23 @@ def _platt_svc(ctx: FitContext):
     return fit
 
 
+def _squared_hinge(ctx: FitContext):
+    """F7 LinearSVC(dual=False): squared hinge, C=1, balanced, intercept penalised. Score = decision value. Exact."""
+
+    def fit(train: DataFrame) -> FittedModel:
+        w = fit_squared_hinge(train, ctx.n_features, max_steps=ctx.size("iterations", 1000))
+        return FittedModel("margin", params={"w": w[:-1].tolist(), "b": float(w[-1])})
+
+    return fit
+
+
+def _score_margin(fitted: FittedModel, df: DataFrame) -> DataFrame:
+    weights = F.array(*[F.lit(x) for x in fitted.params["w"]])
+    products = F.zip_with(vector_to_array("features"), weights, lambda x, w: x * w)
+    out = df.withColumn("score", F.aggregate(products, F.lit(fitted.params["b"]), lambda a, x: a + x))
+    return out.withColumn("prediction", (F.col("score") > 0).cast("int"))
+
+
 def _margin_vector():
     return array_to_vector(F.array(vector_to_array("rawPrediction")[1])).alias("_mf")
 
@@ -397,14 +416,14 @@ def _score_signs(fitted: FittedModel, df: DataFrame) -> DataFrame:
 
 
 SCORERS = {
-    "ml": _score_ml, "decision": _score_decision, "platt": _score_platt, "discriminant": _score_discriminant,
+    "ml": _score_ml, "decision": _score_decision, "margin": _score_margin, "platt": _score_platt, "discriminant": _score_discriminant,
     "knn": _score_knn, "stumps": _score_stumps, "bags": _score_bags, "signs": _score_signs,
 }
 
 
 def _lr(ctx, l1=False):
     return LogisticRegression(featuresCol="features", labelCol="label", regParam=1.0 / max(1, ctx.n_train),
-                              elasticNetParam=1.0 if l1 else 0.0, standardization=False, maxIter=ctx.size("iterations", 1000))
+                              elasticNetParam=1.0 if l1 else 0.0, standardization=False, maxIter=ctx.size("iterations", 1000), tol=1e-10)
 
 
 def _rf(ctx, trees, depth, **kw):
@@ -428,9 +447,7 @@ REGISTRY: list[ModelSpec] = [
               "Exact objective"),
     ModelSpec("Linear_LinearDiscriminant", "Linear", _discriminant(False), "Exact"),
     ModelSpec("Linear_QuadraticDiscriminant", "Linear", _discriminant(True), "Exact"),
-    ModelSpec("SVM_LinearSVC", "SVM",
-              _ml(lambda c: LinearSVC(featuresCol="features", labelCol="label", regParam=1.0 / max(1, c.n_train),
-                                      standardization=False, maxIter=c.size("iterations", 1000)), weighted=True, has_prob=False)),
+    ModelSpec("SVM_LinearSVC", "SVM", _squared_hinge, "Exact"),
     ModelSpec("SVM_SVC_Linear", "SVM", _platt_svc),
     ModelSpec("NaiveBayes_GaussianNB", "NaiveBayes",
               _ml(lambda c: NaiveBayes(featuresCol="features", labelCol="label", modelType="gaussian"))),

@@ -704,12 +704,6 @@ def q_zoo_results(spark, sf_dir):
     return _zoo(spark, sf_dir)[1].leaderboard
 
 
-@register("score_logistic")
-def q_score_logistic(spark, sf_dir):
-    """Test scores of the balanced logistic regression on the original set."""
-    return _zoo(spark, sf_dir, [zoo_registry.BY_NAME["Linear_LogisticRegression"]], ["Original"])[1].scores
-
-
 @register("tune_best")
 def q_tune_best(spark, sf_dir):
     """Three picks among the tree models, each tuned with its own scoring over QUERY_SPACES (H1, H4, H5, H6)."""
@@ -719,22 +713,15 @@ def q_tune_best(spark, sf_dir):
     return zoo_tuning.tune_best(picks, data.train, data.test, n_iter=4, cv=2, n_features=data.n_features, spaces=QUERY_SPACES)[0]
 
 
-# ------------------------------------------------------------------ closed-form model scores with oracles
-
-# a few coordinates, so that SQL can solve the normal equations
-MODEL_DIMS = 2
+# ------------------------------------------------------------------ model scores with oracles
 
+def _model_scores(name: str, digits: int = 5):
+    """Test scores of a model, at the reference's size, on the original set."""
 
-def _few_dims(df: DataFrame) -> DataFrame:
-    return df.withColumn("vec", F.slice("vec", 1, MODEL_DIMS))
-
-
-def _model_scores(name: str, dims: bool = True):
     def fn(spark, sf_dir):
-        rows = embedding_rows(spark, sf_dir)
-        data = zoo_runner.zoo_data(_few_dims(rows) if dims else rows, seed=RESAMPLE_SEED, datasets=("Original",))
+        data = zoo_runner.zoo_data(embedding_rows(spark, sf_dir), seed=RESAMPLE_SEED, datasets=("Original",))
         zoo = zoo_runner.run_zoo(data, [zoo_registry.BY_NAME[name]], dataset_names=["Original"])
-        return zoo.scores.select("key", F.round("score", 5).alias("score"), "y", "pred")
+        return zoo.scores.select("key", F.round("score", digits).alias("score"), "y", "pred")
 
     return fn
 
@@ -757,7 +744,7 @@ GROUP BY key"""
 
 
 for _k in (5, 10):
-    register(f"score_knn_k{_k}", _knn_model_sql(_k))(_model_scores(f"KNN_K{_k}", dims=False))
+    register(f"score_knn_k{_k}", _knn_model_sql(_k))(_model_scores(f"KNN_K{_k}"))
 
 # Spark's gaussian NB: class variances get 1e-9 times the largest of all variances over the classes
 _GAUSSIAN_SQL = _MODEL_ROWS + """,
@@ -769,7 +756,7 @@ ll AS (SELECT te.key, te.y AS ty, cm.y AS c, sum(-0.5::DOUBLE * ln(2 * pi() * cm
 po AS (SELECT key, ty, max(CASE WHEN c = 1 THEN l + ln(p) END) AS l1, max(CASE WHEN c = 0 THEN l + ln(p) END) AS l0
        FROM ll JOIN pr ON ll.c = pr.y GROUP BY key, ty)
 SELECT key, round(1 / (1 + exp(least(l0 - l1, 700))), 5) AS score, ty AS y, CAST(l1 > l0 AS INTEGER) AS pred FROM po"""
-register("score_gaussian_nb", _GAUSSIAN_SQL)(_model_scores("NaiveBayes_GaussianNB", dims=False))
+register("score_gaussian_nb", _GAUSSIAN_SQL)(_model_scores("NaiveBayes_GaussianNB"))
 
 _BERNOULLI_SQL = _MODEL_ROWS + """,
 lg AS (SELECT y, CAST(vec[i] > 0 AS INTEGER) AS b, i FROM tr, range(1, 65) t(i)),
@@ -780,33 +767,59 @@ pr AS (SELECT y, ln((n + 1.0::DOUBLE) / ((SELECT sum(n) FROM cn) + 2.0::DOUBLE))
 po AS (SELECT key, ty, max(CASE WHEN c = 1 THEN l + lp END) AS l1, max(CASE WHEN c = 0 THEN l + lp END) AS l0
        FROM ll JOIN pr ON ll.c = pr.y GROUP BY key, ty)
 SELECT key, round(1 / (1 + exp(least(l0 - l1, 700))), 5) AS score, ty AS y, CAST(l1 > l0 AS INTEGER) AS pred FROM po"""
-register("score_bernoulli_nb", _BERNOULLI_SQL)(_model_scores("NaiveBayes_BernoulliNB", dims=False))
-
-_MODEL_ROWS_2 = _MODEL_ROWS.replace("CAST(embedding AS DOUBLE[]) AS vec", f"CAST(embedding AS DOUBLE[])[1:{MODEL_DIMS}] AS vec")
-# weighted least squares on -1/+1 labels with balanced weights, centred, ridge penalty 1
-_RIDGE_SQL = _MODEL_ROWS_2 + """,
-w AS (SELECT vec[1] AS a, vec[2] AS b, 2.0::DOUBLE * y - 1 AS t, n / (2.0::DOUBLE * nc) AS w
-      FROM tr JOIN (SELECT y AS cy, count(*) AS nc FROM tr GROUP BY y) ON y = cy, (SELECT CAST(count(*) AS DOUBLE) AS n FROM tr)),
-mu AS (SELECT sum(w * a) / sum(w) AS ma, sum(w * b) / sum(w) AS mb, sum(w * t) / sum(w) AS mt FROM w),
-mo AS (SELECT sum(w * (a - ma) ** 2) + 1 AS aa, sum(w * (b - mb) ** 2) + 1 AS bb, sum(w * (a - ma) * (b - mb)) AS ab,
-              sum(w * (a - ma) * (t - mt)) AS a_t, sum(w * (b - mb) * (t - mt)) AS b_t FROM w, mu),
-co AS (SELECT (a_t * bb - b_t * ab) / (aa * bb - ab * ab) AS ca, (b_t * aa - a_t * ab) / (aa * bb - ab * ab) AS cb, mu.* FROM mo, mu),
-so AS (SELECT key, y, mt + ca * (vec[1] - ma) + cb * (vec[2] - mb) AS s FROM te, co)
+register("score_bernoulli_nb", _BERNOULLI_SQL)(_model_scores("NaiveBayes_BernoulliNB"))
+
+_DIMS = 64  # of the embeddings
+# training rows with the constant as last feature, labels -1/+1 and balanced weights
+_BALANCED_ROWS = _MODEL_ROWS.replace("WITH ", "WITH RECURSIVE ", 1) + """,
+ba AS MATERIALIZED (SELECT list_append(vec, 1.0::DOUBLE) AS x, y, 2.0::DOUBLE * y - 1 AS t, n / (2.0::DOUBLE * nc) AS s
+  FROM tr JOIN (SELECT y AS cy, count(*) AS nc FROM tr GROUP BY y) ON y = cy, (SELECT CAST(count(*) AS DOUBLE) AS n FROM tr)),
+tx AS MATERIALIZED (SELECT key, y, list_append(vec, 1.0::DOUBLE) AS x FROM te)"""
+_UNPENALISED = f"(CASE WHEN i <= {_DIMS} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)"
+
+# weighted least squares on -1/+1 labels, penalty 1 on all but the intercept
+_RIDGE_SQL = ",\n".join([_BALANCED_ROWS, oracle.normal_equations("ne", "ba", _DIMS + 1, _UNPENALISED), oracle.solved("b", "ne", _DIMS + 1)]) + """,
+so AS (SELECT key, y, list_dot_product(tx.x, b.x) AS s FROM tx, b)
 SELECT key, round(s, 5) AS score, y, CAST(s > 0 AS INTEGER) AS pred FROM so"""
 register("score_ridge", _RIDGE_SQL)(_model_scores("Linear_RidgeClassifier"))
 
-# pooled within-class covariance with n - 2
-_LDA_SQL = _MODEL_ROWS_2 + """,
-cm AS (SELECT y, avg(vec[1]) AS ma, avg(vec[2]) AS mb, CAST(count(*) AS DOUBLE) AS n FROM tr GROUP BY y),
-cv AS (SELECT sum((vec[1] - ma) ** 2) / (count(*) - 2) + 1e-9 AS aa, sum((vec[2] - mb) ** 2) / (count(*) - 2) + 1e-9 AS bb,
-              sum((vec[1] - ma) * (vec[2] - mb)) / (count(*) - 2) AS ab FROM tr JOIN cm ON tr.y = cm.y),
-df AS (SELECT p.ma - q.ma AS da, p.mb - q.mb AS db, p.ma + q.ma AS sa, p.mb + q.mb AS sb, ln(p.n / q.n) AS pri
-       FROM (SELECT * FROM cm WHERE y = 1) p, (SELECT * FROM cm WHERE y = 0) q),
-wt AS (SELECT (da * bb - db * ab) / (aa * bb - ab * ab) AS wa, (db * aa - da * ab) / (aa * bb - ab * ab) AS wb, df.* FROM cv, df),
-so AS (SELECT key, y, wa * vec[1] + wb * vec[2] - 0.5::DOUBLE * (sa * wa + sb * wb) + pri AS z FROM te, wt)
+# pooled within-class covariance with n - 2 against the difference of the class means
+_LDA_SQL = ",\n".join([_BALANCED_ROWS, f"""cm AS MATERIALIZED (SELECT y, list(m ORDER BY i) AS m, any_value(n) AS n FROM (
+  SELECT y, i, avg(vec[i]) AS m, CAST(count(*) AS DOUBLE) AS n FROM tr, range(1, {_DIMS + 1}) t(i) GROUP BY y, i) GROUP BY y),
+df AS MATERIALIZED (SELECT list_transform(p.m, lambda v, i: v - q.m[i]) AS d, list_transform(p.m, lambda v, i: v + q.m[i]) AS u, ln(p.n / q.n) AS pri
+  FROM (SELECT * FROM cm WHERE y = 1) p, (SELECT * FROM cm WHERE y = 0) q),
+ce AS MATERIALIZED (SELECT list_transform(vec, lambda v, i: v - m[i]) AS x FROM tr JOIN cm ON tr.y = cm.y),
+cv AS MATERIALIZED (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list_append(list(v ORDER BY j), any_value(d[i])) AS r FROM (
+  SELECT i, j, sum(x[i] * x[j]) / (count(*) - 2) + CASE WHEN i = j THEN 1e-9 ELSE 0 END AS v
+  FROM ce, range(1, {_DIMS + 1}) p(i), range(1, {_DIMS + 1}) q(j) GROUP BY i, j), df GROUP BY i))""", oracle.solved("w", "cv", _DIMS)]) + """,
+so AS (SELECT key, y, list_dot_product(vec, w.x) - 0.5::DOUBLE * list_dot_product(u, w.x) + pri AS z FROM te, w, df)
 SELECT key, round(1 / (1 + exp(-z)), 5) AS score, y, CAST(z > 0 AS INTEGER) AS pred FROM so"""
 register("score_lda", _LDA_SQL)(_model_scores("Linear_LinearDiscriminant"))
 
+_NEWTON_STEPS = 12
+
+
+def _newton_sql(rows: str, penalty: str) -> str:
+    """Weights after Newton steps from zero, each the solution of weighted least squares over ``rows`` at the last weights ``w.x``."""
+    parts = [_BALANCED_ROWS, f"w0 AS MATERIALIZED (SELECT list_transform(range({_DIMS + 1}), lambda v: 0.0::DOUBLE) AS x)"]
+    for k in range(_NEWTON_STEPS):
+        parts += [f"r{k} AS MATERIALIZED ({rows.format(w=f'w{k}')})", oracle.normal_equations(f"n{k}", f"r{k}", _DIMS + 1, penalty),
+                  oracle.solved(f"w{k + 1}", f"n{k}", _DIMS + 1)]
+    return ",\n".join(parts) + f""",
+so AS (SELECT key, y, list_dot_product(tx.x, w.x) AS z FROM tx, w{_NEWTON_STEPS} w)"""
+
+
+# squared hinge: least squares over the rows inside the margin
+register("score_linear_svc", _newton_sql(
+    "SELECT ba.x, 2 * s AS s, t FROM ba, {w} w WHERE t * list_dot_product(ba.x, w.x) < 1", "1.0::DOUBLE") + """
+SELECT key, round(z, 5) AS score, y, CAST(z > 0 AS INTEGER) AS pred FROM so""")(_model_scores("SVM_LinearSVC"))
+
+# logistic loss: least squares on the working response
+register("score_logistic", _newton_sql(
+    "SELECT x, s * p * (1 - p) AS s, f + (y - p) / (p * (1 - p)) AS t FROM (SELECT *, 1 / (1 + exp(-f)) AS p FROM ("
+    "SELECT ba.x, y, s, list_dot_product(ba.x, w.x) AS f FROM ba, {w} w))", _UNPENALISED) + """
+SELECT key, round(1 / (1 + exp(-z)), 4) AS score, y, CAST(z > 0 AS INTEGER) AS pred FROM so""")(_model_scores("Linear_LogisticRegression", digits=4))
+
 
 # ------------------------------------------------------------------ tuning deltas (H6)
 

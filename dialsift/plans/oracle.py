@@ -332,3 +332,24 @@ us AS (
     SELECT CODIGO, CD, row_number() OVER (ORDER BY {u}, CODIGO) AS rn FROM trn WHERE CD = 0) m
   WHERE rn <= CAST(trunc(CAST((SELECT count(*) FROM trn WHERE CD = 1) AS DOUBLE) / {ratio!r}{D}) AS BIGINT)
 )"""
+
+
+# ------------------------------------------------------------------ linear systems in SQL
+
+
+def solved(name: str, system: str, size: int) -> str:
+    """CTEs whose last, ``name`` (x), solves the symmetric positive system of ``system`` (m: rows with the
+    right-hand side as last entry) by Gauss-Jordan steps, one a recursion."""
+    return f"""{name}_gj(k, m) AS (SELECT 1, m FROM {system} UNION ALL
+  SELECT k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda v: v / m[k][k])
+    ELSE list_transform(r, lambda v, c: v - r[k] / m[k][k] * m[k][c]) END) FROM {name}_gj WHERE k <= {size}),
+{name} AS MATERIALIZED (SELECT list_transform(m, lambda r: r[{size + 1}]) AS x FROM {name}_gj WHERE k = {size + 1})"""
+
+
+def normal_equations(name: str, rows: str, size: int, penalty: str = "1.0::DOUBLE") -> str:
+    """CTE ``name`` (m): sums of s·x·xᵀ plus ``penalty`` on the diagonal, and of s·t·x, over ``rows`` (x, s, t)."""
+    return f"""{name} AS MATERIALIZED (SELECT list(r ORDER BY i) AS m FROM (
+  SELECT a.i, list_append(list(a.v ORDER BY j), any_value(b.v)) AS r FROM
+    (SELECT i, j, sum(s * x[i] * x[j]) + CASE WHEN i = j THEN {penalty} ELSE 0 END AS v
+     FROM {rows}, range(1, {size + 1}) p(i), range(1, {size + 1}) q(j) GROUP BY i, j) a
+    JOIN (SELECT i, sum(s * t * x[i]) AS v FROM {rows}, range(1, {size + 1}) p(i) GROUP BY i) b ON a.i = b.i GROUP BY a.i))"""
