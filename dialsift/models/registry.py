@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import write_shared
+from .forest import BalancedSamples, Grown, grow_forest, score_udf
 from .linear import fit_squared_hinge
 
 
@@ -49,7 +50,6 @@ class ModelSizes:
     depth: int | None = None
     rounds: int | None = None
     iterations: int | None = None
-    bags: int | None = None
 
     def limit(self, kind: str, full: int) -> int:
         most = getattr(self, kind)
@@ -103,10 +103,30 @@ class FittedModel:
 
 @dataclass
 class ModelSpec:
+    """``fits_as`` names the entry whose fit this one shares: the same estimator with the same parameters and seed."""
+
     name: str
     categoria: str
     build: Callable[[FitContext], Callable[[DataFrame], FittedModel]]
     fidelity: str = "Family"
+    fits_as: str | None = None
+
+
+def user_model(name: str, estimator, categoria: str = "User", weighted: bool = False) -> ModelSpec:
+    """A user's Spark ML estimator, pipeline, or fitted model as an entry of the zoo. It sees columns
+    ``label`` (0/1), ``features`` (vector), ``weight`` (balanced class weights) and ``key``; an estimator is fitted on
+    each training set, a fitted model only scores. Its score is the probability of class 1, else the raw
+    prediction, else the label (F24). ``weighted`` sets the estimator's ``weightCol``."""
+
+    def build(ctx: FitContext):
+        def fit(train: DataFrame) -> FittedModel:
+            if not hasattr(estimator, "fit"):
+                return fitted_ml(estimator)
+            return fitted_ml((estimator.copy().setWeightCol("weight") if weighted else estimator).fit(train))
+
+        return fit
+
+    return ModelSpec(name, categoria, build, "User")
 
 
 def _score_ml(fitted: FittedModel, df: DataFrame) -> DataFrame:
@@ -177,6 +197,39 @@ def _platt_svc(ctx: FitContext):
     return fit
 
 
+MLP_ROUND = 5  # iterations between two looks at the held-out rows
+MLP_PATIENCE = 10  # rounds without progress
+MLP_PROGRESS = 1e-4
+
+
+def _mlp(*hidden: int):
+    """F21 MLPClassifier(early_stopping=True, validation_fraction=0.1): training goes on from the last weights in
+    rounds of a few iterations until the accuracy on a stratified held-out tenth has not risen for
+    MLP_PATIENCE rounds; the weights of the best round are kept. Family (L-BFGS instead of Adam)."""
+
+    def build(ctx: FitContext):
+        def fit(train: DataFrame) -> FittedModel:
+            from ..operators.sampling import stratified_split
+
+            parts = write_shared(stratified_split(train, "key", "label", 0.1, ctx.seed), "mlp")
+            own, held = (parts.where(F.col("split") == side).drop("split") for side in ("train", "test"))
+            best, kept, weights, waited, rounds = -1.0, None, None, 0, 0
+            while rounds * MLP_ROUND < ctx.size("iterations", 200) and waited < MLP_PATIENCE:
+                est = MultilayerPerceptronClassifier(featuresCol="features", labelCol="label", layers=[ctx.n_features, *hidden, 2],
+                                                     maxIter=MLP_ROUND, seed=ctx.seed)
+                model = (est if weights is None else est.setInitialWeights(weights)).fit(own)
+                accuracy = model.transform(held).agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("a")).first()["a"] or 0.0
+                waited = 0 if accuracy > best + MLP_PROGRESS else waited + 1
+                if accuracy > best:
+                    best, kept = accuracy, model
+                weights, rounds = model.weights, rounds + 1
+            return FittedModel("ml", [kept], {"has_prob": True, "rounds": rounds, "held_out_accuracy": best})
+
+        return fit
+
+    return build
+
+
 def _squared_hinge(ctx: FitContext):
     """F7 LinearSVC(dual=False): squared hinge, C=1, balanced, intercept penalised. Score = decision value. Exact."""
 
@@ -354,32 +407,42 @@ def _score_stumps(fitted: FittedModel, df: DataFrame) -> DataFrame:
     return out.withColumn("prediction", (F.col("score") > 0.5).cast("int")).drop(*tmp)
 
 
+def _extra_trees(ctx: FitContext):
+    """F14 ExtraTrees: at each node one uniform cut for each of sqrt(d) features, every row in every tree,
+    balanced class weights, at least 20 rows to split. Exact algorithm."""
+
+    def fit(train: DataFrame) -> FittedModel:
+        return grown_forest(grow_forest(train, ctx.n_features, ctx.size("trees", 200), ctx.size("depth", 15), "random", min_split=20, seed=ctx.seed))
+
+    return fit
+
+
 def _balanced_rf(ctx: FitContext):
-    """F22 BalancedRandomForest: bags of class-balanced undersamples (ratio
-    1.0, one seed per bag), a small forest per bag, mean probability. Approx."""
+    """F22 BalancedRandomForest: 100 trees, each on its own sample with as many draws (with replacement) of either
+    class. Exact algorithm but for the cuts, which are the best of 31 quantiles."""
+
+    def fit(train: DataFrame) -> FittedModel:
+        return balanced_forest(train, ctx.n_features, ctx.size("trees", 100), ctx.size("depth", 10), ctx.seed)
+
+    return fit
 
-    return lambda train: balanced_forest(train, ctx.size("bags", 10), ctx.seed,
-                                         {"numTrees": ctx.size("trees", 10), "maxDepth": ctx.size("depth", 10)})
 
+def balanced_forest(train: DataFrame, n_features: int, trees: int, depth: int, seed: int, **kw) -> FittedModel:
+    n = {int(r["label"]): r["count"] for r in train.groupBy("label").count().collect()}  # one row a class
+    if not n.get(0) or not n.get(1):
+        raise ValueError("a balanced forest needs both classes")
+    samples = BalancedSamples((n[0], n[1]), seed)
+    samples.level(train.select("key", F.col("label").cast("int").alias("label"), "weight", vector_to_array("features").alias("x")), trees)
+    return grown_forest(grow_forest(train, n_features, trees, depth, "bins", samples, seed=seed, **kw))
 
-def balanced_forest(train: DataFrame, bags: int, seed: int, forest: dict) -> FittedModel:
-    from ..operators.sampling import random_undersample
 
-    models = []
-    for b in range(bags):
-        sub = random_undersample(train, "key", "label", 1.0, seed + b, tag=f"brf{b}")
-        models.append(RandomForestClassifier(featuresCol="features", labelCol="label", seed=seed + b, **forest).fit(sub))
-    return FittedModel("bags", models)
+def grown_forest(grown: Grown) -> FittedModel:
+    return FittedModel("forest", params=grown.to_params())
 
 
-def _score_bags(fitted: FittedModel, df: DataFrame) -> DataFrame:
-    out, parts = df, []
-    for i, m in enumerate(fitted.models):
-        mm = m.copy().setPredictionCol(f"_y{i}").setRawPredictionCol(f"_r{i}").setProbabilityCol(f"_q{i}")
-        out = mm.transform(out).withColumn(f"_p{i}", vector_to_array(f"_q{i}")[1]).drop(f"_y{i}", f"_r{i}", f"_q{i}")
-        parts.append(F.col(f"_p{i}"))
-    out = out.withColumn("score", sum(parts[1:], parts[0]) / F.lit(float(len(parts))))
-    return out.withColumn("prediction", (F.col("score") > 0.5).cast("int")).drop(*[f"_p{i}" for i in range(len(parts))])
+def _score_forest(fitted: FittedModel, df: DataFrame) -> DataFrame:
+    out = df.withColumn("score", score_udf(df.sparkSession, Grown.from_params(fitted.params))(vector_to_array("features")))
+    return out.withColumn("prediction", (F.col("score") > 0.5).cast("int"))
 
 
 def _pos_weighted(build_est):
@@ -417,7 +480,7 @@ def _score_signs(fitted: FittedModel, df: DataFrame) -> DataFrame:
 
 SCORERS = {
     "ml": _score_ml, "decision": _score_decision, "margin": _score_margin, "platt": _score_platt, "discriminant": _score_discriminant,
-    "knn": _score_knn, "stumps": _score_stumps, "bags": _score_bags, "signs": _score_signs,
+    "knn": _score_knn, "stumps": _score_stumps, "forest": _score_forest, "signs": _score_signs,
 }
 
 
@@ -436,6 +499,8 @@ def _gbt(ctx, depth=7, sub=1.0):
                          maxDepth=ctx.size("depth", depth), stepSize=0.1, subsamplingRate=sub, seed=ctx.seed)
 
 
+_tree = _ml(lambda c: DecisionTreeClassifier(featuresCol="features", labelCol="label", maxDepth=c.size("depth", 30), seed=c.seed), weighted=True)
+
 # Model and category names of the reference.
 REGISTRY: list[ModelSpec] = [
     ModelSpec("Linear_LogisticRegression", "Linear", _ml(lambda c: _lr(c), weighted=True), "Exact"),
@@ -454,33 +519,21 @@ REGISTRY: list[ModelSpec] = [
     ModelSpec("NaiveBayes_BernoulliNB", "NaiveBayes", _bernoulli_nb),
     ModelSpec("KNN_K5", "KNN", _knn_model(5), "Exact"),
     ModelSpec("KNN_K10", "KNN", _knn_model(10), "Exact"),
-    ModelSpec("Tree_DecisionTree", "Trees",
-              _ml(lambda c: DecisionTreeClassifier(featuresCol="features", labelCol="label", maxDepth=c.size("depth", 30),
-                                                   seed=c.seed), weighted=True)),
-    ModelSpec("Tree_DecisionTree_Deep", "Trees",
-              _ml(lambda c: DecisionTreeClassifier(featuresCol="features", labelCol="label", maxDepth=c.size("depth", 30),
-                                                   seed=c.seed), weighted=True)),
+    ModelSpec("Tree_DecisionTree", "Trees", _tree),
+    ModelSpec("Tree_DecisionTree_Deep", "Trees", _tree, fits_as="Tree_DecisionTree"),
     ModelSpec("Ensemble_RandomForest", "Ensemble_Classic",
               _ml(lambda c: _rf(c, 200, 15, minInstancesPerNode=10, featureSubsetStrategy="sqrt"), weighted=True)),
-    ModelSpec("Ensemble_ExtraTrees", "Ensemble_Classic",
-              _ml(lambda c: _rf(c, 200, 15, bootstrap=False, minInstancesPerNode=10, featureSubsetStrategy="sqrt", maxBins=8), weighted=True),
-              "Approx"),
+    ModelSpec("Ensemble_ExtraTrees", "Ensemble_Classic", _extra_trees, "Exact algorithm"),
     ModelSpec("Ensemble_AdaBoost", "Ensemble_Classic", _adaboost, "Exact algorithm"),
     ModelSpec("Ensemble_GradientBoosting", "Ensemble_Classic", _ml(lambda c: _gbt(c, 7, 0.8))),
     ModelSpec("Ensemble_Bagging", "Ensemble_Classic",
               _ml(lambda c: _rf(c, 200, 30, featureSubsetStrategy="all", subsamplingRate=0.7))),
     ModelSpec("GradBoost_XGBoost", "GradientBoosting", _pos_weighted(lambda c: _gbt(c, 7)), "Approx"),
-    ModelSpec("GradBoost_LightGBM", "GradientBoosting", _pos_weighted(lambda c: _gbt(c, 7)), "Approx"),
+    ModelSpec("GradBoost_LightGBM", "GradientBoosting", _pos_weighted(lambda c: _gbt(c, 7)), "Approx", fits_as="GradBoost_XGBoost"),
     ModelSpec("GradBoost_CatBoost", "GradientBoosting", _ml(lambda c: _gbt(c, 7)), "Approx"),
-    ModelSpec("NeuralNet_MLP_Small", "NeuralNetwork",
-              _ml(lambda c: MultilayerPerceptronClassifier(featuresCol="features", labelCol="label",
-                                                           layers=[c.n_features, 50, 2], maxIter=c.size("iterations", 200),
-                                                           seed=c.seed))),
-    ModelSpec("NeuralNet_MLP_Medium", "NeuralNetwork",
-              _ml(lambda c: MultilayerPerceptronClassifier(featuresCol="features", labelCol="label",
-                                                           layers=[c.n_features, 50, 25, 2], maxIter=c.size("iterations", 200),
-                                                           seed=c.seed))),
-    ModelSpec("Imbalance_BalancedRandomForest", "Imbalance", _balanced_rf, "Approx"),
+    ModelSpec("NeuralNet_MLP_Small", "NeuralNetwork", _mlp(50)),
+    ModelSpec("NeuralNet_MLP_Medium", "NeuralNetwork", _mlp(50, 25)),
+    ModelSpec("Imbalance_BalancedRandomForest", "Imbalance", _balanced_rf),
 ]
 
 BY_NAME = {m.name: m for m in REGISTRY}

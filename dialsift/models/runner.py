@@ -2,9 +2,10 @@
 the test split, metrics for all runs in one aggregation.
 
 A driver loop submits Spark ML jobs (a small thread pool runs a few fits at
-once; Spark schedules their tasks on the executors). Each run's test scores
-are written to the shared folder (they are test-sized), so the metric job never refits.
-Failed fits are recorded with ``status='error: ...'`` instead of stopping the
+once; Spark schedules their tasks on the executors). Entries of equal estimator and
+training set share one fit. Each fit's test scores are written to its own partition of
+one table in the shared folder (they are test-sized), so the metric job never refits and reads one
+table. Failed fits are recorded with ``status='error: ...'`` instead of stopping the
 run (S19).
 """
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from ..operators import metrics, sampling
 from ..operators.resample import balanced_datasets
 from ..operators.stats import balanced_weights
-from ..session import write_shared
+from ..session import shared_path, write_shared
 from .registry import REGISTRY, FitContext, FittedModel, ModelSizes, ModelSpec
 
 LEADERBOARD_COLUMNS = [
@@ -78,11 +79,12 @@ def zoo_data(rows: DataFrame, seed: int = 42, test_size: float = 0.2, k: int = 5
 
 @dataclass
 class Zoo:
-    """``scores``: run_id, key, score, y, pred over the test rows; ``models`` by run_id."""
+    """``scores``: run_id, key, score, y, pred over the test rows; ``models`` by run_id; ``fits``: how many were fitted."""
 
     leaderboard: DataFrame
     scores: DataFrame
     models: dict[int, FittedModel]
+    fits: int = 0
 
 
 def run_zoo(data: ZooData, models: list[ModelSpec] | None = None, sizes: ModelSizes | None = None, seed: int = 73,
@@ -94,9 +96,7 @@ def run_zoo(data: ZooData, models: list[ModelSpec] | None = None, sizes: ModelSi
     n0, n1 = 0, 0
     for r in data.train.groupBy("y").count().collect():
         n0, n1 = (r["count"], n1) if r["y"] == 0 else (n0, r["count"])
-    jobs = []
-    run_id = 0
-    prepared = {}
+    runs, fits, prepared, run_id = [], {}, {}, 0  # fits: (set, entry that is fitted) to its number
     for ds_name, ds in data.datasets.items():
         if dataset_names is not None and ds_name not in dataset_names:
             continue
@@ -104,25 +104,27 @@ def run_zoo(data: ZooData, models: list[ModelSpec] | None = None, sizes: ModelSi
         prepared[ds_name] = (ml, ml.count())
         for m in models:
             run_id += 1
-            jobs.append((run_id, ds_name, m))
+            runs.append((run_id, ds_name, m, fits.setdefault((ds_name, m.fits_as or m.name), len(fits))))
+    specs = {fit: (ds_name, m) for _, ds_name, m, fit in reversed(runs)}
+    base = shared_path(spark, "zoo-scores")
 
-    def one(job):
-        rid, ds_name, m = job
+    def one(fit):
+        ds_name, m = specs[fit]
         ml, n = prepared[ds_name]
         ctx = FitContext(n_train=n, n_features=data.n_features, scale_pos_weight=(n0 / n1) if n1 else 1.0,
                          seed=seed, sizes=sizes or ModelSizes())
         try:
             fitted = m.build(ctx)(ml)
-            sc = write_shared(fitted.transform(test_ml).select(
-                F.lit(rid).cast("bigint").alias("run_id"), "key", F.col("score").cast("double"),
-                F.col("label").cast("int").alias("y"), F.col("prediction").cast("int").alias("pred"),
-            ), "zoo-scores")
-            return rid, ds_name, m, "ok", sc, fitted
+            fitted.transform(test_ml).select(
+                "key", F.col("score").cast("double"), F.col("label").cast("int").alias("y"), F.col("prediction").cast("int").alias("pred"),
+            ).write.mode("overwrite").parquet(f"{base}/fit={fit}")
+            return "ok", fitted
         except Exception as e:  # noqa: BLE001 - a failed fit is a result row (S19)
-            return rid, ds_name, m, f"error: {type(e).__name__}: {e}", None, None
+            return f"error: {type(e).__name__}: {e}", None
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        done = list(pool.map(one, jobs))
+        fitted = dict(zip(specs, pool.map(one, specs)))
+    done = [(rid, ds_name, m, *fitted[fit], fit) for rid, ds_name, m, fit in runs]
     rows = [(experiment, rid, f"{m.name}_{ds}", m.name, m.categoria, ds, status) for rid, ds, m, status, *_ in done]
     for ds_name, msg in (data.errors or {}).items():  # a set that could not be built: one error row per model
         for m in models:
@@ -133,14 +135,16 @@ def run_zoo(data: ZooData, models: list[ModelSpec] | None = None, sizes: ModelSi
         rows, "experiment string, run_id bigint, nombre string, modelo_base string, categoria string, "
               "tipo_dataset string, status string"
     )
-    frames = [sc for *_, sc, _ in done if sc is not None]
-    if not frames:
+    good = [(rid, fit) for rid, _, _, status, _, fit in done if status == "ok"]
+    if not good:
         empty = spark.createDataFrame([], "run_id bigint, key long, score double, y int, pred int")
         lb = info.select(*[c if c in info.columns else F.lit(None).cast("double").alias(c) for c in LEADERBOARD_COLUMNS])
         return Zoo(lb, empty, {})
-    scores = frames[0]
-    for f in frames[1:]:
-        scores = scores.unionByName(f)
+    key_type = test_ml.schema["key"].dataType.simpleString()
+    table = spark.read.schema(f"key {key_type}, score double, y int, pred int, fit int").option("basePath", base).parquet(
+        *(f"{base}/fit={fit}" for fit in sorted({fit for _, fit in good})))
+    of_fit = F.broadcast(spark.createDataFrame(good, "run_id bigint, fit int"))  # one row a run
+    scores = table.join(of_fit, "fit").select("run_id", "key", "score", "y", "pred")
     mets = metrics.all_metrics(scores, ["run_id"], "score", "y", "pred")
     lb = info.join(mets, "run_id", "left").select(*LEADERBOARD_COLUMNS)
-    return Zoo(lb, scores, {rid: fitted for rid, *_, fitted in done if fitted is not None})
+    return Zoo(lb, scores, {rid: model for rid, _, _, _, model, _ in done if model is not None}, len(specs))

@@ -683,7 +683,7 @@ def q_balanced_datasets(spark, sf_dir):
 
 # Sizes of the registered model queries, so that 125 fits end in minutes on a workstation.
 # The library's defaults are the reference's sizes.
-QUERY_SIZES = ModelSizes(trees=10, depth=4, rounds=5, iterations=30, bags=3)
+QUERY_SIZES = ModelSizes(trees=10, depth=4, rounds=5, iterations=30)
 QUERY_SPACES = {
     family: {"numTrees": (5, 10, 15), "maxDepth": (2, 3, 4), "minInstancesPerNode": (1, 2, 4)}
     for family in ("BalancedRandomForest", "RandomForest", "ExtraTrees")

@@ -12,7 +12,7 @@ from dialsift.models import registry, runner, tuning
 from dialsift.models.registry import BY_NAME, FitContext, FittedModel, ModelSizes
 from dialsift.operators import metrics
 
-SMALL = ModelSizes(trees=10, depth=4, rounds=5, iterations=50, bags=3)
+SMALL = ModelSizes(trees=10, depth=4, rounds=5, iterations=50)
 
 
 def planted(spark, n=600, w=(1.5, -1.0, 0.5, 0.0), shift=-1.0, seed=5):
@@ -116,7 +116,7 @@ def test_reported_parameters_are_the_fitted_ones(spark):
 def test_balanced_forest_is_tuned_as_itself_and_untuned_models_have_no_auc(spark):
     data = original(spark)
     t = tuning.tune_model("Imbalance_BalancedRandomForest", data.train, data.test, n_iter=2, cv=2, spaces=SPACES)
-    assert t.model.kind == "bags" and all(m.getNumTrees == t.params["numTrees"] for m in t.model.models)
+    assert t.model.kind == "forest" and len(t.model.params["feature"]) == t.params["numTrees"]
     u = tuning.tune_model("Linear_RidgeClassifier", data.train, data.test, spaces=SPACES, n_features=4)
     assert not u.tuned and u.metrics["roc_auc"] == 0.0 and u.cv_score == u.metrics["f1"]
 
@@ -127,3 +127,64 @@ def test_reference_grids():
     assert tuning.search_space("Linear_RidgeClassifier") is None
     drawn = tuning.draw_candidates(tuning.search_space("Ensemble_RandomForest"), 150, 73)
     assert len({str(sorted(p.items())) for p in drawn}) == 150
+
+
+def test_squared_hinge_has_zero_gradient(spark):
+    """|w|^2/2 + sum s max(0, 1 - t f)^2 with the intercept penalised is stationary, and no plain step lowers it."""
+    df, X, y = planted(spark, n=400, w=(1.0, -0.5, 3.0), seed=2)
+    fitted = BY_NAME["SVM_LinearSVC"].build(FitContext(400, 3, 1.0))(runner.to_ml(df))
+    w = np.array([*fitted.params["w"], fitted.params["b"]])
+    A, t = np.column_stack([X, np.ones(400)]), 2.0 * y - 1
+    s = np.where(y == 1, 400 / (2 * y.sum()), 400 / (2 * (400 - y.sum())))
+
+    def loss(v):
+        return v @ v / 2 + (s * np.maximum(0, 1 - t * (A @ v)) ** 2).sum()
+
+    gap = np.maximum(0, 1 - t * (A @ w))
+    assert np.abs(w - 2 * A.T @ (s * t * gap)).max() < 1e-6
+    assert all(loss(w) <= loss(w + 1e-3 * e) for e in np.vstack([np.eye(4), -np.eye(4)]))
+    scores = {r["key"]: r["score"] for r in fitted.transform(runner.to_ml(df)).collect()}
+    assert np.allclose([scores[k] for k in range(400)], A @ w)
+
+
+def test_mlp_stops_early_and_keeps_the_best_weights(spark, monkeypatch):
+    """Labels without signal: the held-out accuracy soon stops rising."""
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, int(rng.random() < 0.5), rng.normal(size=3).tolist()) for i in range(300)], "key long, y int, vec array<double>")
+    ml = runner.to_ml(df)
+    monkeypatch.setattr(registry, "MLP_PATIENCE", 3)
+    fitted = BY_NAME["NeuralNet_MLP_Small"].build(FitContext(300, 3, 1.0))(ml)
+    assert 3 < fitted.params["rounds"] < 200 / registry.MLP_ROUND
+    from dialsift.operators.sampling import stratified_split
+
+    held = stratified_split(ml, "key", "label", 0.1, 73).where("split = 'test'").drop("split")
+    got = fitted.models[0].transform(held).select((F.col("prediction") == F.col("label")).cast("double").alias("ok")).agg(F.avg("ok")).first()[0]
+    assert got == pytest.approx(fitted.params["held_out_accuracy"])
+
+
+def test_equal_entries_share_a_fit(spark):
+    """Both decision trees, and both weighted boosters, are one fit each: 23 fits for 25 rows, equal scores."""
+    names = ["Tree_DecisionTree", "Tree_DecisionTree_Deep", "GradBoost_XGBoost", "GradBoost_LightGBM", "Linear_RidgeClassifier"]
+    zoo = runner.run_zoo(original(spark), [BY_NAME[n] for n in names], sizes=SMALL)
+    rows = {r["modelo_base"]: r for r in zoo.leaderboard.collect()}
+    assert zoo.fits == 3 and len(rows) == 5 and len(zoo.models) == 5
+    for a, b in (names[:2], names[2:4]):
+        assert [rows[a][c] for c in ("precision", "recall", "f1", "roc_auc", "pr_auc")] == [rows[b][c] for c in ("precision", "recall", "f1", "roc_auc", "pr_auc")]
+    assert len({(m.fits_as or m.name) for m in registry.REGISTRY}) == 23
+    only = runner.run_zoo(original(spark), [BY_NAME["Tree_DecisionTree_Deep"]], sizes=SMALL)  # without the entry it shares with
+    assert only.leaderboard.first()["status"] == "ok"
+
+
+def test_user_models_enter_the_zoo(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import PCA
+
+    pipe = Pipeline(stages=[PCA(k=2, inputCol="features", outputCol="pca"), LogisticRegression(featuresCol="pca", labelCol="label")])
+    fitted = LogisticRegression(labelCol="label").fit(runner.to_ml(planted(spark)[0]))
+    specs = [registry.user_model("mine", pipe), registry.user_model("weighted", LogisticRegression(labelCol="label", maxIter=5), weighted=True),
+             registry.user_model("fitted", fitted), registry.user_model("broken", Pipeline(stages=[PCA(k=99, inputCol="features", outputCol="p")]))]
+    zoo = runner.run_zoo(original(spark), specs)
+    status = {r["modelo_base"]: r["status"] for r in zoo.leaderboard.collect()}
+    assert [status[n] for n in ("mine", "weighted", "fitted")] == ["ok"] * 3 and status["broken"].startswith("error")
+    assert zoo.leaderboard.filter("status = 'ok' AND roc_auc > 0.7").count() == 3

@@ -18,7 +18,7 @@ from dialsift.sources.delimited import read_delimited, write_delimited
 
 from .conftest import SF001
 
-SIZES = ModelSizes(trees=5, depth=3, rounds=3, iterations=20, bags=2)
+SIZES = ModelSizes(trees=5, depth=3, rounds=3, iterations=20)
 SPACES = {"RandomForest": {"numTrees": (3, 5), "maxDepth": (2, 3)}}
 
 
