@@ -7,11 +7,12 @@ pair, never per row); transforms are column expressions.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -114,62 +115,114 @@ _CORR_SCHEMA = T.StructType(
 )
 
 
-def _gram_partials(p: int):
-    """Per Arrow batch, masked moment matrices of the (centred) columns:
+TILE = 128  # columns on a side of a tile
+MERGED = 64  # partial results of a tile that meet in one task
+TILES_ON_A_SIDE = 8  # tiles of one pass: a square of 8 by 8 of them, 6 * 64 * 128² numbers in a task
+
+Tile = tuple[range, range]
+
+
+def _passes(p: int) -> list[list[Tile]]:
+    """The upper triangle of column pairs, in tiles of at most TILE by TILE and squares of tiles: a pass reads the
+    columns of one square only."""
+    blocks = [range(k, min(k + TILE, p)) for k in range(0, p, TILE)]
+    out: dict[tuple[int, int], list[Tile]] = {}
+    for n, a in enumerate(blocks):
+        for m in range(n, len(blocks)):
+            out.setdefault((n // TILES_ON_A_SIDE, m // TILES_ON_A_SIDE), []).append((a, blocks[m]))
+    return list(out.values())
+
+
+def _numbers(batch) -> np.ndarray:
+    """Rows of the array column; missing and non-finite values are NaN."""
+    column = batch.column(0)
+    x = np.array(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
+    x[~np.isfinite(x)] = np.nan
+    return x
+
+
+def _sums_by_column(batches):
+    total = None
+    for batch in batches:
+        if batch.num_rows:
+            x = _numbers(batch)
+            part = np.nansum(x, axis=0), (~np.isnan(x)).sum(axis=0)
+            total = part if total is None else tuple(a + b for a, b in zip(total, part))
+    if total is not None:
+        yield pa.RecordBatch.from_pydict({"k": np.arange(len(total[0]), dtype=np.int32), "total": total[0], "n": total[1].astype(np.int64)})
+
+
+def _gram_partials(tiles: list[Tile], place: dict[int, int], shift: np.ndarray):
+    """Per task, masked moment matrices of the shifted columns of each tile:
     n_ij, Σx_i|j, Σx_j|i, Σx_i²|j, Σx_j²|i, Σx_i x_j, summed over the rows
-    where both i and j are present. One p×p block per task."""
+    where both i and j are present."""
 
     def fn(batches):
         acc = None
-        for pdf in batches:
-            x = pdf.to_numpy(dtype=np.float64, na_value=np.nan)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _numbers(batch) - shift
             m = (~np.isnan(x)).astype(np.float64)
             x0 = np.where(m > 0, x, 0.0)
-            blocks = (m.T @ m, x0.T @ m, (x0 * x0).T @ m, x0.T @ x0)
-            acc = blocks if acc is None else tuple(a + b for a, b in zip(acc, blocks))
-        if acc is None:
-            return
-        n, sx_m, sxx_m, sxy = acc
-        ii, jj = np.triu_indices(p, k=1)
-        yield pd.DataFrame(
-            {
-                "i": ii.astype(np.int32),
-                "j": jj.astype(np.int32),
-                "n": n[ii, jj],
-                "sx": sx_m[ii, jj],  # Σ x_i over rows with j present
-                "sy": sx_m[jj, ii],  # Σ x_j over rows with i present
-                "sxx": sxx_m[ii, jj],
-                "syy": sxx_m[jj, ii],
-                "sxy": sxy[ii, jj],
-            }
-        )
+            x2 = x0 * x0
+            if acc is None:
+                acc = [np.zeros((6, len(a), len(b))) for a, b in tiles]
+            for (a, b), out in zip(tiles, acc):
+                i, j = [place[k] for k in a], [place[k] for k in b]
+                for slot, (left, right) in enumerate(((m, m), (x0, m), (m, x0), (x2, m), (m, x2), (x0, x0))):
+                    out[slot] += left[:, i].T @ right[:, j]
+        for n, out in enumerate(acc or []):
+            yield pa.RecordBatch.from_pydict({"tile": pa.array([n], pa.int32()), "sums": pa.array([out.tobytes()], pa.binary())})
 
     return fn
 
 
-def correlation_pairs(df: DataFrame, cols: Sequence[str], absolute: bool = True) -> DataFrame:
-    """Pearson r for every pair i < j of ``cols`` (D1), pairwise-complete:
-    each pair uses the rows where both are non-NULL (pandas ``corr``). Zero
-    variance gives NULL (pandas NaN), so such columns are never pruned (S8).
+def _add_up(rows: pa.Table) -> pa.Table:
+    """The sum of the partial results of one tile."""
+    total = None
+    for sums in rows["sums"]:
+        own = np.frombuffer(sums.as_buffer())
+        total = own if total is None else total + own
+    return pa.table({"tile": rows["tile"][:1], "sums": pa.array([total.tobytes()], pa.binary())})
 
-    One pass: each task multiplies its Arrow batches into masked p×p moment
-    matrices (NumPy), the partial blocks are summed by a groupBy on the pair
-    (map-side combined), and r is a column expression on the summed moments.
-    Columns are shifted by their means first (one more aggregate) so the
-    raw-moment formula does not lose precision."""
-    cols = list(cols)
-    p = len(cols)
+
+def _as_rows(tiles: list[Tile]):
+    """One row for each pair i < j of the summed tiles."""
+
+    def fn(batches):
+        for batch in batches:
+            for n, sums in zip(batch.column(0).to_pylist(), batch.column(1)):
+                a, b = tiles[n]
+                i, j = np.meshgrid(np.array(a), np.array(b), indexing="ij")
+                own, values = i < j, np.frombuffer(sums.as_buffer()).reshape(6, len(a), len(b))
+                yield pa.RecordBatch.from_pydict({"i": i[own].astype(np.int32), "j": j[own].astype(np.int32)}
+                                                 | {name: v[own] for name, v in zip(("n", "sx", "sy", "sxx", "syy", "sxy"), values)})
+
+    return fn
+
+
+def _pair_correlations(df: DataFrame, cols: Sequence[str], passes: list[list[Tile]], absolute: bool = True) -> DataFrame:
+    """(col_i, col_j, r) of the pairs i < j of the tiles, in passes over the columns that they need."""
     spark = df.sparkSession
-    if p < 2:
-        return spark.createDataFrame([], "col_i string, col_j string, r double")
-    casted = [finite_or_null(F.col(c).cast("double")).alias(c) for c in cols]
-    base = df.select(*casted)
+
+    def rows(used):
+        return df.select(F.array(*[F.col(cols[k]).cast("double") for k in used]).alias("x"))
+
     # shift each column by its mean: covariances do not change, raw moments stay well conditioned
-    means = base.agg(*[F.avg(c).alias(f"_{k}") for k, c in enumerate(cols)]).first()
-    shift = {c: (means[k] if means[k] is not None and np.isfinite(means[k]) else 0.0) for k, c in enumerate(cols)}
-    centred = base.select(*[(F.col(c) - F.lit(shift[c])).alias(f"_{k}") for k, c in enumerate(cols)])
-    parts = centred.mapInPandas(_gram_partials(p), _CORR_SCHEMA)
-    sums = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    shift = np.zeros(len(cols))
+    means = rows(range(len(cols))).mapInArrow(_sums_by_column, "k int, total double, n long").groupBy("k").agg(
+        (F.sum("total") / F.nullif(F.sum("n"), F.lit(0))).alias("m"))
+    for r in means.collect():  # one row a column
+        shift[r["k"]] = r["m"] if r["m"] is not None and np.isfinite(r["m"]) else 0.0
+    parts, kind = [], "tile int, sums binary"
+    for tiles in passes:
+        used = sorted({k for tile in tiles for side in tile for k in side})
+        partial = rows(used).mapInArrow(_gram_partials(tiles, {k: n for n, k in enumerate(used)}, shift[used]), kind)
+        # in two levels, so that what meets in one task is bounded by MERGED partial results, whatever their number
+        level = partial.groupBy(F.floor(F.spark_partition_id() / MERGED).alias("branch"), "tile").applyInArrow(_add_up, kind)
+        parts.append(level.groupBy("tile").applyInArrow(_add_up, kind).mapInArrow(_as_rows(tiles), _CORR_SCHEMA))
+    sums = functools.reduce(DataFrame.unionByName, parts)
     cov = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
     vx = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n")
     vy = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
@@ -179,13 +232,31 @@ def correlation_pairs(df: DataFrame, cols: Sequence[str], absolute: bool = True)
         & (vy > tol * F.greatest(F.col("syy"), F.lit(1e-300))),
         F.least(F.greatest(cov / F.sqrt(vx * vy), F.lit(-1.0)), F.lit(1.0)),
     )
-    names = F.array(*[F.lit(c) for c in cols])
-    out = sums.select(
-        F.element_at(names, F.col("i") + 1).alias("col_i"),
-        F.element_at(names, F.col("j") + 1).alias("col_j"),
-        (F.abs(r) if absolute else r).alias("r"),
-    )
-    return out
+    if len(cols) <= TILE:
+        names = F.array(*[F.lit(c) for c in cols])
+        return sums.select(F.element_at(names, F.col("i") + 1).alias("col_i"), F.element_at(names, F.col("j") + 1).alias("col_j"),
+                           (F.abs(r) if absolute else r).alias("r"))
+    named = F.broadcast(spark.createDataFrame(list(enumerate(cols)), "k int, name string"))  # one row a column
+    out = sums.select("i", "j", (F.abs(r) if absolute else r).alias("r"))
+    out = out.join(named.select(F.col("k").alias("i"), F.col("name").alias("col_i")), "i").join(named.select(F.col("k").alias("j"), F.col("name").alias("col_j")), "j")
+    return out.select("col_i", "col_j", "r")
+
+
+def correlation_pairs(df: DataFrame, cols: Sequence[str], absolute: bool = True) -> DataFrame:
+    """Pearson r for every pair i < j of ``cols`` (D1), pairwise-complete:
+    each pair uses the rows where both are non-NULL (pandas ``corr``). Zero
+    variance gives NULL (pandas NaN), so such columns are never pruned (S8).
+
+    Each task multiplies its Arrow batches into masked moment matrices (NumPy), one for each tile of at most TILE by TILE
+    column pairs; these are summed by tile, in two levels, and r is a column
+    expression on the summed moments. Up to a thousand columns are one pass; more take one for each square
+    of tiles, reading the columns of these tiles only, so that memory does not grow with the number of columns.
+    Columns are shifted by their means first (one more aggregate) so the
+    raw-moment formula does not lose precision."""
+    cols = list(cols)
+    if len(cols) < 2:
+        return df.sparkSession.createDataFrame([], "col_i string, col_j string, r double")
+    return _pair_correlations(df, cols, _passes(len(cols)), absolute)
 
 
 def correlation_drop_list(pairs: DataFrame, cols: Sequence[str], threshold: float = CORRELATION_THRESHOLD) -> list[str]:
@@ -198,13 +269,13 @@ def correlation_drop_list(pairs: DataFrame, cols: Sequence[str], threshold: floa
 
 def target_correlations(df: DataFrame, cols: Sequence[str], target: str = "CD") -> DataFrame:
     """|r| of each column with the target (D3 input), pairwise-complete, as
-    (Feature, Correlacion_Abs): the same one-pass moment matrices as
-    :func:`correlation_pairs` with the target appended as the last column."""
+    (Feature, Correlacion_Abs): tiles of one column, so only pairs with the target are computed."""
     cols = [c for c in cols if c != target]
-    pairs = correlation_pairs(df, [*cols, target])
-    return pairs.where(F.col("col_j") == F.lit(target)).select(
-        F.col("col_i").alias("Feature"), F.col("r").alias("Correlacion_Abs")
-    )
+    if not cols:
+        return df.sparkSession.createDataFrame([], "Feature string, Correlacion_Abs double")
+    last = range(len(cols), len(cols) + 1)
+    pairs = _pair_correlations(df, [*cols, target], [[(range(k, min(k + TILE, len(cols))), last)] for k in range(0, len(cols), TILE)])
+    return pairs.select(F.col("col_i").alias("Feature"), F.col("r").alias("Correlacion_Abs"))
 
 
 def target_correlation_topn(df: DataFrame, cols: Sequence[str], created: Sequence[str], target: str = "CD",

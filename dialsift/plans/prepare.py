@@ -89,21 +89,25 @@ def prepare(df: DataFrame, cfg: RunConfig | None = None) -> Prepared:
 
 @dataclass
 class SplitData:
-    train: DataFrame
-    test: DataFrame
+    rows: DataFrame  # all rows, scaled, with ``split``
     features: list[str]
     scaler: dict
 
+    @property
+    def train(self) -> DataFrame:
+        return self.rows.where(F.col("split") == "train").drop("split")
+
+    @property
+    def test(self) -> DataFrame:
+        return self.rows.where(F.col("split") == "test").drop("split")
+
 
 def split_and_scale(prep: Prepared, cfg: RunConfig | None = None) -> SplitData:
-    """E1 stratified split, then D8 scaler fitted on train and applied to both.
+    """E1 stratified split, then D8 scaler fitted on train and applied to both: the tagged rows are written
+    once, one aggregate over those of train fits the scaler, one projection scales all.
     Boolean dummies become 0/1 doubles."""
     cfg = cfg or RunConfig()
     data = prep.data.withColumns({c: F.col(c).cast("double") for c in prep.features})
-    tagged = sampling.stratified_split(data, cfg.key, cfg.target, cfg.test_size, cfg.seed, stratify=cfg.stratify)
-    train = tagged.where(F.col("split") == "train").drop("split")
-    test = tagged.where(F.col("split") == "test").drop("split")
-    params = stats.fit_standard_scaler(train, prep.features)
-    return SplitData(
-        stats.apply_standard_scaler(train, params), stats.apply_standard_scaler(test, params), prep.features, params
-    )
+    tagged = write_shared(sampling.stratified_split(data, cfg.key, cfg.target, cfg.test_size, cfg.seed, stratify=cfg.stratify), "split")
+    params = stats.fit_standard_scaler(tagged.where(F.col("split") == "train"), prep.features)
+    return SplitData(stats.apply_standard_scaler(tagged, params), prep.features, params)

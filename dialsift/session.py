@@ -80,6 +80,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def is_shared(path: str) -> bool:
+    """Was ``path`` handed out by ``shared_path`` and not released since?"""
+    return path in _WRITTEN
+
+
 def write_shared(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared checkpoint folder and read it back: evaluated
     once, lineage cut (a lost executor re-reads files), columns prunable and sizes known to

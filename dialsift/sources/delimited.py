@@ -1,13 +1,14 @@
 """Pipe-delimited attempt files (A1): UTF-8 text with a header row.
 
-The reference infers column types from the file; here the schema is given
-(inference is a full extra pass and changes with the data), and NaN markers
+With a schema the file is read as it says. Without one the types are inferred as the reference's reader does:
+``infer_schema`` takes one aggregate over the file, in which each column climbs from 64-bit integer to double to string
+(or is boolean throughout), and the same missing markers become NULL. NaN markers
 become NULL on read so every later operator sees one kind of missing value.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,3 +31,60 @@ def read_delimited(spark: SparkSession, path: str, schema: T.StructType, sep: st
 
 def write_delimited(df: DataFrame, path: str, sep: str = "|") -> None:
     df.write.mode("overwrite").option("header", True).option("sep", sep).option("encoding", "UTF-8").csv(path)
+
+
+# Texts that the reference's reader takes for a missing value, besides the empty text.
+MISSING = ("#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None",
+           "n/a", "nan", "null")
+INTEGER = r"^ *[+-]?[0-9]+ *$"
+DOUBLE = r"^ *[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i)inf(inity)?) *$"
+BOOLEAN = ("True", "TRUE", "true", "False", "FALSE", "false")
+
+
+def _texts(spark: SparkSession, path: str, sep: str) -> DataFrame:
+    """All columns as text, missing markers as NULL."""
+    raw = (spark.read.option("header", True).option("sep", sep).option("encoding", "UTF-8").option("mode", "FAILFAST")
+           .option("inferSchema", False).csv(path))
+    return raw.select(*[F.when(~F.col(f"`{c}`").isin(*MISSING, ""), F.col(f"`{c}`")).alias(c) for c in raw.columns])
+
+
+def _level(c: Column) -> Column:
+    """0 integer, 1 double, 2 boolean, 3 string; NULL for a missing value."""
+    fits = F.trim(c).try_cast("bigint").isNotNull()
+    return F.when(c.isNull(), None).when(c.rlike(INTEGER) & fits, 0).when(c.rlike(DOUBLE), 1).when(c.isin(*BOOLEAN), 2).otherwise(3)
+
+
+def infer_schema(spark: SparkSession, path: str, sep: str = "|") -> T.StructType:
+    """Types of all columns from one pass over the whole file: integers with a missing value are doubles (there is no
+    missing integer in the reference's tables), booleans with one are strings, a column without values is double."""
+    texts = _texts(spark, path, sep)
+    levels = [_level(F.col(f"`{c}`")) for c in texts.columns]
+    stats = texts.agg(*[agg for k, level in enumerate(levels) for agg in (
+        F.min(level).alias(f"lo{k}"), F.max(level).alias(f"hi{k}"), F.count_if(level.isNull()).alias(f"no{k}"))]).first()
+
+    def kind(k: int) -> T.DataType:
+        low, high, missing = stats[f"lo{k}"], stats[f"hi{k}"], stats[f"no{k}"]
+        if high is None or high == 1 or (high == 0 and missing):
+            return T.DoubleType()
+        if high == 0:
+            return T.LongType()
+        return T.BooleanType() if low == high == 2 and not missing else T.StringType()
+
+    return T.StructType([T.StructField(c, kind(k)) for k, c in enumerate(texts.columns)])
+
+
+def read_inferred(spark: SparkSession, path: str, sep: str = "|", schema: T.StructType | None = None) -> DataFrame:
+    """A delimited file without a schema: inferred types, missing markers as NULL, non-numbers of numeric columns as errors."""
+    schema = schema or infer_schema(spark, path, sep)
+    texts = _texts(spark, path, sep)
+
+    def typed(f: T.StructField):
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.StringType):
+            return c
+        c = F.trim(c)
+        if isinstance(f.dataType, T.DoubleType):
+            return nan_to_null(F.regexp_replace(c, "(?i)^([+-]?)inf$", "$1Infinity").cast("double")).alias(f.name)
+        return c.cast(f.dataType).alias(f.name)
+
+    return texts.select(*[typed(f) for f in schema.fields])

@@ -12,9 +12,10 @@ from dialsift.config import RunConfig
 from dialsift.models.registry import FittedModel, ModelSizes
 from dialsift.models.runner import to_ml
 from dialsift.plans.evaluate import evaluate
+from dialsift.operators.ranking import improvement_80
 from dialsift.plans.prepare import prepare
 from dialsift.sources.attempts import attempts
-from dialsift.sources.delimited import read_delimited, write_delimited
+from dialsift.sources.delimited import read_delimited, read_inferred, write_delimited
 
 from .conftest import SF001
 
@@ -71,3 +72,28 @@ def test_queries_run_from_another_folder(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", SCRIPT.format(repo=repo, data=SF001)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "ROWS 2500" in out.stdout, out.stderr[-2000:]
+
+
+def test_bare_file_to_a_ranked_pipeline_of_the_users_own(spark):
+    """A pipe file without a schema, a user's Spark ML pipeline beside a zoo entry: compared, picked, ranked, saved, reloaded."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import PCA
+
+    path = os.path.join(spark.sparkContext.getCheckpointDir(), f"bare-{uuid.uuid4().hex}")
+    write_delimited(attempts(spark, SF001), path)
+    mine = Pipeline(stages=[PCA(k=5, inputCol="features", outputCol="pca"), LogisticRegression(featuresCol="pca", labelCol="label", maxIter=20)])
+    ev = evaluate(read_inferred(spark, path), RunConfig(tuning_iter=2), models={"mine": mine, "also": LogisticRegression(labelCol="label", maxIter=10)},
+                  dataset_names=["Undersampling"], tuned=True)
+    assert {r["modelo_base"]: r["status"] for r in ev.leaderboard.collect()} == {"mine": "ok", "also": "ok"}
+    assert {r["tuneado"] for r in ev.tuned.collect()} == {False}
+    ranked = {r["Estrategia"] for r in improvement_80(ev.scores).collect()}
+    assert "Balanceado" in ranked
+    model = next(iter(ev.models.values()))
+    folder = os.path.join(spark.sparkContext.getCheckpointDir(), f"own-{uuid.uuid4().hex}")
+    model.save(folder)
+    rows = ev.prepared.data.select(F.col("CODIGO").alias("key"), F.col("CD").alias("y"),
+                                   F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ev.prepared.features]).alias("vec"))
+    ml = to_ml(rows)
+    score = lambda m: {r["key"]: r["score"] for r in m.transform(ml).select("key", "score").collect()}
+    assert score(FittedModel.load(spark, folder)) == score(model)

@@ -6,7 +6,7 @@ import tempfile
 from pyspark.sql import types as T
 
 from dialsift.operators import stats
-from dialsift.sources.delimited import read_delimited
+from dialsift.sources.delimited import infer_schema, read_delimited, read_inferred
 
 
 def test_delimited_nan_is_null(spark):
@@ -24,3 +24,36 @@ def test_delimited_nan_is_null(spark):
 def test_target_topn_without_target(spark):
     df = spark.createDataFrame([(1.0, 2.0)], "a double, b double")
     assert stats.target_correlation_topn(df, ["a", "b"], [], target="CD") is None
+
+
+def _folder(text):
+    base = tempfile.mkdtemp(prefix="dialsift-pipe-")
+    with open(os.path.join(base, "a.txt"), "w", encoding="utf-8") as f:
+        f.write(text)
+    return base
+
+
+def test_types_are_inferred_from_the_whole_file(spark):
+    """The same types and values as the reference's reader gives."""
+    import pandas as pd
+
+    header = "whole|gap|dec|exp|late|big|flag|flag gap|text|none|inf|zero"
+    rows = ["1|1|1.5|1e3|7|9223372036854775807|True|true||NA|inf|007", "-2||2|2.5E-1|8|1|false|NaN|Ñandú|NULL|1|0",
+            "+3|3|.5|3|x9|2|TRUE|False|nan|n/a|-Infinity|12"]
+    base = _folder("\n".join([header, *rows]) + "\n")
+    got = read_inferred(spark, base)
+    kinds = {f.name: f.dataType.simpleString() for f in got.schema}
+    frame = pd.read_csv(os.path.join(base, "a.txt"), sep="|", encoding="UTF-8")
+    names = {"int64": "bigint", "float64": "double", "bool": "boolean"}
+    expected = {c: names.get(str(t), "string") for c, t in frame.dtypes.items()}
+    assert kinds == expected
+    for mine, theirs in zip(got.orderBy("big").toPandas().to_dict("records"), frame.sort_values("big").to_dict("records"), strict=True):
+        for c in header.split("|"):
+            assert (pd.isna(mine[c]) and pd.isna(theirs[c])) or str(mine[c]).lower() == str(theirs[c]).lower(), c
+
+
+def test_inference_of_integers_out_of_range_and_empty_files(spark):
+    got = read_inferred(spark, _folder("a|b\n99999999999999999999|1\n5|2\n"))
+    assert [f.dataType.simpleString() for f in got.schema] == ["double", "bigint"]
+    empty = read_inferred(spark, _folder("a|b\n"))
+    assert empty.columns == ["a", "b"] and empty.count() == 0 and infer_schema(spark, _folder("a|b c\n1|2\n")).names == ["a", "b c"]

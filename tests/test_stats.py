@@ -77,3 +77,41 @@ def test_minmax(spark):
     df = spark.createDataFrame([(1.0, None), (3.0, 2.0), (5.0, 2.0)], "a double, b double")
     got = [(r["a"], r["b"]) for r in stats.minmax(df, ["a", "b"]).orderBy("a").collect()]
     assert got[0] == (0.0, None) and got[1][1] == 0.0 and abs(got[2][0] - 4 / (4 + 1e-6)) < 1e-12
+
+
+def test_correlations_of_thousands_of_columns(spark):
+    """3,000 columns with gaps in tiles: no task holds a matrix of all pairs, values as numpy gives them."""
+    rng = np.random.default_rng(7)
+    n, p = 60, 3000
+    X = rng.normal(size=(n, p)) + rng.normal(size=(n, 1))
+    X[rng.random((n, p)) < 0.1] = np.nan
+    X[:, 17] = 3.0
+    schema = ", ".join(f"c{k} double" for k in range(p))
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in row) for row in X], schema)
+    passes = stats._passes(p)
+    assert all(len(a) <= stats.TILE and len(b) <= stats.TILE for tiles in passes for a, b in tiles) and max(map(len, passes)) <= 64
+    assert sum(len(a) * len(b) if a != b else len(a) * (len(a) - 1) // 2 for tiles in passes for a, b in tiles) == p * (p - 1) // 2
+    out = stats.correlation_pairs(df, df.columns, absolute=False)
+    some = [(0, 1), (5, 2999), (17, 40), (130, 300), (127, 128), (2048, 2900)]
+    got = {(r["col_i"], r["col_j"]): r["r"] for r in out.where(F.concat_ws(",", "col_i", "col_j").isin([f"c{i},c{j}" for i, j in some])).collect()}
+    for i, j in some:
+        both = ~np.isnan(X[:, i]) & ~np.isnan(X[:, j])
+        if i == 17:
+            assert got["c17", f"c{j}"] is None
+        else:
+            assert abs(got[f"c{i}", f"c{j}"] - np.corrcoef(X[both, i], X[both, j])[0, 1]) < 1e-9
+    assert out.count() == p * (p - 1) // 2
+
+
+def test_small_tiles_and_target_only(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    X = rng.normal(size=(200, 11))
+    df = spark.createDataFrame([tuple(map(float, r)) for r in X], ", ".join(f"c{k} double" for k in range(11)))
+    whole = {(r["col_i"], r["col_j"]): r["r"] for r in stats.correlation_pairs(df, df.columns).collect()}
+    monkeypatch.setattr(stats, "TILE", 3)
+    monkeypatch.setattr(stats, "TILES_ON_A_SIDE", 2)
+    tiled = {(r["col_i"], r["col_j"]): r["r"] for r in stats.correlation_pairs(df, df.columns).collect()}
+    assert tiled.keys() == whole.keys() and all(abs(tiled[k] - whole[k]) < 1e-12 for k in whole)
+    target = {r["Feature"]: r["Correlacion_Abs"] for r in stats.target_correlations(df, df.columns[:-1], "c10").collect()}
+    assert target.keys() == {f"c{k}" for k in range(10)} and all(abs(target[c] - whole[c, "c10"]) < 1e-12 for c in target)
+    assert stats.target_correlations(df, [], "c10").count() == 0
