@@ -852,6 +852,62 @@ register("score_logistic", _newton_sql(
 SELECT key, round(1 / (1 + exp(-z)), 4) AS score, y, CAST(z > 0 AS INTEGER) AS pred FROM so""")(_model_scores("Linear_LogisticRegression", digits=4))
 
 
+# ------------------------------------------------------------------ stumps and boosted stumps (F12 at depth 1, F15)
+
+# Coordinates on a grid of sixteenths: at most 32 values each, so that every midpoint is a candidate cut of Spark's trees.
+_GRID_ROWS = _MODEL_ROWS.replace("CAST(embedding AS DOUBLE[]) AS vec", "list_transform(CAST(embedding AS DOUBLE[]), lambda v: floor(v * 16)) AS vec")
+
+
+def _grid_scores(name: str, sizes: ModelSizes):
+    """Test scores of a model of stated size on the original set of the gridded embeddings."""
+
+    def fn(spark, sf_dir):
+        rows = embedding_rows(spark, sf_dir).withColumn("vec", F.transform("vec", lambda v: F.floor(v * 16).cast("double")))
+        data = zoo_runner.zoo_data(rows, seed=RESAMPLE_SEED, datasets=("Original",))
+        zoo = zoo_runner.run_zoo(data, [zoo_registry.BY_NAME[name]], sizes, dataset_names=["Original"])
+        return zoo.scores.select("key", F.round("score", 6).alias("score"), "y", "pred")
+
+    return fn
+
+
+def _stump_sql(name: str, rows: str) -> str:
+    """CTE ``name`` (i, t, p0, p1): the cut of least weighted Gini impurity over ``rows`` (vec, y, w), and the share of
+    class 1 at or below and above it."""
+    return f"""{name}v AS MATERIALIZED (SELECT i, vec[i] AS v, sum(w * y) AS w1, sum(w * (1 - y)) AS w0 FROM {rows}, range(1, {_DIMS + 1}) g(i) GROUP BY i, v),
+{name}c AS (SELECT i, v, lead(v) OVER o AS nv, sum(w1) OVER o AS l1, sum(w0) OVER o AS l0, sum(w1) OVER a AS a1, sum(w0) OVER a AS a0
+  FROM {name}v WINDOW o AS (PARTITION BY i ORDER BY v), a AS (PARTITION BY i)),
+{name} AS MATERIALIZED (SELECT i, (v + nv) / 2 AS t, l1 / (l0 + l1) AS p0, (a1 - l1) / (a0 - l0 + a1 - l1) AS p1 FROM {name}c WHERE nv IS NOT NULL
+  ORDER BY round(l0 * l1 / (l0 + l1) + (a0 - l0) * (a1 - l1) / (a0 - l0 + a1 - l1), 9), i, v LIMIT 1)"""
+
+
+# balanced class weights; the score is the weighted share of class 1 in the leaf
+register("score_stump", ",\n".join([_GRID_ROWS, """ba AS MATERIALIZED (SELECT vec, y, n / (2.0::DOUBLE * nc) AS w
+  FROM tr JOIN (SELECT y AS cy, count(*) AS nc FROM tr GROUP BY y) ON y = cy, (SELECT CAST(count(*) AS DOUBLE) AS n FROM tr))""", _stump_sql("st", "ba")]) + """
+SELECT key, round(CASE WHEN vec[i] <= t THEN p0 ELSE p1 END, 6) AS score, y, CAST((CASE WHEN vec[i] <= t THEN p0 ELSE p1 END) > 0.5 AS INTEGER) AS pred
+FROM te, st""")(_grid_scores("Tree_DecisionTree", ModelSizes(depth=1)))
+
+BOOST_ROUNDS = 8
+
+
+def _adaboost_sql() -> str:
+    """SAMME: rows that a stump misses weigh exp(alpha) more in the next round."""
+    parts = [_GRID_ROWS, "r0 AS MATERIALIZED (SELECT vec, y, 1.0::DOUBLE / (SELECT count(*) FROM tr) AS w FROM tr)"]
+    for k in range(BOOST_ROUNDS):
+        side = f"(CASE WHEN vec[s{k}.i] <= s{k}.t THEN s{k}.p0 ELSE s{k}.p1 END > 0.5)"
+        parts += [_stump_sql(f"s{k}", f"r{k}"),
+                  f"m{k} AS MATERIALIZED (SELECT vec, y, w, CAST(CAST({side} AS INTEGER) <> y AS INTEGER) AS miss FROM r{k}, s{k})",
+                  f"a{k} AS MATERIALIZED (SELECT ln((sum(w) - sum(w * miss)) / sum(w * miss)) AS a FROM m{k})",
+                  f"r{k + 1} AS MATERIALIZED (SELECT vec, y, w * exp(a * miss) AS w FROM m{k}, a{k})"]
+    votes = " UNION ALL ".join(
+        f"SELECT key, y, a, CASE WHEN CASE WHEN vec[i] <= t THEN p0 ELSE p1 END > 0.5 THEN 1 ELSE -1 END AS h FROM te, s{k}, a{k}" for k in range(BOOST_ROUNDS))
+    return ",\n".join(parts) + f""",
+so AS (SELECT key, y, (sum(a * h) / sum(a) + 1) / 2 AS s FROM ({votes}) GROUP BY key, y)
+SELECT key, round(s, 6) AS score, y, CAST(s > 0.5 AS INTEGER) AS pred FROM so"""
+
+
+register("score_adaboost", _adaboost_sql())(_grid_scores("Ensemble_AdaBoost", ModelSizes(rounds=BOOST_ROUNDS)))
+
+
 # ------------------------------------------------------------------ tuning deltas (H6)
 
 
