@@ -117,9 +117,9 @@ def _batch(names: str, arrays) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a) for a in arrays], names.split())
 
 
-def _emit_places(piece_bytes: int):
+def _emit_places(piece_bytes: int, wide: np.ndarray):
     """One row for each place; within a batch, repeats of a context after its first are ``done``:
-    they need not meet the others of their minimiser."""
+    they need not meet the others of their minimiser. Places of a ``wide`` minimiser are dealt by their context."""
     def run(batches):
         for batch in batches:
             parts = [p[:5] for p in _scan(batch, piece_bytes)]
@@ -130,18 +130,26 @@ def _emit_places(piece_bytes: int):
             doc, row, seed, context, place = (c[order] for c in (doc, row, seed, context, place))
             done = np.zeros(len(doc), bool)
             done[1:] = (seed[1:] == seed[:-1]) & (context[1:] == context[:-1])
-            key = np.where(done, mix((row ^ place).view(np.uint64)).view(np.int64), seed)
+            key = np.where(np.isin(seed, wide), mix((seed ^ context).view(np.uint64)).view(np.int64), seed)
+            key = np.where(done, mix((row ^ place).view(np.uint64)).view(np.int64), key)
             yield _batch("key done seed context doc row place", [key, done, seed, context, doc, row, place])
 
     return run
 
 
 COVERED, UNSURE = 0, 1
+PLACES = "key long, done boolean, seed long, context long, doc long, row long, place long"
+WIDE_SHARE, WIDE_LEAST = 1000, 20
+HOT_SHARE = 200
 
 
-def _first_contexts(batches):
+def _first_contexts(wide: np.ndarray):
     """Of places sorted by (done, seed, context, id, row, place): those whose context is earlier
-    elsewhere, and the first places of contexts whose minimiser has several contexts."""
+    elsewhere, and the first places of contexts whose minimiser has, or if it is wide may have, several contexts."""
+    return lambda batches: _firsts(batches, wide)
+
+
+def _firsts(batches, wide: np.ndarray):
     before = None  # (seed, context) of the last row
     pending = None  # the last first place, with whether its minimiser already has several
     for batch in batches:
@@ -162,7 +170,7 @@ def _first_contexts(batches):
         if pending is not None:
             several_seed = [np.concatenate([[p], c]) for p, c in zip(pending[:4], several_seed, strict=True)]
         s, d, r, p = several_seed
-        shared = np.zeros(len(s), bool)
+        shared = np.isin(s, wide)
         shared[1:] |= s[1:] == s[:-1]
         shared[:-1] |= s[1:] == s[:-1]
         if pending is not None:
@@ -178,6 +186,17 @@ def _first_contexts(batches):
         yield _batch("kind seed doc row place", [np.array([UNSURE], np.int32), *(np.array([x], np.int64) for x in pending[:4])])
 
 
+def _wide_seeds(rows: DataFrame, piece_bytes: int, sample_docs: int) -> np.ndarray:
+    """Minimisers with over 1/WIDE_SHARE of the places of a sample of about ``sample_docs`` documents: fewer than WIDE_SHARE.
+    Which ones are found changes how places are dealt and how many snippets are compared, never what is removed."""
+    share = min(1.0, sample_docs / max(1, rows.count()))
+    drawn = rows.sample(share, 7) if share < 1 else rows
+    counts = materialise(drawn.mapInArrow(_emit_places(piece_bytes, np.zeros(0, np.int64)), PLACES).filter("NOT done").groupBy("seed").count(), "substring-seeds")
+    total = counts.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n")).first()["n"]
+    found = counts.filter((F.col("count") > WIDE_LEAST) & (F.col("count") * WIDE_SHARE > total)).select("seed").collect()
+    return np.array([r["seed"] for r in found], np.int64)
+
+
 def _slots(row: np.ndarray, place: np.ndarray, bits: int) -> np.ndarray:
     x = mix(row.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + place.view(np.uint64))
     return np.stack([x & np.uint64(bits - 1), (x >> np.uint64(32)) & np.uint64(bits - 1)]).astype(np.int64)
@@ -327,26 +346,31 @@ def _cut(text: bytes, begin: list[int], end: list[int]) -> tuple[bytes, int, int
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_col: str = "deduplicated", max_filter_bits: int = 1 << 28,
-                    chunk_bytes: int = 512 << 10, hot_snippets: int = 50_000, piece_bytes: int = 4 << 20) -> DataFrame:
+                    chunk_bytes: int = 512 << 10, hot_snippets: int = 50_000, piece_bytes: int = 4 << 20, hot_least: int = 1000,
+                    sample_docs: int = 5000) -> DataFrame:
     """``docs`` with a struct column: kept (remaining bytes), n_bytes, n_removed, n_spans (maximal removed runs).
 
     ``chunk_bytes`` of snippets are suffix-sorted together; minimisers of more than ``hot_snippets``
-    are dealt to several tasks; texts are scanned in pieces of ``piece_bytes`` windows."""
+    (or of 1/HOT_SHARE of all and over ``hot_least``) are dealt to several tasks; texts are scanned in pieces of ``piece_bytes``
+    windows; minimisers that a sample of ``sample_docs`` documents shows to be common are dealt by context at once."""
     spark = docs.sparkSession
     row_id = "__substring_row"
     whole = numbered(docs, row_id)  # the same numbers in each of the three reads
     rows = whole.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(row_id).alias("row"), F.col(f"`{text_col}`").alias("text"))
 
-    places = rows.mapInArrow(_emit_places(piece_bytes), "key long, done boolean, seed long, context long, doc long, row long, place long")
+    wide = _wide_seeds(rows, piece_bytes, sample_docs)
+    places = rows.mapInArrow(_emit_places(piece_bytes, wide), PLACES)
     sorted_places = places.repartition("key").sortWithinPartitions("done", "seed", "context", "doc", "row", "place").drop("key")
-    known = materialise(sorted_places.mapInArrow(_first_contexts, "kind int, seed long, doc long, row long, place long"), "substring-places")
+    known = materialise(sorted_places.mapInArrow(_first_contexts(wide), "kind int, seed long, doc long, row long, place long"), "substring-places")
     unsure = known.filter(F.col("kind") == UNSURE)
     covered = known.filter(F.col("kind") == COVERED).select(
         "row", (F.expr("(place >> 14) - ((place >> 7) & 127)")).alias("begin"), F.expr(f"(place >> 14) - (place & 127) + {LENGTH}").alias("end"))
 
     ref = spark.sparkContext.broadcast(_place_filter(unsure, max_filter_bits))
-    counts = unsure.groupBy("seed").count().filter(F.col("count") > hot_snippets).collect()  # at most one for hot_snippets rows
-    hot = {r["seed"]: -(-r["count"] // hot_snippets) for r in counts}
+    # a minimiser of many snippets is split: over hot_snippets, or over 1/HOT_SHARE of all and not just a few
+    limit = min(hot_snippets, max(hot_least, unsure.count() // HOT_SHARE))
+    counts = unsure.groupBy("seed").count().filter(F.col("count") > limit).collect()  # fewer than HOT_SHARE or one for hot_snippets rows
+    hot = {r["seed"]: -(-r["count"] // limit) for r in counts}
     snippets = rows.mapInArrow(_emit_snippets(ref, hot, piece_bytes), "salt long, seed long, doc long, row long, place long, snippet binary")
     dealt = snippets.repartition("salt", "seed").sortWithinPartitions("salt", "seed", "doc", "row", "place")
     ranked = materialise(dealt.mapInArrow(_rank_chunks(chunk_bytes), "row long, begin long, end long, open boolean, seed long, digest long, doc long"), "substring-ranked")

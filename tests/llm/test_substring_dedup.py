@@ -92,3 +92,25 @@ def test_files_packed_anew_between_the_reads(written, repacked):
     docs = written(rows, parts=5)
     repacked(module)
     assert run(docs) == brute(rows)
+
+
+@pytest.mark.parametrize("share", [10**9, 300])
+def test_common_minimisers_are_dealt_by_context(written, monkeypatch, share):
+    """All minimisers, or the commonest, taken as wide: the result is the same."""
+    monkeypatch.setattr(module, "WIDE_LEAST", 1)
+    monkeypatch.setattr(module, "WIDE_SHARE", share)
+    rows = corpus()
+    assert run(written(rows)) == brute(rows)
+    assert run(written(rows), sample_docs=20, hot_least=5) == brute(rows)
+
+
+def test_a_string_of_many_documents_is_not_one_tasks(spark, written):
+    """A string of 110 bytes in every document, each time in other surroundings: no key holds its places."""
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(7))
+    common = " ".join(word() for _ in range(14))[:110]
+    rows = [(k, " ".join(word() for _ in range(20)) + common + " ".join(word() for _ in range(20))) for k in range(3000)]
+    docs = written(rows).selectExpr("doc_id AS doc", "doc_id AS row", "text")
+    wide = module._wide_seeds(docs, 4 << 20, 1000)
+    count = lambda w: docs.mapInArrow(module._emit_places(4 << 20, w), module.PLACES).groupBy("key").count().agg({"count": "max"}).first()[0]
+    assert len(wide) and count(np.zeros(0, np.int64)) >= 1000 and count(wide) < 100
