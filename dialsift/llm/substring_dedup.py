@@ -118,8 +118,8 @@ def _batch(names: str, arrays) -> pa.RecordBatch:
 
 
 def _emit_places(piece_bytes: int, wide: np.ndarray):
-    """One row for each place; within a batch, repeats of a context after its first are ``done``:
-    they need not meet the others of their minimiser. Places of a ``wide`` minimiser are dealt by their context."""
+    """One row for each place; within a batch, repeats of a context after its first are done: they need not meet the
+    others of their minimiser and have the seed LAST. Places of a ``wide`` minimiser are dealt by their context."""
     def run(batches):
         for batch in batches:
             parts = [p[:5] for p in _scan(batch, piece_bytes)]
@@ -132,19 +132,20 @@ def _emit_places(piece_bytes: int, wide: np.ndarray):
             done[1:] = (seed[1:] == seed[:-1]) & (context[1:] == context[:-1])
             key = np.where(np.isin(seed, wide), mix((seed ^ context).view(np.uint64)).view(np.int64), seed)
             key = np.where(done, mix((row ^ place).view(np.uint64)).view(np.int64), key)
-            yield _batch("key done seed context doc row place", [key, done, seed, context, doc, row, place])
+            seed = np.where(done, LAST, np.minimum(seed, LAST - 1))
+            yield _batch("key seed context doc row place", [key, seed, context, doc, row, place])
 
     return run
 
 
 COVERED, UNSURE = 0, 1
-PLACES = "key long, done boolean, seed long, context long, doc long, row long, place long"
+PLACES = "key long, seed long, context long, doc long, row long, place long"
 WIDE_SHARE, WIDE_LEAST = 1000, 20
 HOT_SHARE = 200
 
 
 def _first_contexts(wide: np.ndarray):
-    """Of places sorted by (done, seed, context, id, row, place): those whose context is earlier
+    """Of places sorted by (seed, context, id, row, place): those whose context is earlier
     elsewhere, and the first places of contexts whose minimiser has, or if it is wide may have, several contexts."""
     return lambda batches: _firsts(batches, wide)
 
@@ -153,9 +154,10 @@ def _firsts(batches, wide: np.ndarray):
     before = None  # (seed, context) of the last row
     pending = None  # the last first place, with whether its minimiser already has several
     for batch in batches:
-        done, seed, context, doc, row, place = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(6))
+        seed, context, doc, row, place = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
         if not len(seed):
             continue
+        done = seed == LAST
         same_seed, same = np.zeros(len(seed), bool), np.zeros(len(seed), bool)
         same_seed[1:] = seed[1:] == seed[:-1]
         same[1:] = same_seed[1:] & (context[1:] == context[:-1])
@@ -191,7 +193,7 @@ def _wide_seeds(rows: DataFrame, piece_bytes: int, sample_docs: int) -> np.ndarr
     Which ones are found changes how places are dealt and how many snippets are compared, never what is removed."""
     share = min(1.0, sample_docs / max(1, rows.count()))
     drawn = rows.sample(share, 7) if share < 1 else rows
-    counts = materialise(drawn.mapInArrow(_emit_places(piece_bytes, np.zeros(0, np.int64)), PLACES).filter("NOT done").groupBy("seed").count(), "substring-seeds")
+    counts = materialise(drawn.mapInArrow(_emit_places(piece_bytes, np.zeros(0, np.int64)), PLACES).filter(F.col("seed") != LAST).groupBy("seed").count(), "substring-seeds")
     total = counts.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n")).first()["n"]
     found = counts.filter((F.col("count") > WIDE_LEAST) & (F.col("count") * WIDE_SHARE > total)).select("seed").collect()
     return np.array([r["seed"] for r in found], np.int64)
@@ -360,7 +362,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     wide = _wide_seeds(rows, piece_bytes, sample_docs)
     places = rows.mapInArrow(_emit_places(piece_bytes, wide), PLACES)
-    sorted_places = places.repartition("key").sortWithinPartitions("done", "seed", "context", "doc", "row", "place").drop("key")
+    sorted_places = places.repartition("key").sortWithinPartitions("seed", "context", "doc", "row", "place").drop("key")
     known = materialise(sorted_places.mapInArrow(_first_contexts(wide), "kind int, seed long, doc long, row long, place long"), "substring-places")
     unsure = known.filter(F.col("kind") == UNSURE)
     covered = known.filter(F.col("kind") == COVERED).select(
