@@ -245,7 +245,8 @@ def _emit_snippets(ref, hot: dict[int, int], piece_bytes: int):
                 if not len(found):
                     continue
                 cuts = [joined.raw[a:b] for a, b in zip(low[found].tolist(), high[found].tolist(), strict=True)]
-                salt = [r % hot[s] + 1 if s in hot else 0 for r, s in zip(row[found].tolist(), seed[found].tolist(), strict=True)] if hot else np.zeros(len(found), np.int64)
+                spread = mix(row[found].view(np.uint64)) >> np.uint64(1)  # of the row: common texts may stand at regular places
+                salt = [r % hot[s] + 1 if s in hot else 0 for r, s in zip(spread.tolist(), seed[found].tolist(), strict=True)] if hot else np.zeros(len(found), np.int64)
                 yield _batch("salt seed doc row place snippet", [
                     np.asarray(salt, np.int64), seed[found], doc[found], row[found], place[found], pa.array(cuts, pa.binary())])
 
