@@ -141,6 +141,7 @@ COVERED, UNSURE = 0, 1
 PLACES = "key long, done boolean, seed long, context long, doc long, row long, place long"
 WIDE_SHARE, WIDE_LEAST = 1000, 20
 HOT_SHARE = 200
+PROBES = 4
 
 
 def _first_contexts(wide: np.ndarray):
@@ -199,7 +200,8 @@ def _wide_seeds(rows: DataFrame, piece_bytes: int, sample_docs: int) -> np.ndarr
 
 def _slots(row: np.ndarray, place: np.ndarray, bits: int) -> np.ndarray:
     x = mix(row.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + place.view(np.uint64))
-    return np.stack([x & np.uint64(bits - 1), (x >> np.uint64(32)) & np.uint64(bits - 1)]).astype(np.int64)
+    step = (x >> np.uint64(32)) | np.uint64(1)
+    return ((x + step * np.arange(PROBES, dtype=np.uint64)[:, None]) & np.uint64(bits - 1)).astype(np.int64)
 
 
 def _place_filter(unsure: DataFrame, max_bits: int) -> tuple[int, dict[int, bytes]]:
