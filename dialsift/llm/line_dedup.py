@@ -102,11 +102,11 @@ def _merge_group(batches):
                                       pa.array([zlib.compress(twice.tobytes(), 1)], pa.binary())], ["part", "once", "twice"])
 
 
-def twice_seen(texts: DataFrame, max_bits: int) -> tuple[int, dict[int, bytes]]:
-    """(bits, compressed parts) of the filter of keys seen in two documents."""
+def twice_seen(texts: DataFrame, max_bits: int, build=_build) -> tuple[int, dict[int, bytes]]:
+    """(bits, compressed parts) of the filter of keys seen in two documents; ``build`` makes a task's two filters."""
     bits = _filter_bits(texts.count(), max_bits)
     schema = "part int, once binary, twice binary"
-    parts = texts.mapInArrow(_build(bits), schema)
+    parts = texts.mapInArrow(build(bits), schema)
     # a tree of two levels bounds what meets in one merging task
     level = parts.withColumn("branch", F.pmod(F.spark_partition_id(), F.lit(32)))
     level = level.select("branch", "part", "once", "twice").groupBy("branch", "part").applyInArrow(_stream_merge, schema)
@@ -131,7 +131,10 @@ class Suspects:
     def among(self, keys: list[bytes]) -> np.ndarray:
         if not keys:
             return np.zeros(0, bool)
-        pos = _bit_positions(keys, self.mask)
+        return self.at(_bit_positions(keys, self.mask))
+
+    def at(self, pos: np.ndarray) -> np.ndarray:
+        """Are all bits of each row of positions set?"""
         return ((self.filter[(pos >> np.uint64(3)).astype(np.int64)] >> (pos & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
 
 
