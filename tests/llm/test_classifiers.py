@@ -110,3 +110,77 @@ def test_toxicity_defined_cases(spark, written):
     few = toxicity.fit(docs, spark.createDataFrame([(4, 0), (5, 1), (5, 0), (11, 1)], "doc_id long, toxic int"))
     assert all(0 <= r["toxicity"] <= 1 for r in toxicity.score(docs, few).collect())
     assert toxicity.score(written([], parts=1), few).count() == 0
+
+
+def test_quality_equals_a_plain_dense_model(spark, written):
+    """Scores from weights and thresholds by the plain cumulative-link formula; the fit lowers the plain objective."""
+    import math
+
+    rows, grades = graded(160, seed=5)
+    model = quality.fit(written(rows), spark.createDataFrame(grades, "doc_id long, quality int"), penalty=0.02)
+    sigmoid = lambda z: 1 / (1 + math.exp(-z))
+    known = []
+    for _, text in rows:
+        _, at, x = quality.features([text.encode()])
+        dense = {}
+        for k, v in zip(at.tolist(), x.tolist(), strict=True):
+            dense[k] = dense.get(k, 0.0) + v
+        known.append(dense)
+
+    def shares(dense, weights, cuts):
+        margin = sum(weights[k] * v for k, v in dense.items())
+        below = [0.0, *(sigmoid(c - margin) for c in cuts), 1.0]
+        return [b - a for a, b in zip(below, below[1:], strict=False)]
+
+    got = {r["doc_id"]: r["quality_score"] for r in quality.score(written(rows), model, select_grade=2).collect()}
+    for (i, _), dense in zip(rows, known, strict=True):
+        p = shares(dense, model.weights, model.thresholds)
+        assert abs(got[i]["expected_grade"] - sum(g * v for g, v in zip(model.grades, p, strict=True))) < 1e-6
+        assert abs(got[i]["tail_probability"] - sum(v for g, v in zip(model.grades, p, strict=True) if g >= 2)) < 1e-6
+
+    def objective(weights, cuts):
+        loss = -sum(math.log(max(shares(d, weights, cuts)[g], 1e-300)) for d, (_, g) in zip(known, grades, strict=True))
+        return loss + 0.02 * float(weights @ weights)
+
+    best = objective(model.weights, model.thresholds)
+    used = sorted({k for d in known for k in d})
+    rng = np.random.default_rng(0)
+    assert best < objective(np.zeros_like(model.weights), model.thresholds)
+    for _ in range(5):
+        step = np.zeros_like(model.weights)
+        step[used] = rng.normal(size=len(used)) * 0.05
+        assert objective(model.weights + step, model.thresholds) > best
+    for shift in (0.3, -0.3):
+        assert objective(model.weights, [c + shift for c in model.thresholds]) > best
+
+
+def test_toxicity_scores_recomputed_plainly(spark, written):
+    """Bytes that the toxic dictionary saves on each window of about 64 bytes, then the logistic calibration."""
+    import math
+
+    import zstandard
+
+    rows, labels = toxic_corpus(300)
+    base, toxic, weights = model = toxicity.fit(written(rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert base and toxic.startswith(base)
+
+    def length(window, dictionary):
+        params = zstandard.ZstdCompressionParameters.from_level(3, source_size=64, dict_size=len(dictionary), min_match=6, write_content_size=False,
+                                                                write_checksum=False, write_dict_id=False)
+        return len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary, zstandard.DICT_TYPE_RAWCONTENT),
+                                            compression_params=params).compress(window))
+
+    got = {r["doc_id"]: r["toxicity"] for r in toxicity.score(written(rows), model).collect()}
+    for i, text in rows[::30]:
+        parts, words = [], []
+        for word in text.lower().encode().split():
+            words.append(word)
+            if sum(len(w) + 1 for w in words) >= 64:
+                parts.append(b" " + b" ".join(words))
+                words = []
+        if words:
+            parts.append(b" " + b" ".join(words))
+        saved = sorted((length(w, base) - length(w, toxic) for w in parts), reverse=True)
+        top = saved[:3]
+        z = weights[0] * saved[0] + weights[1] * sum(top) / len(top) + weights[2] * sum(saved) / len(saved) + weights[3]
+        assert abs(got[i] - 1 / (1 + math.exp(-max(-30, min(30, z))))) < 1e-9
