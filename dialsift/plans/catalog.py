@@ -744,7 +744,7 @@ def q_tune_best(spark, sf_dir):
     return zoo_tuning.tune_best(picks, data.train, data.test, n_iter=4, cv=2, n_features=data.n_features, spaces=QUERY_SPACES)[0]
 
 
-# ------------------------------------------------------------------ model scores with oracles
+# ------------------------------------------------------------------ model scores with oracles
 
 def _model_scores(name: str, digits: int = 5):
     """Test scores of a model, at the reference's size, on the original set."""
@@ -827,6 +827,26 @@ so AS (SELECT key, y, list_dot_product(vec, w.x) - 0.5::DOUBLE * list_dot_produc
 SELECT key, round(1 / (1 + exp(-z)), 5) AS score, y, CAST(z > 0 AS INTEGER) AS pred FROM so"""
 register("score_lda", _LDA_SQL)(_model_scores("Linear_LinearDiscriminant"))
 
+
+def _qda_sql() -> str:
+    """Each class with its own covariance (n - 1)."""
+    parts = [_BALANCED_ROWS]
+    for c in (0, 1):
+        parts += [f"""m{c} AS MATERIALIZED (SELECT list(m ORDER BY i) AS m, any_value(n) AS n FROM (
+  SELECT i, avg(vec[i]) AS m, CAST(count(*) AS DOUBLE) AS n FROM tr, range(1, {_DIMS + 1}) t(i) WHERE y = {c} GROUP BY i)),
+e{c} AS MATERIALIZED (SELECT list_transform(vec, lambda v, i: v - m[i]) AS x FROM tr, m{c} WHERE y = {c}),
+k{c} AS MATERIALIZED (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(v ORDER BY j) AS r FROM (
+  SELECT i, j, sum(x[i] * x[j]) / (count(*) - 1) + CASE WHEN i = j THEN 1e-9 ELSE 0 END AS v
+  FROM e{c}, range(1, {_DIMS + 1}) p(i), range(1, {_DIMS + 1}) q(j) GROUP BY i, j) GROUP BY i))""", oracle.inverted(f"i{c}", f"k{c}", _DIMS),
+                  f"""q{c} AS (SELECT key, y, list_dot_product(a, list_transform(im, lambda r: list_dot_product(r, a))) + ld - 2 * ln(n) AS d
+  FROM (SELECT key, y, list_transform(vec, lambda v, i: v - m{c}.m[i]) AS a, i{c}.m AS im, ld, n FROM te, m{c}, i{c}))"""]
+    return ",\n".join(parts) + """,
+so AS (SELECT q0.key, q0.y, 0.5::DOUBLE * (q0.d - q1.d) AS z FROM q0 JOIN q1 ON q0.key = q1.key)
+SELECT key, round(1 / (1 + exp(-greatest(least(z, 700), -700))), 5) AS score, y, CAST(z > 0 AS INTEGER) AS pred FROM so"""
+
+
+register("score_qda", _qda_sql())(_model_scores("Linear_QuadraticDiscriminant"))
+
 _NEWTON_STEPS = 12
 
 
@@ -852,20 +872,20 @@ register("score_logistic", _newton_sql(
 SELECT key, round(1 / (1 + exp(-z)), 4) AS score, y, CAST(z > 0 AS INTEGER) AS pred FROM so""")(_model_scores("Linear_LogisticRegression", digits=4))
 
 
-# ------------------------------------------------------------------ stumps and boosted stumps (F12 at depth 1, F15)
+# ------------------------------------------------------------------ stumps and boosted stumps (F12 at depth 1, F15, F18-F20)
 
 # Coordinates on a grid of sixteenths: at most 32 values each, so that every midpoint is a candidate cut of Spark's trees.
 _GRID_ROWS = _MODEL_ROWS.replace("CAST(embedding AS DOUBLE[]) AS vec", "list_transform(CAST(embedding AS DOUBLE[]), lambda v: floor(v * 16)) AS vec")
 
 
-def _grid_scores(name: str, sizes: ModelSizes):
+def _grid_scores(name: str, sizes: ModelSizes, digits: int = 6):
     """Test scores of a model of stated size on the original set of the gridded embeddings."""
 
     def fn(spark, sf_dir):
         rows = embedding_rows(spark, sf_dir).withColumn("vec", F.transform("vec", lambda v: F.floor(v * 16).cast("double")))
         data = zoo_runner.zoo_data(rows, seed=RESAMPLE_SEED, datasets=("Original",))
         zoo = zoo_runner.run_zoo(data, [zoo_registry.BY_NAME[name]], sizes, dataset_names=["Original"])
-        return zoo.scores.select("key", F.round("score", 6).alias("score"), "y", "pred")
+        return zoo.scores.select("key", F.round("score", digits).alias("score"), "y", "pred")
 
     return fn
 
@@ -908,6 +928,30 @@ SELECT key, round(s, 6) AS score, y, CAST(s > 0.5 AS INTEGER) AS pred FROM so"""
 register("score_adaboost", _adaboost_sql())(_grid_scores("Ensemble_AdaBoost", ModelSizes(rounds=BOOST_ROUNDS)))
 
 
+def _boosted_sql(weight: str) -> str:
+    """Boosted regression stumps on the log loss of -1/+1 labels: the first counts whole, the others a tenth."""
+    parts = [_GRID_ROWS, f"r0 AS MATERIALIZED (SELECT vec, lab, {weight} AS w, 0.0::DOUBLE AS f, lab AS g FROM (SELECT vec, y, 2.0::DOUBLE * y - 1 AS lab FROM tr))"]
+    for k in range(BOOST_ROUNDS):
+        step = 1.0 if k == 0 else 0.1
+        parts += [f"""v{k} AS MATERIALIZED (SELECT i, vec[i] AS v, sum(w) AS n, sum(w * g) AS s FROM r{k}, range(1, {_DIMS + 1}) d(i) GROUP BY i, v),
+c{k} AS (SELECT i, v, lead(v) OVER o AS nv, sum(n) OVER o AS ln, sum(s) OVER o AS ls, sum(n) OVER a AS an, sum(s) OVER a AS sa
+  FROM v{k} WINDOW o AS (PARTITION BY i ORDER BY v), a AS (PARTITION BY i)),
+s{k} AS MATERIALIZED (SELECT i, (v + nv) / 2 AS t, {step}::DOUBLE * ls / ln AS p0, {step}::DOUBLE * (sa - ls) / (an - ln) AS p1 FROM c{k} WHERE nv IS NOT NULL
+  ORDER BY round(ls * ls / ln + (sa - ls) * (sa - ls) / (an - ln), 9) DESC, i, v LIMIT 1)""",
+                  f"""r{k + 1} AS MATERIALIZED (SELECT vec, lab, w, f, 4 * lab / (1 + exp(2 * lab * f)) AS g FROM (
+  SELECT vec, lab, w, f + CASE WHEN vec[i] <= t THEN p0 ELSE p1 END AS f FROM r{k}, s{k}))"""]
+    added = " UNION ALL ".join(f"SELECT key, y, CASE WHEN vec[i] <= t THEN p0 ELSE p1 END AS h FROM te, s{k}" for k in range(BOOST_ROUNDS))
+    return ",\n".join(parts) + f""",
+so AS (SELECT key, y, sum(h) AS z FROM ({added}) GROUP BY key, y)
+SELECT key, round(1 / (1 + exp(-2 * z)), 5) AS score, y, CAST(z > 0 AS INTEGER) AS pred FROM so"""
+
+
+_POSITIVE_WEIGHT = "CASE WHEN y = 1 THEN (SELECT CAST(sum(1 - y) AS DOUBLE) / sum(y) FROM tr) ELSE 1.0::DOUBLE END"
+for _name, _model, _weight in (("score_xgboost", "GradBoost_XGBoost", _POSITIVE_WEIGHT), ("score_lightgbm", "GradBoost_LightGBM", _POSITIVE_WEIGHT),
+                               ("score_catboost", "GradBoost_CatBoost", "1.0::DOUBLE")):
+    register(_name, _boosted_sql(_weight))(_grid_scores(_model, ModelSizes(depth=1, rounds=BOOST_ROUNDS), digits=5))
+
+
 # ------------------------------------------------------------------ tuning deltas (H6)
 
 

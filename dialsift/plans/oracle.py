@@ -353,3 +353,14 @@ def normal_equations(name: str, rows: str, size: int, penalty: str = "1.0::DOUBL
     (SELECT i, j, sum(s * x[i] * x[j]) + CASE WHEN i = j THEN {penalty} ELSE 0 END AS v
      FROM {rows}, range(1, {size + 1}) p(i), range(1, {size + 1}) q(j) GROUP BY i, j) a
     JOIN (SELECT i, sum(s * t * x[i]) AS v FROM {rows}, range(1, {size + 1}) p(i) GROUP BY i) b ON a.i = b.i GROUP BY a.i))"""
+
+
+def inverted(name: str, system: str, size: int) -> str:
+    """CTEs whose last, ``name`` (m, ld), has the inverse and the log determinant of the symmetric positive matrix of
+    ``system`` (m: rows), by Gauss-Jordan steps on the matrix with the identity beside it."""
+    return f"""{name}_gj(k, ld, m) AS (SELECT 1, 0.0::DOUBLE,
+    list_transform(m, lambda r, i: list_concat(r, list_transform(range(1, {size + 1}), lambda j: CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)))
+  FROM {system} UNION ALL
+  SELECT k + 1, ld + ln(m[k][k]), list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda v: v / m[k][k])
+    ELSE list_transform(r, lambda v, c: v - r[k] / m[k][k] * m[k][c]) END) FROM {name}_gj WHERE k <= {size}),
+{name} AS MATERIALIZED (SELECT list_transform(m, lambda r: r[{size + 1}:{2 * size}]) AS m, ld FROM {name}_gj WHERE k = {size + 1})"""
