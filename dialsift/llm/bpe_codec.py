@@ -37,6 +37,7 @@ from .transducer import Transducer, compile_words
 CHUNK_CHARS = 1 << 20
 FLUSH_WORDS = 150_000
 INDEX_WORDS = 500_000
+SHORT_BYTES = 64
 COUNT_STEPS = 16  # count classes for each doubling
 
 
@@ -68,11 +69,12 @@ def _counted(model: bpe.Bpe, pieces: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
 
-def most_frequent(counted: DataFrame, most: int) -> DataFrame:
+def most_frequent(counted: DataFrame, most: int, longer: bool = False) -> DataFrame:
     """The rows (word, n, ...) of the highest count classes that hold ``most`` words at most
     together: a filter, so no task and not the driver sorts candidates. Words of over
-    64 bytes are left out, which bounds the bytes as well."""
-    short = counted.filter(F.octet_length("word") <= 64).withColumn("class", F.floor(F.log2("n") * COUNT_STEPS))
+    SHORT_BYTES bytes are left out, which bounds the bytes as well; ``longer`` takes only these."""
+    bytes_ = F.octet_length("word")
+    short = counted.filter(bytes_ > SHORT_BYTES if longer else bytes_ <= SHORT_BYTES).withColumn("class", F.floor(F.log2("n") * COUNT_STEPS))
     sizes = short.groupBy("class").count().orderBy(F.desc("class")).collect()  # 64 * COUNT_STEPS rows at most
     total, least = 0, None
     for r in sizes:

@@ -16,7 +16,7 @@ from ..session import write_shared as materialise
 WHITE = b" \t\n\x0b\x0c\r"  # fixed value: [\x20\x09-\x0D]
 CHUNK_BYTES = 1 << 20
 
-__all__ = ["CHUNK_BYTES", "WHITE", "Joined", "grams", "in_chunks", "materialise", "mix", "numbered", "table", "text_bytes", "text_list"]
+__all__ = ["CHUNK_BYTES", "WHITE", "Joined", "grams", "hot_join", "in_chunks", "materialise", "mix", "numbered", "table", "text_bytes", "text_list"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,20 @@ def _files(docs: DataFrame) -> list[str] | None:
     return sorted(r["path"] for r in found)
 
 
+HOT_KEYS = 1000
+
+
+def hot_join(rows: DataFrame, named: DataFrame, keys: list[str], n_rows: int, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``named``, which has one row for each key and in ``n`` the number of its rows.
+    Keys with over 1/HOT_KEYS of ``n_rows``, at least all rows, are fewer than HOT_KEYS: these are broadcast, so no task
+    gets all rows of such a key. The others meet in a shuffle. ``rows`` is read twice and should be cheap to read."""
+    hot = F.col("n") * HOT_KEYS > n_rows
+    few = F.broadcast(named.filter(hot))
+    found = rows.join(few, keys)
+    rest = rows.join(F.broadcast(named.filter(hot).select(*keys)), keys, "left_anti").join(named.filter(~hot), keys, how)
+    return found.unionByName(rest)
+
+
 def text_bytes(column) -> list[bytes]:
     """UTF-8 bytes of an Arrow string column; null is empty."""
     return [b if b is not None else b"" for b in column.cast(pa.large_binary()).to_pylist()]

@@ -5,23 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import hot_join, materialise
 
 
-def _smallest(pairs: DataFrame) -> DataFrame:
-    """Each pair (u, v) with the smallest of u and its partners."""
-    low = pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return pairs.join(low, "u")
+def _smallest(pairs: DataFrame, most: int) -> DataFrame:
+    """Each of the at most ``most`` pairs (u, v) with the smallest of u and its partners. The hub of a giant
+    component has most of the pairs."""
+    low = pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+    return hot_join(pairs, low, ["u"], most)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, most: int) -> DataFrame:
     both = edges.select("u", "v").union(edges.select("v", "u"))
-    return _smallest(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    return _smallest(both, most).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, most: int) -> DataFrame:
     """``edges`` go from the larger node u to the smaller v."""
-    pairs = _smallest(edges)
+    pairs = _smallest(edges, most)
     return pairs.select("u", F.col("m").alias("v")).union(pairs.select(F.col("v").alias("u"), F.col("m").alias("v"))).filter("u <> v").distinct()
 
 
@@ -36,5 +37,7 @@ def components(edges: DataFrame) -> DataFrame:
         if now == state:
             break
         state = now
-        forest = materialise(_small_star(_large_star(forest)), "edges")
+        both_ways = 2 * now[0]
+        stars = materialise(_large_star(forest, both_ways), "stars")
+        forest = materialise(_small_star(stars, both_ways), "edges")
     return forest.select(F.col("u").alias("node"), F.col("v").alias("root")).union(forest.select("v", "v").distinct())

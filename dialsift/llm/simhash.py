@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_chunks, materialise, text_bytes
+from .common import hot_join, in_chunks, materialise, text_bytes
 from .components import components
 
 SEED = 42  # fixed value
@@ -131,7 +131,7 @@ def links(prints: DataFrame, hot_bucket: int = 64) -> DataFrame:
     keys = F.array(*(F.struct(F.lit(i).alias("start"), F.col("fp").bitwiseAND(F.lit(_signed(_mask(i, 2)))).alias("key")) for i in range(SEGMENTS)))
     ring = prints.select("fp", F.explode(keys).alias("k")).select("fp", "k.start", "k.key")
     shared = ring.groupBy("start", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    buckets = materialise(ring.join(shared, ["start", "key"]), "simhash-buckets")
+    buckets = materialise(hot_join(ring, shared, ["start", "key"], prints.count() * SEGMENTS), "simhash-buckets")
 
     cold = buckets.filter(F.col("n") <= hot_bucket)
     a, b = cold.select("start", "key", F.col("fp").alias("a")), cold.select("start", "key", F.col("fp").alias("b"))
@@ -159,7 +159,9 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = groups.join(joined.withColumnRenamed("node", "fp"), "fp")
     roots = linked.groupBy("root").agg(F.min("low").alias("component_id"))
     # fingerprints of one document without links are a class of their own and need no join
-    several = groups.join(joined.select(F.col("node").alias("fp")), "fp", "left_anti").filter("n > 1").select("fp", F.col("low").alias("component_id"))
-    labels = linked.select("fp", "root").join(roots, "root").select("fp", "component_id").unionByName(several)
-    out = rows.join(labels.withColumn("found", F.lit(True)), "fp", "left")
+    several = groups.join(joined.select(F.col("node").alias("fp")), "fp", "left_anti").filter("n > 1").select("fp", F.col("low").alias("component_id"), "n")
+    labels = linked.select("fp", "root", "n").join(roots, "root").select("fp", "component_id", "n").unionByName(several)
+    labels = materialise(labels.withColumn("found", F.lit(True)), "simhash-labels")
+    # copies of a text may hold a third of the rows
+    out = hot_join(rows, labels, ["fp"], rows.count(), "left")
     return out.select(F.col("id").alias(id_col), "fp", F.when(F.col("found"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"))

@@ -2,7 +2,7 @@
 
 1. Every distinct pre-token of the corpus is counted into pieces once.
 2. Each document becomes its pre-token frequencies. Those of the most frequent
-   pre-tokens (a bounded number) are multiplied by their broadcast piece counts
+   pre-tokens (a bounded number, those of over 64 bytes by their digest) are multiplied by their broadcast piece counts
    on the spot; the others travel as (document, pre-token, frequency) and
    are joined to the piece counts in a shuffle.
 3. The products are summed by document. No token ids are materialised.
@@ -14,6 +14,7 @@ default; every input row is counted on its own, also with an equal or null id.
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 
 import pyarrow as pa
@@ -21,10 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .bpe_codec import count_words, most_frequent
+from .bpe_codec import SHORT_BYTES, count_words, most_frequent
 from .common import materialise, text_list
 
 
+LONG_SHARE = 10  # one long pre-token in the broadcast for so many short ones
+
+
 def count_pieces(docs: DataFrame, vocabulary, text_col: str = "text") -> DataFrame:
     """(word, n, pieces): occurrences and number of tokens of each distinct pre-token."""
 
@@ -37,6 +41,10 @@ def count_pieces(docs: DataFrame, vocabulary, text_col: str = "text") -> DataFra
     return materialise(count_words(docs, vocabulary, text_col).mapInArrow(run, "word string, n long, pieces int"), "piece-counts")
 
 
+def _digest(word: str) -> bytes:
+    return hashlib.sha256(word.encode()).digest()
+
+
 def _frequencies(vocabulary, frequent_ref):
     """Per document: bytes, tokens of frequent pre-tokens, and the other pre-tokens with their frequencies."""
 
@@ -53,6 +61,8 @@ def _frequencies(vocabulary, frequent_ref):
                         continue
                     for word in model.piece_words(piece):
                         pieces = 1 if isinstance(word, int) else frequent.get(word)
+                        if pieces is None and len(word) > SHORT_BYTES // 4:  # a long one is known by its digest
+                            pieces = frequent.get(_digest(word))
                         if pieces is None:
                             rest[word] = rest.get(word, 0) + f
                         else:
@@ -76,9 +86,13 @@ def count_tokens(docs: DataFrame, path: str | None = None, frequent_words: int =
     spark = docs.sparkSession
     vocabulary = bpe.read_vocabulary(spark, path)
     pieces = count_pieces(docs, vocabulary, text_col)
-    top = most_frequent(pieces, frequent_words)
-    words = top.select("word", "pieces").toArrow()
-    frequent = spark.sparkContext.broadcast(dict(zip(words.column(0).to_pylist(), words.column(1).to_pylist(), strict=True)))
+    words = most_frequent(pieces, frequent_words).select("word", "pieces").toArrow()
+    head = dict(zip(words.column(0).to_pylist(), words.column(1).to_pylist(), strict=True))
+    # a ruler of 80 dashes may be in every document: long pre-tokens are sent as digests
+    rulers = most_frequent(pieces, frequent_words // LONG_SHARE, longer=True)
+    rulers = rulers.select(F.unhex(F.sha2(F.col("word").cast("binary"), 256)).alias("digest"), "pieces").toArrow()
+    head |= zip(rulers.column(0).to_pylist(), rulers.column(1).to_pylist(), strict=True)
+    frequent = spark.sparkContext.broadcast(head)
     id_type = docs.select(F.col(f"`{id_col}`")).dtypes[0][1]
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     per_doc = materialise(rows.mapInArrow(
