@@ -65,6 +65,38 @@ def test_tree_with_copies_and_ties(spark):
     assert knn_tree.distinct_vectors(df, 6).count() == 64
 
 
+def test_rows_the_tree_cannot_narrow(spark, monkeypatch):
+    """Unclustered rows of many dimensions are within reach of every leaf: they leave the rounds after the first and meet
+    packed blocks instead of being dealt to each leaf."""
+    names, plain = [], knn_tree.write_shared
+    monkeypatch.setattr(knn_tree, "write_shared", lambda df, name: names.append(name) or plain(df, name))
+    monkeypatch.setattr(knn_tree, "BLOCK_BYTES", 300 * 8 * 24)
+    rng = np.random.default_rng(3)
+    X = rng.normal(size=(2000, 24))
+    X[::50] = X[7]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(X.tolist())], "key long, vec array<double>")
+    for k in (1, 6, 45):
+        names.clear()
+        _same(knn.knn(df, df, k), knn.knn(df, df, k, broadcast_limit=0, block_rows=40))
+        assert names.count("knn-round") <= (2 if k < 40 else 3)
+
+
+def test_within_bound(spark):
+    """Candidates by single precision lose no neighbour, whatever the scale of the numbers."""
+    rng = np.random.default_rng(4)
+    two = np.concatenate([rng.normal(size=(300, 5)) * 1e-4 - 1e4, rng.normal(size=(300, 5)) * 1e-4 + 1e4])
+    odd = rng.normal(size=(400, 5))
+    odd[3], odd[5] = np.nan, np.inf
+    for R in (odd, rng.normal(size=(400, 30)) * 1e-3 + 1e4, odd[10:] * 1e-30, odd[10:] * 1e25, rng.integers(0, 3, (400, 3)).astype(float), two):
+        Q, k = R[10::7], 4
+        d = np.nan_to_num(np.sqrt(((Q[:, None] - R[None]) ** 2).sum(2)), nan=np.inf)
+        nearest = np.argsort(d, axis=1, kind="stable")[:, :k]
+        bound = np.take_along_axis(d, nearest[:, -1:], 1)[:, 0]
+        row, at, distance = knn_tree.within_bound(Q, bound, R, k)
+        assert {(n, m) for n in range(len(Q)) for m in np.flatnonzero(d[n] < bound[n]).tolist()} <= set(zip(row.tolist(), at.tolist()))
+        assert {(n, m) for n, ms in enumerate(nearest.tolist()) for m in ms} <= set(zip(row.tolist(), at.tolist())) and (distance == d[row, at]).all()
+
+
 def test_tree_of_few_rows(spark):
     empty = spark.createDataFrame([], "key long, vec array<double>")
     one = spark.createDataFrame([(7, [1.0, 2.0])], "key long, vec array<double>")
