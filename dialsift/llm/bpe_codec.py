@@ -1,10 +1,9 @@
 """BPE encoding and decoding of a text column.
 
-Pass 1 counts the pre-tokens of a random sample of about ``sample_docs`` documents; the
-most frequent (a documented number) are compiled with their ids into a minimal
+Pass 1 counts the pre-tokens of all documents; the most frequent (a documented number) are compiled with their ids into a minimal
 acyclic transducer, shipped to the executors as a Spark file and mapped into
 memory. Pass 2 looks every distinct pre-token of every document up in the transducer and
-merges the unseen ones exactly. The lexicon, and so the sample, changes speed only, never ids.
+merges the unseen ones exactly. The lexicon changes speed only, never ids.
 
 Defined cases: null or empty text has no ids; special strings of the
 vocabulary inside a text are their ids, as the tokenizers library does by
@@ -88,12 +87,10 @@ def most_frequent(counted: DataFrame, most: int, longer: bool = False) -> DataFr
 _LEXICONS = []  # folders of the shipped files, removed at the end of the driver
 
 
-def build_lexicon(docs: DataFrame, vocabulary: Broadcast, lexicon_words: int, text_col: str = "text", sample_docs: int = 20_000) -> str:
-    """Compile the most frequent pre-tokens of about ``sample_docs`` documents and ship the file; its name."""
+def build_lexicon(docs: DataFrame, vocabulary: Broadcast, lexicon_words: int, text_col: str = "text") -> str:
+    """Compile the most frequent pre-tokens of all documents and ship the file; its name."""
     spark = docs.sparkSession
-    share = min(1.0, sample_docs / max(1, docs.count()))
-    drawn = docs.select(F.col(f"`{text_col}`")).sample(share, 11) if share < 1 else docs
-    words = most_frequent(materialise(count_words(drawn, vocabulary, text_col), "word-counts"), lexicon_words).select("word").toArrow()
+    words = most_frequent(materialise(count_words(docs, vocabulary, text_col), "word-counts"), lexicon_words).select("word").toArrow()
     merge = bpe.load(vocabulary).merge
     image = compile_words((w.encode(), array("i", merge(w))) for w in words.column(0).to_pylist())
     name = f"lexicon-{hashlib.sha256(image).hexdigest()[:24]}.bin"
@@ -208,12 +205,12 @@ def _text_chunks(texts: list[str]) -> Iterator[list[str]]:
 
 
 def encode(docs: DataFrame, path: str | None = None, lexicon_words: int = 200_000, text_col: str = "text",
-           ids_col: str = "ids", decoded_col: str | None = None, sample_docs: int = 20_000) -> DataFrame:
+           ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
     """``docs`` with ``ids_col`` array<int>: the ids of ``text_col`` under the vocabulary file at ``path``. With
-    ``decoded_col`` the text that the ids decode to is added by the same pass. ``lexicon_words`` and
-    ``sample_docs`` bound the lexicon and the documents it is chosen from."""
+    ``decoded_col`` the text that the ids decode to is added by the same pass. ``lexicon_words``
+    bounds the lexicon."""
     vocabulary = bpe.read_vocabulary(docs.sparkSession, path)
-    name = build_lexicon(docs, vocabulary, lexicon_words, text_col, sample_docs)
+    name = build_lexicon(docs, vocabulary, lexicon_words, text_col)
 
     @F.arrow_udf("struct<ids: array<int>, decoded: string>")
     def code(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from dialsift.llm import bpe
+from dialsift.llm import bpe, bpe_codec
 from dialsift.llm.bpe_codec import Encoder, decode, encode
 from dialsift.llm.token_counts import count_tokens
 from dialsift.llm.transducer import Transducer, compile_words
@@ -63,6 +63,20 @@ def test_codec(written, library, texts):
         assert r["ids"] == ids and r["decoded"] == library.decode(ids, skip_special_tokens=False) == (r["text"] or "")
 
 
+def test_lexicon_counts_every_document(spark, monkeypatch):
+    docs = spark.range(30_000).select(F.concat(F.lit("common"), F.when(F.col("id") % 3 == 0, " rare").otherwise("")).alias("text"))
+    counts, plain = {}, bpe_codec.materialise
+
+    def keep(df, name):
+        out = plain(df, name)
+        counts.update({r["word"]: r["n"] for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(bpe_codec, "materialise", keep)
+    bpe_codec.build_lexicon(docs, bpe.read_vocabulary(spark, None), 10)
+    assert counts == {"common": 30_000, " rare": 10_000}
+
+
 def test_decode_of_odd_ids(spark, library):
     rows = spark.createDataFrame([(1, [50256, 0, 99999999, -1]), (2, None), (3, []), (4, [None, 0]), (5, [162])], "doc_id long, ids array<int>")
     got = {r["doc_id"]: r["decoded"] for r in decode(rows).collect()}
