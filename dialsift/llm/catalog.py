@@ -56,7 +56,8 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint_documents(table(spark, sf_dir, "documents"))
+    """The class of verified near copies (bands of the fingerprints joined, Jaccard verified) is a further column."""
+    return fingerprint_documents(table(spark, sf_dir, "documents"), with_classes=True)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

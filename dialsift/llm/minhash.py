@@ -282,27 +282,39 @@ def _links(buckets: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     bucket's smallest. Texts that fail go on to the next round among themselves; they are verified against those
     that passed only where the triangle inequality of the Jaccard distance lets them be near. Buckets
     left with at most FEW texts are verified in pairs. Pairs of two texts near the same smallest
-    one are in one class already and are left out."""
-    limit, found, state = 1 - threshold + 1e-9, [], buckets
+    one are in one class already and are left out.
+
+    Before the rounds each text is verified once, against the smallest text that it shares any band with. Buckets
+    whose texts are of one class by these links are done: near copies share most of their bands."""
+    limit = 1 - threshold + 1e-9
+    low = buckets.groupBy("key").agg(F.min("rep").alias("low"))
+    nearest = buckets.join(low, "key").groupBy("rep").agg(F.min("low").alias("a")).filter("a <> rep").select("a", F.col("rep").alias("b"))
+    first = materialise(_distances(nearest, sets).filter(F.col("far") <= limit).select("a", "b"), "band-first")
+    classed = buckets.join(components(first).withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("class"))
+    classed = materialise(classed, "band-classed")
+    mixed = classed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi").select("key")
+    found, state, begun = [first], classed.join(mixed, "key"), False
     while True:
         low = state.groupBy("key").agg(F.min("rep").alias("low"), F.count("*").alias("n")).filter("n > 1")
         state = materialise(state.join(low, "key"), "band-round")
         if not state.limit(1).count():
             break
-        few = state.filter((F.col("n") <= FEW) & F.lit(bool(found))).select("key", "rep")
-        inside = few.join(few.select("key", F.col("rep").alias("b")), "key").filter("rep < b").select(F.col("rep").alias("a"), "b")
-        many = state if not found else state.filter(F.col("n") > FEW)
+        few = state.filter((F.col("n") <= FEW) & F.lit(begun)).select("key", "rep", "class")
+        inside = few.join(few.select("key", F.col("rep").alias("b"), F.col("class").alias("other")), "key").filter(
+            "rep < b AND class <> other").select(F.col("rep").alias("a"), "b")
+        many = state if not begun else state.filter(F.col("n") > FEW)
+        begun = True
         star = many.filter("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b"))
         known = materialise(_distances(star.unionByName(inside).distinct(), sets), "band-distances")
         found.append(known.filter(F.col("far") <= limit).select("a", "b"))
-        placed = materialise(many.filter("rep <> low").join(known, (F.col("low") == F.col("a")) & (F.col("rep") == F.col("b"))).select("key", "rep", "far"), "band-placed")
+        placed = materialise(many.filter("rep <> low").join(known, (F.col("low") == F.col("a")) & (F.col("rep") == F.col("b"))).select("key", "rep", "class", "far"), "band-placed")
         near, rest = placed.filter(F.col("far") <= limit), placed.filter(F.col("far") > limit)
         between = rest.filter(F.col("far") <= 2 * limit).join(near.select("key", F.col("rep").alias("b"), F.col("far").alias("far_b")), "key").filter(
             F.col("far_b") >= F.col("far") - limit)
         crossed = _distances(between.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct(), sets)
         found.append(materialise(crossed.filter(F.col("far") <= limit).select("a", "b"), "band-crossed"))
-        state = rest.select("key", "rep")
-    return reduce(DataFrame.unionByName, found) if found else buckets.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
+        state = rest.select("key", "rep", "class")
+    return reduce(DataFrame.unionByName, found)
 
 
 def near_classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 1 << 28) -> DataFrame:

@@ -3,7 +3,7 @@
 import hashlib
 import random
 
-from dialsift.llm import minhash
+from dialsift.llm import catalog, minhash
 from dialsift.llm.minhash import edited, fingerprint_documents, near_duplicates
 
 from .conftest import AWKWARD
@@ -141,3 +141,23 @@ def test_fingerprints_with_classes(written):
     many = written([(k * 10, f"text {k}") for k in range(3000)])
     size = lambda n: len(minhash.neighbours_in_order(many, rows_per_slice=n)._jdf.queryExecution().analyzed().toString())
     assert size(10) < 1.2 * size(3000)
+
+
+def test_query_returns_the_verified_classes(spark, written, tmp_path):
+    rnd = random.Random(8)
+    words = [f"v{rnd.randrange(2000)}" for _ in range(120)]
+    rows = corpus(40) + [(2000 + k, " ".join(words[:50] + [f"u{k % 7}"] + words[51:])) for k in range(30)]
+    written(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    out = catalog.op5_minhash(spark, str(tmp_path))
+    assert out.columns[:7] == ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    assert sorted(((r["doc_id"], r["class_id"]) for r in out.collect()), key=str) == brute(rows)
+
+
+def test_buckets_of_one_class_need_one_pair_a_text(spark, monkeypatch):
+    """Near copies that share many bands, with another smallest text in each, are verified once a text."""
+    asked, plain = [], minhash._distances
+    monkeypatch.setattr(minhash, "_distances", lambda pairs, sets: asked.append(pairs.count()) or plain(pairs, sets))
+    rows = spark.createDataFrame([(k, list(range(100)) + [1000 + k]) for k in range(60)], "rep long, shingles array<long>")
+    buckets = spark.createDataFrame([(key, k) for key in range(20) for k in range(60) if k >= key], "key long, rep long")
+    links = minhash._links(buckets, rows, 0.8).collect()
+    assert {x for r in links for x in r} == set(range(60)) and sum(asked) <= 60
