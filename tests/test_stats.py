@@ -115,3 +115,24 @@ def test_small_tiles_and_target_only(spark, monkeypatch):
     target = {r["Feature"]: r["Correlacion_Abs"] for r in stats.target_correlations(df, df.columns[:-1], "c10").collect()}
     assert target.keys() == {f"c{k}" for k in range(10)} and all(abs(target[c] - whole[c, "c10"]) < 1e-12 for c in target)
     assert stats.target_correlations(df, [], "c10").count() == 0
+
+
+def test_scaler_skips_nulls_and_keeps_large_means(spark):
+    """The moments of the tasks' batches equal those of all rows, also where a task has no value."""
+    rows = [(float(k) + 1e9, None if k % 3 else k * 0.5, None, 7.0, float("nan") if k == 5 else 1.0) for k in range(500)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double").repartition(7)
+    got = stats.fit_standard_scaler(df, list("abcde"))
+    b = np.array([k * 0.5 for k in range(500) if k % 3 == 0])
+    assert np.allclose(got["a"], (1e9 + 249.5, np.arange(500).std()), rtol=1e-12) and np.allclose(got["b"], (b.mean(), b.std()))
+    assert got["c"] == (0.0, 1.0) and got["d"] == (7.0, 1.0) and np.isnan(got["e"][0]) and got["e"][1] == 1.0
+    assert stats.fit_standard_scaler(df.limit(0), ["a"]) == {"a": (0.0, 1.0)}
+
+
+def test_split_rows_are_not_copied(spark, monkeypatch):
+    from dialsift.plans import prepare
+
+    names, plain = [], prepare.write_shared
+    monkeypatch.setattr(prepare, "write_shared", lambda df, name: names.append(name) or plain(df, name))
+    data = spark.createDataFrame([(k, float(k % 10), k % 2) for k in range(100)], "CODIGO long, f double, CD int")
+    sd = prepare.split_and_scale(prepare.Prepared(data, ["f"], [], [], {}))
+    assert names == [] and sd.test.count() == 20 and sd.train.count() == 80
