@@ -207,3 +207,18 @@ def test_thresholds_equal_ranks(spark):
         got = sampling.draw_thresholds(df, {0: q, 1: q})
         for c in (0, 1):
             assert got[c] == sorted((r["u"], r["key"]) for r in rows if r["c"] == c)[q - 1]
+
+
+def test_axes_tell_pairs_apart(spark):
+    """Rows that few axes tell apart are sifted along these: the pairs within the bound are those of the plain product, and few others are left."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(3000, 8)) @ rng.normal(size=(8, 60)) * 3 + rng.normal(size=(3000, 60)) * 0.01
+    base[:40] *= 50.0  # some far out
+    Q, k = base[::7], 3
+    d = np.sqrt(((Q[:, None] - base[None]) ** 2).sum(2))
+    bound = np.sort(d, axis=1)[:, k - 1]
+    left = knn_tree.sifted(Q, bound * (1 + 1e-9), base)
+    assert left is not None and len(left[0]) <= len(Q) * len(base) // knn_tree.SIFT
+    row, at, distance = knn_tree.within_bound(Q, bound, base, k)
+    assert set(zip(*(x.tolist() for x in np.nonzero(d <= bound[:, None])))) <= set(zip(row.tolist(), at.tolist()))
+    assert knn_tree.sifted(rng.normal(size=(500, 64)), np.full(500, 8.0), rng.normal(size=(500, 64))) is None
