@@ -222,3 +222,25 @@ def test_axes_tell_pairs_apart(spark):
     row, at, distance = knn_tree.within_bound(Q, bound, base, k)
     assert set(zip(*(x.tolist() for x in np.nonzero(d <= bound[:, None])))) <= set(zip(row.tolist(), at.tolist()))
     assert knn_tree.sifted(rng.normal(size=(500, 64)), np.full(500, 8.0), rng.normal(size=(500, 64))) is None
+
+
+def test_vectors_are_dealt_to_few_leaves(spark, monkeypatch):
+    """However many leaves there are, a row is dealt to a bounded number of them; those with more open leaves meet blocks, in
+    which only the leaves within reach are compared."""
+    visits, plain = [], knn_tree.write_shared
+
+    def seen(df, name):
+        out = plain(df, name)
+        if name == "knn-round":
+            visits.append(out.agg(F.max(F.size("visited"))).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(knn_tree, "write_shared", seen)
+    monkeypatch.setattr(knn_tree, "NEAR_LEAVES", 2)
+    monkeypatch.setattr(knn_tree, "BLOCK_BYTES", 200 * 8 * 3)
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(rng.uniform(size=(3000, 3)).tolist())], "key long, vec array<double>")
+    counted = spark.sparkContext.accumulator(0)
+    _same(knn.knn(df, df, 8), knn_tree.knn_by_tree(df, df, 8, True, 20, counted))
+    assert max(visits) <= 12
+    assert counted.value < 3000 * 3000 // 3
