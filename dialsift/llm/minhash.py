@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +44,8 @@ A = _draw.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + n
 B = _draw.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
 EMPTY = np.iinfo(np.uint32).max
 BITMAP_BITS = 1 << 25
-FEW = 64  # texts of a bucket that may be verified in pairs
+FEW = 256  # texts of a block of a bucket, at least
+SKETCH_BITS = 4  # bits of a sketch for each shingle, at least
 CACHE_BYTES = 192 << 10  # a chunk whose shingle hashes stay in the processor's cache
 
 
@@ -243,27 +243,40 @@ def _suspect_keys(filter_ref):
     return run
 
 
-@F.arrow_udf(T.ArrayType(T.LongType()))
-def shingle_sets(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for column in columns:
-        texts = [t.encode() for t in text_list(column)]
-        parts, counts = [], [0]
-        for a, b in in_chunks(texts):
-            hashes, owner = shingles(texts[a:b])
-            for k in range(b - a):
-                lo, hi = np.searchsorted(owner, [k, k + 1])
-                parts.append(np.unique(hashes[lo:hi].view(np.int64)))
-                counts.append(len(parts[-1]))
-        yield pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), pa.array(np.concatenate(parts) if parts else [], pa.int64()))
+def _sets(column: pa.Array) -> list[np.ndarray]:
+    """The sorted distinct shingles of each row of a column of texts or of shingles."""
+    if not pa.types.is_string(column.type) and not pa.types.is_large_string(column.type):
+        return [np.unique(np.asarray(x, np.int64)) for x in column.to_pylist()]
+    texts, out = [t.encode() for t in text_list(column)], []
+    for a, b in in_chunks(texts):
+        hashes, owner = shingles(texts[a:b])
+        cuts = np.searchsorted(owner, np.arange(b - a + 1))
+        out += [np.unique(hashes[lo:hi].view(np.int64)) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+    return out
+
+
+def jaccard_distance(a: np.ndarray, b: np.ndarray) -> float:
+    """Of sorted distinct values; two empty sets are equal."""
+    if not len(a) or not len(b):
+        return 0.0 if len(a) == len(b) else 1.0
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return 1 - both / (len(a) + len(b) - both)
+
+
+@F.arrow_udf(T.DoubleType())
+def set_distances(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for of_a, of_b in columns:
+        coded = of_a.dictionary_encode() if pa.types.is_string(of_a.type) else None  # a text is met by many
+        first = _sets(of_a) if coded is None else [s for k in [_sets(coded.dictionary)] for s in (k[i] for i in coded.indices.to_pylist())]
+        yield pa.array([jaccard_distance(a, b) for a, b in zip(first, _sets(of_b), strict=True)], pa.float64())
 
 
 def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with ``far``: the Jaccard distance of their shingle sets."""
-    joined = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("of_a")), "a")
-    joined = joined.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("of_b")), "b")
-    both = F.size(F.array_intersect("of_a", "of_b"))
-    alike = F.coalesce(F.try_divide(both, F.size("of_a") + F.size("of_b") - both), F.lit(1.0))  # two empty sets are equal
-    return joined.select("a", "b", (1 - alike).alias("far"))
+    """``pairs`` (a, b) with ``far``: the Jaccard distance of their shingle sets, which ``sets`` (rep, and the texts or
+    the shingles) has. Only rows of the pairs are shuffled; a text is about half as many bytes as its shingles."""
+    content = next(c for c in sets.columns if c != "rep")
+    side = lambda c: _among(sets, pairs.select(F.col(c).alias("rep"))).select(F.col("rep").alias(c), F.col(content).alias(f"of_{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", set_distances("of_a", "of_b").alias("far"))
 
 
 def _among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -277,44 +290,165 @@ def _among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return met.filter(F.floor(byte / F.pow(F.lit(2), place % 8)) % 2 == 1).drop("bucket", "bits")
 
 
+def sketch(values: np.ndarray) -> bytes:
+    """One parity bit for each cell of a hash table of at least SKETCH_BITS cells a shingle. The bits in which two
+    sketches differ are at most as many as the shingles that only one text has. The halves of a
+    sketch folded together are the sketch of half as many cells."""
+    cells = max(256, 1 << (SKETCH_BITS * len(values) - 1).bit_length()) if len(values) else 256
+    at = (mix(values.view(np.uint64)) & np.uint64(cells - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=cells) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _sketches(batches):
+    for batch in batches:
+        sets = _sets(batch.column(1))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([sketch(s) for s in sets], pa.binary())], ["rep", "n", "bits"])
+
+
+def most_apart(threshold: float) -> float:
+    """Two sets of Jaccard similarity ``threshold`` or more differ in at most this share of their summed sizes."""
+    least = threshold - 1e-6
+    return (1 - least) / (1 + least)
+
+
+def near_by_sketch(n: np.ndarray, bits: list[bytes], apart: float, wanted) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(u, v, share of differing bits) of the places whose sketches let them be near; ``wanted(u, others)`` tells which
+    others u is to be compared with. Exact one way: no near pair is left out. Sizes of near texts
+    differ by a quarter at most, so sketches of more than twice the length are not compared."""
+    size = np.array([len(b) for b in bits])
+    us, vs, ws = [], [], []
+    for length in np.unique(size):
+        own, twice = np.flatnonzero(size == length), np.flatnonzero(size == 2 * length)
+        rows = np.frombuffer(b"".join([bits[k] for k in own]), np.uint64).reshape(len(own), -1)
+        if len(twice):
+            halves = np.frombuffer(b"".join([bits[k] for k in twice]), np.uint64).reshape(len(twice), 2, -1)
+            rows = np.concatenate([rows, halves[:, 0] ^ halves[:, 1]])
+        places = np.concatenate([own, twice])
+        for r, u in enumerate(own):
+            others = places[r + 1 :]
+            pick = np.flatnonzero(wanted(u, others))
+            if not len(pick):
+                continue
+            others = others[pick]
+            differ = np.bitwise_count(rows[r + 1 + pick] ^ rows[r]).sum(axis=1, dtype=np.int64)
+            both = n[u] + n[others]
+            near = differ <= both * apart + 1e-6
+            us.append(np.full(int(near.sum()), u))
+            vs.append(others[near])
+            ws.append(differ[near] / np.maximum(both[near], 1))
+    if not us:
+        return np.empty(0, int), np.empty(0, int), np.empty(0)
+    return np.concatenate(us), np.concatenate(vs), np.concatenate(ws)
+
+
+def forest(u: np.ndarray, v: np.ndarray, weight: np.ndarray, classes: np.ndarray) -> list[int]:
+    """Places of the lightest edges that connect all classes that the edges connect."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root.setdefault(root[x], root[x])
+        return x
+
+    kept, left = [], len(np.unique(np.concatenate([classes[u], classes[v]]))) - 1
+    ends = list(zip(classes[u].tolist(), classes[v].tolist(), strict=True))
+    for k in np.argsort(weight, kind="stable").tolist():
+        a, b = (find(x) for x in ends[k])
+        if a != b:
+            root[a] = b
+            kept.append(k)
+            if len(kept) == left:
+                break
+    return kept
+
+
+def _bucket_pairs(apart: float, spanning: bool):
+    """(a, b) of the rows (key, lo, hi, block, class, rep, n, bits), sorted by the first three: pairs of block ``lo`` with block
+    ``hi`` of a bucket that are of two classes and may be near; with ``spanning`` a forest of them."""
+
+    def pairs_of(blocks, classes, reps, n, bits):
+        other = len(np.unique(blocks)) > 1
+        u, v, w = near_by_sketch(n, bits, apart, lambda u, o: (classes[o] != classes[u]) & ((blocks[o] != blocks[u]) | (not other)))
+        if spanning and len(u) > 1:
+            kept = forest(u, v, w, classes)
+            u, v = u[kept], v[kept]
+        return np.minimum(reps[u], reps[v]), np.maximum(reps[u], reps[v])
+
+    def run(batches):
+        left, left_bits = None, []
+
+        def groups(rows, bits, last):
+            changed = np.flatnonzero((rows[:3, 1:] != rows[:3, :-1]).any(axis=0)) + 1
+            cuts = [0, *changed.tolist(), *([rows.shape[1]] if last else [])]
+            found = [pairs_of(*rows[3:7, a:b], bits[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)
+                     if b - a > 1 and (rows[1, a] == rows[2, a] or (rows[3, a:b] != rows[3, a]).any())]
+            a = np.concatenate([f[0] for f in found]) if found else np.empty(0, np.int64)
+            b = np.concatenate([f[1] for f in found]) if found else np.empty(0, np.int64)
+            return cuts[-1], pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:7]])
+            rows, bits = rows if left is None else np.concatenate([left, rows], axis=1), left_bits + batch.column(7).to_pylist()
+            done, out = groups(rows, bits, False)
+            left, left_bits = rows[:, done:], bits[done:]
+            yield out
+        if left is not None and left.shape[1]:
+            yield groups(left, left_bits, True)[1]
+
+    return run
+
+
+def _candidates(state: DataFrame, sketches: DataFrame, apart: float, spanning: bool) -> DataFrame:
+    """(a, b) of the buckets (key, rep, class) that are of two classes and may be near by their sketches. A bucket of over
+    FEW texts is cut into blocks that meet in pairs, so no task holds it whole."""
+    sizes = state.groupBy("key").agg(F.count("*").alias("n_rows"), F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi")
+    most = F.greatest(F.lit(max(FEW, 2)), F.least(F.ceil(F.col("n_rows") / 16), F.lit(2048)))
+    rows = state.join(sizes.select("key", F.ceil(F.col("n_rows") / most).cast("int").alias("blocks")), "key")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).join(sketches, "rep")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "class", "rep", "n", "bits")
+    dealt = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "rep")
+    return dealt.mapInArrow(_bucket_pairs(apart, spanning), "a long, b long").distinct()
+
+
+def _sifted(pairs: DataFrame, sketches: DataFrame, apart: float) -> DataFrame:
+    """``pairs`` (a, b) that may be near by their sketches."""
+
+    @F.arrow_udf(T.BooleanType())
+    def may(n_a: pa.Array, bits_a: pa.Array, n_b: pa.Array, bits_b: pa.Array) -> pa.Array:
+        n = np.stack([n_a.to_numpy(), n_b.to_numpy()], axis=1).astype(np.int64)
+        both = lambda u, o: np.ones(len(o), bool)
+        return pa.array([len(near_by_sketch(m, [x, y], apart, both)[0]) > 0 for m, x, y in zip(n, bits_a.to_pylist(), bits_b.to_pylist(), strict=True)], pa.bool_())
+
+    side = lambda c: sketches.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(may("n_a", "bits_a", "n_b", "bits_b")).select("a", "b")
+
+
 def _links(buckets: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): verified links of the buckets (key, rep) by rounds. A round verifies every text of a bucket against the
-    bucket's smallest. Texts that fail go on to the next round among themselves; they are verified against those
-    that passed only where the triangle inequality of the Jaccard distance lets them be near. Buckets
-    left with at most FEW texts are verified in pairs. Pairs of two texts near the same smallest
-    one are in one class already and are left out.
-
-    Before the rounds each text is verified once, against the smallest text that it shares any band with. Buckets
-    whose texts are of one class by these links are done: near copies share most of their bands."""
-    limit = 1 - threshold + 1e-9
+    """(a, b): verified links of the buckets (key, rep) that connect all texts that the links of all pairs of a bucket connect.
+
+    First each text is verified once, against the smallest text that it shares any band with. Buckets
+    whose texts are of one class by these links are done: near copies share most of their bands. In the others pairs of two
+    classes meet by their sketches, which leave out only pairs that cannot be near. A forest of
+    what is left is verified, and last all that is still of two classes. Three steps for buckets of any size; only
+    sketches meet in pairs."""
+    limit, apart = 1 - threshold + 1e-9, most_apart(threshold)
+    sketches = materialise(sets.mapInArrow(_sketches, "rep long, n int, bits binary"), "band-sketches")
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        return materialise(_distances(materialise(pairs, f"{name}-pairs"), sets), name)
+
+    near = lambda known: known.filter(F.col("far") <= limit).select("a", "b")
+
+    def classed(links: DataFrame) -> DataFrame:
+        return materialise(buckets.join(components(links).withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("class")), "band-classed")
+
     low = buckets.groupBy("key").agg(F.min("rep").alias("low"))
     nearest = buckets.join(low, "key").groupBy("rep").agg(F.min("low").alias("a")).filter("a <> rep").select("a", F.col("rep").alias("b"))
-    first = materialise(_distances(nearest, sets).filter(F.col("far") <= limit).select("a", "b"), "band-first")
-    classed = buckets.join(components(first).withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("class"))
-    classed = materialise(classed, "band-classed")
-    mixed = classed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi").select("key")
-    found, state, begun = [first], classed.join(mixed, "key"), False
-    while True:
-        low = state.groupBy("key").agg(F.min("rep").alias("low"), F.count("*").alias("n")).filter("n > 1")
-        state = materialise(state.join(low, "key"), "band-round")
-        if not state.limit(1).count():
-            break
-        few = state.filter((F.col("n") <= FEW) & F.lit(begun)).select("key", "rep", "class")
-        inside = few.join(few.select("key", F.col("rep").alias("b"), F.col("class").alias("other")), "key").filter(
-            "rep < b AND class <> other").select(F.col("rep").alias("a"), "b")
-        many = state if not begun else state.filter(F.col("n") > FEW)
-        begun = True
-        star = many.filter("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b"))
-        known = materialise(_distances(star.unionByName(inside).distinct(), sets), "band-distances")
-        found.append(known.filter(F.col("far") <= limit).select("a", "b"))
-        placed = materialise(many.filter("rep <> low").join(known, (F.col("low") == F.col("a")) & (F.col("rep") == F.col("b"))).select("key", "rep", "class", "far"), "band-placed")
-        near, rest = placed.filter(F.col("far") <= limit), placed.filter(F.col("far") > limit)
-        between = rest.filter(F.col("far") <= 2 * limit).join(near.select("key", F.col("rep").alias("b"), F.col("far").alias("far_b")), "key").filter(
-            F.col("far_b") >= F.col("far") - limit)
-        crossed = _distances(between.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct(), sets)
-        found.append(materialise(crossed.filter(F.col("far") <= limit).select("a", "b"), "band-crossed"))
-        state = rest.select("key", "rep", "class")
-    return reduce(DataFrame.unionByName, found)
+    found = verified(_sifted(nearest, sketches, apart), "band-first")
+    found = found.unionByName(verified(_candidates(classed(near(found)), sketches, apart, True), "band-forest"))
+    rest = _candidates(classed(near(found)), sketches, apart, False).join(found.select("a", "b"), ["a", "b"], "left_anti")
+    return near(found.unionByName(verified(rest, "band-rest")))
 
 
 def near_classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 1 << 28) -> DataFrame:
@@ -330,7 +464,7 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id"
     buckets = materialise(members.join(shared, "key"), "band-buckets")
     wanted = materialise(buckets.select("rep").distinct(), "band-texts")
     texts = _among(rows.select("rep", "text"), wanted).join(wanted, "rep", "left_semi").groupBy("rep").agg(F.first("text").alias("text"))
-    sets = materialise(texts.withColumn("shingles", shingle_sets("text")).select("rep", "shingles"), "shingle-sets")
+    sets = materialise(texts, "band-sets")
     root = components(_links(buckets, sets, threshold)).withColumnRenamed("node", "rep")
     # texts first, rows last: copies of a text that hold a third of the rows are one text
     of_text = materialise(rows.groupBy("rep").agg(F.min("id").alias("low"), F.count("*").alias("n")), "band-digests")

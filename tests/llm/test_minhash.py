@@ -161,3 +161,37 @@ def test_buckets_of_one_class_need_one_pair_a_text(spark, monkeypatch):
     buckets = spark.createDataFrame([(key, k) for key in range(20) for k in range(60) if k >= key], "key long, rep long")
     links = minhash._links(buckets, rows, 0.8).collect()
     assert {x for r in links for x in r} == set(range(60)) and sum(asked) <= 60
+
+
+def test_a_wide_cloud_is_sifted_by_sketches(spark, monkeypatch):
+    """Texts of one bucket that are all alike at 0.6 need no pair verified, and no round for each of them; a pair that is near is found."""
+    asked, plain = [], minhash._distances
+    monkeypatch.setattr(minhash, "_distances", lambda pairs, sets: asked.append(pairs.count()) or plain(pairs, sets))
+    sets = {k: [*range(120), *range(1000 + 40 * k, 1040 + 40 * k)] for k in range(100)}
+    sets[100] = sets[50][:-4]  # of the cloud, near one text that is not the smallest
+    rows = spark.createDataFrame(list(sets.items()), "rep long, shingles array<long>")
+    buckets = spark.createDataFrame([(7, k) for k in sets], "key long, rep long")
+    assert [(r["a"], r["b"]) for r in minhash._links(buckets, rows, 0.8).collect()] == [(50, 100)]
+    assert sum(asked) <= 3 and len(asked) == 3
+
+
+def test_sketches_leave_out_no_near_pair():
+    rnd = random.Random(3)
+    sets = []
+    for size in (0, 0, 1, 1, 4, 5, 60, 64, 65, 70, 500, 520, 3000):
+        base = rnd.sample(range(1 << 40), size)
+        sets += [base] + [base[: size - cut] + rnd.sample(range(1 << 41, 1 << 42), new) for cut in (0, size // 12, size // 4) for new in (0, size // 9, size // 5)]
+    sets = [minhash.np.unique(minhash.np.array(s, minhash.np.int64)) for s in sets]
+    n, bits = minhash.np.array([len(s) for s in sets]), [minhash.sketch(s) for s in sets]
+    u, v, _ = minhash.near_by_sketch(n, bits, minhash.most_apart(0.8), lambda u, o: o >= 0)
+    found = {(min(p), max(p)) for p in zip(u.tolist(), v.tolist(), strict=True)}
+    far = {(a, b): minhash.jaccard_distance(sets[a], sets[b]) for a in range(len(sets)) for b in range(a + 1, len(sets))}
+    assert {p for p, d in far.items() if d <= 0.2 + 1e-9} <= found
+    assert all(far[p] < 0.35 for p in found)
+
+
+def test_forest_connects_what_the_edges_connect():
+    array = minhash.np.array
+    u, v, weight = array([0, 1, 0, 3, 2]), array([1, 2, 2, 4, 0]), array([0.1, 0.2, 0.05, 0.3, 0.0])
+    assert sorted(minhash.forest(u, v, weight, array([10, 11, 12, 13, 14]))) == [0, 3, 4]
+    assert sorted(minhash.forest(u, v, weight, array([10, 11, 10, 13, 13]))) == [0]
