@@ -27,3 +27,15 @@ def test_evaluation_has_no_limits(spark, monkeypatch, name):
         catalog.QUERIES[name](spark, "rows")
     args, kw = found.value.args
     assert len(args) == 1 and limits(kw) == {}
+
+
+@pytest.mark.parametrize("name", ["zoo_results", "zoo_results_stored"])
+def test_zoo_has_no_limits(spark, monkeypatch, name):
+    monkeypatch.setattr(catalog, "embedding_rows", lambda spark, sf_dir: None)
+    monkeypatch.setattr(catalog.zoo_runner, "zoo_data", lambda rows, **kw: None)
+    monkeypatch.setattr(catalog.zoo_runner, "run_zoo", raiser)
+    monkeypatch.setattr(catalog, "_STORES", {})
+    with pytest.raises(Called) as found:
+        catalog.QUERIES[name](spark, "rows")
+    args, kw = found.value.args
+    assert set(args) <= {None} and limits(kw) == {}
