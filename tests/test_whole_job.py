@@ -2,7 +2,8 @@
 
 import pytest
 
-from dialsift.models.registry import ModelSizes
+from dialsift.models.registry import REGISTRY, ModelSizes
+from dialsift.models.tuning import search_space
 from dialsift.plans import catalog
 
 
@@ -39,3 +40,22 @@ def test_zoo_has_no_limits(spark, monkeypatch, name):
         catalog.QUERIES[name](spark, "rows")
     args, kw = found.value.args
     assert set(args) <= {None} and limits(kw) == {}
+
+
+def test_tuning_has_no_limits(spark, monkeypatch):
+    zoo = {}
+
+    def run_zoo(*args, **kw):
+        zoo.update(kw, models=args[1])
+        return catalog.zoo_runner.Zoo(spark.range(1), None, {})
+
+    monkeypatch.setattr(catalog, "embedding_rows", lambda spark, sf_dir: None)
+    monkeypatch.setattr(catalog.zoo_runner, "zoo_data", lambda rows, **kw: catalog.zoo_runner.ZooData(None, None, {}, 1))
+    monkeypatch.setattr(catalog.zoo_runner, "run_zoo", run_zoo)
+    monkeypatch.setattr(catalog.selection, "select_best", lambda leaderboard: leaderboard)
+    monkeypatch.setattr(catalog.zoo_tuning, "tune_best", raiser)
+    with pytest.raises(Called) as found:
+        catalog.QUERIES["tune_best"](spark, "rows")
+    models = zoo.pop("models")
+    assert {m.name for m in models} == {m.name for m in REGISTRY if search_space(m.name)}
+    assert limits(zoo) == {} and limits(found.value.args[1]) == {}
